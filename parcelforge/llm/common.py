@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) ->
     for batch in batches:
         ids, texts = batch.column("doc_id"), batch.column("text")
         start, held = 0, 0
-        sizes = pa.compute.binary_length(texts).to_pylist()
+        sizes = pc.binary_length(texts).to_pylist()
         for i, n in enumerate(sizes):
             held += n or 0
             if held >= limit:
@@ -59,3 +60,10 @@ def dropped(spark: SparkSession, *frames: DataFrame) -> None:
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def bounded_sample(rows: DataFrame, n: int, seed: int, id_col: str = "doc_id") -> DataFrame:
+    """At most n rows, those whose ids hash lowest: for fitting only.  The ids alone are ranked, then their rows read."""
+    key = F.xxhash64(F.lit(seed), F.col(id_col))
+    lowest = rows.select(key.alias("h")).orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    return rows.where(key <= F.lit(lowest)).limit(n) if lowest is not None else rows.limit(0)

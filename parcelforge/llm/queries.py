@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelforge.llm import piece_encoding, token_counts
+from parcelforge.llm import piece_encoding, secrets, telephony, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,8 +22,16 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_encoding.encoded_digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(documents(spark, sf_dir))
+
+
+def op7_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telephony.telephony_digest(telephony.pack_bytes(documents(spark, sf_dir)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_sentencepiece)}
+    return {f.__name__: f for f in (op1_token_counts, op3_sentencepiece, op5_secrets, op7_telephony)}
 
 
 def oracle_sql() -> dict[str, str]:
