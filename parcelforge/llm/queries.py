@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from parcelforge.llm import piece_encoding, secrets, telephony, token_counts
+from parcelforge.llm import chat, mixture, piece_encoding, secrets, telephony, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,17 +23,42 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_encoding.encoded_digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mixed(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(documents(spark, sf_dir))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    probe = "\\### Assistant: </turn> ok"
+    said = [spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(probe).alias("text")) for k, role in enumerate(("user", "assistant"))]
+    return chat.chat_digest(rows.unionByName(said[0]).unionByName(said[1]))
+
+
 def op7_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.telephony_digest(telephony.pack_bytes(documents(spark, sf_dir)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_sentencepiece, op5_secrets, op7_telephony)}
+    return {f.__name__: f for f in (op1_token_counts, op3_sentencepiece, op4_mixture, op5_secrets, op6_chat, op7_telephony)}
+
+
+OP6_SQL = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), wide AS (
+  SELECT *, length(replace(replace(replace(role, '\', '\b'), '<', '\l'), '>', '\g')) + length(replace(replace(replace(text, '\', '\b'), '<', '\l'), '>', '\g')) + length('<turn ></turn>') + 1 AS w FROM said
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(w)::BIGINT AS formatted_chars
+FROM wide GROUP BY conv_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_chat": OP6_SQL}
