@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelforge.llm import chat, mixture, piece_encoding, secrets, telephony, token_counts
+from parcelforge.llm import chat, exact_dedup, mixture, piece_encoding, secrets, telephony, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,8 +42,12 @@ def op7_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.telephony_digest(telephony.pack_bytes(documents(spark, sf_dir)))
 
 
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(documents(spark, sf_dir), keep="largest")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_sentencepiece, op4_mixture, op5_secrets, op6_chat, op7_telephony)}
+    return {f.__name__: f for f in (op1_token_counts, op3_sentencepiece, op4_mixture, op5_secrets, op6_chat, op7_telephony, op8_exact_dedup)}
 
 
 OP6_SQL = r"""
@@ -60,5 +64,11 @@ FROM wide GROUP BY conv_id
 """
 
 
+OP8_SQL = """
+WITH plain AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256 FROM plain WINDOW w AS (PARTITION BY text_sha256)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat": OP6_SQL}
+    return {"op6_chat": OP6_SQL, "op8_exact_dedup": OP8_SQL}
