@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelforge.llm import chat, exact_dedup, mixture, piece_encoding, secrets, telephony, token_counts
+from parcelforge.llm import chat, exact_dedup, language_id, mixture, piece_encoding, secrets, telephony, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language_id.languages(docs, language_id.train(docs))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_encoding.encoded_digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -47,7 +52,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_sentencepiece, op4_mixture, op5_secrets, op6_chat, op7_telephony, op8_exact_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_sentencepiece, op4_mixture, op5_secrets, op6_chat, op7_telephony, op8_exact_dedup)}
 
 
 OP6_SQL = r"""
