@@ -7,12 +7,13 @@ their first common shingle in both prefixes.
 1. One pass over the texts gives each row's set size and set hash, and counts the frequent shingles: every task reports
    those in a `FREQUENT`th of its sets, and those that come to as much of all sets are kept (a bounded number, as all
    frequencies together are the sum of the set sizes).  They only order the shingles; no result depends on them.
-2. The prefixes are dealt out by shingle and sorted there.  In each bucket the other sets meet its leader, which is one
-   row for each set, never all pairs of a bucket; buckets of frequent shingles are salted and have a leader for each salt.
-   Each set is verified against the leader that it shares most prefix shingles with.
-3. Links make components.  What is left to try are pairs of a bucket in different components: sets outside the largest
-   component of a bucket, against all of it.  They pass the length and positional filters and are verified, which links
-   all there is to link: no bucket is capped.
+2. The prefixes are dealt out by shingle and sorted there; buckets of one set fall away.
+3. In a few rounds, each set of a bucket that is outside the bucket's largest component may meet one member of it, and
+   does so for its best buckets: a few pairs for each set, never all pairs of a bucket.  Most near copies come together here, and links make components.
+4. What is left to try are pairs of a bucket in different components: sets outside the largest component, against all
+   of the bucket.  They pass the length and positional filters, share as many prefix
+   shingles as a link needs, and are verified, so no link between components is lost
+   and no bucket is capped.  Pairs that were tried before are not tried again.
 
 Verification applies the suffix filter (halving the sorted sets bounds their overlap), then intersects.
 
@@ -39,6 +40,8 @@ FREQUENT, LEAST = 1000, 8
 #: Sets of a task among which shingles are counted at a time.
 COUNTED = 4_000_000
 SALTS = 64
+#: Rounds in which each set meets so many sets of the largest components of its buckets.
+ROUNDS, PARTNERS = 3, 3
 #: Word hashes a worker keeps.
 MEMO = 1_000_000
 U = np.uint64
@@ -160,14 +163,14 @@ def prefixes(docs: DataFrame, frequent: dict[int, int]) -> DataFrame:
     return docs.mapInArrow(prefix, "token long, salt int, key long, n int, at int")
 
 
-def led(rows: DataFrame) -> DataFrame:
-    """Rows of buckets that more than one set is in, with the bucket's leader (its smallest key).
+def crowded(rows: DataFrame) -> DataFrame:
+    """Rows of buckets that more than one set is in (and all of frequent shingles, whose buckets are salted), one for each set.
 
     Spark sorts each partition, spilling if it must; the rows stream through, whatever the size of a bucket.
     """
     fields = ["token", "salt", "key", "n", "at"]
 
-    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # of the batch before: its last row, the leader of that bucket, and whether the row is still to be given out
         last, leader, due = None, None, True
         for batch in batches:
@@ -191,10 +194,10 @@ def led(rows: DataFrame) -> DataFrame:
             due = not (out[end] or (end == 0 and not due))
             last, leader = {c: v[-1] for c, v in cols.items()}, lead_key[-1]
             if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(cols[c][out]) for c in fields] + [pa.array(lead_key[out])], schema=pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("key", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("leader", pa.int64())]))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[c][out]) for c in fields], names=fields)
 
     dealt = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "key")
-    return dealt.mapInArrow(lead, "token long, salt int, key long, n int, at int, leader long")
+    return dealt.mapInArrow(pick, "token long, salt int, key long, n int, at int")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -257,38 +260,51 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(doc_id, n_shingles, component_id) of every row; component_id is the smallest id that links lead to, its own included."""
     rows = id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("long"), "text")
     scan = written(scanned(rows), "sets")
+    spark = docs.sparkSession
     sets = scan.where("not is_token").select("doc_id", "n", "key")
     least = max(LEAST, -(-sets.count() // FREQUENT))
     # bounded: of all frequencies, whose sum is that of the set sizes, each takes a FREQUENT-th of the sets
     frequent = {r["key"]: r["n"] for r in scan.where("is_token").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()}
-    shared = written(led(prefixes(rows, frequent)), "buckets")
+    shared = written(crowded(prefixes(rows, frequent)), "buckets")
 
-    members = shared.where("key <> leader")
-    best = members.groupBy("key", "leader").count().groupBy("key").agg(F.max(F.struct("count", "leader"))["leader"].alias("a"))
-    first_pairs = written(best.select("a", F.col("key").alias("b")), "pairs")
     owners = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     wanted = owners.join(shared.select("key").distinct(), "key", "left_semi")
     texts = written(rechecked(rows.join(wanted, "doc_id")).dropDuplicates(["key"]), "texts")
-    links = written(verified(first_pairs, texts), "links")
-    roots = components(links)
-
-    # pairs that share a bucket but no component
-    placed = shared.select("token", "key", "n", "at").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    placed = written(placed, "placed")
-    parts = placed.groupBy("token", "root").count()
-    main = parts.groupBy("token").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    mixed = placed.join(main.select("token", "main"), "token")
-    x, y = mixed.where("root <> main").alias("x"), mixed.alias("y")
-    fits = (F.col("x.n") * 100 >= F.col("y.n") * PERCENT) & (F.col("y.n") * 100 >= F.col("x.n") * PERCENT)
-    need = F.ceil((F.col("x.n") + F.col("y.n")) * PERCENT / (100 + PERCENT) - 1e-9)
-    reach = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= need
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & fits & reach)
-    pairs = pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-    tried = first_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = written(verified(rest, texts), "links")
-    if not more.isEmpty():
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+
+    roots = spark.createDataFrame([], "node long, root long")
+    tried = spark.createDataFrame([], "x long, y long")
+    for number in range(ROUNDS + 1):
+        placed = shared.select("token", "key", "n", "at").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        placed = written(placed, "placed") if number else placed
+        # buckets in which more than one component is, with their largest one
+        parts = placed.groupBy("token", "root").agg(F.count(F.lit(1)).alias("sets"), F.min(F.xxhash64("key", F.lit(number))).alias("low"))
+        main = parts.groupBy("token").agg(F.max(F.struct("sets", "root", "low")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        main = main.select("token", F.col("m.root").alias("main"), F.col("m.low").alias("low"))
+        mixed = placed.join(main, "token")
+        x = mixed.where("root <> main").alias("x")
+        y = (mixed.where(F.xxhash64("key", F.lit(number)) == F.col("low")) if number < ROUNDS else mixed).alias("y")
+        fits = (F.col("x.n") * 100 >= F.col("y.n") * PERCENT) & (F.col("y.n") * 100 >= F.col("x.n") * PERCENT)
+        pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & fits)
+        reach = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))  # of the first common shingle: what can be common from there on
+        found = pairs.groupBy(F.col("x.key").alias("x"), F.col("y.key").alias("y"), F.col("x.n").alias("xn"), F.col("y.n").alias("yn")).agg(F.count(F.lit(1)).alias("count"), F.max(reach).alias("reach"))
+        need = F.ceil((F.col("xn") + F.col("yn")) * PERCENT / (100 + PERCENT) - 1e-9)
+        # what is common beyond the prefixes is in the rest of one of the two sets
+        beyond = F.greatest(*[F.ceil(F.col(n) * PERCENT / 100 - 1e-9) - 1 for n in ("xn", "yn")])
+        if number == ROUNDS:  # before, not all that two sets have in common was counted
+            found = found.where((F.col("reach") >= need) & (F.col("count") + beyond >= need))
+        pairs = found.select("x", "y", "count").join(tried, ["x", "y"], "left_anti")
+        if number < ROUNDS:  # a few partners for each set, those of most buckets; there are no more than it has buckets
+            pairs = pairs.groupBy("x").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "y")), asc=False), 1, PARTNERS).alias("best"))
+            pairs = pairs.select("x", F.explode("best.y").alias("y"))
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        pairs = written(pairs, "pairs")
+        links = written(verified(pairs, texts), "links")
+        n_links = links.count()
+        if n_links:
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
+        if number == ROUNDS:
+            break
+        tried = tried.union(pairs.select("a", "b")).union(pairs.select("b", "a"))
 
     placed = sets.join(roots.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "key")).alias("root"))
     smallest = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
