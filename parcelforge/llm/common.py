@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -67,3 +68,41 @@ def bounded_sample(rows: DataFrame, n: int, seed: int, id_col: str = "doc_id") -
     key = F.xxhash64(F.lit(seed), F.col(id_col))
     lowest = rows.select(key.alias("h")).orderBy("h").limit(n).agg(F.max("h")).first()[0]
     return rows.where(key <= F.lit(lowest)).limit(n) if lowest is not None else rows.limit(0)
+
+
+def shared_buckets(rows: DataFrame, bucket: list[str], member: str, always: str | None = None) -> DataFrame:
+    """Rows of buckets that more than one member is in, once for each bucket and member (first columns of `rows`; the
+    others come along).  With `always`, a boolean column, also the rows where it holds.
+
+    One shuffle.  Spark sorts each partition, spilling if it must; the rows stream through, whatever the size of a bucket.
+    """
+    fields, schema = rows.columns, rows.schema
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # of the batch before: its last row, the first member of that bucket, and whether the row is still to be given out
+        last, leader, due = None, None, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in fields}
+            if last is not None:
+                cols = {c: np.concatenate(([last[c]], v)) for c, v in cols.items()}
+            same = np.logical_and.reduce([cols[c][1:] == cols[c][:-1] for c in bucket])
+            fresh = np.concatenate(([True], ~(same & (cols[member][1:] == cols[member][:-1]))))
+            starts = np.concatenate(([True], ~same))
+            number = np.cumsum(starts) - 1
+            first = cols[member][starts][number]
+            if last is not None:
+                first = np.where(number == 0, leader, first)
+            shared = np.logical_or.reduceat(cols[member] != first, np.flatnonzero(starts))[number]
+            if always:
+                shared |= cols[always]
+            out = fresh & shared
+            out[0] &= due
+            end = int(np.flatnonzero(fresh)[-1])
+            due = not (out[end] or (end == 0 and not due))
+            last, leader = {c: v[-1] for c, v in cols.items()}, first[-1]
+            if out.any():
+                yield pa.RecordBatch.from_arrays([pa.array(cols[c][out]) for c in fields], names=fields)
+
+    return rows.repartition(*bucket).sortWithinPartitions(*bucket, member).mapInArrow(pick, schema)

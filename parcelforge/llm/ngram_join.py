@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelforge.llm.common import id_and_text, text_slices, written
+from parcelforge.llm.common import id_and_text, shared_buckets, text_slices, written
 
 WIDTH, PERCENT = 5, 80
 #: A shingle is frequent in one of so many sets, and in at least so many.
@@ -163,43 +163,6 @@ def prefixes(docs: DataFrame, frequent: dict[int, int]) -> DataFrame:
     return docs.mapInArrow(prefix, "token long, salt int, key long, n int, at int")
 
 
-def crowded(rows: DataFrame) -> DataFrame:
-    """Rows of buckets that more than one set is in (and all of frequent shingles, whose buckets are salted), one for each set.
-
-    Spark sorts each partition, spilling if it must; the rows stream through, whatever the size of a bucket.
-    """
-    fields = ["token", "salt", "key", "n", "at"]
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # of the batch before: its last row, the leader of that bucket, and whether the row is still to be given out
-        last, leader, due = None, None, True
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = {c: batch.column(c).to_numpy() for c in fields}
-            if last is not None:
-                cols = {c: np.concatenate(([last[c]], v)) for c, v in cols.items()}
-            same = (cols["token"][1:] == cols["token"][:-1]) & (cols["salt"][1:] == cols["salt"][:-1])
-            fresh = np.concatenate(([True], ~(same & (cols["key"][1:] == cols["key"][:-1]))))
-            starts = np.concatenate(([True], ~same))
-            bucket = np.cumsum(starts) - 1
-            lead_key = cols["key"][starts][bucket]
-            if last is not None:
-                lead_key = np.where(bucket == 0, leader, lead_key)
-            # a set is given out if its bucket has another; sets of frequent shingles always are, as their buckets are salted
-            shared = np.logical_or.reduceat(cols["key"] != lead_key, np.flatnonzero(starts))[bucket] | (cols["salt"] >= 0)
-            out = fresh & shared
-            out[0] &= due
-            end = int(np.flatnonzero(fresh)[-1])
-            due = not (out[end] or (end == 0 and not due))
-            last, leader = {c: v[-1] for c, v in cols.items()}, lead_key[-1]
-            if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(cols[c][out]) for c in fields], names=fields)
-
-    dealt = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "key")
-    return dealt.mapInArrow(pick, "token long, salt int, key long, n int, at int")
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of (a, b): the smallest node that it can reach.
 
@@ -265,7 +228,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = max(LEAST, -(-sets.count() // FREQUENT))
     # bounded: of all frequencies, whose sum is that of the set sizes, each takes a FREQUENT-th of the sets
     frequent = {r["key"]: r["n"] for r in scan.where("is_token").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()}
-    shared = written(crowded(prefixes(rows, frequent)), "buckets")
+    shared = written(shared_buckets(prefixes(rows, frequent).withColumn("often", F.col("salt") >= 0), ["token", "salt"], "key", always="often"), "buckets")
 
     owners = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     wanted = owners.join(shared.select("key").distinct(), "key", "left_semi")
