@@ -166,10 +166,13 @@ def infer_year(text: Column, phrase: str = r"(20\d{2})\s*yılı") -> Column:
 
 
 def normalize_phone(col: Column) -> Column:
-    """+90 and ten digits; null if it isn't a mobile number of that length."""
-    d = F.regexp_replace(F.coalesce(col, F.lit("")), r"\D", "")
-    local = F.when(d.rlike(r"^90\d{10}$"), F.substring(d, 3, 10)).when(d.rlike(r"^0\d{10}$"), F.substring(d, 2, 10)).when(d.rlike(r"^\d{10}$"), d)
-    return F.when(local.startswith("5"), F.concat(F.lit("+90"), local))
+    """Digits with the country's +90 in front where their number says so; null if there are none."""
+    d = F.regexp_replace(F.regexp_replace(F.coalesce(col, F.lit("")), r"\D", ""), "^00", "")
+    return F.when(d == "", None).when(d.rlike(r"^90\d{10}$"), F.concat(F.lit("+"), d)).when(d.rlike(r"^0\d{10}$"), F.concat(F.lit("+90"), F.substring(d, 2, 10))).when(d.rlike(r"^\d{10}$"), F.concat(F.lit("+90"), d)).otherwise(F.concat(F.lit("+"), d))
+
+
+def phone_valid(col: Column) -> Column:
+    return F.coalesce(normalize_phone(col).rlike(r"^\+90\d{10}$"), F.lit(False))
 
 
 def normalize_email(col: Column) -> Column:

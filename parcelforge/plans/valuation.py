@@ -13,6 +13,8 @@ from parcelforge.plans.registry import registered
 
 c = F.col
 AS_OF = "2001-12-01 00:00:00"
+#: For freshness a date at which listings of all states are there.
+FRESH_AS_OF = "2001-10-15 00:00:00"
 
 
 def as_of():
@@ -338,17 +340,17 @@ def t2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pool.cap_subject(prepared(spark, sf_dir)).select("subject_id", "listing_uid")
 
 
-FRESH = "CASE WHEN TIMESTAMP '2001-12-01' >= created_at::TIMESTAMP + INTERVAL 45 DAY THEN 'EXPIRED' WHEN TIMESTAMP '2001-12-01' >= created_at::TIMESTAMP + INTERVAL 14 DAY THEN 'STALE' ELSE 'FRESH' END"
+FRESH = "CASE WHEN TIMESTAMP '2001-10-15' >= created_at::TIMESTAMP + INTERVAL 45 DAY THEN 'EXPIRED' WHEN TIMESTAMP '2001-10-15' >= created_at::TIMESTAMP + INTERVAL 14 DAY THEN 'STALE' ELSE 'FRESH' END"
 
 
 @registered("p4_live_listings", f"SELECT listing_uid FROM fx_listing WHERE price IS NOT NULL AND image_url IS NOT NULL AND {FRESH} = 'FRESH'")
 def p4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pool.live_listings(listings(spark, sf_dir), as_of()).select("listing_uid")
+    return pool.live_listings(listings(spark, sf_dir), F.lit(FRESH_AS_OF).cast("timestamp")).select("listing_uid")
 
 
 @registered("r2_sweep_freshness", f"SELECT {FRESH} AS freshness, city, count(*) AS n FROM fx_listing GROUP BY 1, 2")
 def r2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pool.sweep_freshness(listings(spark, sf_dir), as_of()).groupBy("freshness", "city").agg(F.count(F.lit(1)).alias("n"))
+    return pool.sweep_freshness(listings(spark, sf_dir), F.lit(FRESH_AS_OF).cast("timestamp")).groupBy("freshness", "city").agg(F.count(F.lit(1)).alias("n"))
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
