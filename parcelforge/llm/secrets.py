@@ -7,7 +7,7 @@ the two models, given the character before, passes a threshold.
 
 Defined results: a null or empty text has no spans; equal spans of one kind are reported once; repeated rows each get a
 row.  Base spans are never dropped; model spans that overlap a base span are not added.  An empty table trains on the
-fixed identifiers alone.  Only the id and text columns are read, so other columns can't clash.
+fixed words of identifiers alone.  Only the id and text columns are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # the same as runs of any length of which the shorter ones are dropped
 #: Strings that the models look at: 20 or more key characters, digits and letters among them.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Words that ordinary identifiers are made of: letters alone, so that no part of a key is one.
+WORD = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{2,}(?![A-Za-z0-9+/_=-])")
 ALPHABET = "".join(map(chr, range(33, 127)))
 #: Rows that the models of ordinary identifiers are fitted on, at most, and strings of either kind.
 SAMPLE_ROWS, SAMPLE_STRINGS = 500, 5000
@@ -39,7 +41,14 @@ SAMPLE_ROWS, SAMPLE_STRINGS = 500, 5000
 SAMPLE_CHARS = 50_000
 #: Natural-log odds per character above which a candidate counts as random.
 THRESHOLD = 0.5
-IDENTIFIERS = ("get_user_name", "customerAddress", "total_price_per_unit", "http_response_code", "isEnabled", "MAX_RETRY_COUNT", "src/main/resources/config", "2024-01-15-release-notes")
+#: Words of ordinary identifiers, which every sample is completed with.
+IDENTIFIERS = (
+    "get set add remove update delete create find list count sum total price value name user customer address account order item product quantity date time start end begin index key id type kind status state code "
+    "error message response request http url path file folder directory source target main test build release version config resource resources package module class method function object string number integer "
+    "boolean array map table column row field record database query result cache buffer queue thread process worker job task event handler listener service client server host port network socket stream reader "
+    "writer parser builder factory manager controller model view page session login password security example default max min average size length width height first last next previous is enabled has can should "
+    "retry timeout limit offset per unit from into with without java python src com org net"
+).split()
 
 
 class CharModel:
@@ -68,8 +77,7 @@ def random_strings(n: int, seed: int) -> list[str]:
 
 def ordinary_strings(words: list[str], n: int, seed: int) -> list[str]:
     """Labelled samples of identifiers: words alone and joined as code, paths and dates join them."""
-    draw, found = random.Random(seed), list(IDENTIFIERS)
-    words = words or ["value"]
+    draw, found, words = random.Random(seed), list(IDENTIFIERS), [*words, *IDENTIFIERS * (1 + len(words) // len(IDENTIFIERS) // 2)]
     for _ in range(n):
         some = draw.choices(words, k=draw.randint(1, 5))
         joint = draw.choice(("_", "-", "/", "", "="))
@@ -82,7 +90,7 @@ def train(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str
     """Log ratio of the two models for each pair of characters.  Fits on at most SAMPLE_ROWS rows, those whose ids hash lowest."""
     usual = id_and_text(docs, id_col, text_col).where(F.length("text") <= SAMPLE_CHARS)
     rows = bounded_sample(usual, SAMPLE_ROWS, seed).select("text").collect()
-    words = sorted({w for r in rows for w in re.findall(r"[A-Za-z]{2,}", r.text)})
+    words = sorted({w for r in rows for w in WORD.findall(r.text)})
     return CharModel(random_strings(SAMPLE_STRINGS, seed)).logs - CharModel(ordinary_strings(words, SAMPLE_STRINGS, seed + 1)).logs
 
 
