@@ -77,6 +77,36 @@ FROM wide GROUP BY conv_id
 """
 
 
+OP4_SQL = r"""
+WITH words AS (
+  SELECT doc_id, source, md5(coalesce(text, '')) AS row_key, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+), sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM words GROUP BY source), weighed AS (
+  SELECT source, source_size, source_size * 2.0::DOUBLE AS bound, [5.0::DOUBLE, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM sizes
+), levels AS (
+  SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(bound) OVER (ORDER BY bound / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY bound / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed
+), targets AS (
+  SELECT source, source_size, coalesce(least(bound, (SELECT arg_min(level, bound / weight) FROM levels WHERE bound > level * weight) * weight), bound) AS target FROM levels
+), seats AS (
+  SELECT source, target / (2 * k + 1) AS q, k, (SELECT round(sum(target) / 16) FROM targets) AS n FROM (SELECT *, unnest(range(0, (target / 16 + 3)::BIGINT)) AS k FROM targets) WHERE target > 0
+), won AS (SELECT source FROM seats QUALIFY row_number() OVER (ORDER BY q DESC, source NULLS LAST, k) <= n), quotas AS (
+  SELECT t.source, source_size, target, (SELECT count(*) FROM won w WHERE w.source IS NOT DISTINCT FROM t.source) AS source_quota, greatest(ceil(source_size / 200000), 1)::BIGINT AS shards FROM targets t
+), placed AS (
+  SELECT w.*, q.source_size, q.target, q.source_quota, ('0x' || substr(md5(concat_ws('/', 'mix', coalesce(doc_id, -1)::VARCHAR, row_key)), 1, 8))::BIGINT % shards AS shard FROM words w JOIN quotas q ON w.source IS NOT DISTINCT FROM q.source
+), shards AS (SELECT source, source_quota, shard, sum(size)::BIGINT AS shard_size FROM placed GROUP BY ALL), chances AS (
+  SELECT *, shard_size / (2 * k + 1) AS q FROM (SELECT *, unnest(range(0, (shard_size / 8 + 3)::BIGINT)) AS k FROM shards) WHERE shard_size > 0
+), dealt AS (
+  SELECT source, shard, count(*) AS quota FROM (SELECT * FROM chances QUALIFY row_number() OVER (PARTITION BY source ORDER BY q DESC, shard, k) <= source_quota) GROUP BY ALL
+), spans AS (
+  SELECT p.*, s.shard_size, coalesce(d.quota, 0) AS quota, ceil(s.shard_size / 16)::BIGINT AS blocks,
+    sum(size) OVER (PARTITION BY p.source, p.shard ORDER BY ('0x' || substr(md5(concat_ws('/', 'mix-order', coalesce(doc_id, -1)::VARCHAR, row_key)), 1, 8))::BIGINT, doc_id, row_key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS e
+  FROM placed p JOIN shards s ON p.source IS NOT DISTINCT FROM s.source AND p.shard = s.shard LEFT JOIN dealt d ON p.source IS NOT DISTINCT FROM d.source AND p.shard = d.shard
+), runs AS (
+  SELECT *, e - size AS b, CASE WHEN blocks > 0 THEN least(quota, blocks * 2) // blocks ELSE 0 END AS passes, CASE WHEN blocks > 0 THEN least(quota, blocks * 2) % blocks ELSE 0 END AS rest,
+    CASE WHEN blocks > 0 THEN ('0x' || substr(md5(concat_ws('/', 'mix-start', coalesce(source, chr(0)), shard::VARCHAR)), 1, 8))::BIGINT % blocks ELSE 0 END AS first FROM spans
+)
+SELECT doc_id, size, source_size, target, (passes * size + greatest(least(e, least(greatest(first + rest - blocks, 0) * 16, shard_size)) - greatest(b, 0), 0) + greatest(least(e, least((first + rest) * 16, shard_size)) - greatest(b, first * 16), 0))::BIGINT AS taken FROM runs
+"""
+
 OP8_SQL = """
 WITH plain AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256 FROM plain WINDOW w AS (PARTITION BY text_sha256)
@@ -84,4 +114,4 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat": OP6_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op4_mixture": OP4_SQL, "op6_chat": OP6_SQL, "op8_exact_dedup": OP8_SQL}
