@@ -73,7 +73,9 @@ def s5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.parse_population_pages(d.select(s("x").alias("city"), c("n_name").alias("district"), html.alias("html"))).select("district", "neighborhood", "year", "population_total")
 
 
-@registered("s6_location_links")
+@registered("s6_location_links", r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<a\s[^>]*href=["''][^"'']+["''][^>]*>.*?</a>')) AS link, generate_subscripts(regexp_extract_all(html, '(?s)<a\s[^>]*href=["''][^"'']+["''][^>]*>.*?</a>'), 1) AS pos FROM pages),
+t AS (SELECT page_id, pos, regexp_extract(link, 'href=["'']([^"'']+)["'']', 1) AS url, replace(replace(replace(replace(replace(replace(regexp_replace(link, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&quot;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS raw FROM l)
+SELECT url, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS text FROM t WHERE trim(regexp_replace(raw, '\s+', ' ', 'g')) <> '' QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id, pos) = 1""")
 def s6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract_location_links(fixture(spark, sf_dir, "pages").select("page_id", "html"))
 
