@@ -9,12 +9,13 @@ their first common shingle in both prefixes.
    frequencies together are the sum of the set sizes).  They only order the shingles; no result depends on them.
 2. The prefixes are dealt out by shingle and sorted there; buckets of one set fall away.
 3. In a few rounds, each set of a bucket that is outside the bucket's largest component may meet one member of it, and
-   does so for its best buckets: a few pairs for each set, never all pairs of a bucket.  Most near copies come together here, and links make components.
+   does so for the likest ones: a few pairs for each set, never all pairs of a bucket.  Most near copies come together here, and links make components.
 4. What is left to try are pairs of a bucket in different components: sets outside the largest component, against all
-   of the bucket.  They pass the length and positional filters, share as many prefix
-   shingles as a link needs, and are verified, so no link between components is lost
+   of the bucket.  They pass the length and positional filters and those of sketches,
+   and are verified, so no link between components is lost
    and no bucket is capped.  Pairs that were tried before are not tried again.
 
+Parity sketches of 512 bits bound from below in how many shingles two sets differ.
 Verification applies the suffix filter (halving the sorted sets bounds their overlap), then intersects.
 
 Defined results: null and empty texts have the empty set and link with nothing; texts of fewer words than a shingle are
@@ -24,6 +25,7 @@ are read, so other columns can't clash.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,16 +34,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelforge.llm.common import id_and_text, shared_buckets, text_slices, written
+from parcelforge.llm.common import id_and_text, shared_buckets, shared_folder, text_slices, written
 
 WIDTH, PERCENT = 5, 80
 #: A shingle is frequent in one of so many sets, and in at least so many.
-FREQUENT, LEAST = 1000, 8
+FREQUENT, LEAST = 20_000, 4
 #: Sets of a task among which shingles are counted at a time.
 COUNTED = 4_000_000
 SALTS = 64
 #: Rounds in which each set meets so many sets of the largest components of its buckets.
-ROUNDS, PARTNERS = 3, 3
+ROUNDS, PARTNERS = 2, 3
+#: Longs of a set's parity sketch: 512 bits.
+SKETCH = 8
 #: Word hashes a worker keeps.
 MEMO = 1_000_000
 U = np.uint64
@@ -68,13 +72,21 @@ def shingles(text: str, hashes: WordHashes) -> np.ndarray:
     mixed ^= mixed >> U(31)
     mixed *= U(0xBF58476D1CE4E5B9)
     mixed ^= mixed >> U(29)
-    return np.unique(mixed)
+    mixed.sort()
+    return mixed[np.concatenate(([True], mixed[1:] != mixed[:-1]))]
 
 
 def set_hash(found: np.ndarray) -> int:
     return int(np.frombuffer(xxhash.xxh64_digest(found.tobytes()), ">i8")[0])
 
 
+def parity_sketch(found: np.ndarray) -> np.ndarray:
+    """SKETCH longs of bits: bit b is the parity of the number of hashes that fall on b.  Sets that differ in d hashes have
+    sketches that differ in d bits at most."""
+    bits = np.bincount((found >> U(64 - (SKETCH * 64 - 1).bit_length())).astype(np.int64), minlength=SKETCH * 64) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def overlap_needed(n: int, m: int) -> int:
     """Least intersection of sets of these sizes that link: 100 * i >= PERCENT * (n + m - i)."""
     return -(-PERCENT * (n + m) // (100 + PERCENT))
@@ -96,7 +108,9 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """Rows of texts: (false, doc_id, set size, set hash), and of frequent shingles of a task: (true, null, how often, shingle)."""
+    """Rows of texts: (false, doc_id, check of the text, set size, set hash, sketch), and of frequent shingles of a task:
+    (true, null, null, how often, shingle, null)."""
+    names = [f"s{k}" for k in range(SKETCH)]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, seen, size = WordHashes(), [], set(), 0
@@ -105,28 +119,35 @@ def scanned(docs: DataFrame) -> DataFrame:
             tokens, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, U), np.empty(0, np.int64))
             often = counts >= max(2, -(-len(held) // FREQUENT))
             tokens, counts = tokens[often], counts[often]
-            return made(True, pa.nulls(len(tokens), pa.int64()), counts, tokens.view(np.int64))
+            none = pa.nulls(len(tokens), pa.int64())
+            return made(True, none, none, counts, tokens.view(np.int64), [none] * SKETCH)
 
-        def made(is_token: bool, ids: pa.Array, counts: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([is_token] * len(ids), pa.bool_()), ids, pa.array(counts, pa.int64()), pa.array(keys, pa.int64())], names=["is_token", "doc_id", "n", "key"])
+        def made(is_token: bool, ids: pa.Array, checks: pa.Array, counts: np.ndarray, keys: np.ndarray, sketch: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([is_token] * len(ids), pa.bool_()), ids, checks, pa.array(counts, pa.int64()), pa.array(keys, pa.int64()), *sketch], names=["is_token", "doc_id", "check", "n", "key", *names])
 
-        for ids, texts in text_slices(batches):
-            counts, keys = [], []
-            for text in texts:
-                found = shingles(text, hashes)
-                counts.append(len(found))
-                keys.append(set_hash(found))
-                if len(found) and keys[-1] not in seen:
-                    seen.add(keys[-1])
-                    held.append(found)
-                    size += len(found)
-            yield made(False, pa.array(ids, pa.int64()), np.array(counts, np.int64), np.array(keys, np.int64))
-            if size > COUNTED:
-                yield frequent()
-                held, seen, size = [], set(), 0
+        for batch in batches:
+            done = 0
+            for ids, texts in text_slices(iter([batch])):
+                counts, keys, sketches = [], [], []
+                for text in texts:
+                    found = shingles(text, hashes)
+                    counts.append(len(found))
+                    keys.append(set_hash(found))
+                    sketches.append(parity_sketch(found))
+                    if len(found) and keys[-1] not in seen:
+                        seen.add(keys[-1])
+                        held.append(found)
+                        size += len(found)
+                columns = np.array(sketches).reshape(-1, SKETCH).T
+                yield made(False, pa.array(ids, pa.int64()), batch.column("check").slice(done, len(ids)), np.array(counts, np.int64), np.array(keys, np.int64), [pa.array(c) for c in columns])
+                done += len(ids)
+                if size > COUNTED:
+                    yield frequent()
+                    held, seen, size = [], set(), 0
         yield frequent()
 
-    return docs.mapInArrow(scan, "is_token boolean, doc_id long, n long, key long")
+    schema = "is_token boolean, doc_id long, check long, n long, key long, " + ", ".join(f"{x} long" for x in names)
+    return docs.withColumn("check", F.xxhash64("text")).mapInArrow(scan, schema)
 
 
 def prefixes(docs: DataFrame, frequent: dict[int, int]) -> DataFrame:
@@ -183,7 +204,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, per_part: int = 200) -> DataFrame:
-    """The pairs (a, b) of set hashes that link.  texts: (key, text), one row for each set.
+    """The pairs (a, b, a_doc, b_doc) of set hashes and their rows that link.  texts: (doc_id, key, text), bucketed by doc_id.
 
     Each text of an a is sent once for every `per_part` pairs of it, in front of the texts of its b; rows stream through.
     """
@@ -200,23 +221,19 @@ def verified(pairs: DataFrame, texts: DataFrame, per_part: int = 200) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     counts = pairs.groupBy("a").count()
-    pairs = pairs.join(counts, "a").select("a", "b", F.pmod("b", F.ceil(F.col("count") / per_part)).alias("part"))
-    heads = pairs.select("a", "part").distinct().join(texts.withColumnRenamed("key", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
-    rows = pairs.join(texts.withColumnRenamed("key", "b"), "b").select("a", "part", "b", "text").union(heads)
+    pairs = pairs.join(counts, "a").withColumn("part", F.pmod("b", F.ceil(F.col("count") / per_part)))
+    heads = pairs.select("a", "part", F.lit(None).cast("long").alias("b"), F.col("a_doc").alias("doc_id"), F.col("a").alias("of")).distinct()
+    wanted = pairs.select("a", "part", "b", F.col("b_doc").alias("doc_id"), F.col("b").alias("of")).union(heads)
+    rows = wanted.join(texts, "doc_id").where(F.col("of") == F.col("key")).select("a", "part", "b", "text")
     return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(verify, "a long, b long")
 
 
-def rechecked(docs: DataFrame) -> DataFrame:
-    """(key, text) of (doc_id, text, key) where the text has that set: ids that several texts share are told apart."""
-
-    def recheck(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            own = [set_hash(shingles(t.as_py(), hashes)) for t in batch.column("text")]
-            keep = pa.array([a == b for a, b in zip(own, batch.column("key").to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("key").filter(keep), batch.column("text").filter(keep)], names=["key", "text"])
-
-    return docs.select("key", "text").mapInArrow(recheck, "key long, text string")
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """The rows, written to the shared folder in buckets of the key, so that joins on it don't shuffle them."""
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("path", shared_folder(spark, name)).bucketBy(n, key).saveAsTable(name)
+    return spark.table(name)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,18 +241,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("long"), "text")
     scan = written(scanned(rows), "sets")
     spark = docs.sparkSession
-    sets = scan.where("not is_token").select("doc_id", "n", "key")
+    sets = scan.where("not is_token").drop("is_token")
     least = max(LEAST, -(-sets.count() // FREQUENT))
     # bounded: of all frequencies, whose sum is that of the set sizes, each takes a FREQUENT-th of the sets
     frequent = {r["key"]: r["n"] for r in scan.where("is_token").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()}
     shared = written(shared_buckets(prefixes(rows, frequent).withColumn("often", F.col("salt") >= 0), ["token", "salt"], "key", always="often"), "buckets")
 
-    owners = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    wanted = owners.join(shared.select("key").distinct(), "key", "left_semi")
-    texts = written(rechecked(rows.join(wanted, "doc_id")).dropDuplicates(["key"]), "texts")
+    # of each set that shares a bucket, one row: its text, size and sketch
+    sketch = [f"s{k}" for k in range(SKETCH)]
+    owners = sets.where("n > 0").groupBy("key").agg(F.min(F.struct("doc_id", "check")).alias("owner"), *[F.first(x).alias(x) for x in ("n", *sketch)])
+    owners = owners.join(shared.select("key").distinct(), "key", "left_semi").select("key", "owner.*", "n", *sketch)
+    owners = written(owners, "owners")
+    checked = rows.withColumn("check", F.xxhash64("text")).alias("d").join(owners.select("key", "doc_id", "check").alias("o"), F.col("d.doc_id") == F.col("o.doc_id")).where("d.check = o.check")
+    texts = bucketed(checked.select("d.doc_id", "key", "text"), "doc_id")
+    # sketches of sets that link differ in no more bits than the sets in shingles
+    apart = lambda a, b: sum((F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in sketch), F.lit(0))
+    spare = lambda n, m: F.col(n) + F.col(m) - 2 * F.ceil((F.col(n) + F.col(m)) * PERCENT / (100 + PERCENT) - 1e-9)
+    ends = lambda side: owners.select(*[F.col(x).alias(f"{side}_{x}") for x in owners.columns])
 
     roots = spark.createDataFrame([], "node long, root long")
-    tried = spark.createDataFrame([], "x long, y long")
+    tried = spark.createDataFrame([], "x_key long, y_key long")
     for number in range(ROUNDS + 1):
         placed = shared.select("token", "key", "n", "at").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
         placed = written(placed, "placed") if number else placed
@@ -244,30 +269,33 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         main = parts.groupBy("token").agg(F.max(F.struct("sets", "root", "low")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
         main = main.select("token", F.col("m.root").alias("main"), F.col("m.low").alias("low"))
         mixed = placed.join(main, "token")
+        if number == ROUNDS:  # sketches come along, so that the join makes no pairs that can't link
+            mixed = mixed.join(owners.drop("n"), "key")
         x = mixed.where("root <> main").alias("x")
         y = (mixed.where(F.xxhash64("key", F.lit(number)) == F.col("low")) if number < ROUNDS else mixed).alias("y")
         fits = (F.col("x.n") * 100 >= F.col("y.n") * PERCENT) & (F.col("y.n") * 100 >= F.col("x.n") * PERCENT)
-        pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & fits)
-        reach = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))  # of the first common shingle: what can be common from there on
-        found = pairs.groupBy(F.col("x.key").alias("x"), F.col("y.key").alias("y"), F.col("x.n").alias("xn"), F.col("y.n").alias("yn")).agg(F.count(F.lit(1)).alias("count"), F.max(reach).alias("reach"))
-        need = F.ceil((F.col("xn") + F.col("yn")) * PERCENT / (100 + PERCENT) - 1e-9)
-        # what is common beyond the prefixes is in the rest of one of the two sets
-        beyond = F.greatest(*[F.ceil(F.col(n) * PERCENT / 100 - 1e-9) - 1 for n in ("xn", "yn")])
-        if number == ROUNDS:  # before, not all that two sets have in common was counted
-            found = found.where((F.col("reach") >= need) & (F.col("count") + beyond >= need))
-        pairs = found.select("x", "y", "count").join(tried, ["x", "y"], "left_anti")
-        if number < ROUNDS:  # a few partners for each set, those of most buckets; there are no more than it has buckets
-            pairs = pairs.groupBy("x").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "y")), asc=False), 1, PARTNERS).alias("best"))
-            pairs = pairs.select("x", F.explode("best.y").alias("y"))
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        same = (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & fits
+        if number < ROUNDS:
+            found = x.join(y, same).groupBy(F.col("x.key").alias("x_key"), F.col("y.key").alias("y_key")).agg(F.first("x.n").alias("xn"), F.first("y.n").alias("yn"))
+            found = found.join(tried, ["x_key", "y_key"], "left_anti").join(ends("x"), "x_key").join(ends("y"), "y_key")
+            found = found.withColumn("apart", apart("x_", "y_")).where(F.col("apart") <= spare("xn", "yn"))
+            # a few partners for each set, the likest; there are no more than it has buckets
+            best = F.slice(F.sort_array(F.collect_list(F.struct("apart", "y_key", "y_doc_id"))), 1, PARTNERS)
+            found = found.groupBy("x_key", "x_doc_id").agg(best.alias("best")).select("x_key", "x_doc_id", F.inline("best"))
+        else:
+            # what can be common from the first common shingle on: enough, for one of their buckets
+            reach = 2 * F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= F.col("x.n") + F.col("y.n") - spare("x.n", "y.n")
+            found = x.join(y, same & reach & (apart("x.", "y.") <= spare("x.n", "y.n")))
+            found = found.select(*[F.col(f"{t}.{k}").alias(f"{t}_{k}") for t in "xy" for k in ("key", "doc_id")]).distinct().join(tried, ["x_key", "y_key"], "left_anti")
+        first = F.col("x_key") < F.col("y_key")
+        pick = lambda of_x, of_y: F.when(first, F.col(of_x)).otherwise(F.col(of_y))
+        pairs = found.select(pick("x_key", "y_key").alias("a"), pick("y_key", "x_key").alias("b"), pick("x_doc_id", "y_doc_id").alias("a_doc"), pick("y_doc_id", "x_doc_id").alias("b_doc")).distinct()
         pairs = written(pairs, "pairs")
         links = written(verified(pairs, texts), "links")
-        n_links = links.count()
-        if n_links:
+        if not links.isEmpty():
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
-        if number == ROUNDS:
-            break
-        tried = tried.union(pairs.select("a", "b")).union(pairs.select("b", "a"))
+        if number < ROUNDS:
+            tried = tried.union(pairs.select("a", "b")).union(pairs.select("b", "a"))
 
     placed = sets.join(roots.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "key")).alias("root"))
     smallest = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
