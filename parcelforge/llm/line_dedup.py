@@ -13,7 +13,7 @@ Hot lines: equal lines are one line before anything is compared.  In each bucket
 earliest one, which settles families of alike lines in one pair for each line; lines that it doesn't settle meet the
 others of the bucket.  Hot segments: a bucket of more than `CROWD` lines isn't joined; each of its lines is cut again
 without that segment, and the new keys, within the old one, are joined instead, because the rest of the lines must be
-within EDITS as well.
+within EDITS as well.  Lengths and sketches of bigrams keep pairs apart that can't be within EDITS.
 
 Defined results: null and empty texts have one empty line, which stays; lines are split at \\n only and compared as
 they are; repeated rows are documents like any others; a document all of whose lines go has no lines left (and
@@ -24,9 +24,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelforge.llm.common import id_and_text, shared_buckets, text_slices, written
@@ -35,6 +36,8 @@ EDITS, LEAST = 2, 20
 CROWD = 100
 #: Lines whose keys a task has given out.
 SEEN = 2_000_000
+#: Longs of a line's sketch of bigrams: 512 bits.
+SKETCH = 8
 
 
 def line_key(line: str) -> int:
@@ -181,8 +184,18 @@ def keys_within(crowds: DataFrame) -> DataFrame:
     return crowds.select("key", "line", "text").mapInArrow(cut, "key long, line long")
 
 
+def bigram_sketch(line: str) -> np.ndarray:
+    """SKETCH longs of bits, each the parity of the number of bigrams that fall on it.  An edit ends two bigrams at most and
+    makes two, so lines within EDITS have sketches within 4 * EDITS bits."""
+    codes = np.frombuffer(line.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    grams = (codes[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[1:]) * np.uint64(0xBF58476D1CE4E5B9)
+    bits = np.bincount((grams >> np.uint64(64 - (SKETCH * 64 - 1).bit_length())).astype(np.int64), minlength=SKETCH * 64) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(line, text) of the lines (line, doc_id, at).  One shuffle of the documents that have such lines; a document's list is no longer than its lines."""
+    """(line, text, chars, g0…) of the lines (line, doc_id, at).  One shuffle of the documents that have such lines; a document's list is no longer than its lines."""
+    names = [f"g{k}" for k in range(SKETCH)]
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,10 +203,14 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for text, spots in zip(batch.column("text"), batch.column("spots").to_pylist(), strict=True):
                 lines = text.as_py().split("\n")
                 found += [(s["line"], lines[s["at"]]) for s in spots if s["at"] < len(lines) and line_key(lines[s["at"]]) == s["line"]]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.string())], names=["line", "text"])
+            sketches = np.array([bigram_sketch(x) for _, x in found], np.int64).reshape(-1, SKETCH)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.string()), pa.array([len(x[1]) for x in found], pa.int64()), *map(pa.array, sketches.T)], names=["line", "text", "chars", *names]
+            )
 
     spots = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "at")).alias("spots"))
-    return docs.join(spots, "doc_id").select("text", "spots").mapInArrow(pick, "line long, text string").dropDuplicates(["line"])
+    schema = "line long, text string, chars long, " + ", ".join(f"{x} long" for x in names)
+    return docs.join(spots, "doc_id").select("text", "spots").mapInArrow(pick, schema).dropDuplicates(["line"])
 
 
 def near(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -205,24 +222,27 @@ def near(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     rows = pairs.join(texts.select(F.col("line").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("line").alias("b"), F.col("text").alias("text_b")), "b")
-    fits = F.abs(F.length("text_a") - F.length("text_b")) <= EDITS
-    return rows.where(fits).select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
+    return rows.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
+
+
+def alike(x: str, y: str) -> Column:
+    """Whether two places' lines can be within EDITS, by their lengths and sketches."""
+    bits = sum((F.bit_count(F.col(f"{x}.g{k}").bitwiseXOR(F.col(f"{y}.g{k}"))) for k in range(SKETCH)), F.lit(0))
+    return (F.abs(F.col(f"{x}.chars") - F.col(f"{y}.chars")) <= EDITS) & (bits <= 4 * EDITS)
 
 
 def settled(buckets: DataFrame, texts: DataFrame, done: DataFrame | None) -> DataFrame:
     """(line) of the lines that have an earlier one within EDITS in a bucket.  buckets: (key, line, doc_id, at) of first places."""
-    place = F.struct("doc_id", "at", "line").alias("place")
-    rows = buckets.select("key", "line", place)
-    if done is not None:
-        rows = rows.join(done.select("line", F.lit(True).alias("done")), "line", "left").select("key", "line", "place", F.coalesce("done", F.lit(False)).alias("done"))
-    else:
-        rows = rows.withColumn("done", F.lit(False))
+    place = F.struct("doc_id", "at", "line", "chars", *[f"g{k}" for k in range(SKETCH)]).alias("place")
+    rows = buckets.join(texts.drop("text"), "line").select("key", "line", place)
     first = rows.groupBy("key").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("lines"))
-    with_first = rows.join(first, "key").where("not done and place <> first")
-    pairs = written(with_first.select(F.col("first.line").alias("a"), F.col("line").alias("b")).distinct(), "line-pairs")
+    late = rows.join(done, "line", "left_anti") if done is not None else rows
+    late = written(late.join(first, "key").where("place <> first"), "line-late")
+    pairs = written(late.where(alike("first", "place")).select(F.col("first.line").alias("a"), F.col("line").alias("b")).distinct(), "line-pairs")
     hit = written(near(pairs, texts).select(F.col("b").alias("line")).distinct(), "line-hits")
-    left = with_first.where(f"lines <= {CROWD} or {done is not None}").join(hit, "line", "left_anti").select("key", F.col("line").alias("b"), F.col("place").alias("late"))
-    more = left.join(rows.select("key", F.col("line").alias("a"), F.col("place").alias("early")), "key").where("early < late").select("a", "b").distinct()
+    left = late.where(f"lines <= {CROWD} or {done is not None}").join(hit, "line", "left_anti").select("key", F.col("line").alias("b"), F.col("place").alias("late"))
+    early = rows.select("key", F.col("line").alias("a"), F.col("place").alias("early"))
+    more = left.join(early, (left["key"] == early["key"]) & (F.col("early") < F.col("late")) & alike("early", "late")).select("a", "b").distinct()
     more = more.join(pairs, ["a", "b"], "left_anti")
     return hit.union(near(more, texts).select(F.col("b").alias("line"))).distinct()
 
@@ -239,7 +259,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = written(texts_of(rows, buckets.select("line", "doc_id", "at").distinct()), "line-texts")
     done = written(settled(buckets, texts, None), "settled")
     crowds = buckets.groupBy("key").count().where(F.col("count") > CROWD).select("key")
-    inner = shared_buckets(keys_within(buckets.join(crowds, "key").select("key", "line").join(texts, "line")), ["key"], "line")
+    inner = shared_buckets(keys_within(buckets.join(crowds, "key").select("key", "line").join(texts.select("line", "text"), "line")), ["key"], "line")
     inner = written(inner.join(spots, "line").select("key", "line", "doc_id", "at"), "line-crowds")
     if not inner.isEmpty():
         done = written(done.union(settled(inner, texts, done)).distinct(), "settled")
