@@ -2,12 +2,13 @@
 
 Two Markov models of the characters of a string are trained from labelled samples: random strings (seeded draws over the
 alphabets that keys are written in) and ordinary identifiers (words of a bounded sample of the documents, alone and
-joined the way code joins them).  A string of key characters is a finding if the log-likelihood ratio per character of
-the two models, given the character before, passes a threshold.
+joined the way code joins them).  A run of key characters is a finding if the log-likelihood ratio per character of the
+two models, given the character before, passes a threshold; if it doesn't, its stretches of 20 or more characters that
+do are, each out to the separators around it, so that ordinary characters beside a secret don't hide it.
 
 Defined results: a null or empty text has no spans; equal spans of one kind are reported once; repeated rows each get a
-row.  Base spans are never dropped; model spans that overlap a base span are not added.  An empty table trains on the
-fixed words of identifiers alone.  Only the id and text columns are read, so other columns can't clash.
+row.  Base spans are never dropped; they are cut out of the runs that the models look at, so that no model span overlaps
+one.  An empty table trains on the fixed words of identifiers alone.  Only the id and text columns are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -31,7 +32,10 @@ ASSIGN_HINT = re.compile(r"passw|secret|token|api", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # the same as runs of any length of which the shorter ones are dropped
 #: Strings that the models look at: 20 or more key characters, digits and letters among them.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST_CHARS = 20
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_CHARS},}}")
+#: Characters that join the parts of paths, names and assignments.
+SEPARATORS = "/=_-"
 #: Words that ordinary identifiers are made of: letters alone, so that no part of a key is one.
 WORD = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{2,}(?![A-Za-z0-9+/_=-])")
 ALPHABET = "".join(map(chr, range(33, 127)))
@@ -100,6 +104,60 @@ def odds(s: str, ratio: np.ndarray) -> float:
     return float(ratio[codes[:-1], codes[1:]].mean())
 
 
+def mixed(s: str) -> bool:
+    return re.search(r"[0-9]", s) is not None and re.search(r"[A-Za-z]", s) is not None
+
+
+def uncovered(start: int, end: int, spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What is left of start to end without the spans, in pieces of LEAST_CHARS or more."""
+    for a, b in [*sorted(x for x in spans if x[0] < end and x[1] > start), (end, end)]:
+        if a - start >= LEAST_CHARS:
+            yield start, a
+        start = max(start, b)
+
+
+def stretches(s: str, ratio: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """(start, end) of the stretches of LEAST_CHARS or more, digits and letters among them, whose odds pass the threshold.
+
+    A stretch passes if the sum of its log ratios, less the threshold each, is above 0.  Of ends in a row at which some
+    stretch passes, the one with the largest sum is taken with its start; what is left beside is gone through again.
+    """
+    codes = coded(s)
+    gains = ratio[codes[:-1], codes[1:]] - threshold
+    if gains.sum() > 0 and mixed(s):
+        return [(0, len(s))]
+    chars = codes + 33
+    digit, small = (chars >= 48) & (chars <= 57), chars | 32
+    letter = (small >= 97) & (small <= 122)
+    found, todo = [], [(0, len(s))]
+    while todo:
+        start, end = todo.pop()
+        sums, places = np.concatenate(([0.0], np.cumsum(gains[start : end - 1]))), np.arange(end - start)
+        # of stretches whose last character is at a place: how far right they may start
+        latest = np.minimum.reduce([places - LEAST_CHARS + 1, *(np.maximum.accumulate(np.where(x[start:end], places, -1)) for x in (digit, letter))])
+        lowest = np.minimum.accumulate(sums)
+        best = np.where(latest >= 0, sums - lowest[np.maximum(latest, 0)], 0)
+        passed = np.flatnonzero(best > 0)
+        if not len(passed):
+            continue
+        first = np.maximum.accumulate(np.where(sums == lowest, places, 0))  # where the lowest sum so far is
+        taken = []
+        for ends in np.split(passed, np.flatnonzero(np.diff(passed) > 1) + 1):
+            last = ends[best[ends].argmax()]
+            a, b = start + int(first[latest[last]]), start + int(last) + 1
+            while a > start and s[a] not in SEPARATORS and s[a - 1] not in SEPARATORS:
+                a -= 1
+            while b < end and s[b - 1] not in SEPARATORS and s[b] not in SEPARATORS:
+                b += 1
+            if taken and a < taken[-1][1]:
+                taken[-1] = min(a, taken[-1][0]), max(b, taken[-1][1])
+            else:
+                taken.append((a, b))
+        found += taken
+        todo += uncovered(start, end, taken)
+    return sorted(found)
+
+
 def spans_of(text: str, ratio: np.ndarray | None, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
     """(start, end, kind number) of all findings in order; with ratio None, of the base kinds alone."""
     found = []
@@ -108,11 +166,10 @@ def spans_of(text: str, ratio: np.ndarray | None, threshold: float = THRESHOLD)
     found += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16] if "AKIA" in text else []
     found += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
     if ratio is not None:
-        base = list(found)
+        base = [(a, b) for a, b, _ in found]
         for m in CANDIDATE.finditer(text):
-            s = m.group()
-            if re.search(r"[0-9]", s) and re.search(r"[A-Za-z]", s) and all(m.end() <= a or m.start() >= b for a, b, _ in base) and odds(s, ratio) > threshold:
-                found.append((m.start(), m.end(), 3))
+            for start, end in uncovered(m.start(), m.end(), base) if mixed(m.group()) else ():
+                found += [(start + a, start + b, 3) for a, b in stretches(text[start:end], ratio, threshold)]
     return sorted(found, key=lambda x: (x[0], x[2]))
 
 
