@@ -1,14 +1,15 @@
-"""Exact dedup: length-and-hash partitions, each of whose keys owns a Patricia trie of full byte strings.
+"""Exact dedup: partitions by length class and hash range, each of which owns a Patricia trie of full byte strings.
 
 Texts are normalised (A-Z in lower case).  Every task first enters its own rows, so that a text of which there are
-thousands leaves a task once; then the distinct texts go to the partition of their length and content hash and are
-entered into the trie of that key.  Texts are equal when the same terminal node ends them, byte for byte; the node
-stores the owner (smallest or largest id) and the number of rows.  A table of tries that holds more than `trie_bytes` of
-text spills subtrees to files of the task and goes through them afterwards, one at a time.
+thousands leaves a task once; then the distinct texts are dealt by length and content hash and entered into the trie of
+their partition, where texts with a common beginning share it.  Texts are equal when the same terminal node ends them,
+byte for byte; the node stores the owner (smallest or largest id) and the number of rows.  A table of tries that holds
+more than `trie_bytes` spills its largest subtrees to files of the task and goes through them afterwards, one at a time.
 
 Defined results: null counts as empty, and empty texts are equal to each other; of repeated rows with the same id one
-group is made like of any others, and each row is given back; an empty table gives no rows.  Only the id and text columns
-are read, so other columns can't clash.
+group is made like of any others, and each row is given back; a null id owns a text only if no other does, and `kept` is
+null for its rows, as in SQL; an empty table gives no rows.  Only the id and text columns are read, so other columns
+can't clash.
 """
 
 from __future__ import annotations
@@ -27,10 +28,12 @@ from pyspark.sql import functions as F
 from parcelforge.llm.common import id_and_text, text_slices
 
 TRIE_BYTES = 96 << 20
+#: Memory of a node besides its label, about.
+NODE_BYTES = 300
 
 
 class Node:
-    """The bytes on the way to it, children by first byte, and the owner and number of rows if texts end here."""
+    """The bytes on the way to it, children by first byte, and the owner and number of rows; texts end here if that is above 0."""
 
     __slots__ = ("children", "label", "owner", "rows")
 
@@ -53,88 +56,124 @@ def shared(a: bytes, b: bytes) -> int:
 
 
 class PatriciaTrie:
-    """Compressed radix trie of byte strings.  `best` picks the owner of two ids (min or max)."""
+    """Compressed radix trie of byte strings.  `best` picks the owner of two ids (min or max); null ids come last.
+
+    `sizes`: bytes that the subtrees of the root hold, by first byte.
+    """
 
     def __init__(self, best: Callable[[int, int], int]):
-        self.root, self.best, self.held = Node(b""), best, 0
+        self.root, self.best, self.sizes = Node(b""), best, {}
 
-    def insert(self, key: bytes, owner: int, rows: int) -> None:
-        node = self.root
+    def insert(self, key: bytes, owner: int | None, rows: int) -> int:
+        """Enters the string and gives the bytes that this has added."""
+        node, first, added = self.root, key[:1], 0
         while True:
             n = shared(node.label, key)
             if n < len(node.label):  # part of the label: split the node
                 below = Node(node.label[n:], node.owner, node.rows)
                 below.children = node.children
                 node.label, node.owner, node.rows, node.children = node.label[:n], None, 0, {below.label[0]: below}
+                added += NODE_BYTES
             key = key[n:]
             if not key:
-                node.owner = owner if node.owner is None else self.best(node.owner, owner)
+                node.owner = owner if node.owner is None else node.owner if owner is None else self.best(node.owner, owner)
                 node.rows += rows
-                return
+                break
             child = node.children.get(key[0])
             if child is None:
                 node.children[key[0]] = Node(key, owner, rows)
-                self.held += len(key)
-                return
+                added += len(key) + NODE_BYTES
+                break
             node = child
+        if first:
+            self.sizes[first[0]] = self.sizes.get(first[0], 0) + added
+        return added
+
+    def cut(self, first: int) -> Node:
+        """Takes the subtree of a first byte out."""
+        del self.sizes[first]
+        return self.root.children.pop(first)
+
+    def items(self) -> Iterator[tuple[bytes, int | None, int]]:
+        return strings(self.root)
 
-    def items(self) -> Iterator[tuple[bytes, int, int]]:
-        """(string, owner, rows) of all terminal nodes, without recursion."""
-        stack = [(b"", self.root)]
-        while stack:
-            before, node = stack.pop()
-            text = before + node.label
-            if node.owner is not None:
-                yield text, node.owner, node.rows
-            stack += [(text, child) for child in node.children.values()]
+
+def strings(top: Node) -> Iterator[tuple[bytes, int | None, int]]:
+    """(string, owner, rows) of all terminal nodes of a subtree, without recursion."""
+    stack = [(b"", top)]
+    while stack:
+        before, node = stack.pop()
+        text = before + node.label
+        if node.rows > 0:
+            yield text, node.owner, node.rows
+        stack += [(text, child) for child in node.children.values()]
 
 
 class SpillingTries:
-    """A trie for each (length, hash), within a bound of memory: beyond it, subtrees are moved to files by their key and first byte."""
+    """A trie for each (length class, hash range), within a bound of memory: beyond it, the largest subtrees are moved to files.
+
+    A length class is the number of bits of the length; a file holds the subtrees of one hash range.  What of a file is
+    beyond the bound again is cut by the next bits of the hash, at most LEVELS times.
+    """
 
-    FILES = 32
+    BITS, LEVELS = 5, 4
 
-    def __init__(self, best: Callable[[int, int], int], limit: int):
-        self.best, self.limit, self.tries, self.held = best, limit, {}, 0
+    def __init__(self, best: Callable[[int, int], int], limit: int, level: int = 0):
+        self.best, self.limit, self.level, self.tries, self.held = best, limit, level, {}, 0
         self.folder: tempfile.TemporaryDirectory | None = None
+        self.spilled: set[tuple[tuple[int, int], int]] = set()
 
-    def insert(self, key: tuple[int, int], text: bytes, owner: int, rows: int) -> None:
+    def insert(self, key: tuple[int, int], text: bytes, owner: int | None, rows: int) -> None:
+        key = key[0].bit_length(), (key[1] >> 64 - self.BITS * (self.level + 1)) & (1 << self.BITS) - 1
         trie = self.tries.get(key)
         if trie is None:
             trie = self.tries[key] = PatriciaTrie(self.best)
-        before = trie.held
-        trie.insert(text, owner, rows)
-        self.held += trie.held - before
-        if self.held > self.limit:
+        self.held += trie.insert(text, owner, rows)
+        if self.held > self.limit and self.level < self.LEVELS:
             self.spill()
 
     def spill(self) -> None:
+        """Moves the largest subtrees out, until half the bound is held."""
+        sizes = sorted(((n, key, first) for key, trie in self.tries.items() for first, n in trie.sizes.items()), reverse=True)
+        for n, key, first in sizes:
+            if self.held <= self.limit // 2:
+                break
+            self.move(key, first)
+            self.held -= n
+
+    def move(self, key: tuple[int, int], first: int) -> None:
+        """Appends a subtree to the file of its hash range, each string without what it shares with the one before."""
         self.folder = self.folder or tempfile.TemporaryDirectory(prefix="tries-")
-        files = [open(os.path.join(self.folder.name, str(i)), "ab") for i in range(self.FILES)]  # noqa: SIM115
-        for key, trie in self.tries.items():
+        before = b""
+        with open(os.path.join(self.folder.name, str(key[1])), "ab") as f:
+            for text, owner, rows in strings(self.tries[key].cut(first)):
+                n = shared(before, text)
+                pickle.dump((n, text[n:], owner, rows), f)
+                before = text
+        self.spilled.add((key, first))
+
+    def items(self) -> Iterator[tuple[tuple[int, int], bytes, int | None, int]]:
+        """((length, hash), string, owner, rows) of all strings; spilled subtrees whole, file by file."""
+        for key, first in list(self.spilled):
+            if first in self.tries[key].sizes:
+                self.move(key, first)
+        for trie in self.tries.values():
             for text, owner, rows in trie.items():
-                pickle.dump((key, text, owner, rows), files[(key[1] + (text[0] if text else 0)) % self.FILES])
-        for f in files:
-            f.close()
+                yield (len(text), signed(text)), text, owner, rows
         self.tries, self.held = {}, 0
-
-    def items(self) -> Iterator[tuple[tuple[int, int], bytes, int, int]]:
-        """All strings, those of spilled subtrees file by file; equal strings are always in the same file."""
         if self.folder is None:
-            for key, trie in self.tries.items():
-                for text, owner, rows in trie.items():
-                    yield key, text, owner, rows
             return
-        self.spill()
         with self.folder:
             for name in sorted(os.listdir(self.folder.name)):
-                again = SpillingTries(self.best, 1 << 62)  # a file is about 1 / FILES of what was spilled
+                again, text = SpillingTries(self.best, self.limit, self.level + 1), b""
                 with open(os.path.join(self.folder.name, name), "rb") as f:
                     while True:
                         try:
-                            again.insert(*pickle.load(f))
+                            n, rest, owner, rows = pickle.load(f)
                         except EOFError:
                             break
+                        text = text[:n] + rest
+                        again.insert((len(text), signed(text)), text, owner, rows)
                 yield from again.items()
 
 

@@ -269,6 +269,32 @@ def test_exact_dedup(spark, trie_bytes):
     assert exact_dedup.exact_groups(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("trie_bytes", [64, 1 << 20])
+def test_exact_dedup_null_ids(spark, trie_bytes):
+    rows = [(None, "alone"), (None, "Alone"), (None, "same"), (5, "SAME"), (None, "same"), (7, "same"), (8, "other")]
+    for keep, best in (("smallest", 5), ("largest", 7)):
+        got = exact_dedup.exact_groups(docs(spark, rows), keep, trie_bytes).collect()
+        want = [(None, None, 2, None)] * 2 + [(None, best, 4, None)] * 2 + [(5, best, 4, best == 5), (7, best, 4, best == 7), (8, 8, 1, True)]
+        assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got), key=repr) == sorted(want, key=repr)
+
+
+def test_tries_share_and_spill_subtrees():
+    texts = [b"the common beginning of many texts, number %03d" % i for i in range(400)]
+    tries, small = exact_dedup.SpillingTries(min, 1 << 30), exact_dedup.SpillingTries(min, 40_000)
+    for t in (tries, small):
+        for i, text in enumerate([*texts, b"a", b""] * 2):
+            t.insert((len(text), exact_dedup.signed(text)), text, i, 1)
+    assert len(tries.tries) <= 34 and sum(len(n.label) for trie in tries.tries.values() for n in nodes(trie.root)) < sum(map(len, texts)) / 4
+    # the small subtree of b"a" stays, the large ones are moved
+    assert small.spilled and ((1, exact_dedup.signed(b"a") >> 59 & 31), ord("a")) not in small.spilled
+    want = sorted((text, i, 2) for i, text in enumerate([*texts, b"a", b""]))
+    assert sorted(x[1:] for x in tries.items()) == want and sorted(x[1:] for x in small.items()) == want
+
+
+def nodes(top):
+    return [top, *(n for child in top.children.values() for n in nodes(child))]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.binary(max_size=6), max_size=60), st.integers(1, 40))
 def test_tries(keys, limit):
