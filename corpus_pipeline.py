@@ -2,12 +2,15 @@
 
 `run` applies the stages to the documents table; each stage's rows are written as Parquet and read again.  Every stage but
 the last gives the columns of documents.
+
+Decisions hold for an id and a text together, so that texts with the same id, or with none, are judged apart.  Rows that
+repeat both are kept or left out alike by the first two stages; the third keeps one of them.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelforge.llm import language_id, line_dedup, mixture, ngram_join, piece_encoding
@@ -18,10 +21,16 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SCORE = 0.4
 
 
+def row_key() -> Column:
+    """Of an id and a text."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.coalesce("text", F.lit("")))
+
+
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: those without letters, and those in which no language is recognised, go."""
-    found = language_id.languages(docs, language_id.train(docs)).where((F.col("lang_pred") == language_id.UNDETERMINED) | (F.col("score") < LEAST_SCORE))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    keyed = docs.withColumn("key", row_key())
+    found = language_id.languages(keyed, language_id.train(docs), id_col="key").where((F.col("lang_pred") == language_id.UNDETERMINED) | (F.col("score") < LEAST_SCORE))
+    return keyed.join(found.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti").select(*COLUMNS)
 
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +39,13 @@ def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest id."""
-    found = ngram_join.jaccard_components(docs)
-    return docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near duplicates, that of the smallest id; a null id comes last."""
+    keyed = docs.withColumn("key", row_key())
+    found = ngram_join.jaccard_components(keyed, id_col="key").select(F.col("doc_id").alias("key"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    kept = found.join(keyed.select("key", "doc_id").distinct(), "key").groupBy("component_id").agg(F.min(order).alias("first")).select("first.key")
+    copies = Window.partitionBy("key").orderBy("source", "lang", "n_chars")
+    return keyed.join(kept, "key", "left_semi").withColumn("copy", F.row_number().over(copies)).where("copy = 1").select(*COLUMNS)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

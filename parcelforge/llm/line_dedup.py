@@ -1,7 +1,8 @@
 """Line dedup by a segment-partition edit join.
 
 Lines within an edit distance of `EDITS` of an earlier line of any document (or the same) are removed; earlier means a
-smaller (doc_id, line number) at its first place.  Lines of fewer than `LEAST` characters stay and remove nothing.
+smaller (doc_id, version, line number) at its first place; the version is a hash of the text that tells texts of the same
+id apart.  Lines of fewer than `LEAST` characters stay and remove nothing.
 
 A line is cut into EDITS + 1 segments.  If two lines are within EDITS, one segment of the shorter is a substring of the
 longer, at a place that their lengths and the segment's number bound (position- and length-aware selection).  So each
@@ -16,8 +17,8 @@ without that segment, and the new keys, within the old one, are joined instead,
 within EDITS as well.  Lengths and sketches of bigrams keep pairs apart that can't be within EDITS.
 
 Defined results: null and empty texts have one empty line, which stays; lines are split at \\n only and compared as
-they are; repeated rows are documents like any others; a document all of whose lines go has no lines left (and
-`without_lines` leaves it out).  Only the named columns are read, so other columns can't clash.
+they are; rows with the same id and text are one document, and each of them keeps or loses the same lines; a null id comes
+before others; a document all of whose lines go has no lines left (and `without_lines` leaves it out).  Only the named columns are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -129,16 +130,20 @@ def within_edits(a: str, b: str, edits: int = EDITS) -> bool:
     return score <= edits
 
 
+def version_of(text: Column | str) -> Column:
+    return F.xxhash64(text)
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(line, check, doc_id, at) of all lines that can be removed: two hashes of the line, and where it is."""
+    """(line, check, doc_id, version, at) of all lines that can be removed: two hashes of the line, and where it is."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_slices(batches):
-            rows = [(line_key(x), signed(xxhash.xxh64_intdigest(x, seed=1)), i, k) for i, t in zip(ids, texts, strict=True) for k, x in enumerate(t.split("\n")) if len(x) >= LEAST]
+            rows = [(line_key(x), signed(xxhash.xxh64_intdigest(x, seed=1)), i["doc_id"], i["version"], k) for i, t in zip(ids, texts, strict=True) for k, x in enumerate(t.split("\n")) if len(x) >= LEAST]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["line", "check", "doc_id", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["line", "check", "doc_id", "version", "at"])
 
-    return docs.mapInArrow(split, "line long, check long, doc_id long, at long")
+    return docs.select(F.struct("doc_id", version_of("text").alias("version")).alias("doc_id"), "text").mapInArrow(split, "line long, check long, doc_id long, version long, at long")
 
 
 def line_keys(docs: DataFrame) -> DataFrame:
@@ -194,7 +199,7 @@ def bigram_sketch(line: str) -> np.ndarray:
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(line, text, chars, g0…) of the lines (line, doc_id, at).  One shuffle of the documents that have such lines; a document's list is no longer than its lines."""
+    """(line, text, chars, g0…) of the lines (line, doc_id, version, at).  One shuffle of the documents that have such lines; a document's list is no longer than its lines."""
     names = [f"g{k}" for k in range(SKETCH)]
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,9 +213,10 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.string()), pa.array([len(x[1]) for x in found], pa.int64()), *map(pa.array, sketches.T)], names=["line", "text", "chars", *names]
             )
 
-    spots = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "at")).alias("spots"))
+    spots = wanted.groupBy(F.col("doc_id").alias("id"), "version").agg(F.collect_list(F.struct("line", "at")).alias("spots"))
+    same = docs["doc_id"].eqNullSafe(F.col("id")) & (version_of(docs["text"]) == F.col("version"))
     schema = "line long, text string, chars long, " + ", ".join(f"{x} long" for x in names)
-    return docs.join(spots, "doc_id").select("text", "spots").mapInArrow(pick, schema).dropDuplicates(["line"])
+    return docs.join(spots, same).select("text", "spots").mapInArrow(pick, schema).dropDuplicates(["line"])
 
 
 def near(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -232,8 +238,8 @@ def alike(x: str, y: str) -> Column:
 
 
 def settled(buckets: DataFrame, texts: DataFrame, done: DataFrame | None) -> DataFrame:
-    """(line) of the lines that have an earlier one within EDITS in a bucket.  buckets: (key, line, doc_id, at) of first places."""
-    place = F.struct("doc_id", "at", "line", "chars", *[f"g{k}" for k in range(SKETCH)]).alias("place")
+    """(line) of the lines that have an earlier one within EDITS in a bucket.  buckets: (key, line, doc_id, version, at) of first places."""
+    place = F.struct("doc_id", "version", "at", "line", "chars", *[f"g{k}" for k in range(SKETCH)]).alias("place")
     rows = buckets.join(texts.drop("text"), "line").select("key", "line", place)
     first = rows.groupBy("key").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("lines"))
     late = rows.join(done, "line", "left_anti") if done is not None else rows
@@ -248,38 +254,46 @@ def settled(buckets: DataFrame, texts: DataFrame, done: DataFrame | None) -> Dat
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, at): numbers of the lines to remove."""
+    """(doc_id, version, at): numbers of the lines to remove."""
     rows = id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("long"), "text")
     places = written(lines_of(rows), "lines")
-    firsts = places.groupBy("line", "check").agg(F.min(F.struct("doc_id", "at")).alias("first"))
-    firsts = written(firsts.select("line", "check", "first.doc_id", "first.at"), "firsts")
+    firsts = places.groupBy("line", "check").agg(F.min(F.struct("doc_id", "version", "at")).alias("first"))
+    firsts = written(firsts.select("line", "check", "first.doc_id", "first.version", "first.at"), "firsts")
     shared = written(shared_buckets(line_keys(rows), ["key"], "line"), "line-buckets")
-    spots = firsts.groupBy("line").agg(F.min(F.struct("doc_id", "at")).alias("first")).select("line", "first.*")
-    buckets = written(shared.join(spots, "line").select("key", "line", "doc_id", "at"), "line-buckets")
-    texts = written(texts_of(rows, buckets.select("line", "doc_id", "at").distinct()), "line-texts")
+    spots = firsts.groupBy("line").agg(F.min(F.struct("doc_id", "version", "at")).alias("first")).select("line", "first.*")
+    buckets = written(shared.join(spots, "line").select("key", "line", "doc_id", "version", "at"), "line-buckets")
+    texts = written(texts_of(rows, buckets.select("line", "doc_id", "version", "at").distinct()), "line-texts")
     done = written(settled(buckets, texts, None), "settled")
     crowds = buckets.groupBy("key").count().where(F.col("count") > CROWD).select("key")
     inner = shared_buckets(keys_within(buckets.join(crowds, "key").select("key", "line").join(texts.select("line", "text"), "line")), ["key"], "line")
-    inner = written(inner.join(spots, "line").select("key", "line", "doc_id", "at"), "line-crowds")
+    inner = written(inner.join(spots, "line").select("key", "line", "doc_id", "version", "at"), "line-crowds")
     if not inner.isEmpty():
         done = written(done.union(settled(inner, texts, done)).distinct(), "settled")
     gone = firsts.join(done, "line", "left_semi").select("line", "check").withColumn("near", F.lit(True))
-    judged = places.join(firsts.select("line", "check", F.struct("doc_id", "at").alias("first")), ["line", "check"]).join(gone, ["line", "check"], "left")
-    return judged.where(F.col("near") | (F.struct("doc_id", "at") != F.col("first"))).select("doc_id", "at")
+    judged = places.join(firsts.select("line", "check", F.struct("doc_id", "version", "at").alias("first")), ["line", "check"]).join(gone, ["line", "check"], "left")
+    return judged.where(F.col("near") | (F.struct("doc_id", "version", "at") != F.col("first"))).select("doc_id", "version", "at")
+
+
+def removed_by_document(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(gone_id_, gone_version_, gone_): the numbers of a document's removed lines, in order."""
+    gone = removed_lines(docs, id_col, text_col).distinct().groupBy(F.col("doc_id").alias("gone_id_"), F.col("version").alias("gone_version_"))
+    return gone.agg(F.sort_array(F.collect_list("at")).alias("gone_"))
 
 
 def line_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_lines, n_removed, removed) of every row: the numbers of its removed lines, comma-joined in order.  A row's list is no longer than its lines."""
-    rows = id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("long"), "text")
-    gone = removed_lines(docs, id_col, text_col).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("at")).alias("removed"))
-    counted = rows.select("doc_id", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
-    return counted.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"))
+    gone = removed_by_document(docs, id_col, text_col)
+    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    rows = id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("long"), n_lines.cast("long").alias("n_lines"), version_of("text").alias("version"))
+    rows = rows.join(gone, rows["doc_id"].eqNullSafe(F.col("gone_id_")) & (rows["version"] == F.col("gone_version_")), "left")
+    return rows.select("doc_id", "n_lines", F.coalesce(F.size("gone_"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("gone_", ","), F.lit("")).alias("removed"))
 
 
 def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without the removed lines; documents that had lines and have none left are left out.  n_chars, if there, is that of the new text."""
-    gone = removed_lines(docs, id_col, text_col).distinct().groupBy(F.col("doc_id").alias("gone_id_")).agg(F.collect_set("at").alias("gone_"))
-    rows = docs.join(gone, F.col(id_col).cast("long") == F.col("gone_id_"), "left")
+    gone = removed_by_document(docs, id_col, text_col)
+    rows = docs.withColumn("version_", version_of(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    rows = rows.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("gone_id_")) & (F.col("version_") == F.col("gone_version_")), "left")
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
     kept = F.filter(lines, lambda x, k: ~F.array_contains("gone_", k.cast("long")))
     rows = rows.withColumn("kept_", F.when(F.col("gone_").isNotNull(), kept)).where("kept_ is null or size(kept_) > 0")

@@ -1,6 +1,7 @@
 """The stages on a small table, each against a plain version on what its predecessor kept."""
 
 import hashlib
+import random
 
 import public_tokenizers
 import sentencepiece
@@ -45,3 +46,23 @@ def test_odd_documents(spark):
         for _, stage in P.STAGES:
             frame = written(stage(spark, frame, SF), "test-odd")
         assert frame.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_repeated_ids(spark):
+    """Rows with the same id and text come out once; texts with the same id, or with none, are judged apart."""
+    english, german = "the thing and the house were in the town with the river {}", "der mann und die frau sind mit dem haus in der stadt {}"
+    draw = random.Random(5)
+    long = lambda form, k: "\n".join(form.format(" ".join("".join(draw.choices("aeinorst", k=5)) for _ in range(3))) for _ in range(6))
+    a, b, c, d = long(english, 1), long(german, 2), long(english, 3), long(german, 4)
+    shared = a.split("\n")[2]
+    rows = [(1, a), (1, a), (1, a), (2, b), (2, "12 34 56"), (3, c), (3, f"{d}\n{shared}"), (None, long(english, 5)), (None, long(german, 6)), (None, long(german, 6))]
+    docs = spark.createDataFrame([(i, t, "de" if "der" in t else "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    as_rows = lambda frame: sorted(((r.doc_id, r.text) for r in frame.collect()), key=repr)
+    known = written(P.known_languages(spark, docs, SF), "test-ids")
+    assert as_rows(known) == sorted((r for r in rows if r[1] != "12 34 56"), key=repr)
+    lines = written(P.distinct_lines(spark, known, SF), "test-ids")
+    # the shared line goes from the one text that has it, and no other line does
+    want = [r for r in rows if r[1] != "12 34 56" and r[0] != 3] + [(3, c), (3, d)]
+    assert as_rows(lines) == sorted(want, key=repr)
+    texts = written(P.distinct_texts(spark, lines, SF), "test-ids")
+    assert as_rows(texts) == sorted(set(want), key=repr)
