@@ -88,17 +88,22 @@ def f24(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract_page_facts(listings(spark, sf_dir).select(c("listing_uid").alias("page_id"), F.concat_ws("", meta, ld, body).alias("html")))
 
 
-@registered("s9_stops", "SELECT event_id::VARCHAR AS code, (290000 + event_id * 1931 % 4000) / 10000 AS lon, (410000 + event_id * 37 % 4000) / 10000 AS lat FROM events WHERE event_id % 7 <> 0")
-def s9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixture(spark, sf_dir, "fx_poi")
+def stop_responses(rows: DataFrame) -> DataFrame:
+    """(value) raw SOAP responses with the stops of 1,000 consecutive poi_id each, so that there are more of them, not longer ones, with more stops."""
     x, y = ((s(290000) + c("poi_id") * 1931 % 4000) / 10000).cast("string"), ((s(410000) + c("poi_id") * 37 % 4000) / 10000).cast("string")
     point = F.when(c("poi_id") % 7 == 0, "POINT (x)").otherwise(F.concat(s("POINT ("), x, s(" "), y, s(")")))
     stops = F.struct(c("poi_id").cast("string").alias("SDURAKKODU"), s("Durak & \"Ev\"").alias("SDURAKADI"), point.alias("KOORDINAT"))
-    packed = rows.groupBy((c("poi_id") % 50).alias("g")).agg(F.to_json(F.collect_list(stops)).alias("j"))
+    packed = rows.groupBy(F.floor(c("poi_id") / 1000).alias("g")).agg(F.to_json(F.collect_list(stops)).alias("j"))
     escaped = c("j")
     for char, entity in (("&", "&amp;"), ('"', "&quot;"), ("<", "&lt;"), (">", "&gt;")):
         escaped = F.replace(escaped, s(char), s(entity))
-    return feeds.parse_stops(packed.select(F.concat(s("<soap:Body><GetDurakResult>"), escaped, s("</GetDurakResult></soap:Body>")).alias("value"))).select("code", "lon", "lat")
+    return packed.select(F.concat(s("<soap:Body><GetDurakResult>"), escaped, s("</GetDurakResult></soap:Body>")).alias("value"))
+
+
+@registered("s9_stops", "SELECT event_id::VARCHAR AS code, (290000 + event_id * 1931 % 4000) / 10000 AS lon, (410000 + event_id * 37 % 4000) / 10000 AS lat FROM events WHERE event_id % 7 <> 0")
+def s9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixture(spark, sf_dir, "fx_poi")
+    return feeds.parse_stops(stop_responses(rows)).select("code", "lon", "lat")
 
 
 @registered("s10_index_points", "SELECT series || ':' || month_idx AS date, value_cents / 100 AS value FROM fx_series")

@@ -116,3 +116,14 @@ def test_plan_of_the_valuation_set(spark):
         selection.valuation_set(selection.prepared(items(spark, [1e6]))).explain()
     plan = out.getvalue()
     assert plan.count("Exchange hashpartitioning(subject_id") == 1 and "Cartesian" not in plan and "Python" not in plan
+
+
+def test_stop_responses(spark):
+    """Responses hold a bounded number of stops, whatever the number of rows."""
+    from parcelforge.plans import landing
+    from parcelforge.sources import feeds
+
+    made = landing.stop_responses(spark.range(120_000).withColumnRenamed("id", "poi_id"))
+    sizes = [r.value.count("SDURAKKODU") for r in made.collect()]
+    assert sizes == [1000] * 120
+    assert feeds.parse_stops(made).count() == sum(k % 7 != 0 for k in range(120_000))
