@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parcelforge.functions.text import building_age, clean_text, js_round, normalize_location, normalize_text, room_key, room_matches
+from parcelforge.functions.text import building_age, clean_text, js_round, normalize_location, normalize_text, room_key, room_matches, search_type
 
 c = F.col
 LONG_LISTED_DAYS = 45
@@ -89,17 +89,32 @@ def compatible_room() -> Column:
     return (c("category") != "residential") | (subject == "") | (room_key(c("room_text")) == subject)
 
 
+def compatible_type() -> Column:
+    """The subject's type is unknown, or the listing's is the same, as types are searched for."""
+    known = lambda x: F.when(clean_text(c(x)) != "", normalize_text(search_type(c("category"), c(x))))
+    return known("subject_type").isNull() | F.coalesce(known("property_type") == known("subject_type"), F.lit(False))
+
+
 def matches_subject() -> Column:
     """Of a listing joined with a subject of its scope: area in the band, rooms equal where they count."""
     return compatible_area() & compatible_room()
 
 
+def evidence_text(city: Column, district: Column, neighborhood: Column, *texts: Column, address: Column) -> Column:
+    """Folded texts and address, which is left out if it just joins the scope."""
+    synthetic = normalize_location(address) == normalize_location(F.concat_ws(" / ", city, district, neighborhood))
+    return normalize_text(F.concat_ws(" ", *texts, F.when(~synthetic, address)))
+
+
+def mentions(hay: Column, needle: Column) -> Column:
+    """Whether a folded text has the needle, with or without spaces."""
+    bare = lambda x: F.replace(x, F.lit(" "), F.lit(""))
+    return (needle != "") & (hay.contains(needle) | bare(hay).contains(bare(needle)))
+
+
 def has_neighborhood_evidence(city: Column, district: Column, neighborhood: Column, *texts: Column, address: Column) -> Column:
     """Whether texts or the address (unless it just joins the scope) mention the neighbourhood, with or without spaces."""
-    needle = normalize_location(neighborhood)
-    synthetic = normalize_location(address) == normalize_location(F.concat_ws(" / ", city, district, neighborhood))
-    hay = normalize_text(F.concat_ws(" ", *texts, F.when(~synthetic, address)))
-    return (needle != "") & (hay.contains(needle) | F.replace(hay, F.lit(" "), F.lit("")).contains(F.replace(needle, F.lit(" "), F.lit(""))))
+    return mentions(evidence_text(city, district, neighborhood, *texts, address=address), normalize_location(neighborhood))
 
 
 def points(*rules: tuple[Column, int]) -> Column:

@@ -16,24 +16,27 @@ PREMIUMS = (
     ("is_site", 0.04), ("closed_pool", 0.05), ("open_pool", 0.04), ("sports", 0.04), ("security", 0.03), ("closed_parking", 0.03), ("open_parking", 0.01), ("has_generator", 0.02),
     ("has_hydrophore", 0.01), ("has_thermal_insulation", 0.02), ("has_water_tank", 0.01), ("has_ac", 0.02), ("has_fireplace", 0.02),
 )
+#: Years of a building and what its condition takes off a price; without a lift more, from floor 3 on more still.
 AGE_CUTS = ((30, 0.5), (25, 0.42), (20, 0.35), (15, 0.28), (10, 0.2), (5, 0.1), (3, 0.04))
 #: Prices per m² of places, by terms in the folded address; the first rule that has one counts.
 LOCATION_HINTS = (
-    (175000.0, ("bebek", "etiler", "levent", "nisantasi", "tesvikiye", "ulus", "istinye")),
-    (125000.0, ("sariyer", "besiktas", "kadikoy", "suadiye", "caddebostan", "fenerbahce", "moda", "bagdat")),
-    (95000.0, ("atasehir", "uskudar", "bakirkoy", "sisli", "maslak", "florya", "yesilkoy", "goztepe", "acibadem")),
-    (73000.0, ("maltepe", "kartal", "kucukyali", "bahcelievler", "basaksehir", "zeytinburnu", "beykoz")),
-    (56000.0, ("pendik", "beylikduzu", "kucukcekmece", "avcilar", "umraniye", "sancaktepe", "cekmekoy", "tuzla")),
-    (38000.0, ("esenyurt", "sultangazi", "sultanbeyli", "arnavutkoy")),
-    (65000.0, ("istanbul",)),
-    (90000.0, ("bodrum", "cesme", "fethiye", "datca")),
-    (70000.0, ("mugla",)),
-    (52000.0, ("izmir",)),
-    (50000.0, ("antalya", "alanya")),
-    (38000.0, ("ankara",)),
-    (38000.0, ("bursa", "kocaeli", "sakarya")),
+    (175000.0, "İstanbul üst segment merkez lokasyon", ("bebek", "etiler", "levent", "nisantasi", "tesvikiye", "ulus", "istinye")),
+    (125000.0, "İstanbul yüksek talep bölgesi", ("sariyer", "besiktas", "kadikoy", "suadiye", "caddebostan", "fenerbahce", "moda", "bagdat")),
+    (95000.0, "İstanbul güçlü merkez/çeper bölgesi", ("atasehir", "uskudar", "bakirkoy", "sisli", "maslak", "florya", "yesilkoy", "goztepe", "acibadem")),
+    (73000.0, "İstanbul orta-üst segment bölgesi", ("maltepe", "kartal", "kucukyali", "bahcelievler", "basaksehir", "zeytinburnu", "beykoz")),
+    (56000.0, "İstanbul gelişen konut bölgesi", ("pendik", "beylikduzu", "kucukcekmece", "avcilar", "umraniye", "sancaktepe", "cekmekoy", "tuzla")),
+    (38000.0, "İstanbul erişilebilir konut bölgesi", ("esenyurt", "sultangazi", "sultanbeyli", "arnavutkoy")),
+    (65000.0, "İstanbul geneli", ("istanbul",)),
+    (90000.0, "Turizm/ikinci konut bölgesi", ("bodrum", "cesme", "fethiye", "datca")),
+    (70000.0, "Muğla geneli", ("mugla",)),
+    (52000.0, "İzmir geneli", ("izmir",)),
+    (50000.0, "Antalya geneli", ("antalya", "alanya")),
+    (38000.0, "Ankara geneli", ("ankara",)),
+    (38000.0, "Marmara büyükşehir çeperi", ("bursa", "kocaeli", "sakarya")),
 )
-DEFAULT_HINT = 32000.0
+DEFAULT_HINT = (32000.0, "Türkiye geneli varsayılan konut lokasyonu")
+#: Rents of a month as shares of a price.
+RENT_RATES = (("min", 0.0037), ("expected", 0.0042), ("max", 0.0048))
 #: Labels and times of the three prices, for sale and for rent.
 STRATEGIES = {"SALE": (("Hızlı Satış", "1-3 ay"), ("Ortalama Satış", "3-6 ay"), ("Yüksek Beklenti", "6-12 ay")), "RENTAL": (("Hızlı Kiralama", "1-2 hafta"), ("Piyasa Kirası", "2-4 hafta"), ("Yüksek Kira Beklentisi", "1-2 ay"))}
 
@@ -67,6 +70,7 @@ def condition_pct() -> Column:
     by_age = F.lit(0.0)
     for years, n in reversed(AGE_CUTS):
         by_age = F.when(c("subject_building_age") >= years, n).otherwise(by_age)
+    # fixed values: surcharges of a building without lift, what a lift makes up for, the bound of all
     no_lift = by_age + 0.06 + F.when(c("floor_no") >= 3, 0.07).otherwise(0.0)
     lift = F.when(c("subject_building_age") >= 10, F.greatest(by_age - 0.03, F.lit(0.0))).otherwise(by_age)
     total = F.when(~c("has_elevator"), no_lift).when(c("has_elevator"), lift).otherwise(by_age)
@@ -100,21 +104,25 @@ def apply_valuation_policy(df: DataFrame, settings: DataFrame) -> DataFrame:
     top = F.floor(c("lo") * (1 + rate) / 1000) * 1000.0
     rows = rows.withColumns({"mid": F.when(rental, c("mid")).otherwise(F.greatest(c("lo"), F.least(thousands(c("lo") * (1 + half)), top))), "hi": F.when(rental, c("hi")).otherwise(F.greatest(c("lo"), top))})
     sqm = {f"policy_{n}_sqm": F.when(area > 0, js_round(c(k) / area)) for k, n in (("lo", "min"), ("mid", "expected"), ("hi", "max"))}
-    rents = {f"rent_{n}": F.when(~rental & (c("mid") > 0), thousands(c("mid") * r)) for n, r in (("min", 0.0037), ("expected", 0.0042), ("max", 0.0048))}
+    rents = {f"rent_{n}": F.when(~rental & (c("mid") > 0), thousands(c("mid") * r)) for n, r in RENT_RATES}
     labels = {f"{n}_label": F.when(rental, STRATEGIES["RENTAL"][i][0]).otherwise(STRATEGIES["SALE"][i][0]) for i, n in enumerate(("low", "mid", "high"))}
     rows = rows.withColumns({"policy_min": c("lo"), "policy_expected": c("mid"), "policy_max": c("hi")} | sqm | rents | labels)
     return rows.drop("lo", "mid", "hi", *[x for x in rows.columns if x.startswith("set_")])
 
 
-def location_hint(df: DataFrame, rules: DataFrame, default: float) -> DataFrame:
-    """Adds base: that of the first rule (rule_order, term, base) with a term in the folded address, else the default.
+def location_hint(df: DataFrame, rules: tuple = LOCATION_HINTS, default: tuple[float, str] = DEFAULT_HINT) -> DataFrame:
+    """Adds base and base_label: those of the first rule (price, label, terms) with a term in the folded address, city,
+    district, neighbourhood and title, else the default.
 
-    rules: a list of a few dozen terms, held by every task; the contains-join is a broadcast nested loop.
+    The few dozen terms are conditions in order: no join, no numbering of rows, no shuffle.
     """
-    rows = df.withColumn("key_", F.monotonically_increasing_id()).withColumn("folded_", normalize_text(c("address")))
-    hits = rows.select("key_", "folded_").join(F.broadcast(rules), c("folded_").contains(c("term")))
-    first = hits.groupBy("key_").agg(F.min_by("base", "rule_order").alias("base"))
-    return rows.join(first, "key_", "left").withColumn("base", F.coalesce("base", F.lit(default))).drop("key_", "folded_")
+    places = [c(x) for x in ("address", "city", "district", "neighborhood", "title") if x in df.columns]
+    said = lambda price, label: F.struct(F.lit(price).alias("price"), F.lit(label).alias("label"))
+    hint = said(*default)
+    for price, label, terms in reversed(rules):
+        hint = F.when(c("folded_").rlike("|".join(terms)), said(price, label)).otherwise(hint)
+    rows = df.withColumn("folded_", normalize_text(F.concat_ws(" ", *places))).withColumn("hint_", hint)
+    return rows.withColumns({"base": c("hint_.price"), "base_label": c("hint_.label")}).drop("folded_", "hint_")
 
 
 def banded(x: Column, bands: list[tuple[Column, float]]) -> Column:
@@ -155,12 +163,52 @@ def json_in_text(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
 
 
+def json_number(node: Column, path: str) -> Column:
+    """A number of a parsed JSON value: as it is, or, where it is a text, without thousands dots and with a decimal comma;
+    a text without digits is 0, as it says something that is no number; null for other kinds."""
+    kind, text = F.schema_of_variant(F.try_variant_get(node, path, "variant")), F.try_variant_get(node, path, "string")
+    digits = F.regexp_replace(F.regexp_replace(F.replace(text, F.lit("."), F.lit("")), r"^([^,]*),", "$1."), r"[^0-9.]", "")
+    said = F.when(F.trim(text) == "", None).when(digits == "", 0.0).otherwise(digits.try_cast("double"))
+    return F.when(kind == "STRING", said).when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(node, path, "double"))
+
+
+def json_text(node: Column, path: str, most: int) -> Column:
+    return F.nullif(F.substring(F.trim(F.try_variant_get(node, path, "string")), 1, most), F.lit(""))
+
+
+def share(x: Column) -> Column:
+    """Numbers over 1 up to 100 are percent; within 0 and 1."""
+    return bounded(F.when((x > 1) & (x <= 100), x / 100).otherwise(x), 0.0, 1.0)
+
+
+def bounded(x: Column, lo: float, hi: float) -> Column:
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(lo)), F.lit(hi)))
+
+
+#: Fields of an answer and how long their texts may be; without a number, the field is a number.
+COMP_FIELDS = (("title", 90), ("source", 90), ("sourceUrl", 220), ("price", None), ("netArea", None), ("grossArea", None), ("floor", None), ("totalFloors", None), ("buildingAge", None), ("distanceKm", None), ("distanceMeters", None), ("roomText", 20))
+MARKET_FIELDS = (("averageMarketingDays", None), ("competitionStatus", 80), ("activeComparableCount", None), ("waitingComparableCount", None), ("annualChangePct", None), ("totalReturnPct", None), ("amortizationYears", None), ("summary", 1000))
+REGION_FIELDS = (("demographicsSummary", 900), ("saleMarketSummary", 900), ("rentalMarketSummary", 900), ("nearbyPlacesSummary", 900), ("riskSummary", 900))
+MOST_COMPS, MOST_NOTES = 12, 20
+
+
+def json_fields(node: Column, path: str, fields: tuple) -> Column:
+    return F.struct(*[(json_number(node, f"{path}.{k}") if n is None else json_text(node, f"{path}.{k}", n)).alias(k) for k, n in fields])
+
+
+def json_notes(node: Column, path: str) -> Column:
+    """Texts of a list, without empty ones."""
+    texts = F.transform(F.try_variant_get(node, path, "array<variant>"), lambda x: F.trim(F.try_variant_get(x, "$", "string")))
+    return F.slice(F.filter(F.coalesce(texts, F.array().cast("array<string>")), lambda x: x != ""), 1, MOST_NOTES)
+
+
 def normalize_price_index(df: DataFrame, text_col: str, area_col: str) -> DataFrame:
-    """Adds min, avg, max price and per m² read from JSON within a text: gaps filled from each other and the area, order
-    repaired, rounded; confidence within 0 and 1."""
-    body, area = json_in_text(c(text_col)), F.when(c(area_col) > 0, c(area_col))
-    num = lambda k: F.get_json_object(body, f"$.{k}").try_cast("double")
-    rows = df.withColumns({f"{k}_p": num(f"{k}Price") for k in ("min", "avg", "max")} | {f"{k}_s": num(f"{k}PricePerSqm") for k in ("min", "avg", "max")})
+    """Adds what JSON within a text says: min, avg, max price and per m², gaps filled from each other and the area, order
+    repaired, rounded; sale days, discount, shares within 0 and 1; comparables, notes and summaries of bounded length."""
+    area, node = F.when(c(area_col) > 0, c(area_col)), c("answer_")
+    num = lambda k: json_number(node, f"$.{k}")
+    rows = df.withColumn("answer_", F.try_parse_json(json_in_text(c(text_col))))
+    rows = rows.withColumns({f"{k}_p": num(f"{k}Price") for k in ("min", "avg", "max")} | {f"{k}_s": num(f"{k}PricePerSqm") for k in ("min", "avg", "max")})
     for k in ("min", "avg", "max"):
         rows = rows.withColumn(f"{k}_p", F.coalesce(f"{k}_p", c(f"{k}_s") * area))
     known = area.isNotNull()
@@ -172,5 +220,19 @@ def normalize_price_index(df: DataFrame, text_col: str, area_col: str) -> DataFr
         lo, mid, hi = c(f"min_{s}"), c(f"avg_{s}"), c(f"max_{s}")
         lo, hi = F.when(lo > mid, mid).otherwise(lo), F.when(hi < mid, mid).otherwise(hi)
         rows = rows.withColumns({f"min_{s}": rounded(F.when(lo > hi, hi).otherwise(lo)), f"avg_{s}": rounded(mid), f"max_{s}": rounded(F.when(lo > hi, lo).otherwise(hi))})
+    rows = rows.withColumns({
+        "expected_sale_days": bounded(num("expectedSaleDays"), 7.0, 365.0), "discount_to_sell_fast_pct": bounded(num("discountToSellFastPct"), 0.0, 25.0), "price_sensitivity": share(num("priceSensitivity")), "confidence": share(num("confidence")),
+        "comps": F.transform(F.slice(F.coalesce(F.try_variant_get(node, "$.comps", "array<variant>"), F.array().cast("array<variant>")), 1, MOST_COMPS), lambda x: json_fields(x, "$", COMP_FIELDS)),
+        "rationale": json_text(node, "$.rationale", 1200), "assumptions": json_notes(node, "$.assumptions"), "missing_data": json_notes(node, "$.missingData"),
+        "market_projection": json_fields(node, "$.marketProjection", MARKET_FIELDS), "regional_stats": json_fields(node, "$.regionalStats", REGION_FIELDS),
+    })
+    filled = lambda x, fields: F.when(F.coalesce(*[c(f"{x}.{k}").cast("string") for k, _ in fields]).isNotNull(), c(x))
+    rows = rows.withColumns({"market_projection": filled("market_projection", MARKET_FIELDS), "regional_stats": filled("regional_stats", REGION_FIELDS)})
     names = {"min_p": "min_price", "avg_p": "avg_price", "max_p": "max_price", "min_s": "min_sqm", "avg_s": "avg_sqm", "max_s": "max_sqm"}
-    return rows.withColumn("confidence", F.least(F.greatest(num("confidence"), F.lit(0.0)), F.lit(1.0))).withColumnsRenamed(names)
+    return rows.drop("answer_").withColumnsRenamed(names)
+
+
+def answer_note(rationale: Column, assumptions: Column, missing: Column) -> Column:
+    """The texts of an answer as one note; empty lists are left out."""
+    listed = lambda head, x: F.when(F.size(x) > 0, F.concat(F.lit(f"\n{head}:\n- "), F.array_join(x, "\n- ")))
+    return F.concat_ws("\n", F.nullif(rationale, F.lit("")), listed("Varsayımlar", assumptions), listed("Eksik Veri", missing))

@@ -15,7 +15,9 @@ c = F.col
 #: Days after which a listing that wasn't seen again is stale, and expired.
 STALE_DAYS, EXPIRE_DAYS = 14, 45
 SCOPE_ROWS, SUBJECT_ROWS = 240, 60
-SCOPE = ["city_key", "district_key", "neighborhood_key", "category", "valuation_type"]
+PLACE = ("city", "district", "neighborhood")
+KEYS = tuple(f"{x}_key" for x in PLACE)
+SCOPE = [*KEYS, "category", "valuation_type"]
 
 
 def unique_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -59,9 +61,9 @@ def upsert_listings(existing: DataFrame, incoming: DataFrame, as_of: Column, key
     )
 
 
-def normalize_comparable(df: DataFrame, as_of: Column, prefix: str = "listing") -> DataFrame:
+def normalize_comparable(df: DataFrame, as_of: Column, prefix: str = "listing", keep: Iterable[str] = ()) -> DataFrame:
     """Raw feed rows with text fields (price, areas, dates as written; `crit_*`: what was searched for) in the common
-    schema; rows without URL, price, area or image go."""
+    schema, with the columns `keep` as they are; rows without URL, price, area or image go."""
     price, gross, net = T.js_round(T.to_number_tr(c("price"))), T.to_number_tr(c("gross_area")), T.to_number_tr(c("net_area"))
     gross, net = F.when(gross > 0, gross), F.when(net > 0, net)
     area = F.coalesce(net, gross)
@@ -75,29 +77,34 @@ def normalize_comparable(df: DataFrame, as_of: Column, prefix: str = "listing")
         "image_url", F.coalesce("external_id", T.external_id(prefix, c("source_url"))).alias("external_id"), T.parse_date_tr(c("listing_date"), as_of).alias("created_at"),
         F.coalesce(T.js_round(given), T.js_round(price / area)).alias("price_per_sqm"), *[or_crit(x).alias(x) for x in ("city", "district", "neighborhood")],
         T.property_category(c("crit_report_type"), c("crit_property_type")).alias("category"), T.valuation_type(c("crit_valuation_type")).alias("valuation_type"),
-        F.coalesce(F.nullif(T.clean_text(c("address")), F.lit("")), F.concat_ws(" / ", "crit_city", "crit_district", "crit_neighborhood")).alias("address"),
+        F.coalesce(F.nullif(T.clean_text(c("address")), F.lit("")), F.concat_ws(" / ", "crit_city", "crit_district", "crit_neighborhood")).alias("address"), *keep,
     )
 
 
 def validate_listing(df: DataFrame) -> DataFrame:
-    """Adds ok and reason (the first failing check).  Reads the listing, subject_area, subject_room_text and crit_* scope."""
-    url, area = T.clean_text(c("source_url")), L.comparable_area()
+    """Adds ok and reason (the first failing check).  Reads the listing, subject_area, subject_room_text and crit_* scope.
+
+    Texts are folded once, in columns of their own that the checks refer to.
+    """
+    rows = df.withColumns({"needle_": T.normalize_location(c("crit_neighborhood")), "url_": T.clean_text(c("source_url")), "real_": L.is_real_image(c("image_url"), c("image_source"))})
+    scope = (c("crit_city"), c("crit_district"), c("crit_neighborhood"))
+    rows = rows.withColumn("hay_", L.evidence_text(*scope, c("neighborhood"), c("title"), c("source_url"), address=F.coalesce(c("address"), F.lit(""))))
     checks = [
-        ("missing_neighborhood_scope", F.concat_ws("", T.normalize_location(c("crit_neighborhood"))) != ""),
-        ("missing_source_url", L.is_http_url(url)),
-        ("missing_real_image", L.is_real_image(c("image_url"), c("image_source"))),
+        ("missing_neighborhood_scope", c("needle_") != ""),
+        ("missing_source_url", L.is_http_url(c("url_"))),
+        ("missing_real_image", c("real_")),
         ("missing_price", c("price") > 0),
-        ("missing_area", area > 10),
+        ("missing_area", L.comparable_area() > 10),
         ("area_not_near_subject", L.compatible_area()),
         ("missing_type_or_transaction", c("category").isNotNull() & c("valuation_type").isNotNull()),
         ("missing_property_type", T.clean_text(c("property_type")) != ""),
-        ("neighborhood_not_verified", L.has_neighborhood_evidence(c("crit_city"), c("crit_district"), c("crit_neighborhood"), c("neighborhood"), c("title"), c("source_url"), address=F.coalesce(c("address"), F.lit("")))),
+        ("neighborhood_not_verified", L.mentions(c("hay_"), c("needle_"))),
         ("missing_room", (c("category") != "residential") | (T.clean_text(c("room_text")) != "")),
     ]
     reason = F.lit(None).cast("string")
     for name, ok in reversed(checks):
         reason = F.when(~F.coalesce(ok, F.lit(False)), name).otherwise(reason)
-    return df.withColumn("reason", reason).withColumn("ok", c("reason").isNull())
+    return rows.withColumn("reason", reason).withColumn("ok", c("reason").isNull()).drop("needle_", "url_", "real_", "hay_")
 
 
 def save_stats(validated: DataFrame) -> DataFrame:
@@ -114,35 +121,65 @@ def with_freshness(df: DataFrame, as_of: Column, seen: str = "created_at") -> Da
 sweep_freshness = with_freshness
 
 
-def live_listings(df: DataFrame, as_of: Column) -> DataFrame:
+def live_listings(df: DataFrame, as_of: Column, seen: str = "created_at") -> DataFrame:
     """Fresh listings with price, image, URL and an area."""
     rows = df.where(c("price").isNotNull() & L.has_image() & (F.coalesce("source_url", F.lit("")) != "") & (c("net_area").isNotNull() | c("gross_area").isNotNull()))
-    return with_freshness(rows, as_of).where(c("freshness") == "FRESH")
+    return with_freshness(rows, as_of, seen).where(c("freshness") == "FRESH")
 
 
 def scope_keys(df: DataFrame) -> DataFrame:
     """Adds city_key, district_key, neighborhood_key: folded names without the words for quarter."""
-    return df.withColumns({f"{x}_key": T.normalize_location(c(x)) for x in ("city", "district", "neighborhood")})
+    return df.withColumns({f"{x}_key": T.normalize_location(c(x)) for x in PLACE})
+
+
+def with_scope_keys(df: DataFrame) -> DataFrame:
+    """As scope_keys(), for many rows of few places: each distinct place is folded once and joined back.  Its size is left
+    to the optimizer, which broadcasts it as long as it is small."""
+    places = scope_keys(df.select(*PLACE).distinct()).select(*[c(x).alias(f"of_{x}") for x in PLACE], *KEYS)
+    same = reduce(lambda a, b: a & b, [c(x).eqNullSafe(c(f"of_{x}")) for x in PLACE])
+    return df.join(places, same).select(*df.columns, *KEYS)
 
 
-def cap_scope(listings: DataFrame, n: int = SCOPE_ROWS, order: Iterable[Column] | None = None) -> DataFrame:
-    """The n best rows of each scope, which bounds what a subject is joined with.  Planned as a WindowGroupLimit, so that a hot scope leaves each task n rows."""
+def cap_scope(listings: DataFrame, n: int = SCOPE_ROWS, order: Iterable[Column] | None = None, by: Iterable[str] = ()) -> DataFrame:
+    """The n best rows of each scope (and value of `by`), which bounds what a subject is joined with.  Planned as a
+    WindowGroupLimit, so that a hot scope leaves each task n rows."""
     order = list(order) if order is not None else [F.desc("quality"), F.desc("created_at"), c("listing_uid")]
-    return listings.withColumn("rank_", F.row_number().over(Window.partitionBy(*SCOPE).orderBy(*order))).where(c("rank_") <= n).drop("rank_")
+    return listings.withColumn("rank_", F.row_number().over(Window.partitionBy(*SCOPE, *by).orderBy(*order))).where(c("rank_") <= n).drop("rank_")
 
 
-def match_pool(subjects: DataFrame, listings: DataFrame, room: bool = False, fallback: str | None = None) -> DataFrame:
-    """Subjects with the listings of their scope whose area fits.  Both with scope keys.  `fallback="district"`: subjects
-    that find none in their neighbourhood get those of their district."""
-    items = listings.select(*SCOPE, *[c(x) for x in listings.columns if x not in SCOPE and x not in ("city", "district", "neighborhood")])
+def match_pool(subjects: DataFrame, listings: DataFrame, room: bool = False, fallback: str | None = None, real: bool = False) -> DataFrame:
+    """Subjects with the listings of their scope whose area fits; with `room` their rooms too, with `real` also their type
+    (property_type against subject_type) and a real image.  Both with scope keys.
+
+    `fallback="district"` tells apart how a subject's listings are found: by its neighbourhood as it is written, or, if its
+    district has none written so, among all of the district.  As names must be equal once folded, that finds other
+    spellings of the neighbourhood, and no other quarter.
+    """
+    items = listings.select(*SCOPE, *[c(x) for x in listings.columns if x not in SCOPE and x not in PLACE], F.lower("neighborhood").alias("item_place"))
     fits = L.matches_subject() if room else L.compatible_area()
+    if real:
+        fits = fits & L.is_real_image(c("image_url"), c("source")) & L.compatible_type()
     found = subjects.join(items, SCOPE).where(fits)
     if fallback != "district":
-        return found.withColumn("match_level", F.lit("neighborhood")) if fallback else found
+        return found.drop("item_place")
     wider = [k for k in SCOPE if k != "neighborhood_key"]
-    left = subjects.join(found.select("subject_id").distinct(), "subject_id", "left_anti")
-    more = left.join(items.drop("neighborhood_key"), wider).where(fits)
-    return found.withColumn("match_level", F.lit("neighborhood")).unionByName(more.withColumn("match_level", F.lit("district")))
+    written = items.select(*wider, "item_place").distinct()
+    spelled = subjects.join(written, wider).where(c("item_place").contains(F.lower("neighborhood"))).select("subject_id", F.lit(True).alias("spelled")).distinct()
+    found = found.join(spelled, "subject_id", "left").withColumn("spelled", F.coalesce("spelled", F.lit(False)))
+    found = found.where(~c("spelled") | c("item_place").contains(F.lower("neighborhood")))
+    return found.withColumn("match_level", F.when(c("spelled"), "neighborhood").otherwise("district")).drop("spelled", "item_place")
+
+
+def looked_up(subjects: DataFrame, listings: DataFrame, as_of: Column, seen: str = "last_seen_at", quality: str = "pool_quality", scope_rows: int = SCOPE_ROWS, subject_rows: int = SUBJECT_ROWS) -> DataFrame:
+    """What the pool has for each subject: of the live listings of its scope the best `scope_rows`, the first of each key
+    among them, those that match, and of these the best `subject_rows`.
+
+    The cap comes before the join, so that a scope of L listings and S subjects makes at most scope_rows * S pairs.
+    """
+    best = [F.desc(quality), F.desc(seen), c("listing_uid")]
+    pool = cap_scope(live_listings(listings, as_of, seen), scope_rows, best)
+    pool = unique_first(pool.withColumn("item_key", L.comparable_key()), [*SCOPE, "item_key"], best).drop("item_key", "freshness", "expires_at")
+    return cap_subject(match_pool(subjects, pool, room=True, real=True), subject_rows, best)
 
 
 def cap_subject(df: DataFrame, n: int = SUBJECT_ROWS, order: Iterable[Column] | None = None) -> DataFrame:
@@ -161,6 +198,15 @@ def listing_to_comparable(rows: DataFrame) -> DataFrame:
 
 
 def provider_coverage(df: DataFrame) -> DataFrame:
-    """(subject_id, raw, valuation, selected, enough): whether what the feeds gave is enough for a report."""
-    agg = df.groupBy("subject_id").agg(F.count(F.lit(1)).alias("raw"), F.count_if(c("in_valuation")).alias("valuation"), F.count_if(c("in_portfolio")).alias("selected"))
-    return agg.withColumn("enough", (c("selected") >= 30) | ((c("selected") >= 24) & (c("raw") >= 30) & (c("valuation") >= 3)))
+    """(subject_id, raw, valuation, selected, records, cache_count, cache_hit, full_cache_hit, enough): what the feeds gave, how
+    much of it the pool, and whether that is enough for a report.
+
+    Rows: the unique rows of all feeds, and repeats with is_unique false; from_cache tells rows of the pool from others.
+    """
+    one = c("is_unique")
+    agg = df.groupBy("subject_id").agg(
+        F.count_if(one).alias("raw"), F.count_if(one & c("in_valuation")).alias("valuation"), F.count_if(one & c("in_portfolio")).alias("selected"),
+        F.count(F.lit(1)).alias("records"), F.count_if(c("from_cache")).alias("cache_count"), F.bool_and("from_cache").alias("only_cache"),
+    )
+    agg = agg.withColumns({"cache_hit": c("cache_count") > 0, "full_cache_hit": c("only_cache") & (c("selected") >= 30)}).drop("only_cache")
+    return agg.withColumn("enough", (c("selected") >= 30) | ((c("selected") >= 24) & (c("records") >= 30) & (c("valuation") >= 3)))

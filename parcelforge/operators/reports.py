@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelforge.functions.text import clean_text, property_category, to_number_tr, valuation_type
+from parcelforge.operators.geo import FACTORS
+from parcelforge.operators.policy import RENT_RATES, STRATEGIES, thousands
 
 c = F.col
 
@@ -45,12 +47,30 @@ def flatten_drafts(drafts: DataFrame) -> DataFrame:
     )
 
 
+NUMBERS = ("gross_area", "net_area", "terrace_area", "room_count", "salon_count", "bath_count", "floor", "building_age", "building_floors")
+TEXTS = ("heating", "usage_status", "property_type", "building_condition")
+FLAGS = (
+    "is_on_main_road", "is_on_street", "is_site", "has_elevator", "open_parking", "closed_parking", "has_caretaker", "has_children_park", "security", "open_pool", "closed_pool",
+    "has_generator", "has_hydrophore", "has_thermal_insulation", "has_water_tank", "has_ac", "has_fireplace",
+)
+
+
+def listed(csv: Column) -> Column:
+    """The parts of a comma list, trimmed, without empty ones; null stays null."""
+    return F.filter(F.transform(F.split(csv, ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
 def sanitize_details(df: DataFrame) -> DataFrame:
-    """Numbers from text, tags from comma lists, sports from either flag, empty texts null."""
-    return df.withColumns({
-        "net_area": to_number_tr(c("net_area_text")), "usage_status": present(clean_text(c("usage_status"))), "view_tags": F.filter(F.transform(F.split(F.coalesce("view_csv", F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != ""),
-        "has_sports_area": F.coalesce("has_sports_area", F.lit(False)) | F.coalesce("has_fitness_center", F.lit(False)),
-    })
+    """Fields of a home and its building: numbers from <name>_text, flags as they are, tags and directions from comma lists
+    (also joined again, where no text of their own is given), sports from either flag, empty texts null.  Missing columns are null."""
+    text = lambda k: c(k).cast("string") if k in df.columns else F.lit(None).cast("string")
+    flag = lambda k: c(k) if k in df.columns else F.lit(None).cast("boolean")
+    tags, ways = listed(text("view_csv")), listed(text("facade_csv"))
+    return df.withColumns(
+        {k: to_number_tr(text(f"{k}_text")) for k in NUMBERS} | {k: present(clean_text(text(k))) for k in TEXTS} | {k: flag(k) for k in FLAGS}
+        | {"has_sports_area": F.coalesce(flag("has_sports_area"), F.lit(False)) | F.coalesce(flag("has_fitness_center"), F.lit(False))}
+        | {"view_tags": tags, "facade_directions": ways, "view": F.coalesce(text("view"), F.array_join(tags, ", ")), "facade": F.coalesce(text("facade"), F.array_join(ways, ", "))}
+    )
 
 
 def sanitize_clients(df: DataFrame) -> DataFrame:
@@ -77,8 +97,15 @@ def normalize_stored_comparable(df: DataFrame) -> DataFrame:
 
 
 def pricing_record(df: DataFrame) -> DataFrame:
-    """Expected price from the average where it is missing, transaction folded, note cleaned."""
-    return df.withColumns({"expected_price": F.coalesce("expected_price", "avg_price"), "expected_sqm": F.coalesce("expected_sqm", "avg_sqm"), "valuation_type": F.upper(valuation_type(c("valuation_type"))), "note": present(clean_text(c("note")))})
+    """Expected price from the average where it is missing (which it then is), transaction folded, note cleaned, labels and times
+    of the three prices, and the rents that a sale price would give."""
+    kind = F.upper(valuation_type(c("valuation_type")))
+    price = F.coalesce("expected_price", "avg_price")
+    rows = df.withColumns({"expected_price": price, "avg_price": price, "expected_sqm": F.coalesce("expected_sqm", "avg_sqm"), "valuation_type": kind, "note": present(clean_text(c("note")))})
+    pick = lambda i, j: F.when(c("valuation_type") == "RENTAL", STRATEGIES["RENTAL"][i][j]).otherwise(STRATEGIES["SALE"][i][j])
+    plans = {f"{n}_{what}": pick(i, j) for i, n in enumerate(("low", "mid", "high")) for j, what in enumerate(("label", "time"))}
+    rents = {f"rent_{n}": F.when((c("valuation_type") == "SALE") & (c("expected_price") > 0), thousands(c("expected_price") * r)) for n, r in RENT_RATES}
+    return rows.withColumns({"avg_sqm": c("expected_sqm")} | plans | rents)
 
 
 def merge_json(existing: Column, incoming: Column) -> Column:
@@ -89,7 +116,76 @@ def merge_json(existing: Column, incoming: Column) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(kept, b)))), {"ignoreNullFields": "false"})
 
 
-def summary_text(df: DataFrame) -> DataFrame:
-    """Adds text: a short sentence on distance, score and label; parts that are unknown are left out."""
-    metres = F.when(c("distance_m") >= 1000, F.format_string("%.1f km", c("distance_m") / 1000)).when(c("distance_m").isNotNull(), F.format_string("%d m", c("distance_m").cast("int")))
-    return df.withColumn("text", F.concat_ws(", ", F.concat(F.lit("Mesafe: "), metres), F.concat(F.lit("Skor: "), c("score").cast("string")), "label"))
+def one_decimal(x: Column) -> Column:
+    """With a decimal comma, and dots between thousands."""
+    return F.translate(F.format_number(F.floor(x * 10 + 0.5) / 10, 1), ".,", ",.")
+
+
+def distance_text(metres: Column) -> Column:
+    """Metres, or kilometres with one decimal from 1000 on."""
+    return F.when(metres < 1000, F.concat(F.floor(metres + 0.5).cast("string"), F.lit(" m"))).when(metres.isNotNull(), F.concat(one_decimal(metres / 1000), F.lit(" km")))
+
+
+def number_text(x: Column) -> Column:
+    """Whole numbers with dots between thousands."""
+    return F.replace(F.format_number(F.floor(x + 0.5), 0), F.lit(","), F.lit("."))
+
+
+def joined(*parts: Column, by: str = " ") -> Column:
+    return F.concat_ws(by, *parts)
+
+
+#: The kinds of places in the order in which summaries name them.
+POI_LABELS = (
+    ("school", "okul"), ("hospital", "hastane"), ("familyHealth", "aile sağlığı/klinik"), ("pharmacy", "eczane"), ("market", "market"), ("park", "park"), ("mosque", "cami"), ("bank", "banka"), ("mall", "AVM"), ("parking", "otopark"),
+)
+NEAREST = ("school", "pharmacy", "market", "park")
+SCORE_HINT = "Konum skoru fiyatlamaya agresif prim olarak basılmaz; emsal fiyat bandı yanında likidite ve küçük düzeltme notu olarak kullanılır."
+
+
+def poi_summary(df: DataFrame, radius_m: int = 500) -> Column:
+    """From <kind>_within_500 and <kind>_nearest_m columns: how many places of each kind are near, and the nearest of some kinds."""
+    col = lambda k: c(k) if k in df.columns else F.lit(None).cast("double")
+    counts = joined(*[F.when(col(f"{k}_within_500") > 0, F.concat(col(f"{k}_within_500").cast("long").cast("string"), F.lit(f" {label}"))) for k, label in POI_LABELS], by=", ")
+    nearest = joined(*[F.concat(F.lit(f"En yakın {label} "), distance_text(col(f"{k}_nearest_m"))) for k, label in sorted((x for x in POI_LABELS if x[0] in NEAREST), key=lambda x: NEAREST.index(x[0]))], by="; ")
+    text = joined(F.when(counts != "", F.concat(F.lit(f"{radius_m} m içinde "), counts, F.lit(" bulundu."))), F.when(nearest != "", F.concat(nearest, F.lit("."))))
+    return F.when(text == "", f"{radius_m} m içinde OSM üzerinde belirgin POI kaydı bulunamadı.").otherwise(text)
+
+
+#: The stops that a summary names.
+STOPS = (("bus", "otobüs durağı"), ("rail", "raylı sistem"), ("metrobus", "metrobüs durağı"))
+
+
+def transport_summary(df: DataFrame) -> Column:
+    """From <stop>_nearest_m and <stop>_nearest_name columns."""
+    parts = [F.concat(F.lit(f"En yakın {label} "), distance_text(c(f"{k}_nearest_m")), F.lit(" ("), c(f"{k}_nearest_name"), F.lit(").")) for k, label in STOPS if f"{k}_nearest_m" in df.columns]
+    text = joined(*parts)
+    return F.when(text == "", "Yakın çevrede OSM/IETT üzerinde ulaşım durağı tespit edilemedi.").otherwise(text)
+
+
+def profile_summary() -> Column:
+    """From neighborhood, district, year, population_total, population_male, population_female, district_population, district_share_pct."""
+    none = ~(F.coalesce(c("population_total"), F.lit(0)) > 0) & ~(F.coalesce(c("district_population"), F.lit(0)) > 0)
+    by_sex = F.when((c("population_male") > 0) | (c("population_female") > 0), F.concat(F.lit("; erkek "), F.coalesce(number_text(c("population_male")), F.lit("-")), F.lit(", kadın "), F.coalesce(number_text(c("population_female")), F.lit("-")))).otherwise("")
+    here = F.concat(F.coalesce(present(c("neighborhood")), present(c("district")), F.lit("Bölge")), F.lit(" "), F.coalesce(c("year").cast("string"), F.lit("")), F.lit(" nüfusu "), number_text(c("population_total")), F.lit(" kişi"), by_sex, F.lit("."))
+    share_of = F.when(c("district_share_pct") > 0, F.concat(F.lit("; mahalle ilçe nüfusunun yaklaşık "), one_decimal(c("district_share_pct")), F.lit("%'ini oluşturuyor"))).otherwise("")
+    around = F.concat(F.coalesce(present(c("district")), F.lit("İlçe")), F.lit(" ilçe nüfusu "), number_text(c("district_population")), F.lit(" kişi"), share_of, F.lit("."))
+    text = joined(F.when(c("population_total") > 0, here), F.when(c("district_population") > 0, around))
+    return F.when(none, F.concat(F.coalesce(present(c("neighborhood")), F.lit("Mahalle")), F.lit(" için kayıtlı nüfus profili bulunamadı."))).otherwise(text)
+
+
+#: The factors of the location score as summaries name them.
+FACTOR_NAMES = (("rail", "raylı sistem"), ("bus", "otobüs durağı"), ("market", "market"), ("pharmacy", "eczane"), ("school", "okul"), ("park", "park"))
+
+
+def score_summary(most: int = 4) -> Column:
+    """From score, label and, for each factor of the location score, <factor>_points and <factor>_m: the first ones that count."""
+
+    def told(k: str, name: str) -> Column:
+        strong, good, _ = FACTORS[k]
+        status = F.when(c(f"{k}_m") <= strong[0], "güçlü").when(c(f"{k}_m") <= good[0], "iyi").otherwise("orta")
+        return F.when((c(f"{k}_points") > 0) & c(f"{k}_m").isNotNull(), F.concat(F.lit(f"{name} "), distance_text(c(f"{k}_m")), F.lit(" ("), status, F.lit(")")))
+
+    strong = F.array_compact(F.array(*[told(k, name) for k, name in FACTOR_NAMES]))
+    head = F.concat(F.lit("Konum skoru "), c("score").cast("string"), F.lit("/100 ("), c("label"), F.lit(")."))
+    return joined(head, F.when(F.size(strong) > 0, F.concat(F.lit("Öne çıkan erişimler: "), F.array_join(F.slice(strong, 1, most), ", "), F.lit("."))), F.lit(SCORE_HINT))

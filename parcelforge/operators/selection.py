@@ -144,7 +144,12 @@ def portfolio_pool(df: DataFrame) -> DataFrame:
 
 
 def portfolio(df: DataFrame, as_of: Column) -> DataFrame:
-    """Up to 30 rows of each subject with their group: 6 long listed, 8 of each price band, and fills.
+    """Up to 30 rows of each subject with their group: 6 long listed, 8 of each price band, and fills."""
+    return grouped(df, as_of).where(c("group").isNotNull())
+
+
+def grouped(df: DataFrame, as_of: Column) -> DataFrame:
+    """The pool of portfolio() with the group of each row, null for those that are not picked.
 
     Each step ranks the rows that none before it took: a row number over the subject, untaken rows of the step's band
     first.  All steps share the exchange of prepared(); rows stay dealt out by subject.
@@ -166,14 +171,13 @@ def portfolio(df: DataFrame, as_of: Column) -> DataFrame:
     for name in ("low", "mid", "high"):
         rows = take(missing(rows, name), name, F.lit(True), c("need_"), best).drop("need_")
     rows = rows.withColumn("need_", F.lit(TOTAL) - F.sum(F.when(~free, 1).otherwise(0)).over(per_subject()))
-    return take(rows, "mid", F.lit(True), c("need_"), best).drop("need_").where(~free)
+    return take(rows, "mid", F.lit(True), c("need_"), best).drop("need_")
 
 
-def pool_diagnostics(df: DataFrame) -> DataFrame:
-    """(subject_id, raw_count, priced_count, area_count, image_count, strict_count) of prepared rows."""
-    strict = strict_fit(df.where(c("price") > 0)).select("subject_id", "item_key", F.lit(True).alias("strict"))
-    rows = df.join(strict, ["subject_id", "item_key"], "left")
-    return rows.groupBy("subject_id").agg(
-        F.count(F.lit(1)).alias("raw_count"), F.count_if(c("price") > 0).alias("priced_count"), F.count_if((c("price") > 0) & L.comparable_area().isNotNull()).alias("area_count"),
-        F.count_if(L.has_image()).alias("image_count"), F.count_if(F.coalesce("strict", F.lit(False))).alias("strict_count"),
-    )
+def pool_diagnostics(df: DataFrame, as_of: Column) -> DataFrame:
+    """(subject_id, raw_count, priced_count, area_count, image_count, long_listed_count, selected_count, strict_count) of
+    prepared rows.  Images are counted in the pool that the portfolio is picked from."""
+    strict = strict_fit(df.where(c("price") > 0)).groupBy("subject_id").agg(F.count(F.lit(1)).alias("strict_count"))
+    picked = grouped(df, as_of).groupBy("subject_id").agg(F.count_if(L.has_image()).alias("image_count"), F.count_if(c("group") == "stale").alias("long_listed_count"), F.count("group").alias("selected_count"))
+    counts = df.groupBy("subject_id").agg(F.count(F.lit(1)).alias("raw_count"), F.count_if(c("price") > 0).alias("priced_count"), F.count_if((c("price") > 0) & L.comparable_area().isNotNull()).alias("area_count"))
+    return counts.join(picked, "subject_id", "left").join(strict, "subject_id", "left").fillna(0)

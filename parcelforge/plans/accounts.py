@@ -127,10 +127,23 @@ def p14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.flatten_drafts(rows).select("report_id", "city", "step")
 
 
-@registered("p15_sanitize", "SELECT p_partkey, (p_size * 1000 + 0.5)::DOUBLE AS net_area, NULL::VARCHAR AS usage_status, replace(p_name, ' ', '|') AS view_tags, p_size % 2 = 0 OR p_size % 3 = 0 AS has_sports_area FROM part")
+@registered("p15_sanitize", """SELECT p_partkey, (p_size * 1000 + 0.5)::DOUBLE AS net_area, CASE WHEN p_size % 2 = 0 THEN p_size::DOUBLE END AS floor, CASE WHEN p_size % 3 = 0 THEN 'Merkezi' END AS heating, NULL::VARCHAR AS usage_status, replace(p_name, ' ', '|') AS view_tags,
+  replace(p_name, ' ', ', ') AS "view", CASE WHEN p_size % 4 = 0 THEN 'Kuzey' ELSE 'Güney, Doğu' END AS facade, p_size % 2 = 0 OR p_size % 3 = 0 AS has_sports_area, p_size % 5 = 0 AS is_site FROM part""")
 def p15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixture(spark, sf_dir, "part").select("p_partkey", F.concat(c("p_size").cast("string"), F.lit(".000,5 m²")).alias("net_area_text"), F.lit("  ").alias("usage_status"), F.regexp_replace("p_name", " ", " , ,").alias("view_csv"), (c("p_size") % 2 == 0).alias("has_sports_area"), (c("p_size") % 3 == 0).alias("has_fitness_center"))
-    return reports.sanitize_details(rows).select("p_partkey", "net_area", "usage_status", F.array_join("view_tags", "|").alias("view_tags"), "has_sports_area")
+    size = c("p_size")
+    rows = fixture(spark, sf_dir, "part").select(
+        "p_partkey", F.concat(size.cast("string"), F.lit(".000,5 m²")).alias("net_area_text"), F.when(size % 2 == 0, F.concat(size.cast("string"), F.lit(". kat"))).otherwise("zemin").alias("floor_text"), F.when(size % 3 == 0, " Merkezi ").otherwise("").alias("heating"),
+        F.lit("  ").alias("usage_status"), F.regexp_replace("p_name", " ", " , ,").alias("view_csv"), F.lit("Güney, ,Doğu").alias("facade_csv"), F.when(size % 4 == 0, "Kuzey").alias("facade"),
+        (size % 2 == 0).alias("has_sports_area"), (size % 3 == 0).alias("has_fitness_center"), (size % 5 == 0).alias("is_site"),
+    )
+    return reports.sanitize_details(rows).select("p_partkey", "net_area", "floor", "heating", "usage_status", F.array_join("view_tags", "|").alias("view_tags"), "view", "facade", "has_sports_area", "is_site")
+
+
+@registered("p15_sanitize_clients", "SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN c_name END AS full_name, CASE WHEN c_custkey % 2 = 0 THEN lower(c_name) || '@x.example' END AS email, CASE WHEN c_custkey % 5 = 0 THEN 'iki kelime' END AS note FROM customer")
+def p15_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = c("c_custkey")
+    rows = fixture(spark, sf_dir, "customer").select("c_custkey", F.when(key % 3 > 0, F.concat(F.lit("  "), c("c_name"), F.lit(" "))).otherwise(" ").alias("full_name"), F.when(key % 2 == 0, F.concat(F.upper("c_name"), F.lit("@X.example "))).alias("email"), F.when(key % 5 == 0, " iki   kelime ").alias("note"))
+    return reports.sanitize_clients(rows)
 
 
 @registered("p11_apply_id_lists", "SELECT l_orderkey AS report_id, l_linenumber AS item_no, count(*) AS n FROM lineitem WHERE l_linenumber <> 2 AND (l_orderkey % 2 = 1 OR l_linenumber IN (1, 3)) GROUP BY 1, 2")
@@ -146,10 +159,12 @@ def p19(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.normalize_stored_comparable(rows).select("listing_uid", "price", "distance_km", "floor", "floor_text")
 
 
-@registered("p20_pricing_record", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE o_totalprice + 1 END AS expected_price, CASE WHEN o_orderkey % 3 = 0 THEN 'RENTAL' ELSE 'SALE' END AS valuation_type, CASE WHEN o_orderkey % 5 > 0 THEN o_orderpriority END AS note FROM orders")
+@registered("p20_pricing_record", """WITH p AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE o_totalprice + 1 END AS price, o_orderkey % 3 = 0 AS rental, o_orderkey % 5 > 0 AS noted, o_orderpriority FROM orders)
+SELECT o_orderkey, price AS expected_price, price AS avg_price, CASE WHEN rental THEN 'RENTAL' ELSE 'SALE' END AS valuation_type, CASE WHEN noted THEN o_orderpriority END AS note, CASE WHEN rental THEN 'Hızlı Kiralama' ELSE 'Hızlı Satış' END AS low_label,
+  CASE WHEN rental THEN '1-2 ay' ELSE '6-12 ay' END AS high_time, CASE WHEN NOT rental THEN floor(price * 0.0042::DOUBLE / 1000 + 0.5) * 1000 END AS rent_expected FROM p""")
 def p20(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fixture(spark, sf_dir, "orders").select("o_orderkey", F.when(c("o_orderkey") % 2 == 0, c("o_totalprice")).alias("expected_price"), (c("o_totalprice") + 1).alias("avg_price"), F.lit(None).cast("double").alias("expected_sqm"), F.lit(1.0).alias("avg_sqm"), F.when(c("o_orderkey") % 3 == 0, "kiralık").otherwise("satılık").alias("valuation_type"), F.when(c("o_orderkey") % 5 > 0, F.concat(F.lit("  "), c("o_orderpriority"), F.lit("\n"))).otherwise(" ").alias("note"))
-    return reports.pricing_record(rows).select("o_orderkey", "expected_price", "valuation_type", "note")
+    return reports.pricing_record(rows).select("o_orderkey", "expected_price", "avg_price", "valuation_type", "note", "low_label", "high_time", "rent_expected")
 
 
 @registered("f29_merge_json", """SELECT o_orderkey, '{"a":' || CASE WHEN o_orderkey % 2 = 0 THEN '"9"' ELSE '"1"' END || ',"b":' || CASE WHEN o_orderkey % 3 = 0 THEN 'null' ELSE '"2"' END || '}' AS merged FROM orders""")
@@ -158,18 +173,44 @@ def f29(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture(spark, sf_dir, "orders").select("o_orderkey", reports.merge_json(F.lit('{"a":"1","b":"2"}'), incoming).alias("merged"))
 
 
-@registered("f30_summary_text", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'Mesafe: 1.5 km, ' WHEN s_suppkey % 3 = 1 THEN 'Mesafe: 400 m, ' ELSE '' END || 'Skor: ' || (s_suppkey % 100) || ', Orta' AS text FROM supplier")
+@registered("f30_summary_text", f"""WITH v AS (SELECT s_suppkey AS k FROM supplier)
+SELECT k AS s_suppkey,
+  CASE WHEN k % 3 = 0 THEN '500 m içinde 2 okul, 1 market bulundu. En yakın okul 1,3 km; En yakın market 400 m.' WHEN k % 3 = 1 THEN 'En yakın okul 90 m.' ELSE '500 m içinde OSM üzerinde belirgin POI kaydı bulunamadı.' END AS poi,
+  CASE WHEN k % 2 = 0 THEN 'En yakın otobüs durağı ' || (k % 900 + 1) || ' m (Durak).' ELSE 'Yakın çevrede OSM/IETT üzerinde ulaşım durağı tespit edilemedi.' END AS transport,
+  CASE WHEN k % 4 = 0 THEN 'Mah için kayıtlı nüfus profili bulunamadı.' ELSE 'Mah 2024 nüfusu 12.345 kişi' || CASE WHEN k % 4 = 1 THEN '; erkek 6.000, kadın 6.345' ELSE '' END || '.' || CASE WHEN k % 4 = 2 THEN ' İlçe nüfusu ilçe nüfusu 1.234.567 kişi; mahalle ilçe nüfusunun yaklaşık 1,0%''ini oluşturuyor.' ELSE '' END END AS profile,
+  'Konum skoru ' || (k % 100) || '/100 (Orta). ' || CASE WHEN k % 5 = 0 THEN 'Öne çıkan erişimler: raylı sistem 800 m (güçlü), otobüs durağı 500 m (iyi), park 1,0 km (orta). ' ELSE '' END || '{reports.SCORE_HINT}' AS score,
+  CASE WHEN k % 2 = 0 THEN 'Gerekçe' || chr(10) ELSE '' END || chr(10) || 'Varsayımlar:' || chr(10) || '- a' || chr(10) || '- b' AS note FROM v""")
 def f30(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixture(spark, sf_dir, "supplier").select("s_suppkey", F.when(c("s_suppkey") % 3 == 0, 1500.0).when(c("s_suppkey") % 3 == 1, 400.0).alias("distance_m"), (c("s_suppkey") % 100).alias("score"), F.lit("Orta").alias("label"))
-    return reports.summary_text(rows).select("s_suppkey", "text")
+    k, none = c("s_suppkey"), F.lit(None).cast("double")
+    rows = fixture(spark, sf_dir, "supplier").select(
+        "s_suppkey", F.when(k % 3 == 0, 2.0).alias("school_within_500"), F.when(k % 3 == 0, 1.0).alias("market_within_500"), F.when(k % 3 == 0, 1250.0).when(k % 3 == 1, 90.0).alias("school_nearest_m"), F.when(k % 3 == 0, 400.0).alias("market_nearest_m"),
+        F.when(k % 2 == 0, (k % 900 + 1).cast("double")).alias("bus_nearest_m"), F.lit("Durak").alias("bus_nearest_name"), F.lit("Mah").alias("neighborhood"), F.when(k % 4 == 2, "İlçe nüfusu").alias("district"), F.lit(2024).alias("year"), F.when(k % 4 > 0, 12345.0).alias("population_total"),
+        F.when(k % 4 == 1, 6000.0).alias("population_male"), F.when(k % 4 == 1, 6345.0).alias("population_female"), F.when(k % 4 == 2, 1234567.0).alias("district_population"), F.when(k % 4 == 2, 0.9999).alias("district_share_pct"),
+        (k % 100).alias("score"), F.lit("Orta").alias("label"), *[x for f, m in (("rail", 800.0), ("bus", 500.0), ("market", None), ("pharmacy", None), ("school", None), ("park", 1000.0)) for x in (F.when((k % 5 == 0) & F.lit(m is not None), F.lit(m)).otherwise(none).alias(f"{f}_m"), F.when((k % 5 == 0) & F.lit(m is not None), 1).otherwise(0).alias(f"{f}_points"))],
+    )
+    note = policy.answer_note(F.when(k % 2 == 0, "Gerekçe"), F.array(F.lit("a"), F.lit("b")), F.array().cast("array<string>"))
+    return rows.select("s_suppkey", reports.poi_summary(rows).alias("poi"), reports.transport_summary(rows).alias("transport"), reports.profile_summary().alias("profile"), reports.score_summary().alias("score"), note.alias("note"))
 
 
-@registered("f17_price_index", """WITH v AS (SELECT o_orderkey, floor(o_totalprice) AS p, (o_orderkey % 100 + 50)::DOUBLE AS area FROM orders)
-SELECT o_orderkey, floor(p * 0.88::DOUBLE / 1000 + 0.5) * 1000 AS min_price, floor(p / 1000 + 0.5) * 1000 AS avg_price, floor(p * 1.12::DOUBLE / 1000 + 0.5) * 1000 AS max_price, floor(p / area + 0.5) AS avg_sqm, 1.0::DOUBLE AS confidence FROM v""")
+@registered("f17_price_index", """WITH v AS (SELECT o_orderkey AS k, floor(o_totalprice) AS p, (o_orderkey % 100 + 50)::DOUBLE AS area FROM orders)
+SELECT k AS o_orderkey, floor(CASE WHEN k % 4 = 1 THEN p ELSE p * 0.88::DOUBLE END / 1000 + 0.5) * 1000 AS min_price, floor(p / 1000 + 0.5) * 1000 AS avg_price, floor(CASE WHEN k % 4 = 2 THEN p * 2 ELSE p * 1.12::DOUBLE END / 1000 + 0.5) * 1000 AS max_price, floor(p / area + 0.5) AS avg_sqm,
+  CASE k % 3 WHEN 0 THEN 0.85 WHEN 1 THEN 0.017 ELSE 0.4 END::DOUBLE AS confidence, CASE WHEN k % 2 = 0 THEN 365.0 ELSE 7.0 END::DOUBLE AS expected_sale_days, CASE WHEN k % 2 = 0 THEN 25.0 ELSE 3.5 END::DOUBLE AS discount_to_sell_fast_pct,
+  12::INT AS n_comps, CASE WHEN k % 2 = 0 THEN 1250000.0 ELSE 1.5 END::DOUBLE AS comp_price, 'a|b' AS assumptions, CASE WHEN k % 5 = 0 THEN 'Yüksek' END AS competition FROM v""")
 def f17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.lit('Tahmin şöyle: {"avgPrice": '), F.floor("o_totalprice").cast("string"), F.lit(', "confidence": 1.7} umarım yardımcı olur'))
-    rows = fixture(spark, sf_dir, "orders").select("o_orderkey", text.alias("answer"), (c("o_orderkey") % 100 + 50).cast("double").alias("area"))
-    return policy.normalize_price_index(rows, "answer", "area").select("o_orderkey", "min_price", "avg_price", "max_price", "avg_sqm", "confidence")
+    k, price = c("o_orderkey"), F.floor("o_totalprice")
+    part = lambda name, x: F.concat(F.lit(f', "{name}": '), x)
+    comp = F.concat(F.lit('{"title": " x ", "price": '), F.when(k % 2 == 0, '"1.250.000 TL"').otherwise("1.5"), F.lit("}"))
+    text = F.concat(
+        F.lit('Tahmin şöyle: {"avgPrice": '), price.cast("string"), F.when(k % 4 == 1, part("minPrice", (price * 3).cast("string"))).otherwise(""), F.when(k % 4 == 2, part("maxPrice", F.concat(F.lit('"'), (price * 2).cast("string"), F.lit(',0 TL"')))).otherwise(""),
+        part("confidence", F.when(k % 3 == 0, "85").when(k % 3 == 1, "1.7").otherwise('"0,4"')), part("expectedSaleDays", F.when(k % 2 == 0, "900").otherwise('"2 gün"')), part("discountToSellFastPct", F.when(k % 2 == 0, "40").otherwise("3.5")),
+        part("comps", F.concat(F.lit("["), F.array_join(F.array_repeat(comp, 15), ","), F.lit("]"))), F.lit(', "assumptions": [" a ", "", "b"]'), F.when(k % 5 == 0, F.lit(', "marketProjection": {"competitionStatus": " Yüksek "}')).otherwise(', "marketProjection": {}'), F.lit("} umarım yardımcı olur"),
+    )
+    rows = fixture(spark, sf_dir, "orders").select("o_orderkey", text.alias("answer"), (k % 100 + 50).cast("double").alias("area"))
+    found = policy.normalize_price_index(rows, "answer", "area")
+    return found.select(
+        "o_orderkey", "min_price", "avg_price", "max_price", "avg_sqm", "confidence", "expected_sale_days", "discount_to_sell_fast_pct", F.size("comps").alias("n_comps"), F.element_at("comps", 1)["price"].alias("comp_price"),
+        F.array_join("assumptions", "|").alias("assumptions"), c("market_projection.competitionStatus").alias("competition"),
+    )
 
 
 @registered("j7_directory", "SELECT DISTINCT r_name AS district, n_name AS name FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT r_name, 'Ek ' || r_name FROM region")

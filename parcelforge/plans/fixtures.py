@@ -23,7 +23,9 @@ select l_orderkey||'-'||l_linenumber||'-'||l_partkey||'-'||l_suppkey||'-'||cast(
  case when l_linenumber%5=0 then null else (cast(floor(l_quantity/15) as int)+1)||'+1' end as room_text,
  case when l_linenumber%4=0 then null else cast(p_size-1 as int) end as building_age,
  case when l_returnflag='R' then null else 'https://img.example/'||l_partkey||'.jpg' end as image_url,
- p_name as title, l_shipdate as created_at
+ p_name as title, l_shipdate as created_at,
+ date '2001-12-01' - cast((l_suppkey*7+l_partkey)%18 as int) as last_seen_at,
+ case when p_type='PROMO' then 'Arsa' when p_type='LARGE' then 'Dükkan' when l_suppkey%5=4 then null when l_suppkey%5=3 then 'Villa' when l_suppkey%5=2 then 'daire' else 'Daire' end as property_type
 from lineitem join part on p_partkey=l_partkey join supplier on s_suppkey=l_suppkey
 join nation on n_nationkey=s_nationkey join region on r_regionkey=n_regionkey
 """
@@ -32,7 +34,7 @@ join nation on n_nationkey=s_nationkey join region on r_regionkey=n_regionkey
 FX_SUBJECT = """
 select s_suppkey as subject_id, r_name as city, n_name as district, 'Mah '||(s_suppkey%8) as neighborhood,
  case when s_suppkey%10=9 then 'land' when s_suppkey%10=8 then 'commercial' else 'residential' end as category,
- 'sale' as valuation_type, cast(40+(s_suppkey*7)%140 as double) as subject_area,
+ 'sale' as valuation_type, case when s_suppkey%10=9 then 'ARSA' when s_suppkey%10=8 then 'dükkan' when s_suppkey%4=3 then null else 'DAIRE' end as subject_type, cast(40+(s_suppkey*7)%140 as double) as subject_area,
  case when s_suppkey%10>=8 then null else (1+s_suppkey%4)||'+1' end as subject_room_text,
  case when s_suppkey%6=5 then null else cast((s_suppkey*3)%40 as int) end as subject_building_age,
  cast(s_suppkey%9 as int) as floor_no, cast(3+s_suppkey%8 as int) as building_floors,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parcelforge.plans.fixtures import fixture
 from parcelforge.plans.registry import registered
-from parcelforge.plans.valuation import as_of
+from parcelforge.plans.valuation import REASON, as_of, raw_feed
 from parcelforge.sources import feeds, pages
 from parcelforge.streaming import ingest
 
@@ -135,14 +135,18 @@ def p18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.crawl_frontier(fixture(spark, sf_dir, "fx_subject")).groupBy("subject_id").agg(F.count(s(1)).alias("urls"))
 
 
-@registered("r1_stream_ingest", """WITH one AS (SELECT source_url, price, created_at::TIMESTAMP AS created_at, listing_uid FROM fx_listing WHERE image_url IS NOT NULL)
-SELECT source_url, arg_max(price, listing_uid) AS price, true AS is_active FROM (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY source_url ORDER BY created_at DESC, listing_uid) = 1) GROUP BY 1""")
+@registered("r1_stream_ingest", f"""WITH one AS (SELECT source_url, price, created_at, listing_uid, 'listing:' || substr(sha1(source_url), 1, 16) AS external_id FROM fx_listing WHERE image_url IS NOT NULL AND ({REASON.replace("provider_rank = 2 AND NOT", "provider_rank = -1 AND NOT")}) IS NULL AND property_type IS NOT NULL)
+SELECT source_url, price, true AS is_active FROM one QUALIFY row_number() OVER (PARTITION BY source_url ORDER BY created_at DESC, price DESC) = 1""")
 def r1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The listings as a file stream, upserted into a pool in the shared folder."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    """The raw feed of all listings as a file stream, normalised, validated and upserted into a pool in the shared folder."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     folder = f"{top.rstrip('/')}/ingest-{uuid.uuid4().hex}"
-    raw = listings(spark, sf_dir).where("image_url is not null").select("listing_uid", "source_url", "source", "title", "price", c("created_at").cast("timestamp").alias("seen_at"))
+    raw = raw_feed(listings(spark, sf_dir))
     raw.write.parquet(f"{folder}/feed")
     stream = spark.readStream.schema(raw.schema).parquet(f"{folder}/feed")
-    ingest.start_ingest(stream, f"{folder}/pool", f"{folder}/state").awaitTermination()
+    ingest.start_ingest(stream, f"{folder}/pool", f"{folder}/state", order=[F.desc("seen_at"), F.desc("price")], prepare=ingest.normalized).awaitTermination()
     return ingest.current_pool(spark, f"{folder}/pool").select("source_url", "price", "is_active")

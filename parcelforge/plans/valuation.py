@@ -29,25 +29,56 @@ def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture(spark, sf_dir, "fx_subject")
 
 
-def pairs(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    return pool.match_pool(pool.scope_keys(subjects(spark, sf_dir)), pool.scope_keys(listings(spark, sf_dir)), **options)
+def pool_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings with their scope keys and their quality for the pool."""
+    return pool.with_scope_keys(with_quality(listings(spark, sf_dir), "pool_quality"))
+
+
+def cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pool (provider 0) has for each subject."""
+    return pool.looked_up(pool.scope_keys(subjects(spark, sf_dir)), pool_rows(spark, sf_dir).where("provider_rank = 0"), as_of())
+
+
+def fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the feeds (the other providers) give for each subject's scope: the best 240 rows of each."""
+    best = [F.desc("pool_quality"), F.desc("last_seen_at"), c("listing_uid")]
+    rows = pool.cap_scope(pool_rows(spark, sf_dir).where("provider_rank > 0"), order=best, by=["provider_rank"])
+    return pool.match_pool(pool.scope_keys(subjects(spark, sf_dir)), rows)
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The comparables of every subject: the pool's and the feeds'."""
+    return cached(spark, sf_dir).unionByName(fetched(spark, sf_dir))
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.prepared(pairs(spark, sf_dir))
 
 
+CACHE_SCORE = "(CASE WHEN image_url IS NOT NULL THEN 30 ELSE 0 END + 18 + 18 + CASE WHEN coalesce(room_text, '') <> '' THEN 10 ELSE 0 END + 10 + CASE WHEN coalesce(net_area, gross_area) > 10 THEN 10 ELSE 0 END + 4)"
+ROOM_FITS = "(category <> 'residential' OR subject_room_text IS NULL OR coalesce(room_text, '') = subject_room_text)"
 # SQL building blocks: each common table expression builds on those before it.
-PAIRS = """
-pairs AS (
-  SELECT s.subject_id, s.subject_area, s.subject_room_text, s.subject_building_age, s.floor_no, s.building_floors, s.has_elevator, l.*,
+PAIRS = f"""
+ranked AS (
+  SELECT *, {CACHE_SCORE} AS pool_quality FROM fx_listing
+  WHERE provider_rank > 0 OR (price IS NOT NULL AND image_url IS NOT NULL AND last_seen_at > DATE '2001-11-17')
+), capped AS (
+  SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY city, district, neighborhood, category, valuation_type, CASE WHEN provider_rank > 0 THEN provider_rank ELSE 0 END ORDER BY pool_quality DESC, last_seen_at DESC, listing_uid) <= 240
+), pool AS (
+  SELECT * FROM capped WHERE provider_rank > 0 UNION ALL
+  SELECT * FROM (SELECT * FROM capped WHERE provider_rank = 0 QUALIFY row_number() OVER (PARTITION BY city, district, neighborhood, category, valuation_type, source_url ORDER BY pool_quality DESC, last_seen_at DESC, listing_uid) = 1)
+), pairs AS (
+  SELECT s.subject_id, s.subject_area, s.subject_room_text, s.subject_building_age, s.subject_type, s.floor_no, s.building_floors, s.has_elevator, l.*,
     coalesce(nullif(l.net_area, 0), nullif(l.gross_area, 0)) AS area
-  FROM fx_subject s JOIN fx_listing l ON s.city = l.city AND s.district = l.district AND s.neighborhood = l.neighborhood AND s.category = l.category AND s.valuation_type = l.valuation_type
+  FROM fx_subject s JOIN pool l ON s.city = l.city AND s.district = l.district AND s.neighborhood = l.neighborhood AND s.category = l.category AND s.valuation_type = l.valuation_type
 ), fit AS (
   SELECT *, area / subject_area AS ratio FROM pairs
   WHERE area > 10 AND area / subject_area BETWEEN CASE category WHEN 'land' THEN 0.35 WHEN 'commercial' THEN 0.5 ELSE 0.65 END AND CASE category WHEN 'land' THEN 3.0 WHEN 'commercial' THEN 2.0 ELSE 1.5 END
+    AND (provider_rank > 0 OR ({ROOM_FITS} AND (subject_type IS NULL OR coalesce(lower(property_type) = lower(subject_type), false))))
+), cut AS (
+  SELECT * FROM fit QUALIFY provider_rank > 0 OR row_number() OVER (PARTITION BY subject_id, provider_rank ORDER BY pool_quality DESC, last_seen_at DESC, listing_uid) <= 60
 ), uniq AS (
-  SELECT *, CASE WHEN price <> 0 AND area > 0 THEN floor(price / area + 0.5) END AS unit_price FROM fit
+  SELECT *, CASE WHEN price <> 0 AND area > 0 THEN floor(price / area + 0.5) END AS unit_price FROM cut
   QUALIFY row_number() OVER (PARTITION BY subject_id, source_url ORDER BY provider_rank, created_at, listing_uid) = 1
 )"""
 
@@ -97,29 +128,29 @@ def chain(*blocks: str) -> str:
     return "WITH " + ",\n".join(b.strip() for b in blocks)
 
 
-@registered("j1_match_pool", chain(PAIRS) + " SELECT subject_id, listing_uid, floor(ratio * 1000 + 0.5)::BIGINT AS ratio_permille FROM fit")
+@registered("j1_match_pool", chain(PAIRS) + " SELECT subject_id, listing_uid, floor(ratio * 1000 + 0.5)::BIGINT AS ratio_permille FROM cut")
 def j1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).select("subject_id", "listing_uid", F.floor(L.area_ratio() * 1000 + 0.5).alias("ratio_permille"))
 
 
-@registered("p5_matches_subject", chain(PAIRS) + " SELECT subject_id, listing_uid FROM fit WHERE category <> 'residential' OR subject_room_text IS NULL OR coalesce(room_text, '') = subject_room_text")
+@registered("p5_matches_subject", chain(PAIRS) + " SELECT subject_id, listing_uid, pool_quality FROM cut WHERE provider_rank = 0")
 def p5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(spark, sf_dir, room=True).select("subject_id", "listing_uid")
+    return cached(spark, sf_dir).select("subject_id", "listing_uid", "pool_quality")
 
 
 @registered(
     "j2_match_fallback",
-    chain(PAIRS)
-    + """, near AS (SELECT subject_id, listing_uid, 'neighborhood' AS match_level FROM fit WHERE category <> 'residential' OR subject_room_text IS NULL OR coalesce(room_text, '') = subject_room_text),
-wider AS (
-  SELECT s.subject_id, l.listing_uid, 'district' AS match_level FROM fx_subject s JOIN fx_listing l ON s.city = l.city AND s.district = l.district AND s.category = l.category AND s.valuation_type = l.valuation_type
-  WHERE s.subject_id NOT IN (SELECT subject_id FROM near) AND coalesce(l.net_area, l.gross_area) > 10
-    AND coalesce(l.net_area, l.gross_area) / s.subject_area BETWEEN CASE s.category WHEN 'land' THEN 0.35 WHEN 'commercial' THEN 0.5 ELSE 0.65 END AND CASE s.category WHEN 'land' THEN 3.0 WHEN 'commercial' THEN 2.0 ELSE 1.5 END
-    AND (s.category <> 'residential' OR s.subject_room_text IS NULL OR coalesce(l.room_text, '') = s.subject_room_text)
-) SELECT * FROM near UNION ALL SELECT * FROM wider""",
+    f"""WITH spelled AS (SELECT *, CASE WHEN subject_id % 3 = 0 THEN neighborhood || ' Mahallesi' ELSE neighborhood END AS place FROM fx_subject), scoped AS (SELECT * FROM fx_listing WHERE provider_rank = 0),
+named AS (SELECT DISTINCT s.subject_id FROM spelled s JOIN (SELECT DISTINCT city, district, category, valuation_type, neighborhood FROM scoped) l ON s.city = l.city AND s.district = l.district AND s.category = l.category AND s.valuation_type = l.valuation_type WHERE contains(lower(l.neighborhood), lower(s.place))),
+near AS (SELECT s.*, l.listing_uid, l.room_text, coalesce(l.net_area, l.gross_area) AS area, n.subject_id IS NOT NULL AS by_name FROM spelled s JOIN scoped l ON s.city = l.city AND s.district = l.district AND s.neighborhood = l.neighborhood AND s.category = l.category AND s.valuation_type = l.valuation_type LEFT JOIN named n ON s.subject_id = n.subject_id)
+SELECT subject_id, listing_uid, CASE WHEN by_name THEN 'neighborhood' ELSE 'district' END AS match_level FROM near
+WHERE area > 10 AND area / subject_area BETWEEN CASE category WHEN 'land' THEN 0.35 WHEN 'commercial' THEN 0.5 ELSE 0.65 END AND CASE category WHEN 'land' THEN 3.0 WHEN 'commercial' THEN 2.0 ELSE 1.5 END AND {ROOM_FITS}""",
 )
 def j2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(spark, sf_dir, room=True, fallback="district").select("subject_id", "listing_uid", "match_level")
+    """A third of the subjects write their neighbourhood otherwise than the listings do."""
+    place = F.when(c("subject_id") % 3 == 0, F.concat("neighborhood", F.lit(" Mahallesi"))).otherwise(c("neighborhood"))
+    found = pool.match_pool(pool.scope_keys(subjects(spark, sf_dir).withColumn("neighborhood", place)), pool.with_scope_keys(listings(spark, sf_dir).where("provider_rank = 0")), room=True, fallback="district")
+    return found.select("subject_id", "listing_uid", "match_level")
 
 
 @registered("u1_unique_first", chain(PAIRS) + " SELECT subject_id, listing_uid, unit_price FROM uniq")
@@ -264,10 +295,12 @@ def w5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.portfolio(prepared(spark, sf_dir), as_of()).select("subject_id", "listing_uid", "group")
 
 
-@registered("a15_pool_diagnostics", chain(PAIRS, STRICT) + """ SELECT u.subject_id, count(*) AS raw_count, count(*) FILTER (price > 0) AS priced_count, count(*) FILTER (price > 0 AND area IS NOT NULL) AS area_count,
-  count(*) FILTER (coalesce(image_url, '') <> '') AS image_count, coalesce(any_value(s.n), 0) AS strict_count FROM uniq u LEFT JOIN (SELECT subject_id, count(*) AS n FROM strict GROUP BY 1) s ON u.subject_id = s.subject_id GROUP BY u.subject_id""")
+@registered("a15_pool_diagnostics", portfolio_sql() + ", " + STRICT + """, counts AS (SELECT subject_id, count(*) AS raw_count, count(*) FILTER (price > 0) AS priced_count, count(*) FILTER (price > 0 AND area IS NOT NULL) AS area_count FROM uniq GROUP BY 1)
+SELECT u.*, coalesce(p.images, 0) AS image_count, coalesce(p.stale, 0) AS long_listed_count, coalesce(p.selected, 0) AS selected_count, coalesce(s.n, 0) AS strict_count FROM counts u
+LEFT JOIN (SELECT subject_id, count(*) FILTER (coalesce(image_url, '') <> '') AS images, count(*) FILTER (grp = 'stale') AS stale, count(grp) AS selected FROM g8 GROUP BY 1) p ON u.subject_id = p.subject_id
+LEFT JOIN (SELECT subject_id, count(*) AS n FROM strict GROUP BY 1) s ON u.subject_id = s.subject_id""")
 def a15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.pool_diagnostics(prepared(spark, sf_dir))
+    return selection.pool_diagnostics(prepared(spark, sf_dir), as_of())
 
 
 @registered("a3_market_projection", portfolio_sql() + """, raws AS (SELECT subject_id, count(*) AS raw FROM uniq GROUP BY 1), sel AS (SELECT subject_id, floor(avg(days) + 0.5) AS average_days, count(*) AS selected, count(*) FILTER (days >= 45) AS long FROM g8 WHERE grp IS NOT NULL GROUP BY 1)
@@ -285,29 +318,39 @@ def a4(spark: SparkSession, sf_dir: str) -> DataFrame:
 COVERAGE = portfolio_sql() + ", " + VALUATION + """, cov AS (
   SELECT u.subject_id, count(*) AS raw, count(*) FILTER (v.listing_uid IS NOT NULL) AS valuation, count(*) FILTER (g.listing_uid IS NOT NULL) AS selected FROM uniq u
   LEFT JOIN valued v ON u.subject_id = v.subject_id AND u.listing_uid = v.listing_uid LEFT JOIN (SELECT * FROM g8 WHERE grp IS NOT NULL) g ON u.subject_id = g.subject_id AND u.listing_uid = g.listing_uid GROUP BY u.subject_id
-), covered AS (SELECT *, selected >= 30 OR (selected >= 24 AND raw >= 30 AND valuation >= 3) AS enough FROM cov)"""
+), given AS (SELECT subject_id, count(*) AS records, count(*) FILTER (provider_rank = 0) AS cache_count FROM cut GROUP BY 1
+), covered AS (SELECT c.*, records, cache_count, cache_count > 0 AS cache_hit, records = cache_count AND selected >= 30 AS full_cache_hit, selected >= 30 OR (selected >= 24 AND records >= 30 AND valuation >= 3) AS enough FROM cov c JOIN given g ON c.subject_id = g.subject_id)"""
 
 
-def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = prepared(spark, sf_dir)
+def coverage(rows: DataFrame) -> DataFrame:
+    """provider_coverage() of comparables as they come (pairs)."""
+    unique = selection.prepared(rows)
     mark = lambda df, name: df.select("subject_id", "listing_uid", F.lit(True).alias(name))
-    rows = rows.select("subject_id", "listing_uid").join(mark(selection.valuation_set(rows), "in_valuation"), ["subject_id", "listing_uid"], "left").join(mark(selection.portfolio(rows, as_of()), "in_portfolio"), ["subject_id", "listing_uid"], "left")
-    return pool.provider_coverage(rows.fillna(False, ["in_valuation", "in_portfolio"]))
+    marks = [mark(unique, "is_unique"), mark(selection.valuation_set(unique), "in_valuation"), mark(selection.portfolio(unique, as_of()), "in_portfolio")]
+    rows = rows.select("subject_id", "listing_uid", (c("provider_rank") == 0).alias("from_cache"))
+    for m in marks:
+        rows = rows.join(m, ["subject_id", "listing_uid"], "left")
+    return pool.provider_coverage(rows.fillna(False, ["is_unique", "in_valuation", "in_portfolio"]))
 
 
 @registered("a5_provider_coverage", COVERAGE + " SELECT * FROM covered")
 def a5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coverage(spark, sf_dir)
+    return coverage(pairs(spark, sf_dir))
+
+
+def free_sql() -> str:
+    """Coverage of what providers 0 and 1 give, under the names of the chain."""
+    return COVERAGE.replace("FROM fit QUALIFY", "FROM fit WHERE provider_rank < 2 QUALIFY")
 
 
-@registered("u3_paid_feed", chain(PAIRS) + """, free AS (SELECT * FROM uniq WHERE provider_rank = 0), lacking AS (SELECT DISTINCT subject_id FROM fx_subject WHERE subject_id NOT IN (SELECT subject_id FROM free GROUP BY subject_id HAVING count(*) >= 30))
-SELECT subject_id, listing_uid FROM free UNION ALL SELECT subject_id, listing_uid FROM uniq WHERE provider_rank > 0 AND subject_id IN (SELECT subject_id FROM lacking)""")
+@registered("u3_paid_feed", free_sql() + """, paid AS (SELECT * FROM fit WHERE provider_rank = 2 AND subject_id NOT IN (SELECT subject_id FROM covered WHERE enough))
+SELECT subject_id, listing_uid FROM cut UNION ALL SELECT subject_id, listing_uid FROM paid""")
 def u3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = prepared(spark, sf_dir).select("subject_id", "listing_uid", "provider_rank")
-    free = rows.where("provider_rank = 0")
-    enough = free.groupBy("subject_id").agg((F.count(F.lit(1)) >= 30).alias("enough"))
-    every = subjects(spark, sf_dir).select("subject_id").join(enough, "subject_id", "left").fillna(False, ["enough"])
-    return pool.add_paid_feed(free, rows.where("provider_rank > 0"), every).select("subject_id", "listing_uid")
+    """Providers 0 and 1 are free; the rows of 2 are paid for, where the free ones aren't enough for a report."""
+    rows = pairs(spark, sf_dir)
+    free = rows.where("provider_rank < 2")
+    every = subjects(spark, sf_dir).select("subject_id").join(coverage(free).select("subject_id", "enough"), "subject_id", "left").fillna(False, ["enough"])
+    return pool.add_paid_feed(free, rows.where("provider_rank = 2"), every).select("subject_id", "listing_uid")
 
 
 @registered("u2_union_feeds", "SELECT listing_uid, source_url, CASE source WHEN 'Hepsiemlak' THEN 0 WHEN 'RE/MAX' THEN 1 ELSE 2 END AS provider_rank FROM fx_listing QUALIFY row_number() OVER (PARTITION BY source_url ORDER BY CASE source WHEN 'Hepsiemlak' THEN 0 WHEN 'RE/MAX' THEN 1 ELSE 2 END, created_at, listing_uid) = 1")
@@ -317,12 +360,9 @@ def u2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pool.unique_first(pool.union_feeds(*feeds), ["source_url"], [c("provider_rank"), c("created_at"), c("listing_uid")]).select("listing_uid", "source_url", "provider_rank")
 
 
-def with_quality(rows: DataFrame) -> DataFrame:
+def with_quality(rows: DataFrame, name: str = "quality") -> DataFrame:
     """Listings as they are, scored without a subject."""
-    return rows.withColumns({"subject_area": F.lit(None).cast("double"), "subject_room_text": F.lit(None).cast("string")}).withColumn("quality", L.cache_quality_score()).drop("subject_area", "subject_room_text")
-
-
-CACHE_SCORE = "(CASE WHEN image_url IS NOT NULL THEN 30 ELSE 0 END + 18 + 18 + CASE WHEN coalesce(room_text, '') <> '' THEN 10 ELSE 0 END + 10 + CASE WHEN coalesce(net_area, gross_area) > 10 THEN 10 ELSE 0 END + 4)"
+    return rows.withColumns({"subject_area": F.lit(None).cast("double"), "subject_room_text": F.lit(None).cast("string")}).withColumn(name, L.cache_quality_score()).drop("subject_area", "subject_room_text")
 
 
 @registered("f12_cache_quality", f"SELECT listing_uid, {CACHE_SCORE} AS quality FROM fx_listing")
@@ -332,7 +372,7 @@ def f12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("t1_cap_scope", f"SELECT listing_uid FROM fx_listing QUALIFY row_number() OVER (PARTITION BY city, district, neighborhood, category, valuation_type ORDER BY {CACHE_SCORE} DESC, created_at DESC, listing_uid) <= 240")
 def t1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pool.cap_scope(pool.scope_keys(with_quality(listings(spark, sf_dir)))).select("listing_uid")
+    return pool.cap_scope(pool.with_scope_keys(with_quality(listings(spark, sf_dir)))).select("listing_uid")
 
 
 @registered("t2_cap_subject", chain(PAIRS) + " SELECT subject_id, listing_uid FROM uniq QUALIFY row_number() OVER (PARTITION BY subject_id ORDER BY provider_rank, created_at, listing_uid) <= 60")
@@ -400,16 +440,21 @@ def p21(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pool.listing_to_comparable(rows).withColumn("listing_date", c("listing_date").cast("timestamp_ntz"))
 
 
-@registered("p1_normalize_comparable", """SELECT source_url, title, price, net_area, gross_area, room_text, building_age::DOUBLE AS building_age, 'listing:' || substr(sha1(source_url), 1, 16) AS external_id, floor(price / coalesce(net_area, gross_area) + 0.5) AS price_per_sqm, city, category, valuation_type FROM fx_listing WHERE image_url IS NOT NULL""")
-def p1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = listings(spark, sf_dir)
+def raw_feed(rows: DataFrame) -> DataFrame:
+    """Listings as a feed writes them: texts with units, Turkish numbers and dates, and what was searched for."""
     tr = lambda x: F.regexp_replace(F.format_number(c(x), 0), ",", ".")
-    raw = rows.select(
+    return rows.select(
         "source", "source_url", "image_url", F.concat(F.lit("  "), c("title"), F.lit(" ")).alias("title"), F.concat(tr("price"), F.lit(" TL")).alias("price"), c("gross_area").cast("string").alias("gross_area"), c("net_area").cast("string").alias("net_area"),
         F.regexp_replace("room_text", r"\\+", " + ").alias("room_text"), F.concat(c("building_age").cast("string"), F.lit(" yaş")).alias("building_age_text"), F.lit("3. Kat").alias("floor_text"), F.lit(None).cast("string").alias("currency"),
         F.lit(None).cast("string").alias("external_id"), F.date_format("created_at", "dd.MM.yyyy").alias("listing_date"), F.lit(None).cast("string").alias("price_per_sqm"), F.lit(" ").alias("city"), F.lit("").alias("district"), c("neighborhood"), F.lit("").alias("address"),
         c("city").alias("crit_city"), c("district").alias("crit_district"), c("neighborhood").alias("crit_neighborhood"), c("category").alias("crit_report_type"), F.lit("").alias("crit_property_type"), F.when(c("valuation_type") == "rental", "Kiralık").otherwise("SALE").alias("crit_valuation_type"),
+        c("created_at").cast("timestamp").alias("seen_at"), F.lit(100.0).alias("subject_area"), F.lit("").alias("subject_room_text"), c("source").alias("image_source"), "property_type",
     )
+
+
+@registered("p1_normalize_comparable", """SELECT source_url, title, price, net_area, gross_area, room_text, building_age::DOUBLE AS building_age, 'listing:' || substr(sha1(source_url), 1, 16) AS external_id, floor(price / coalesce(net_area, gross_area) + 0.5) AS price_per_sqm, city, category, valuation_type FROM fx_listing WHERE image_url IS NOT NULL""")
+def p1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = raw_feed(listings(spark, sf_dir))
     return pool.normalize_comparable(raw, as_of()).select("source_url", "title", "price", "net_area", "gross_area", "room_text", "building_age", "external_id", "price_per_sqm", "city", "category", "valuation_type")
 
 
@@ -511,9 +556,9 @@ def f28(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE subject_id % 4 WHEN 0 THEN 125000.0 WHEN 1 THEN 65000.0 WHEN 2 THEN 38000.0 ELSE 32000.0 END AS base FROM fx_subject),
 b AS (SELECT *, floor(least(greatest(base * 1.0::DOUBLE * CASE WHEN subject_building_age IS NULL THEN 1.0::DOUBLE WHEN subject_building_age <= 1 THEN 1.12 WHEN subject_building_age <= 5 THEN 1.08 WHEN subject_building_age <= 10 THEN 1.03 WHEN subject_building_age >= 31 THEN 0.84 WHEN subject_building_age >= 21 THEN 0.9 WHEN subject_building_age >= 11 THEN 0.95 ELSE 1.0 END
   * CASE WHEN floor_no <= 0 THEN 0.93::DOUBLE WHEN floor_no = building_floors THEN 0.97 WHEN floor_no >= 3 THEN 1.02 ELSE 1.0 END * CASE WHEN subject_area < 75 THEN 1.04::DOUBLE WHEN subject_area > 220 THEN 0.94 ELSE 1.0 END * CASE WHEN has_elevator THEN 1.04::DOUBLE ELSE 1.0 END, 18000), 250000) + 0.5 + 1e-7) AS est_sqm FROM a)
-SELECT subject_id, base, est_sqm, floor(est_sqm * subject_area / 1000 + 0.5) * 1000 AS est_expected FROM b""")
+SELECT subject_id, base, CASE subject_id % 4 WHEN 0 THEN 'İstanbul yüksek talep bölgesi' WHEN 1 THEN 'İstanbul geneli' WHEN 2 THEN 'Ankara geneli' ELSE 'Türkiye geneli varsayılan konut lokasyonu' END AS base_label, est_sqm, floor(est_sqm * subject_area / 1000 + 0.5) * 1000 AS est_expected FROM b""")
 def j9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame([(i, t, b) for i, (b, terms) in enumerate(policy.LOCATION_HINTS) for t in terms], "rule_order int, term string, base double")
-    where = F.when(c("subject_id") % 4 == 0, "Kadıköy / İstanbul").when(c("subject_id") % 4 == 1, "İstanbul").when(c("subject_id") % 4 == 2, "Çankaya Ankara").otherwise(c("city"))
-    rows = policy.location_hint(subjects(spark, sf_dir).withColumn("address", where), rules, policy.DEFAULT_HINT)
-    return policy.fallback_estimate(rows).select("subject_id", "base", "est_sqm", "est_expected")
+    """The place stands in the address, in the title or in the city."""
+    k = c("subject_id") % 4
+    rows = subjects(spark, sf_dir).withColumns({"address": F.when(k == 0, "Kadıköy / İstanbul"), "title": F.when(k == 1, "İSTANBUL'da daire"), "city": F.when(k == 2, "Çankaya Ankara").otherwise(c("city"))})
+    return policy.fallback_estimate(policy.location_hint(rows)).select("subject_id", "base", "base_label", "est_sqm", "est_expected")

@@ -1,51 +1,165 @@
-"""Incremental ingestion of listings: a file stream of raw listings, upserted into the pool by URL."""
+"""Incremental ingestion of listings: a file stream of raw listings, normalised, validated and upserted into the pool by URL.
+
+The pool is Parquet in a fixed number of buckets, by a hash of the URL.  A batch reads and rewrites only the buckets that
+its listings fall into; a version is a small manifest that names the folder of each bucket.  A manifest appears by one
+rename, so readers see the version before or the one after, whenever a writer dies; folders are deleted only once newer
+manifests no longer name them.
+"""
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from parcelforge.operators.pool import unique_first, upsert_listings
+from parcelforge.operators.pool import normalize_comparable, save_stats, unique_first, upsert_listings, validate_listing
 
 c = F.col
+#: Buckets of a new pool, and versions that are kept for readers that have begun.
+BUCKETS, KEEP = 64, 3
+#: What validation reads beside the normalised listing.
+SCOPE = ("crit_city", "crit_district", "crit_neighborhood", "subject_area", "subject_room_text", "image_source", "property_type")
 
 
-def current_pool(spark: SparkSession, pool_path: str) -> DataFrame | None:
-    """The pool's newest version; None before the first."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{pool_path}/_current")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
+class PoolFiles:
+    """Manifests and folders of a pool, on whatever file system Spark reads."""
+
+    def __init__(self, spark: SparkSession, top: str):
+        self.jvm, self.top = spark.sparkContext._jvm, top.rstrip("/")
+        self.conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self.fs = self.path("").getFileSystem(self.conf)
+
+    def path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.top}/{name}".rstrip("/"))
+
+    def names(self, folder: str) -> list[str]:
+        where = self.path(folder)
+        return sorted(s.getPath().getName() for s in self.fs.listStatus(where)) if self.fs.exists(where) else []
+
+    def versions(self) -> list[int]:
+        return [int(n) for n in self.names("_versions") if n.isdigit()]
+
+    def manifest(self, version: int) -> dict:
+        stream = self.fs.open(self.path(f"_versions/{version:012d}"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def latest(self) -> dict | None:
+        """The newest manifest; None before the first.  Data without any manifest, other than of a first batch that died, is an error."""
+        versions = self.versions()
+        if versions:
+            return self.manifest(versions[-1])
+        if len(self.names("data")) > 1:
+            raise RuntimeError(f"{self.top} holds several folders of data and no manifest: the pool's versions have been lost")
         return None
-    return spark.read.parquet(spark.read.text(f"{pool_path}/_current").first()[0])
 
+    def commit(self, version: int, manifest: dict) -> None:
+        """Writes the manifest beside its place, then renames it there: it is whole or absent.  Fails if the version is there."""
+        before, place = self.path(f"_versions/.{uuid.uuid4().hex}"), self.path(f"_versions/{version:012d}")
+        stream = self.fs.create(before)
+        stream.write(bytearray(json.dumps(manifest).encode()))
+        stream.close()
+        if self.fs.exists(place) or not self.fs.rename(before, place):
+            raise RuntimeError(f"version {version} of {self.top} was written by another writer")
+
+    def clean(self, keep: int = KEEP) -> None:
+        """Deletes manifests older than the newest `keep`, and the folders that only they name."""
+        versions = self.versions()
+        if len(versions) <= keep:
+            return
+        named = {p.split("/")[1] for v in versions[-keep:] for p in self.manifest(v)["buckets"].values()}
+        old = {p.split("/")[1] for v in versions[:-keep] for p in self.manifest(v)["buckets"].values()}
+        for v in versions[:-keep]:
+            self.fs.delete(self.path(f"_versions/{v:012d}"), False)
+        for folder in old - named:
+            self.fs.delete(self.path(f"data/{folder}"), True)
+
+
+def bucket_of(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("source_url"), F.lit(buckets)).cast("int")
+
+
+def read_buckets(spark: SparkSession, pool_path: str, manifest: dict, only: set[int] | None = None) -> DataFrame:
+    from pyspark.sql.types import StructType
 
-def put_pool(df: DataFrame, pool_path: str) -> None:
-    """Writes a new version of the pool, then lets the pointer name it: readers see the old one or the new one."""
-    spark, version = df.sparkSession, f"{pool_path}/v-{uuid.uuid4().hex}"
-    df.write.parquet(version)
-    spark.createDataFrame([(version,)], "path string").coalesce(1).write.mode("overwrite").text(f"{pool_path}/_current")
+    schema = StructType.fromJson(manifest["schema"])
+    paths = [f"{pool_path.rstrip('/')}/{p}" for b, p in sorted(manifest["buckets"].items()) if only is None or int(b) in only]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
-def merge_batch(batch: DataFrame, pool_path: str, order: list) -> None:
-    """One micro-batch: its first row of each URL replaces the pool's, which keeps first_seen_at.  Applying it twice is as once.
-    as_of is the batch's own latest `seen_at`, so that a replay gives the same rows."""
+def current_pool(spark: SparkSession, pool_path: str) -> DataFrame | None:
+    """The pool's newest version; None before the first."""
+    manifest = PoolFiles(spark, pool_path).latest()
+    return read_buckets(spark, pool_path, manifest) if manifest else None
+
+
+def merge_batch(batch: DataFrame, batch_id: int, pool_path: str, order: list, buckets: int = BUCKETS) -> None:
+    """One micro-batch of listings with seen_at: its first row of each URL replaces the pool's, which keeps first_seen_at.
+
+    Applying it twice is as once: a batch that the newest manifest has is left out, and as_of is the batch's own latest
+    `seen_at`, so that a replay gives the same rows.
+    """
     spark = batch.sparkSession
+    files = PoolFiles(spark, pool_path)
+    before = files.latest()
+    if before and before["batch"] >= batch_id:
+        return
     one = unique_first(batch.where(F.coalesce("source_url", F.lit("")) != ""), ["source_url"], order)
-    seen = one.agg(F.max("seen_at")).first()[0]
-    if seen is None:
+    buckets = before["of"] if before else buckets
+    touched = {r["b"]: r["seen"] for r in one.groupBy(bucket_of(buckets).alias("b")).agg(F.max("seen_at").alias("seen")).collect()}  # a row for each bucket at most
+    if not touched:
         return
     incoming = one.drop("seen_at")
-    old = current_pool(spark, pool_path)
-    if old is None:
+    if before:
+        old = read_buckets(spark, pool_path, before, set(touched))
+    else:
         old = incoming.limit(0).withColumns({"first_seen_at": F.lit(None).cast("timestamp"), "last_seen_at": F.lit(None).cast("timestamp"), "is_active": F.lit(None).cast("boolean")})
-    put_pool(upsert_listings(old, incoming, F.lit(seen).cast("timestamp")), pool_path)
+    new = upsert_listings(old, incoming, F.lit(max(touched.values())).cast("timestamp"))
+    folder = f"data/{uuid.uuid4().hex}"
+    new.withColumn("bucket", bucket_of(buckets)).write.partitionBy("bucket").parquet(f"{pool_path.rstrip('/')}/{folder}")
+    places = (before["buckets"] if before else {}) | {str(b): f"{folder}/bucket={b}" for b in touched}
+    versions = files.versions()
+    files.commit(versions[-1] + 1 if versions else 0, {"batch": batch_id, "of": buckets, "schema": new.schema.jsonValue(), "buckets": places})
+    files.clean()
+
+
+def normalized(raw: DataFrame) -> DataFrame:
+    """Raw rows (as normalize_comparable() and SCOPE name them, with seen_at) in the common schema."""
+    return normalize_comparable(raw, c("seen_at"), keep=("seen_at", *SCOPE))
+
+
+def rejects(spark: SparkSession, pool_path: str) -> DataFrame:
+    """(batch, reason, n): rows of each batch by the reason why they were left out; `saved` for those that weren't."""
+    return spark.read.schema("reason string, n long, batch long").parquet(f"{pool_path.rstrip('/')}/_stats")
+
+
+def start_ingest(stream: DataFrame, pool_path: str, checkpoint: str, order: list | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None, buckets: int = BUCKETS) -> StreamingQuery:
+    """Starts the upserts of a stream of listings with seen_at.
+
+    `prepare` puts raw rows in the common schema with SCOPE (normalized()); they are then validated, and rows that fail are
+    counted by reason and left out.  Without it, rows are taken as validated.  Rows are deduplicated within a
+    micro-batch only: a later sighting must update price and last_seen_at.
+    """
+    by = order or [F.desc("seen_at"), c("external_id" if prepare else "listing_uid")]
+    top = pool_path.rstrip("/")
 
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        if prepare:
+            # normalised once, for the counts and the upsert; a batch that is run again overwrites its own
+            staged = prepare(batch)
+            staged.write.mode("overwrite").parquet(f"{top}/_staged/batch={batch_id}")
+            rows = validate_listing(batch.sparkSession.read.schema(staged.schema).parquet(f"{top}/_staged/batch={batch_id}")).drop(*SCOPE)
+            save_stats(rows).write.mode("overwrite").parquet(f"{top}/_stats/batch={batch_id}")
+            batch = rows.where("ok").drop("ok", "reason")
+        merge_batch(batch, batch_id, pool_path, by, buckets)
+        if prepare:
+            files = PoolFiles(batch.sparkSession, pool_path)
+            files.fs.delete(files.path(f"_staged/batch={batch_id}"), True)
 
-def start_ingest(stream: DataFrame, pool_path: str, checkpoint: str, order: list | None = None) -> StreamingQuery:
-    """Starts the upserts of a stream of validated listings with seen_at.  Rows are deduplicated within a micro-batch only:
-    a later sighting must update price and last_seen_at."""
-    by = order or [F.desc("seen_at"), c("listing_uid")]
-    return stream.writeStream.foreachBatch(lambda batch, _: merge_batch(batch, pool_path, by)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

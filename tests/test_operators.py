@@ -1,7 +1,10 @@
 """Boundaries, repeats and empty inputs of the operators."""
 
 import datetime
+import math
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from parcelforge.operators import band, geo, policy, pool, selection, signals
@@ -127,3 +130,142 @@ def test_stop_responses(spark):
     sizes = [r.value.count("SDURAKKODU") for r in made.collect()]
     assert sizes == [1000] * 120
     assert feeds.parse_stops(made).count() == sum(k % 7 != 0 for k in range(120_000))
+
+
+def plan_of(df):
+    import contextlib
+    import io
+
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain()
+    return out.getvalue()
+
+
+def listed(spark, rows):
+    """(listing_uid, neighborhood, price, image_url, property_type, last_seen_at, pool_quality) as listings of one district."""
+    schema = "listing_uid string, neighborhood string, price double, image_url string, property_type string, last_seen_at timestamp, pool_quality int"
+    fixed = {"city": "İzmir", "district": "Konak", "category": "residential", "valuation_type": "sale", "source": "s", "title": "t", "room_text": "2+1"}
+    rows = spark.createDataFrame(rows, schema).withColumns({k: F.lit(v) for k, v in fixed.items()})
+    return rows.withColumns({"source_url": F.concat(F.lit("https://x/"), "listing_uid"), "net_area": F.lit(100.0), "gross_area": F.lit(110.0), "created_at": F.col("last_seen_at"), "provider_rank": F.lit(0)})
+
+
+def asked(spark, rows):
+    """(subject_id, neighborhood, subject_type) as subjects of that district."""
+    fixed = {"city": "IZMIR", "district": "KONAK", "category": "residential", "valuation_type": "sale", "subject_room_text": "2+1"}
+    return spark.createDataFrame(rows, "subject_id long, neighborhood string, subject_type string").withColumns({k: F.lit(v) for k, v in fixed.items()} | {"subject_area": F.lit(100.0)})
+
+
+def test_lookup_caps_before_it_joins(spark):
+    now, old, img = datetime.datetime(2024, 1, 20), datetime.datetime(2024, 1, 1), "https://i.example/a.jpg"
+    rows = [(f"{k:03d}", "Alsancak", 1.0, img, "Daire", now, k) for k in range(100)] + [("stale", "Alsancak", 1.0, img, "Daire", old, 200), ("mock", "Alsancak", 1.0, "https://x/comparables/mock-image", "Daire", now, 200), ("villa", "Alsancak", 1.0, img, "Villa", now, 200), ("bare", "Alsancak", 1.0, None, "Daire", now, 200), ("untyped", "Alsancak", 1.0, img, None, now, 200)]
+    subjects, pool_rows = pool.scope_keys(asked(spark, [(1, "ALSANCAK MAH.", "daire"), (2, "Alsancak", None), (3, "Bostanlı", None)])), pool.with_scope_keys(listed(spark, rows))
+    found = pool.looked_up(subjects, pool_rows, F.lit("2024-01-21").cast("timestamp"), scope_rows=50, subject_rows=10)
+    plan = plan_of(found)
+    got = {k: sorted(r.listing_uid for r in found.collect() if r.subject_id == k) for k in (1, 2, 3)}
+    # of the best 50 (the mock image, the villa and the untyped one among them): the best ten that match
+    assert got == {1: [f"{k:03d}" for k in range(90, 100)], 2: [*[f"{k:03d}" for k in range(92, 100)], "untyped", "villa"], 3: []}
+    # further down in the plan is earlier: the cap of the scope lies below the join of the subjects (city and district are constants here)
+    join = max(plan.find("BroadcastHashJoin [neighborhood_key"), plan.find("SortMergeJoin [neighborhood_key"))
+    assert 0 < join < plan.find("WindowGroupLimit [neighborhood_key") and "Cartesian" not in plan
+
+
+def test_fallback_finds_other_spellings_and_no_other_quarter(spark):
+    now, img = datetime.datetime(2024, 1, 20), "https://i.example/a.jpg"
+    items = pool.scope_keys(listed(spark, [("a", "Alsancak", 1.0, img, "Daire", now, 1), ("b", "ALSANCAK MAHALLESİ", 1.0, img, "Daire", now, 1), ("c", "Bostanlı", 1.0, img, "Daire", now, 1)]))
+    subjects = pool.scope_keys(asked(spark, [(1, "alsancak", None), (2, "Alsancak Mah.", None), (3, "Güzelyalı", None)]))
+    got = sorted((r.subject_id, r.listing_uid, r.match_level) for r in pool.match_pool(subjects, items, room=True, fallback="district").collect())
+    assert got == [(1, "a", "neighborhood"), (1, "b", "neighborhood"), (2, "a", "district"), (2, "b", "district")]
+
+
+def test_images_are_counted_in_the_chosen_pool(spark):
+    rows = items(spark, [1e6 + k for k in range(40)]).withColumns({"image_url": F.when(F.substring("listing_uid", 2, 9).cast("int") % 2 == 0, "https://i.example/a.jpg"), "created_at": F.lit("2024-01-01").cast("timestamp")})
+    got = selection.pool_diagnostics(selection.prepared(rows.where("listing_uid <> 'u0'")), F.lit("2024-01-10").cast("timestamp")).first()
+    assert (got.raw_count, got.image_count, got.selected_count, got.long_listed_count) == (39, 19, 30, 0)
+    # 60 rows, 30 of them with photo: the pool is those with photo alone
+    rows = items(spark, [1e6 + 100 * k for k in range(60)]).withColumns({"image_url": F.when(F.substring("listing_uid", 2, 9).cast("int") % 2 == 0, "https://i.example/a.jpg"), "created_at": F.lit("2024-01-01").cast("timestamp")})
+    got = selection.pool_diagnostics(selection.prepared(rows), F.lit("2024-01-10").cast("timestamp")).first()
+    assert (got.raw_count, got.image_count, got.selected_count) == (60, 30, 30)
+
+
+def test_hints_stay_with_their_rows(spark):
+    rows = spark.createDataFrame([(k, "Bebek" if k % 2 else "Ankara", "x") for k in range(200)], "k int, title string, city string").repartition(7)
+    got = policy.location_hint(rows)
+    assert {(r.k % 2, r.base) for r in got.collect()} == {(1, 175000.0), (0, 38000.0)} and "Join" not in plan_of(got)
+
+
+def test_shares_over_one_are_percent(spark):
+    text = '{"avgPrice": "1.500.000,4 TL", "confidence": %s, "comps": [{"price": 1.5, "roomText": "2+1"}], "assumptions": "none", "marketProjection": {"summary": "  "}}'
+    rows = spark.createDataFrame([(k, text % v) for k, v in enumerate(("85", "1.7", '"0,4"', "300", "-1", "null", '"yok"'))] + [(7, "no json"), (8, None)], "k int, t string").withColumn("area", F.lit(100.0))
+    got = policy.normalize_price_index(rows, "t", "area").orderBy("k").collect()
+    assert [r.confidence for r in got] == [0.85, 0.017, 0.4, 1.0, 0.0, None, 0.0, None, None]
+    assert got[0].avg_price == 1500000 and got[0].avg_sqm == 15000 and got[0].comps[0].price == 1.5 and got[0].comps[0].roomText == "2+1" and got[0].assumptions == [] and got[0].market_projection is None
+    assert got[7].avg_price is None and got[7].comps == []
+
+
+@pytest.mark.parametrize("near", [(89.99, 10.0), (85.0, 179.995), (71.5, -179.99), (-80.0, 0.0), (0.0, 180.0)])
+def test_radius_join_near_the_poles_and_the_antimeridian(spark, near):
+    draw = random.Random(5)
+    spot = lambda: (max(-90.0, min(90.0, near[0] + draw.uniform(-0.05, 0.05))), (near[1] + draw.uniform(-0.5, 0.5) / max(0.02, math.cos(math.radians(near[0]))) + 180) % 360 - 180)
+    subjects, points = [(k, *spot()) for k in range(12)], [(k, *spot()) for k in range(400)]
+    a, b = spark.createDataFrame(subjects, "subject_id int, lat double, lon double"), spark.createDataFrame(points, "poi_id int, lat double, lon double")
+    got = sorted((r.subject_id, r.poi_id) for r in geo.radius_join(a, b, 3000.0).collect())
+    pairs = a.crossJoin(b.withColumnsRenamed({"lat": "y", "lon": "x"})).where(F.floor(geo.haversine_m(F.col("lat"), F.col("lon"), F.col("y"), F.col("x")) + 0.5) <= 3000)
+    assert got == sorted((r.subject_id, r.poi_id) for r in pairs.collect()) and len(got) > 5
+
+
+RAW = "listing_uid string, source_url string, source string, title string, price double, seen_at timestamp"
+
+
+def test_a_writer_that_dies_loses_nothing(spark, tmp_path, monkeypatch):
+    top, order = str(tmp_path / "pool"), [F.desc("seen_at"), F.col("listing_uid")]
+    day = lambda n: datetime.datetime(2024, 1, n)
+    first = spark.createDataFrame([(str(k), f"u{k}", "s", "t", 1.0, day(1)) for k in range(50)], RAW)
+    second = spark.createDataFrame([("1", "u1", "s", "t", 5.0, day(2))], RAW)
+    ingest.merge_batch(first, 0, top, order, buckets=8)
+    real = ingest.PoolFiles.commit
+
+    def dies(self, version, manifest):
+        raise OSError("lost")
+
+    monkeypatch.setattr(ingest.PoolFiles, "commit", dies)
+    with pytest.raises(OSError, match="lost"):
+        ingest.merge_batch(second, 1, top, order)
+    assert ingest.current_pool(spark, top).count() == 50 and ingest.current_pool(spark, top).agg(F.max("price")).first()[0] == 1.0
+    monkeypatch.setattr(ingest.PoolFiles, "commit", real)
+    before = ingest.PoolFiles(spark, top).latest()["buckets"]
+    for _ in range(2):  # a batch that comes again changes nothing
+        ingest.merge_batch(second, 1, top, order)
+    after = ingest.PoolFiles(spark, top).latest()["buckets"]
+    assert sum(before[b] != after[b] for b in before) == 1  # the bucket of u1 alone is rewritten
+    rows = {r.source_url: r for r in ingest.current_pool(spark, top).collect()}
+    assert len(rows) == 50 and rows["u1"].price == 5.0 and rows["u1"].first_seen_at == day(1) and rows["u1"].last_seen_at == day(2) and rows["u2"].last_seen_at == day(1)
+    for n in range(3, 9):
+        ingest.merge_batch(spark.createDataFrame([("1", "u1", "s", "t", float(n), day(n))], RAW), n, top, order)
+    assert len(ingest.PoolFiles(spark, top).versions()) == ingest.KEEP and ingest.current_pool(spark, top).count() == 50
+    with pytest.raises(RuntimeError, match="another writer"):
+        files = ingest.PoolFiles(spark, top)
+        files.commit(files.versions()[-1], files.latest())
+
+
+def test_lost_manifests_are_an_error(spark, tmp_path):
+    import shutil
+
+    top = str(tmp_path / "pool")
+    assert ingest.current_pool(spark, top) is None
+    for n in (1, 2):
+        ingest.merge_batch(spark.createDataFrame([(str(n), f"u{n}", "s", "t", 1.0, datetime.datetime(2024, 1, n))], RAW), n, top, [F.col("listing_uid")])
+    shutil.rmtree(tmp_path / "pool" / "_versions")
+    with pytest.raises(RuntimeError, match="lost"):
+        ingest.current_pool(spark, top)
+
+
+def test_stream_validates_and_counts_rejects(spark, tmp_path):
+    from parcelforge.plans import valuation
+
+    rows = listed(spark, [("a", "Alsancak", 1.0, "https://i.example/a.jpg", "Daire", datetime.datetime(2024, 1, 2), 1), ("b", "Alsancak", 1.0, "https://x/comparables/mock-image", "Daire", datetime.datetime(2024, 1, 2), 1), ("c", "Alsancak", 1.0, "https://i.example/a.jpg", None, datetime.datetime(2024, 1, 2), 1)])
+    raw = valuation.raw_feed(rows.withColumns({"building_age": F.lit(3), "price": F.lit(1234567.0)}))
+    raw.write.parquet(str(tmp_path / "feed"))
+    ingest.start_ingest(spark.readStream.schema(raw.schema).parquet(str(tmp_path / "feed")), str(tmp_path / "pool"), str(tmp_path / "state"), prepare=ingest.normalized).awaitTermination()
+    assert [(r.source_url, r.price) for r in ingest.current_pool(spark, str(tmp_path / "pool")).collect()] == [("https://x/a", 1234567.0)]
+    assert {r.reason: r.n for r in ingest.rejects(spark, str(tmp_path / "pool")).collect()} == {"saved": 1, "missing_real_image": 1, "missing_property_type": 1}
