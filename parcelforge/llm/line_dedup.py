@@ -6,15 +6,20 @@ id apart.  Lines of fewer than `LEAST` characters stay and remove nothing.
 
 A line is cut into EDITS + 1 segments.  If two lines are within EDITS, one segment of the shorter is a substring of the
 longer, at a place that their lengths and the segment's number bound (position- and length-aware selection).  So each
-distinct line gives the keys of its segments and of the substrings to probe with, as hashes; lines that share a key are
-candidates, and a banded bit-parallel edit distance (bit vectors of the longer line's width, stopped as soon as the bound
-is out of reach) verifies each pair once.
+distinct line gives the keys of the substrings that it may share so, its own segments among them, as hashes; lines that
+share a key are candidates, and a banded bit-parallel edit distance (bit vectors of the longer line's width, stopped as
+soon as the bound is out of reach) verifies them.
 
-Hot lines: equal lines are one line before anything is compared.  In each bucket of a key, the lines first meet the
-earliest one, which settles families of alike lines in one pair for each line; lines that it doesn't settle meet the
-others of the bucket.  Hot segments: a bucket of more than `CROWD` lines isn't joined; each of its lines is cut again
-without that segment, and the new keys, within the old one, are joined instead, because the rest of the lines must be
-within EDITS as well.  Lengths and sketches of bigrams keep pairs apart that can't be within EDITS.
+Within a bucket of lines that share a key, all first meet the earliest one, which settles families of alike lines.  For
+those it doesn't settle, what all lines of the bucket begin and end with is taken off and the rests are cut and indexed
+again in the same way, so that a line is compared with the lines whose rests share a segment with its own, and of those
+with the ones whose sketches of bigrams are near: the work for a line depends on its own near lines.  Equal lines are one
+line before anything is compared.
+
+Hot segments: buckets are held in a task one at a time.  Of a bucket of more than `CROWD` lines, each line is cut again
+without that segment, and without what all lines of the bucket begin and end with, and dealt out anew by the new keys,
+within the old one, because the rest of the lines must be within EDITS as well; that is repeated until no bucket is larger.
+It splits the work and changes no result.
 
 Defined results: null and empty texts have one empty line, which stays; lines are split at \\n only and compared as
 they are; rows with the same id and text are one document, and each of them keeps or loses the same lines; a null id comes
@@ -23,6 +28,8 @@ before others; a document all of whose lines go has no lines left (and `without_
 
 from __future__ import annotations
 
+import functools
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +38,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelforge.llm.common import id_and_text, shared_buckets, text_slices, written
+from parcelforge.llm.common import BASE, SPREAD, U, id_and_text, mixed, powers, running_sums, shared_buckets, text_slices, written
 
 EDITS, LEAST = 2, 20
-CROWD = 100
+#: Lines of a bucket that a task holds at most.
+CROWD = 10_000
 #: Lines whose keys a task has given out.
-SEEN = 2_000_000
+SEEN = 500_000
+#: Characters of lines whose keys are made together.
+STEP = 1 << 20
+#: Bits of the filter of lines whose texts are fetched, at most (16 MB), and which bits of a hash place a line in it.
+MOST_BITS, BLOOM = 1 << 27, (0, 32)
 #: Longs of a line's sketch of bigrams: 512 bits.
 SKETCH = 8
 
@@ -67,28 +79,45 @@ def probes(n: int, shorter: int, edits: int = EDITS) -> Iterator[tuple[int, int,
             yield i, start, size
 
 
+@functools.lru_cache(maxsize=4096)
+def plan(n: int) -> np.ndarray:
+    """Rows (shorter, segment, start, size): the substrings under which a line of n characters is found and looks.
+
+    (0, 0, 0, 0) stands for lines of EDITS characters or fewer: they can't be cut, and all are within reach of each other.
+    """
+    rows = {(m, *probe) if m > EDITS else (0, 0, 0, 0) for m in range(max(n - EDITS, 0), n + 1) for probe in (probes(n, m) if m > EDITS else [(0, 0, 0)])}
+    return np.array(sorted(rows), np.int64)
+
+
 def keys_of(line: str, within: int = 0) -> tuple[list[int], list[tuple[int, int, int]], list[int], list[tuple[int, int, int]]]:
-    """Keys under which a line is found and the segments they are of; keys with which it looks, and of what.  Both as (number, start, length)."""
-    n = len(line)
-    if n <= EDITS:  # can't be cut: all such rests, of any content, are within reach of each other
-        key = signed(xxhash.xxh64_intdigest(f"{within}:short"))
-        return [key], [(0, 0, 0)], [key], [(0, 0, 0)]
-    own = [(i, p, size) for i, (p, size) in enumerate(segments(n))]
-    found = [hashed(within, n, i, line[p : p + size]) for i, p, size in own]
-    look, spots = [], []
-    for shorter in range(max(n - EDITS, 0), n + 1):
-        if shorter <= EDITS:
-            look.append(signed(xxhash.xxh64_intdigest(f"{within}:short")))
-            spots.append((0, 0, 0))
-            continue
-        for i, start, size in probes(n, shorter):
-            look.append(hashed(within, shorter, i, line[start : start + size]))
-            spots.append((i, start, size))
-    return found, own, look, spots
+    """Keys of a line's own segments and where they are; keys under which it is found and looks, and of what.  Both as (number, start, length)."""
+    look = [(hashed(within, m, i, line[start : start + size]), (i, start, size)) for m, i, start, size in plan(len(line)).tolist()]
+    n = len(line) if len(line) > EDITS else 0
+    own = [(hashed(within, n, i, line[p : p + size]), (i, p, size)) for i, (p, size) in enumerate(segments(n))] if n else look
+    return [k for k, _ in own], [x for _, x in own], [k for k, _ in look], [x for _, x in look]
 
 
 def hashed(within: int, n: int, i: int, part: str) -> int:
-    return signed(xxhash.xxh64_intdigest(part, seed=(within * 31 + n * 7 + i) & 0xFFFFFFFFFFFFFFFF))
+    """The same for a part as keys_of_all() gives it."""
+    codes, h = np.frombuffer(part.encode("utf-32-le"), np.uint32), 0
+    for start in range(0, len(codes), STEP):
+        some = codes[start : start + STEP]
+        h += int(((some.astype(U) + U(1)) * powers(STEP)[0][: len(some)]).sum()) * pow(BASE, start, 1 << 64)
+    h = (h ^ (within * 31 + n * 7 + i) * SPREAD) & 0xFFFFFFFFFFFFFFFF
+    return int(mixed(np.array([h], U)).view(np.int64)[0])
+
+
+def keys_of_all(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of lines of more than 2 * EDITS characters, STEP in all at most, and the number of the line that each is of."""
+    up, down = powers(STEP)
+    sums = running_sums(np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32), up)
+    sizes = [len(x) for x in lines]
+    plans = [plan(n) for n in sizes]
+    owner = np.repeat(np.arange(len(lines)), [len(p) for p in plans])
+    shorter, number, start, size = np.concatenate(plans).T
+    at = (np.cumsum(sizes) - sizes)[owner] + start
+    h = (sums[at + size] - sums[at]) * down[at]
+    return mixed(h ^ (shorter * 7 + number).astype(U) * U(SPREAD)).view(np.int64), owner
 
 
 def within_edits(a: str, b: str, edits: int = EDITS) -> bool:
@@ -134,12 +163,12 @@ def version_of(text: Column | str) -> Column:
     return F.xxhash64(text)
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(line, check, doc_id, version, at) of all lines that can be removed: two hashes of the line, and where it is."""
+def lines_of(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """(line, check, doc_id, version, at) of all lines of `least` characters or more: two hashes of the line, and where it is."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_slices(batches):
-            rows = [(line_key(x), signed(xxhash.xxh64_intdigest(x, seed=1)), i["doc_id"], i["version"], k) for i, t in zip(ids, texts, strict=True) for k, x in enumerate(t.split("\n")) if len(x) >= LEAST]
+            rows = [(line_key(x), signed(xxhash.xxh64_intdigest(x, seed=1)), i["doc_id"], i["version"], k) for i, t in zip(ids, texts, strict=True) for k, x in enumerate(t.split("\n")) if len(x) >= least]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["line", "check", "doc_id", "version", "at"])
 
@@ -147,46 +176,78 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def line_keys(docs: DataFrame) -> DataFrame:
-    """(key, line) of the segments and probes of each distinct line of a task."""
+    """(key, line) of each distinct line of a task."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for _, texts in text_slices(batches):
-            keys, owners = [], []
             if len(seen) > SEEN:
                 seen.clear()
-            for t in texts:
-                for x in t.split("\n"):
-                    if len(x) >= LEAST and (h := line_key(x)) not in seen:
-                        seen.add(h)
-                        found, _, look, _ = keys_of(x)
-                        some = {*found, *look}
-                        keys += some
-                        owners += [h] * len(some)
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(owners, pa.int64())], names=["key", "line"])
+            lines, names, held = [], [], 0
+            for x in (x for t in texts for x in t.split("\n") if len(x) >= LEAST):
+                if (h := line_key(x)) in seen:
+                    continue
+                seen.add(h)
+                if len(x) > STEP:
+                    keys = keys_of(x)[2]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([h] * len(keys), pa.int64())], names=["key", "line"])
+                    continue
+                if held + len(x) > STEP:
+                    yield made(lines, names)
+                    lines, names, held = [], [], 0
+                lines.append(x)
+                names.append(h)
+                held += len(x)
+            if lines:
+                yield made(lines, names)
+
+    def made(lines: list[str], names: list[int]) -> pa.RecordBatch:
+        keys, owner = keys_of_all(lines)
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.array(names, np.int64)[owner])], names=["key", "line"])
 
     return docs.mapInArrow(cut, "key long, line long")
 
 
-def keys_within(crowds: DataFrame) -> DataFrame:
-    """(key, line) of the lines of crowded buckets (key, line, text): keys of what is left of a line without the segment."""
+REST = "key long, line long, rest string, within long, settled boolean"
+KINDS = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_())
+
+
+def rest_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, KINDS, strict=True)], names=["key", "line", "rest", "within", "settled"])
+
+
+def cut_out(crowds: DataFrame) -> DataFrame:
+    """The rows (key, line, rest, within, settled) of crowded buckets, with what is left of a line without the segment that the key is of."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, owners = [], []
-            for key, line, text in zip(*(batch.column(c).to_pylist() for c in ("key", "line", "text")), strict=True):
-                found, own, look, spots = keys_of(text)
-                some = set()
-                for k, (_, start, size) in [*zip(found, own, strict=True), *zip(look, spots, strict=True)]:
-                    if k == key:
-                        inner = keys_of(text[:start] + text[start + size :], key)
-                        some.update(inner[0], inner[2])
-                keys += some
-                owners += [line] * len(some)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(owners, pa.int64())], names=["key", "line"])
+            rows = []
+            for key, line, text, within, settled in zip(*(batch.column(c).to_pylist() for c in ("key", "line", "rest", "within", "settled")), strict=True):
+                _, _, look, spots = keys_of(text, within)
+                rows += [(key, line, rest, within, settled) for rest in {text[:start] + text[start + size :] for k, (_, start, size) in zip(look, spots, strict=True) if k == key}]
+            yield rest_batch(rows)
+
+    return crowds.select("key", "line", "rest", "within", "settled").mapInArrow(cut, REST)
 
-    return crowds.select("key", "line", "text").mapInArrow(cut, "key long, line long")
+
+def keys_within(rests: DataFrame) -> DataFrame:
+    """Of cut_out(): the rests, without what all of a bucket begin and end with, under new keys within the old one.
+
+    What all begin with is what the least and the greatest begin with; the same holds for the ends of the reversed rests.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key, line, text, settled, *ends in zip(*(batch.column(c).to_pylist() for c in ("key", "line", "rest", "settled", "low", "high", "back_low", "back_high", "shortest")), strict=True):
+                left, right = (len(os.path.commonprefix(x)) for x in (ends[:2], ends[2:4]))
+                rest = text[left : len(text) - min(right, ends[4] - left)]
+                rows += [(k, line, rest, key, settled) for k in {*keys_of(rest, key)[2]}]
+            yield rest_batch(rows)
+
+    back = F.reverse("rest")
+    ends = rests.groupBy("key").agg(F.min("rest").alias("low"), F.max("rest").alias("high"), F.min(back).alias("back_low"), F.max(back).alias("back_high"), F.min(F.length("rest")).alias("shortest"))
+    return rests.join(ends, "key").drop("within").mapInArrow(cut, REST)
 
 
 def bigram_sketch(line: str) -> np.ndarray:
@@ -198,100 +259,165 @@ def bigram_sketch(line: str) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(line, text, chars, g0…) of the lines (line, doc_id, version, at).  One shuffle of the documents that have such lines; a document's list is no longer than its lines."""
-    names = [f"g{k}" for k in range(SKETCH)]
+def bits_of(lines: DataFrame) -> np.ndarray:
+    """A Bloom filter of the hashes in `line`: two bits for each, in at most MOST_BITS bits, as longs.
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for text, spots in zip(batch.column("text"), batch.column("spots").to_pylist(), strict=True):
-                lines = text.as_py().split("\n")
-                found += [(s["line"], lines[s["at"]]) for s in spots if s["at"] < len(lines) and line_key(lines[s["at"]]) == s["line"]]
-            sketches = np.array([bigram_sketch(x) for _, x in found], np.int64).reshape(-1, SKETCH)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.string()), pa.array([len(x[1]) for x in found], pa.int64()), *map(pa.array, sketches.T)], names=["line", "text", "chars", *names]
-            )
-
-    spots = wanted.groupBy(F.col("doc_id").alias("id"), "version").agg(F.collect_list(F.struct("line", "at")).alias("spots"))
-    same = docs["doc_id"].eqNullSafe(F.col("id")) & (version_of(docs["text"]) == F.col("version"))
-    schema = "line long, text string, chars long, " + ", ".join(f"{x} long" for x in names)
-    return docs.join(spots, same).select("text", "spots").mapInArrow(pick, schema).dropDuplicates(["line"])
-
-
-def near(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose lines are within EDITS."""
+    Beyond some MOST_BITS / 16 lines it lets more through that aren't there; it never holds back one that is.
+    """
+    size = min(MOST_BITS, 1 << max(10, (16 * lines.count()).bit_length()))
+    places = F.explode(F.array(*[F.shiftrightunsigned("line", k).bitwiseAND(F.lit(size - 1)) for k in BLOOM]))
+    words = lines.select(places.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()  # size / 64 rows at most
+    out = np.zeros(size // 64, np.int64)
+    out[words.column("w").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(U)
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [within_edits(a.as_py(), b.as_py()) for a, b in zip(batch.column("text_a"), batch.column("text_b"), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    rows = pairs.join(texts.select(F.col("line").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("line").alias("b"), F.col("text").alias("text_b")), "b")
-    return rows.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
+def may_hold(bits: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    found, h = np.ones(len(lines), bool), lines.view(U)
+    for k in BLOOM:
+        p = (h >> U(k)) & U(64 * len(bits) - 1)
+        found &= (bits[p >> U(6)] >> (p & U(63)) & U(1)).astype(bool)
+    return found
 
 
-def alike(x: str, y: str) -> Column:
-    """Whether two places' lines can be within EDITS, by their lengths and sketches."""
-    bits = sum((F.bit_count(F.col(f"{x}.g{k}").bitwiseXOR(F.col(f"{y}.g{k}"))) for k in range(SKETCH)), F.lit(0))
-    return (F.abs(F.col(f"{x}.chars") - F.col(f"{y}.chars")) <= EDITS) & (bits <= 4 * EDITS)
-
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(line, text) of the wanted lines (line, distinct).  A filter of bounded size, sent to every task, leaves most other
+    lines where they are; those that it lets through fall out in the join."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits_of(wanted))
 
-def settled(buckets: DataFrame, texts: DataFrame, done: DataFrame | None) -> DataFrame:
-    """(line) of the lines that have an earlier one within EDITS in a bucket.  buckets: (key, line, doc_id, version, at) of first places."""
-    place = F.struct("doc_id", "version", "at", "line", "chars", *[f"g{k}" for k in range(SKETCH)]).alias("place")
-    rows = buckets.join(texts.drop("text"), "line").select("key", "line", place)
-    first = rows.groupBy("key").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("lines"))
-    late = rows.join(done, "line", "left_anti") if done is not None else rows
-    late = written(late.join(first, "key").where("place <> first"), "line-late")
-    pairs = written(late.where(alike("first", "place")).select(F.col("first.line").alias("a"), F.col("line").alias("b")).distinct(), "line-pairs")
-    hit = written(near(pairs, texts).select(F.col("b").alias("line")).distinct(), "line-hits")
-    left = late.where(f"lines <= {CROWD} or {done is not None}").join(hit, "line", "left_anti").select("key", F.col("line").alias("b"), F.col("place").alias("late"))
-    early = rows.select("key", F.col("line").alias("a"), F.col("place").alias("early"))
-    more = left.join(early, (left["key"] == early["key"]) & (F.col("early") < F.col("late")) & alike("early", "late")).select("a", "b").distinct()
-    more = more.join(pairs, ["a", "b"], "left_anti")
-    return hit.union(near(more, texts).select(F.col("b").alias("line"))).distinct()
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for _, texts in text_slices(batches):
+            lines = [x for t in texts for x in t.split("\n") if len(x) >= LEAST]
+            keys = np.array([line_key(x) for x in lines], np.int64)
+            if len(seen) > SEEN:
+                seen.clear()
+            found = {int(keys[k]): lines[k] for k in np.flatnonzero(may_hold(shared.value, keys)).tolist() if int(keys[k]) not in seen}
+            seen.update(found)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], names=["line", "text"])
+
+    return docs.mapInArrow(pick, "line long, text string").join(wanted, "line", "left_semi").dropDuplicates(["line"])
+
+
+def late_lines(texts: list[str], settled: list[bool] | None = None) -> list[int]:
+    """Numbers of the lines of a bucket that have an earlier one within EDITS.  texts: different ones, in order of their
+    places.  Lines that are settled already are not looked at again, but others may be near them."""
+    late = [k for k in range(1, len(texts)) if not (settled and settled[k]) and within_edits(texts[0], texts[k])]
+    known = {0, *late, *(k for k, done in enumerate(settled or ()) if done)}
+    if len(known) == len(texts):
+        return late
+    last = max(k for k in range(len(texts)) if k not in known)
+    left = len(os.path.commonprefix(texts))
+    right = len(os.path.commonprefix([t[: left - len(t) - 1 : -1] for t in texts]))
+    index: dict[tuple[int, int, str], list[int]] = {}
+    sketches = np.array([bigram_sketch(t) for t in texts]).view(U)
+    for k, text in enumerate(texts[: last + 1]):
+        rest = text[left : len(text) - right]
+        keys = {(m, i, rest[start : start + size]) for m, i, start, size in plan(len(rest)).tolist()}
+        if k not in known:
+            near = np.array(sorted({j for x in keys for j in index.get(x, ())}), np.int64)
+            bits = np.bitwise_count(sketches[near] ^ sketches[k]).sum(axis=1)
+            near = near[np.argsort(bits, kind="stable")][: np.count_nonzero(bits <= 4 * EDITS)]
+            if any(within_edits(texts[j], text) for j in near.tolist()):
+                late.append(k)
+        for x in keys:
+            index.setdefault(x, []).append(k)
+    return late
+
+
+def settled_by_first(rows: DataFrame) -> DataFrame:
+    """The rows (key, line, rest, within, settled, text, place), settled also if they are near the first line of their bucket
+    (hit) or are it, which looks for no other in the bucket."""
 
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = [not done and within_edits(a, b) for done, a, b in zip(*(batch.column(c).to_pylist() for c in ("settled", "text", "least")), strict=True)]
+            done = [x or y for x, y in zip(batch.column("settled").to_pylist(), hit, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "line", "rest", "within")), pa.array(done, pa.bool_()), pa.array(hit, pa.bool_())], names=["key", "line", "rest", "within", "settled", "hit"])
+
+    first = rows.groupBy("key").agg(F.min(F.struct("place", "text")).alias("first"))
+    met = rows.join(first, "key").select("key", "line", "rest", "within", (F.col("settled") | (F.col("place") == F.col("first.place"))).alias("settled"), "text", F.col("first.text").alias("least"))
+    return met.mapInArrow(verify, "key long, line long, rest string, within long, settled boolean, hit boolean")
+
+
+def settled_lines(buckets: DataFrame, texts: DataFrame) -> DataFrame:
+    """(line) of the lines that have an earlier one within EDITS.  buckets: (key, line); texts: (line, text, doc_id, version, at), of first places."""
+    spark, place = buckets.sparkSession, F.struct("doc_id", "version", "at").alias("place")
+    firsts = texts.select("line", "text", place)
+    # rest: what is left of a line where it has been cut again, else null
+    start = buckets.select("key", "line", F.lit(None).cast("string").alias("rest"), F.lit(0).cast("long").alias("within"), F.lit(False).alias("settled"))
+    held = written(start.join(firsts, "line").select("key", "line", "rest", "within", "settled", "text", "place"), "line-held")
+    done = spark.createDataFrame([], "line long")
+    while True:
+        crowds = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.length(F.coalesce("rest", "text"))).alias("longest")).where((F.col("n") > CROWD) & (F.col("longest") > EDITS)).select("key")
+        if crowds.isEmpty():
+            break
+        met = written(settled_by_first(held.join(crowds, "key").withColumn("rest", F.coalesce("rest", "text"))), "line-met")
+        done = written(done.union(met.where("hit").select("line")).distinct(), "line-settled")
+        rests = written(cut_out(met).distinct(), "line-rests")
+        inner = written(keys_within(rests).distinct(), "line-inner")
+        # of lines that are not settled, and of more than one line
+        open_keys = inner.groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high"), F.min("settled").alias("all_settled")).where("low < high and not all_settled").select("key")
+        inner = inner.join(open_keys, "key", "left_semi").join(firsts, "line").select(*held.columns)
+        held = written(held.join(crowds, "key", "left_anti").union(inner), "line-held")
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+
+        def late() -> pa.RecordBatch:
+            found = late_lines([r[1] for r in rows], [r[2] for r in rows])
+            return pa.RecordBatch.from_arrays([pa.array([rows[k][0] for k in found], pa.int64())], names=["line"])
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, version, at): numbers of the lines to remove."""
+        for batch in batches:
+            for key, *row in zip(batch.column("key").to_pylist(), batch.column("line").to_pylist(), batch.column("text"), batch.column("settled").to_pylist(), strict=True):
+                if key != now:
+                    if len(rows) > 1:
+                        yield late()
+                    now, rows = key, []
+                if not rows or rows[-1][0] != row[0]:
+                    rows.append((row[0], row[1].as_py(), row[2]))
+        if len(rows) > 1:
+            yield late()
+
+    sorted_rows = held.select("key", "line", "text", "settled", "place").repartition("key").sortWithinPartitions("key", "place").select("key", "line", "text", "settled")
+    return done.union(sorted_rows.mapInArrow(settle, "line long")).distinct()
+
+
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact_from: int = LEAST) -> DataFrame:
+    """(doc_id, version, at): numbers of the lines to remove.  `exact_from`: lines of so many characters up to LEAST are removed as exact copies of an earlier one, not as near ones."""
     rows = id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("long"), "text")
-    places = written(lines_of(rows), "lines")
+    places = written(lines_of(rows, exact_from), "lines")
     firsts = places.groupBy("line", "check").agg(F.min(F.struct("doc_id", "version", "at")).alias("first"))
     firsts = written(firsts.select("line", "check", "first.doc_id", "first.version", "first.at"), "firsts")
-    shared = written(shared_buckets(line_keys(rows), ["key"], "line"), "line-buckets")
+    buckets = written(shared_buckets(line_keys(rows), ["key"], "line"), "line-buckets")
     spots = firsts.groupBy("line").agg(F.min(F.struct("doc_id", "version", "at")).alias("first")).select("line", "first.*")
-    buckets = written(shared.join(spots, "line").select("key", "line", "doc_id", "version", "at"), "line-buckets")
-    texts = written(texts_of(rows, buckets.select("line", "doc_id", "version", "at").distinct()), "line-texts")
-    done = written(settled(buckets, texts, None), "settled")
-    crowds = buckets.groupBy("key").count().where(F.col("count") > CROWD).select("key")
-    inner = shared_buckets(keys_within(buckets.join(crowds, "key").select("key", "line").join(texts.select("line", "text"), "line")), ["key"], "line")
-    inner = written(inner.join(spots, "line").select("key", "line", "doc_id", "version", "at"), "line-crowds")
-    if not inner.isEmpty():
-        done = written(done.union(settled(inner, texts, done)).distinct(), "settled")
+    spots = written(spots.join(buckets.select("line").distinct(), "line", "left_semi"), "line-spots")
+    texts = written(texts_of(rows, spots.select("line")).join(spots, "line"), "line-texts")
+    done = written(settled_lines(buckets, texts), "settled")
     gone = firsts.join(done, "line", "left_semi").select("line", "check").withColumn("near", F.lit(True))
     judged = places.join(firsts.select("line", "check", F.struct("doc_id", "version", "at").alias("first")), ["line", "check"]).join(gone, ["line", "check"], "left")
     return judged.where(F.col("near") | (F.struct("doc_id", "version", "at") != F.col("first"))).select("doc_id", "version", "at")
 
 
-def removed_by_document(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def removed_by_document(docs: DataFrame, id_col: str, text_col: str, exact_from: int = LEAST) -> DataFrame:
     """(gone_id_, gone_version_, gone_): the numbers of a document's removed lines, in order."""
-    gone = removed_lines(docs, id_col, text_col).distinct().groupBy(F.col("doc_id").alias("gone_id_"), F.col("version").alias("gone_version_"))
+    gone = removed_lines(docs, id_col, text_col, exact_from).distinct().groupBy(F.col("doc_id").alias("gone_id_"), F.col("version").alias("gone_version_"))
     return gone.agg(F.sort_array(F.collect_list("at")).alias("gone_"))
 
 
-def line_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact_from: int = LEAST) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed) of every row: the numbers of its removed lines, comma-joined in order.  A row's list is no longer than its lines."""
-    gone = removed_by_document(docs, id_col, text_col)
+    gone = removed_by_document(docs, id_col, text_col, exact_from)
     n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     rows = id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("long"), n_lines.cast("long").alias("n_lines"), version_of("text").alias("version"))
     rows = rows.join(gone, rows["doc_id"].eqNullSafe(F.col("gone_id_")) & (rows["version"] == F.col("gone_version_")), "left")
     return rows.select("doc_id", "n_lines", F.coalesce(F.size("gone_"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("gone_", ","), F.lit("")).alias("removed"))
 
 
-def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact_from: int = LEAST) -> DataFrame:
     """`docs` without the removed lines; documents that had lines and have none left are left out.  n_chars, if there, is that of the new text."""
-    gone = removed_by_document(docs, id_col, text_col)
+    gone = removed_by_document(docs, id_col, text_col, exact_from)
     rows = docs.withColumn("version_", version_of(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     rows = rows.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("gone_id_")) & (F.col("version_") == F.col("gone_version_")), "left")
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
