@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 #: Texts are handed to a helper in slices of about this many bytes, so that its arrays stay small whatever the batch.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Odd constants of polynomial hashes.
 BASE, SPREAD, MIX = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9
 U = np.uint64

@@ -24,19 +24,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelforge.llm.common import id_and_text, text_slices
 
-#: Bounds of what is fitted on: rows of a language (about), characters of a row, languages (the most frequent).
-PER_LANG, MOST_CHARS, MOST_LANGS = 300, 50_000, 200
+#: Bounds of what is fitted on: rows of a language (about), characters of a row, characters of all rows.
+PER_LANG, MOST_CHARS, TOTAL_CHARS = 300, 50_000, 64_000_000
 #: Training sequences of so many words, and how many for each language; one word in SWITCH starts another language.
 SPAN, SPANS_PER_LANG, SWITCH = 32, 700, 12
 #: Words of the lexicon for each language, hashed feature weights, gradient steps.
 LEXICON, SLOTS, STEPS = 3000, 1 << 16, 40
-#: Words whose scores a worker keeps.
-TABLE = 500_000
+#: Bounds for the fit's memory with many languages: sequences times languages, and words of the lexicon times languages squared.
+MOST_CELLS, MOST_WEIGHTS = 600_000, 36_000_000
+#: Words whose scores a task keeps, at about 150 bytes.
+TABLE = 200_000
 SEGMENT = 64
 UNDETERMINED = "und"
 
@@ -104,8 +107,9 @@ def spliced(texts: dict[str, list[list[str]]], seed: int) -> tuple[list[list[str
     """Training sequences of SPAN words that switch between documents of different languages, and their labels."""
     draw, langs = random.Random(seed), sorted(texts)
     words, labels = [], []
+    spans = min(SPANS_PER_LANG, max(2, MOST_CELLS // len(langs) ** 2))
     for home, lang in enumerate(langs):
-        for _ in range(SPANS_PER_LANG):
+        for _ in range(spans):
             row, row_labels, now = [], [], home
             while len(row) < SPAN:
                 doc = draw.choice(texts[langs[now]])
@@ -132,7 +136,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 11) -> CrfModel | None:
     lexicon: dict[str, int] = {}
     for lang in langs:
         counts = Counter(w for doc in texts[lang] for w in doc)
-        for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
+        for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: min(LEXICON, MOST_WEIGHTS // len(langs) ** 2)]:
             lexicon.setdefault(w, len(lexicon))
     sequences, labels = spliced(texts, seed)
     distinct = sorted({w for s in sequences for w in s})
@@ -159,8 +163,8 @@ def fit(rows: list[tuple[str, str]], seed: int = 11) -> CrfModel | None:
         for t in range(SPAN - 1, -1, -1):
             back[:, t] = b
             if t:
-                pair = ahead[:, t - 1, :, None] * step[None] * (psi[:, t] * b)[:, None, :]
-                moves += (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+                before, after = ahead[:, t - 1], psi[:, t] * b
+                moves += step * ((before / ((before @ step) * after).sum(axis=1, keepdims=True)).T @ after)
             b = (psi[:, t] * b) @ step.T
             b /= b.sum(axis=1, keepdims=True)
         post = ahead * back
@@ -175,8 +179,9 @@ def fit(rows: list[tuple[str, str]], seed: int = 11) -> CrfModel | None:
     return CrfModel(langs, lexicon, weights.astype(np.float32), transitions)
 
 
-def marginals(emit: np.ndarray, sizes: np.ndarray, transitions: np.ndarray) -> np.ndarray:
-    """Sums over each sequence of its words' probabilities.  emit: scores of all words; sizes: words of each sequence (over 0)."""
+def marginals(emit: np.ndarray, sizes: np.ndarray, transitions: np.ndarray, surest: bool = False) -> np.ndarray:
+    """Sums over each sequence of its words' probabilities, with `surest` in one more column of the largest of each word.
+    emit: scores of all words; sizes: words of each sequence (over 0)."""
     n_langs, step = emit.shape[1], np.exp(transitions)
     parts = -(-sizes // SEGMENT)
     segments, first = int(parts.sum()), np.cumsum(parts) - parts
@@ -203,10 +208,13 @@ def marginals(emit: np.ndarray, sizes: np.ndarray, transitions: np.ndarray) -> n
         moved = (a @ step) * psi[:, t]
         a = np.where(real[:, t], moved / moved.sum(axis=1, keepdims=True), a)
         ahead[t] = a
-    total, b = np.zeros((segments, n_langs)), leaving
+    total, b = np.zeros((segments, n_langs + surest)), leaving
     for t in range(SEGMENT - 1, -1, -1):
         post = ahead[t] * b
-        total += np.where(real[:, t], post / post.sum(axis=1, keepdims=True), 0.0)
+        post /= post.sum(axis=1, keepdims=True)
+        total[:, :n_langs] += np.where(real[:, t], post, 0.0)
+        if surest:
+            total[:, n_langs] += np.where(real[:, t, 0], post.max(axis=1), 0.0)
         moved = (psi[:, t] * b) @ step.T
         b = np.where(real[:, t], moved / moved.sum(axis=1, keepdims=True), b)
     return np.add.reduceat(total, first, axis=0)
@@ -237,20 +245,23 @@ class WordScores:
         self.row.update((w, 0) for w, p in zip(new, plain, strict=True) if not p)
         self.n += len(some)
 
-    def label(self, texts: list[str]) -> list[tuple[str, float]]:
+    def means(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words with letters of each text, and their mean probabilities; the last column is the mean of each word's largest."""
         words = [t.split() for t in texts]
         self.learn(set().union(*words))
         rows = [np.fromiter(map(self.row.__getitem__, w), np.int64, len(w)) for w in words]
         rows = [r[r > 0] for r in rows]
         sizes = np.array([len(r) for r in rows])
-        out = [(UNDETERMINED, 0.0)] * len(texts)
-        some = np.flatnonzero(sizes)
+        means, some = np.zeros((len(texts), len(self.model.langs) + 1)), np.flatnonzero(sizes)
         if len(some):
-            means = marginals(self.scores[np.concatenate([rows[i] for i in some])].astype(np.float64), sizes[some], self.model.transitions) / sizes[some][:, None]
-            for i, mean in zip(some, means, strict=True):
-                best = int(mean.argmax())
-                out[i] = (self.model.langs[best], min(1.0, float(mean[best])))
-        return out
+            sums = marginals(self.scores[np.concatenate([rows[i] for i in some])].astype(np.float64), sizes[some], self.model.transitions, surest=True)
+            means[some] = np.minimum(sums / sizes[some][:, None], 1.0)
+        return sizes, means
+
+    def label(self, texts: list[str]) -> list[tuple[str, float]]:
+        sizes, means = self.means(texts)
+        best = means[:, :-1].argmax(axis=1)
+        return [(self.model.langs[k], float(mean[k])) if n else (UNDETERMINED, 0.0) for n, k, mean in zip(sizes, best, means, strict=True)]
 
 
 def fold(id_col: Column) -> Column:
@@ -259,15 +270,20 @@ def fold(id_col: Column) -> Column:
 
 
 def train(docs: DataFrame, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> CrfModel | None:
-    """Fits on about PER_LANG rows of each language that are not held out: those whose ids hash below their language's share."""
+    """Fits on about PER_LANG rows of each language that are not held out: those whose ids hash below their language's share.
+    With very many languages the share of all is less, so that the rows hold TOTAL_CHARS characters, about; every language is learned."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 0))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
+    short = F.when(F.length("text") <= MOST_CHARS, F.length("text"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg(short).alias("chars")).collect()
+    chars = sum(min(PER_LANG, r["n"]) * (r["chars"] or 0) for r in counts)
+    per_lang = max(1.0, PER_LANG * min(1.0, TOTAL_CHARS / max(chars, 1)))
     share = F.lit(None).cast("double")
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(PER_LANG / r["count"])).otherwise(share)
+    if counts:
+        shares = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_lang / r["n"]))])
+        share = F.element_at(shares, F.col("lang"))
     at = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
-    some = rows.where((at < share) & (F.length("text") <= MOST_CHARS)).select("lang", "text").limit(2 * PER_LANG * max(1, len(counts))).collect()
+    some = rows.where((at < share) & (F.length("text") <= MOST_CHARS)).select("lang", "text").limit(int(2 * per_lang * max(1, len(counts)))).collect()
     return fit([(r["lang"], r["text"]) for r in some], seed)
 
 
@@ -285,6 +301,29 @@ def languages(docs: DataFrame, model: CrfModel | None, id_col: str = "doc_id", t
     return rows.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def recognised(docs: DataFrame, model: CrfModel | None, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, whose text has letters and whose words are labelled with a mean probability of
+    `least` at least, each by its own most probable language: text that mixes languages is kept, text in none is not.
+
+    No shuffle: rows are left out of the batches they come in.  Without a model there is nothing to recognise, and all stay.
+    """
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = WordScores(shared.value)
+        for batch in batches:
+            at = 0
+            texts = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), pc.fill_null(batch.column(text_col), "")], names=["doc_id", "text"])
+            for _, some in text_slices(iter([texts])):
+                sizes, means = table.means(some)
+                yield batch.slice(at, len(some)).filter(pa.array((sizes > 0) & (means[:, -1] >= least)))
+                at += len(some)
+
+    return docs.mapInArrow(choose, docs.schema)
+
+
 def word_languages(docs: DataFrame, model: CrfModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, position, word, lang) of every word with letters: the most probable language of each, for code-switched texts."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

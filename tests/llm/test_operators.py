@@ -377,3 +377,189 @@ def test_ngram_join(spark):
     assert ngram_join.jaccard_components(docs(spark, [])).count() == 0
     same = ngram_join.jaccard_components(docs(spark, [(7, "a b c d e f"), (7, "a b c d e f"), (3, "q r s t u v")])).collect()
     assert sorted((r.doc_id, r.component_id) for r in same) == [(3, 3), (7, 7), (7, 7)]
+
+
+def test_tokenizers_that_are_not_followed(tmp_path):
+    import json
+
+    with open(BPE, encoding="utf-8") as f:
+        spec = json.load(f)
+    small = spec | {"model": spec["model"] | {"merges": spec["model"]["merges"][:300]}}
+    token_counts.refuse(small)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"ignore_merges": True}}, {"added_tokens": [{"content": "x", "special": False}]}):
+        with pytest.raises(ValueError, match="can't be followed"):
+            token_counts.refuse(small | change)
+    merges = small["model"]["merges"]
+    late = next(k for k, m in enumerate(merges) if len((m if isinstance(m, list) else m.split(" "))[0]) > 1)
+    path = tmp_path / "late.json"
+    path.write_text(json.dumps(spec | {"model": spec["model"] | {"merges": [merges[late], *merges[:late], *merges[late + 1 :]]}}), encoding="utf-8")
+    with pytest.raises(ValueError, match="ranks below"):
+        token_counts.MergeTable(str(path))
+
+
+def test_language_contract(spark, monkeypatch):
+    """held_out is the fold of the id; the texts and labels of held-out rows don't reach the fit."""
+    import zlib
+
+    draw = random.Random(7)
+    stems = {"en": ["the", "and", "thing"], "de": ["der", "und", "schaft"]}
+    rows = [(i, " ".join(draw.choices(stems[lang], k=30)), "s", lang) for i, lang in enumerate(["en", "de"] * 60)]
+    out = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    model = language_id.train(docs(spark, rows))
+    other = language_id.train(docs(spark, [r if not out(r[0]) else (r[0], "zzz yyy", "s", "xx") for r in rows]))
+    assert model.langs == other.langs == ["de", "en"] and np.array_equal(model.weights, other.weights) and np.array_equal(model.transitions, other.transitions)
+    got = language_id.languages(docs(spark, [*rows, (-3, "the", "s", "en"), (None, "und", "s", "de")]), model).collect()
+    assert {r.doc_id: r.held_out for r in got if r.doc_id is not None} == {i: out(i) for i in [*range(120), -3]} and len(got) == 122
+    assert [r.held_out for r in got if r.doc_id is None] == [False]
+    # every language is learned, however many there are
+    monkeypatch.setattr(language_id, "SPANS_PER_LANG", 2)
+    monkeypatch.setattr(language_id, "STEPS", 3)
+    many = [(i, f"wort{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} ende", "s", f"l{i % 230:03d}") for i in range(1380)]
+    assert len(language_id.train(docs(spark, many)).langs) >= 225
+
+
+def test_recognised(spark):
+    draw = random.Random(5)
+    stems = {"en": ["the", "and", "thing", "house"], "de": ["der", "und", "schaft", "haus"], "es": ["el", "ción", "casa", "los"]}
+    rows = [(i, " ".join(draw.choices(stems[lang], k=40)), "s", lang) for i, lang in enumerate(["en", "de", "es"] * 40)]
+    model = language_id.train(docs(spark, rows))
+    mixed = (500, " ".join(" ".join(draw.choices(stems[lang], k=20)) for lang in ("en", "de", "es")), "s", None)
+    odd = [(501, None), (502, ""), (503, "12 !!"), mixed, (504, "the " * 50_000), (505, "the")]
+    kept = language_id.recognised(docs(spark, rows + odd), model, 0.4)
+    assert {r.doc_id for r in kept.collect()} == {*range(120), 500, 504, 505} and kept.columns == docs(spark, []).columns
+    assert language_id.recognised(docs(spark, []), model, 0.4).count() == 0 and language_id.recognised(docs(spark, odd), None, 0.4).count() == len(odd)
+
+
+def test_mixture_keeps_columns_of_any_name(spark):
+    rows = docs(spark, [(i, f"one two three {i}", "a") for i in range(20)]).withColumns({k: F.lit("mine") for k in ("passes", "taken_rest", "taken_from", "whole_", "whole", "t", "d", "row_key_", "a.b")})
+    out = mixture.mixed_documents(rows)
+    assert out.columns == rows.columns and out.where("passes <> 'mine' or `a.b` <> 'mine' or whole <> 'mine'").count() == 0 and out.count() >= 20
+
+
+def test_secrets_of_many_spans_and_their_rates():
+    import time
+
+    draw = random.Random(3)
+    ratio = secrets.CharModel(secrets.random_strings(2000, 1)).logs - secrets.CharModel(secrets.ordinary_strings([], 2000, 2)).logs
+    dump = "\n".join(f"token = {''.join(draw.choices('abcdef0123456789', k=40))}" for _ in range(20_000))
+    start = time.time()
+    assert sum(k == 0 for _, _, k in secrets.spans_of(dump, ratio)) == 20_000 and time.time() - start < 20
+    # planted keys of letters and digits among words, and identifiers of code, neither used in the fit
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    keys = [k for k in ("".join(draw.choices(letters, k=draw.randint(24, 48))) for _ in range(400)) if secrets.mixed(k)]
+    found = sum(any(a <= 9 and b >= 9 + len(k) - 4 for a, b, _ in secrets.spans_of(f"word say {k} more", ratio)) for k in keys)
+    words = "render window pixel shader vertex matrix camera light texture buffer export import public static final private widget layout".split()
+    names = ["_".join(draw.choices(words, k=5)) + str(draw.randint(0, 99)) for _ in range(400)]
+    alarms = sum(bool(secrets.spans_of(f"word say {n} more", ratio)) for n in names)
+    assert found >= 0.97 * len(keys) and alarms <= 0.02 * len(names)
+
+
+def test_chat_of_repeats_and_missing_ids(spark):
+    rows = [(5, 1, None, "user", "q", 0.0), (5, 1, None, "user", "q", 0.0), (5, 2, 1, "assistant", "b", 0.5), (5, 2, 1, "assistant", "a", 0.9), (None, 1, None, "user", "lone", 1.0), (None, 2, 1, "assistant", "reply", 1.0), (5, None, 1, "assistant", "nowhere", 9.0), (0, 1, None, "user", "zero", 1.0)]
+    tree = spark.createDataFrame(rows, "conv_id long, message_id long, parent_id long, role string, text string, score double")
+    got = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat.read_back(chat.formatted(tree)).collect()}
+    assert got == {5: [("user", "q"), ("assistant", "a")], None: [("user", "lone"), ("assistant", "reply")], 0: [("user", "zero")]}
+    flat = spark.createDataFrame([(None, 0, "user", "x"), (5, 0, "user", "y"), (None, 1, "assistant", "z")], "conv_id long, turn long, role string, text string")
+    assert sorted((r.conv_id is None, r.n_turns) for r in chat.chat_digest(flat).collect()) == [(False, 1), (True, 2)]
+    # branches of one tree are ranked by the mean of their scores
+    forked = spark.createDataFrame([(1, 1, None, "user", "q", 0.0), *[(1, k, 1, "assistant", f"a{k}", k / 10) for k in range(2, 8)], (1, 8, 3, "user", "on", 5.0)], tree.schema)
+    ranked = chat.formatted(forked, best=3).orderBy("branch_rank").collect()
+    assert [r.leaf_id for r in ranked] == [8, 7, 6]
+
+
+def test_telephony_of_long_and_foreign_files(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    for rate, to in ((8000, 16000), (8000, 8000), (16000, 8000), (8000, 11025), (11025, 8000)):
+        for n in (0, 1, 2, 999, 5000):
+            pcm = rng.integers(-32768, 32767, n, dtype=np.int16)
+            cuts = np.sort(rng.integers(0, n + 1, 7))
+            pieces = list(telephony.resampled(iter(np.split(pcm, cuts)), rate, to))
+            assert np.array_equal(np.concatenate([np.empty(0, np.int16), *pieces]), telephony.resample(pcm, rate, to)[: n * to // rate] if rate != to else pcm), (rate, to, n)
+    rows = docs(spark, [(k, chr(97 + k) * (576 * 40)) for k in range(9)])
+    whole = {r.doc_id: r for r in telephony.telephony_digest(telephony.pack_bytes(rows)).collect()}
+    pcm = {r.id: bytes(r.pcm) for r in telephony.unpack_audio(telephony.pack_bytes(rows)).collect()}
+    monkeypatch.setattr(telephony, "LARGE", 576 * 7)
+    files = [telephony.read_wav(telephony.wav((chr(97 + k) * (576 * 40)).encode(), telephony.codec_of((chr(97 + k) * (576 * 40)).encode()))) for k in range(9)]
+    for k, (f, p) in enumerate(zip(files, telephony.samples_of(files), strict=True)):
+        parts = list(p)
+        assert len(parts) > 1 and np.concatenate(parts).astype("<i2").tobytes() == pcm[k] and telephony.features(f[0], iter(parts)) == whole[k].feature
+    bad = spark.createDataFrame([(1, 3, None), (2, 4, b"RIFF"), (3, 5, b"not audio at all"), (4, 0, telephony.wav(b"", "alaw"))], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: (r.payload_bytes, r.feature) for r in telephony.telephony_digest(bad).collect()}
+    assert got == {1: (None, None), 2: (None, None), 3: (None, None), 4: (0, "alaw:0:0:0:0:00000000")}
+
+
+def test_line_keys_equal_each_other():
+    draw = random.Random(1)
+    lines = ["".join(draw.choices("abcdé 😀", k=draw.randint(20, 200))) for _ in range(100)]
+    keys, owner = line_dedup.keys_of_all(lines)
+    for k, x in enumerate(lines):
+        own, _, look, _ = line_dedup.keys_of(x)
+        assert sorted(keys[owner == k].tolist()) == sorted(look) and set(own) <= set(look)
+
+
+def test_work_for_a_line_does_not_grow_with_its_bucket(monkeypatch):
+    """Candidates that are verified, for each line of families that share both ends, or count up."""
+    draw, real, calls = random.Random(1), line_dedup.within_edits, [0]
+
+    def counting(*x):
+        calls[0] += 1
+        return real(*x)
+
+    monkeypatch.setattr(line_dedup, "within_edits", counting)
+    for n in (90, 200, 400, 800):
+        apart = [f"the very same opening of it {''.join(draw.choices('abcdefghijklmnopqrstuvwxyz', k=9))} and the very same end of all" for _ in range(n)]
+        near = [f"page number {k:04d} of a very long report on something" for k in range(n)]
+        for family in (apart, near):
+            calls[0] = 0
+            line_dedup.late_lines(family)
+            assert calls[0] <= 3 * n
+            assert len(set(line_dedup.keys_of_all(family)[0].tolist())) <= 13 * n  # rows for each line
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="ab", min_size=0, max_size=9), min_size=1, max_size=25, unique=True))
+def test_late_lines(texts):
+    texts = [f"opening {t} end" for t in texts]
+    assert sorted(line_dedup.late_lines(texts)) == [k for k in range(len(texts)) if any(brute.edit_distance(texts[j], texts[k]) <= 2 for j in range(k))]
+
+
+def test_short_lines_as_exact_copies(spark):
+    rows = [(1, "short\nshort\n\nx"), (2, "short\nother\nx")]
+    assert {r.doc_id: r.removed for r in line_dedup.line_digest(docs(spark, rows), exact_from=2).collect()} == {1: "1", 2: "0"}
+    assert {r.doc_id: r.removed for r in line_dedup.line_digest(docs(spark, rows)).collect()} == {1: "", 2: ""}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab Z\n\t é", max_size=60))
+def test_shingles_equal_the_plain_ones(text):
+    """As many as distinct runs of words, whatever else is in the batch; equal for equal runs."""
+    alone, among = ngram_join.shingle_sets([text])[0], ngram_join.shingle_sets(["a b c d e f", text, text.upper() if text.isascii() else text])
+    assert np.array_equal(alone, among[1]) and len(alone) == len(brute.shingle_set(text))
+    if text.isascii():
+        assert np.array_equal(alone, among[2])
+
+
+def test_packed_hashes():
+    draw = np.random.default_rng(4)
+    for n in (1, 2, 1000):
+        for bits in (8, 40, 56, 64):
+            h = np.sort(draw.integers(0, 1 << bits, n, dtype=np.uint64, endpoint=False)) if bits < 64 else np.sort(draw.integers(0, (1 << 64) - 1, n, dtype=np.uint64))
+            assert np.array_equal(ngram_join.unpacked(ngram_join.packed(h)), h)
+
+
+def test_ngram_join_of_many_slices(spark, monkeypatch):
+    """Slices of a few sets, shingles that are hot in them, long texts cut into pieces."""
+    monkeypatch.setattr(ngram_join, "SLICE_SHINGLES", 150)
+    monkeypatch.setattr(ngram_join, "HOT", 3)
+    draw = random.Random(11)
+    base, lead = draw.choices([f"w{k}" for k in range(60)], k=40), "one common opening of eight words that repeats"
+    rows = []
+    for k in range(90):
+        words = list(base) if k % 3 == 0 else draw.choices([f"w{j}" for j in range(60)], k=30)
+        for _ in range(k % 4):
+            words[draw.randrange(len(words))] = f"v{draw.randrange(9)}"
+        rows.append((lead + " " if k % 2 else "") + " ".join(words))
+    rows += ["", None, rows[0], "long " + " ".join(f"x{j % 50_000}" for j in range(250_000)), " ".join(f"x{j % 50_000}" for j in range(250_000))]
+    want = brute.components(list(enumerate(rows)))
+    got = ngram_join.jaccard_components(docs(spark, list(enumerate(rows))).repartition(3)).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
