@@ -1,11 +1,11 @@
 """SentencePiece encoding and decoding through a table of distinct chunks.
 
 White space is written as a marker, and no piece of the vocabulary has a marker after another character.  So a text
-falls into chunks (markers, then other characters) that are segmented apart from each other.  A Python worker keeps a table
-of the distinct chunks it has met, each segmented and decoded once, and joins the ids back by the chunks' positions.
+falls into chunks (markers, then other characters) that are segmented apart from each other.  A task keeps a table of the
+distinct chunks it has met, each segmented and decoded once, and joins the ids back by the chunks' positions.
 
-The table is per worker on purpose: a table for the whole corpus would have to be joined to every word of every text, a
-shuffle of more rows than there are words, to save segmenting a chunk once per worker.
+The table is per task on purpose: a table for the whole corpus would have to be joined to every word of every text, a
+shuffle of more rows than there are words, to save segmenting a chunk once per task.
 
 Defined results: a null or empty text has the end id only and decodes to the empty text; repeated rows each get a row.
 Only the id and text columns are read, so other columns can't clash.
@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from parcelforge.llm.common import id_and_text, text_slices
 
 MARK = "▁"
-#: Distinct chunks a worker keeps; then it starts afresh (they are only segmented again).
-TABLE = 600_000
+#: A task keeps chunks up to so many bytes, about; then it starts afresh (they are only segmented again).
+TABLE_BYTES = 64 << 20
+#: Bytes that a chunk takes besides its characters, about.
+ENTRY_BYTES = 400
 
 
 class ChunkModel:
@@ -65,22 +67,18 @@ class ChunkTable:
     """Ids and decoded text of the distinct chunks met so far."""
 
     def __init__(self, model: ChunkModel):
-        self.model, self.ids, self.decoded = model, {}, {}
+        self.model, self.ids, self.decoded, self.held = model, {}, {}, 0
 
     def learn(self, chunks: set[str]) -> None:
-        if len(self.ids) > TABLE:
+        if self.held > TABLE_BYTES:
             self.ids.clear()
             self.decoded.clear()
+            self.held = 0
         new = list(chunks.difference(self.ids)) if self.ids else list(chunks)
         ids, decoded = self.model.segment(new)
         self.ids.update(zip(new, ids, strict=True))
         self.decoded.update(zip(new, decoded, strict=True))
-
-
-@functools.lru_cache(maxsize=1)
-def chunk_table(path: str) -> ChunkTable:
-    """One for each Python worker, which runs task after task."""
-    return ChunkTable(chunk_model(path))
+        self.held += sum(2 * len(c) + len(i) for c, i in zip(new, ids, strict=True)) + ENTRY_BYTES * len(new)
 
 
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
@@ -120,7 +118,7 @@ def encoded_digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_co
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[list, list[tuple[int, str, str]]]]:
     """ids and, for each of their texts, (number of ids, ids as text, decoded text)."""
-    table = chunk_table(path)
+    table = ChunkTable(chunk_model(path))
     end = f" {table.model.end}"
     for ids, texts in text_slices(batches):
         rows = [chunks_of(t) for t in texts]

@@ -27,20 +27,38 @@ from parcelforge.llm.common import id_and_text, text_slices
 
 #: The splitting pattern that byte-level BPE vocabularies of this kind are defined with.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Counts of so many distinct pre-tokens are kept by a worker; then it starts afresh (they are only counted again).
-MEMO = 1_000_000
+#: A task keeps the counts of distinct pre-tokens up to so many bytes, about; then it starts afresh (they are only counted again).
+MEMO_BYTES = 64 << 20
+#: Bytes that an entry takes besides its characters, about.
+ENTRY_BYTES = 160
 #: Pre-tokens taken from a text at a time.
 STEP = 1_000_000
 
 UNRANKED = np.iinfo(np.int64).max
 
 
+def refuse(spec: dict) -> None:
+    """Raises for tokenizer files whose rules are others than those followed here."""
+    pre = spec.get("pre_tokenizer") or {}
+    steps = pre.get("pretokenizers", [pre])
+    model = spec["model"]
+    odd = [
+        (model.get("type", "BPE") != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("ignore_merges"), "its model isn't plain BPE"),
+        (spec.get("normalizer"), "it normalises texts"),
+        (len(steps) != 1 or steps[0].get("type") != "ByteLevel" or not steps[0].get("use_regex", True) or steps[0].get("add_prefix_space"), "it doesn't split texts as byte-level BPE does"),
+        (any(not t.get("special") or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens", [])), "it has added tokens with rules of their own"),
+    ]
+    if found := [why for is_odd, why in odd if is_odd]:
+        raise ValueError(f"this tokenizer can't be followed: {'; '.join(found)}")
+
+
 class MergeTable:
     """Symbols, ranked pairs and special strings of a tokenizer file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        refuse(spec)
         vocab = spec["model"]["vocab"]
         self.width = max(vocab.values()) + 1
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
@@ -50,6 +68,10 @@ class MergeTable:
         keys = left * self.width + right
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
+        first = np.full(self.width, -1)  # the first merge that makes a symbol
+        first[made[::-1]] = np.arange(len(made))[::-1]
+        if (np.maximum(first[left], first[right]) >= np.arange(len(made))).any():
+            raise ValueError("this tokenizer can't be followed: a merge ranks below one that makes its parts, so that merging at once isn't merging one by one")
         self.bytes = np.array([vocab[c] for c in byte_names()], dtype=np.int64)
         self.special = sorted((t["content"] for t in spec.get("added_tokens", []) if t.get("special")), key=len, reverse=True)
 
@@ -93,12 +115,6 @@ class MergeTable:
         return counts
 
 
-@functools.lru_cache(maxsize=1)
-def counted(path: str) -> dict[str, int]:
-    """Symbols left of the pre-tokens met so far, for each Python worker, which runs task after task."""
-    return {}
-
-
 def byte_names() -> list[str]:
     """The character that stands for each byte in vocabularies of this kind: itself if it prints, else from 256 on."""
     shown = {*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -135,14 +151,18 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, split = merge_table(tokenizer), regex.compile(SPLIT)
         apart = regex.compile("|".join(map(regex.escape, table.special))) if table.special else None
-        memo = counted(tokenizer)
+        memo: dict[str, int] = {}
+        held = 0
 
         def learn(tokens: set[str]) -> None:
-            if len(memo) > MEMO:
+            nonlocal held
+            if held > MEMO_BYTES:
                 memo.clear()
+                held = 0
             new = list(tokens.difference(memo))
             if new:
                 memo.update(zip(new, table.count([t.encode() for t in new]).tolist(), strict=True))
+                held += sum(map(len, new)) + ENTRY_BYTES * len(new)
 
         for ids, texts in text_slices(batches):
             found, longer = [], []
