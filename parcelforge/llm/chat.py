@@ -9,10 +9,11 @@ Template: `<turn ROLE>TEXT</turn>` and a newline per message.  In roles and text
 `\\l` and `>` as `\\g`, so that no text can hold a control string, and replacing `\\l`, `\\g`, `\\b` in this order gives the
 text back.  The loss mask lists the code points (end exclusive) that assistant texts take in the formatted conversation.
 
-Defined results: null roles and texts are empty, null scores 0; messages whose parent isn't there are roots; repeated
-message ids within a tree are told apart by no one and so count as one reply each (rows with equal keys: see
-`thread_messages`, which numbers them); messages on a cycle hang below no root and are left out; ties of the score go to
-the smallest leaf id.  One conversation is one row, so it must fit into a task's memory, as any formatted text must.
+Defined results: null roles and texts are empty, null scores 0; messages whose parent isn't there are roots; rows that
+repeat a message id of their tree are one message, that of the smallest (parent, role, text, score) (`thread_messages`
+numbers rows, so that there each is a message of its own); a null conversation id is one conversation; messages without
+an id can't be placed and are left out, as are those on a cycle, which hang below no root; ties of the score go to the
+smallest leaf id.  One conversation is one row, so it must fit into a task's memory, as any formatted text must.
 Only the named columns are read, so other columns can't clash.
 """
 
@@ -68,12 +69,19 @@ def paths(messages: DataFrame) -> DataFrame:
     return found
 
 
-def formatted(messages: DataFrame, best: int | None = 1) -> DataFrame:
+def formatted(messages: DataFrame, best: int | None = 1, unique: bool = False) -> DataFrame:
     """(conv_id, branch_rank, leaf_id, score, n_turns, formatted, loss_mask) of the `best` paths of each tree (all: None).
 
-    `messages`: (conv_id, message_id, parent_id, role, text, score).  loss_mask: array of (start, end), code points.
+    `messages`: (conv_id, message_id, parent_id, role, text, score); `unique`: no message id is there twice in a tree.
+    loss_mask: array of (start, end), code points.
     """
-    messages = messages.select("conv_id", "message_id", "parent_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    kind = messages.schema["conv_id"].dataType
+    # null is a conversation like others: the joins below need a key that is never null
+    conv = F.struct(F.col("conv_id").isNull().alias("none"), F.coalesce("conv_id", F.lit("0").cast(kind)).alias("id"))
+    messages = messages.where("message_id is not null")
+    messages = messages.select(conv.alias("conv_id"), "message_id", "parent_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    if not unique:
+        messages = messages.groupBy("conv_id", "message_id").agg(F.min(F.struct("parent_id", "role", "text", "score")).alias("m")).select("conv_id", "message_id", "m.*")
     on_path = paths(messages).join(messages.select("conv_id", "message_id", "role", "text", "score"), ["conv_id", "message_id"])
     head = F.concat(F.lit("<turn "), escaped(F.col("role")), F.lit(">"))
     body = escaped(F.col("text"))
@@ -95,7 +103,7 @@ def formatted(messages: DataFrame, best: int | None = 1) -> DataFrame:
         return F.struct((end + len("</turn>\n")).alias("end"), F.when(w["loss"], F.array_append(acc["mask"], span)).otherwise(acc["mask"]).alias("mask"))
 
     text = F.concat(F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"])), "</turn>\n"), F.lit("</turn>\n"))
-    return branches.select("conv_id", "branch_rank", "leaf_id", "score", F.size("turns").alias("n_turns"), text.alias("formatted"), F.aggregate(widths, empty, add)["mask"].alias("loss_mask"))
+    return branches.select(F.when(~F.col("conv_id.none"), F.col("conv_id.id")).alias("conv_id"), "branch_rank", "leaf_id", "score", F.size("turns").alias("n_turns"), text.alias("formatted"), F.aggregate(widths, empty, add)["mask"].alias("loss_mask"))
 
 
 def read_back(chats: DataFrame) -> DataFrame:
@@ -109,7 +117,7 @@ def read_back(chats: DataFrame) -> DataFrame:
 
 def chat_digest(rows: DataFrame) -> DataFrame:
     """Of (conv_id, turn, role, text): per conversation, what is read back from its formatted form."""
-    back = read_back(formatted(thread_messages(rows)))
+    back = read_back(formatted(thread_messages(rows), unique=True))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"),

@@ -19,13 +19,14 @@ import os
 import pickle
 import tempfile
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelforge.llm.common import id_and_text, text_slices
+from parcelforge.llm.common import SLICE_BYTES, id_and_text, text_slices
 
 TRIE_BYTES = 96 << 20
 #: Memory of a node besides its label, about.
@@ -190,7 +191,7 @@ FIELDS = ["n_bytes", "hash", "text", "owner", "n_rows"]
 SCHEMA = "n_bytes long, hash long, text binary, owner long, n_rows long"
 
 
-def as_batches(items: Iterator[tuple[tuple[int, int], bytes, int, int]], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def as_batches(items: Iterator[tuple[tuple[int, int], bytes, int, int]], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     rows, held = [], 0
     for (n, h), text, owner, count in items:
         rows.append((n, h, text, owner, count))
@@ -228,8 +229,8 @@ def owned_texts(docs: DataFrame, keep: str = "smallest", trie_bytes: int = TRIE_
             for row in zip(*columns, strict=True):
                 n, h, text, owner, rows = (x.as_py() for x in row)
                 tries.insert((n, h), text, owner, rows)
-        rows = [(hashlib.sha256(text).hexdigest(), owner, count) for _, text, owner, count in tries.items()]
-        if rows:
+        found = ((hashlib.sha256(text).hexdigest(), owner, count) for _, text, owner, count in tries.items())
+        while rows := list(islice(found, 10_000)):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["text_sha256", "keep_id", "group_size"])
 
     rows = id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("long"), "text")

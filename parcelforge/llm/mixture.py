@@ -123,18 +123,21 @@ def words_from(text: Column, start: Column, n: Column) -> Column:
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row as often as it is taken whole, and the stretch of its words that is taken once more.
-    Columns of `docs`; n_chars, if there, is that of the text."""
-    docs = docs.withColumn("row_key_", F.md5(F.coalesce("text", F.lit(""))))
-    taken = mixed(docs, **options).select("doc_id", "row_key", "source", "passes", "taken_from", "taken_rest", "taken").where("taken > 0")
+    Columns of `docs`, of whatever names; n_chars, if there, is that of the text."""
+    key = F.md5(F.coalesce("text", F.lit("")))
+    taken = mixed(docs, **options).where("taken > 0")
     # repeated rows can't be told apart: each gets what the one taken most gets
-    taken = taken.groupBy("doc_id", "row_key", "source").agg(F.max(F.struct("passes", "taken_rest", "taken_from")).alias("t")).select("doc_id", "row_key", "source", "t.*")
-    same = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d.row_key_") == F.col("t.row_key")) & F.col("d.source").eqNullSafe(F.col("t.source"))
-    rows = docs.alias("d").join(taken.alias("t"), same).select("d.*", "t.passes", "t.taken_from", "t.taken_rest")
-    whole = F.when(F.col("passes") > 0, F.array_repeat(F.lit(True), F.col("passes").cast("int"))).otherwise(F.expr("cast(array() as array<boolean>)"))
-    part = F.when(F.col("taken_rest") > 0, F.array(F.lit(False))).otherwise(F.expr("cast(array() as array<boolean>)"))
-    rows = rows.withColumn("whole_", F.explode(F.concat(whole, part)))
-    text = F.when(F.col("whole_"), F.col("text")).otherwise(words_from(F.col("text"), F.col("taken_from"), F.col("taken_rest")))
-    rows = rows.withColumn("text", text)
+    taken = taken.groupBy("doc_id", "row_key", "source").agg(F.max(F.struct("passes", "taken_rest", "taken_from")).alias("t"))
+    rows = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("d"), key.alias("key"))
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("row_key")) & F.col("d.source").cast("string").eqNullSafe(F.col("source"))
+    rows = rows.join(taken, same).select("d", "t")
+    none = F.expr("cast(array() as array<boolean>)")
+    whole = F.when(F.col("t.passes") > 0, F.array_repeat(F.lit(True), F.col("t.passes").cast("int"))).otherwise(none)
+    part = F.when(F.col("t.taken_rest") > 0, F.array(F.lit(False))).otherwise(none)
+    rows = rows.withColumn("whole", F.explode(F.concat(whole, part)))
+    text = F.when(F.col("whole"), F.col("d.text")).otherwise(words_from(F.col("d.text"), F.col("t.taken_from"), F.col("t.taken_rest")))
+    rows = rows.select("d", text.alias("text"))
+    made = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.drop("passes", "taken_from", "taken_rest", "whole_", "row_key_")
+        made["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[(made[x] if x in made else F.col(f"d.`{x}`")).alias(x) for x in docs.columns])

@@ -177,6 +177,7 @@ MANY = 0xFFFF
 
 def sliced(docs: DataFrame, ranges: int) -> DataFrame:
     """PACKED rows of all texts and of all shingles of each slice's distinct sets."""
+    most_shingles, most_rows, hot_from = SLICE_SHINGLES, SLICE_ROWS, HOT
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
@@ -193,7 +194,7 @@ def sliced(docs: DataFrame, ranges: int) -> DataFrame:
                 h, of = h[order], of[order]
                 first = np.concatenate(([True], h[1:] != h[:-1]))
                 often = np.diff(np.append(np.flatnonzero(first), len(h)))
-                many = np.repeat(often >= HOT, often)
+                many = np.repeat(often >= hot_from, often)
                 hot, hot_owners = h[many], of[many]
                 of = np.where(many, MANY, of).astype(np.uint16)
                 keep = ~many | first
@@ -216,7 +217,7 @@ def sliced(docs: DataFrame, ranges: int) -> DataFrame:
                 ids.append(i)
                 sizes.append(len(found))
                 keys.append(key)
-                if held >= SLICE_SHINGLES or len(ids) >= SLICE_ROWS:
+                if held >= most_shingles or len(ids) >= most_rows:
                     yield out()
                     number += 1
                     ids, sizes, keys, sets, owners, seen, held = [], [], [], [], [], set(), 0
@@ -351,7 +352,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(doc_id, n_shingles, component_id) of every row; component_id is the smallest id that links lead to, its own included."""
     rows = id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("long"), "text")
     spark = docs.sparkSession
-    packs = written(counted(sliced(rows, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))), "shingles")
+    packs = written(counted(sliced(rows, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))), "shingles")
     sets = packs.where("ids is not null").select(F.inline(F.arrays_zip(F.col("ids").alias("doc_id"), F.col("sizes").alias("n"), F.col("keys").alias("key"))))
     owners = written(linkable(packs).dropDuplicates(["key"]), "linkable")
     prefix = owners.select("key", "n", "shared", F.posexplode("first").alias("at", "token")).select("token", "key", "n", (F.col("shared") - F.col("at")).alias("left"))

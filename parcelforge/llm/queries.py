@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelforge.llm import chat, exact_dedup, language_id, line_dedup, mixture, ngram_join, piece_encoding, secrets, telephony, token_counts
+from parcelforge.llm.common import written
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +45,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telephony.telephony_digest(telephony.pack_bytes(documents(spark, sf_dir)))
+    return telephony.telephony_digest(written(telephony.pack_bytes(documents(spark, sf_dir)), "telephony"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

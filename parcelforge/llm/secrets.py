@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -108,12 +109,27 @@ def mixed(s: str) -> bool:
     return re.search(r"[0-9]", s) is not None and re.search(r"[A-Za-z]", s) is not None
 
 
-def uncovered(start: int, end: int, spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """What is left of start to end without the spans, in pieces of LEAST_CHARS or more."""
-    for a, b in [*sorted(x for x in spans if x[0] < end and x[1] > start), (end, end)]:
+def uncovered(start: int, end: int, spans: list[tuple[int, int]], ends: list[int]) -> Iterator[tuple[int, int]]:
+    """What is left of start to end without the spans, in pieces of LEAST_CHARS or more.  spans: in order and apart; ends: where they end."""
+    k = bisect_right(ends, start)
+    while k < len(spans) and spans[k][0] < end:
+        a, b = spans[k]
         if a - start >= LEAST_CHARS:
             yield start, a
-        start = max(start, b)
+        start, k = max(start, b), k + 1
+    if end - start >= LEAST_CHARS:
+        yield start, end
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans in order, those that touch or overlap as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
 
 
 def stretches(s: str, ratio: np.ndarray, threshold: float) -> list[tuple[int, int]]:
@@ -154,7 +170,7 @@ def stretches(s: str, ratio: np.ndarray, threshold: float) -> list[tuple[int, in
             else:
                 taken.append((a, b))
         found += taken
-        todo += uncovered(start, end, taken)
+        todo += uncovered(start, end, taken, [b for _, b in taken])
     return sorted(found)
 
 
@@ -166,9 +182,10 @@ def spans_of(text: str, ratio: np.ndarray | None, threshold: float = THRESHOLD)
     found += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16] if "AKIA" in text else []
     found += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
     if ratio is not None:
-        base = [(a, b) for a, b, _ in found]
+        base = merged([(a, b) for a, b, _ in found])
+        ends = [b for _, b in base]
         for m in CANDIDATE.finditer(text):
-            for start, end in uncovered(m.start(), m.end(), base) if mixed(m.group()) else ():
+            for start, end in uncovered(m.start(), m.end(), base, ends) if mixed(m.group()) else ():
                 found += [(start + a, start + b, 3) for a, b in stretches(text[start:end], ratio, threshold)]
     return sorted(found, key=lambda x: (x[0], x[2]))
 

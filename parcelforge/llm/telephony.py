@@ -6,7 +6,8 @@ same sample of all blocks of a batch), and resamples to the target rate by linea
 
 Defined results: a null or empty payload has no samples; `pack_bytes` pads to a positive multiple of the block size, so
 it always has some; equal payloads give equal files, samples and features; a file that isn't one of these formats gives
-null samples.  Only the id and payload columns are read, so other columns can't clash.
+null samples, payload and feature.  Files above `LARGE` bytes are decoded and resampled in stretches, so that memory doesn't
+grow with them.  Only the id and payload columns are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelforge.llm.common import id_and_text, text_slices
+from parcelforge.llm.common import SLICE_BYTES, id_and_text, text_slices
 
 #: Format tags of RIFF WAVE files.
 FORMATS = {"alaw": 6, "mulaw": 7, "adpcm": 17}
@@ -29,6 +30,8 @@ NAMES = {tag: name for name, tag in FORMATS.items()}
 #: Bytes of a payload are padded to a positive multiple of this, which is also the ADPCM block: a header of 4 bytes, then 2 samples a byte.
 BLOCK = 576
 RATE, OUT_RATE = 8000, 16000
+#: Files above so many bytes are gone through in stretches of as many.
+LARGE = BLOCK * 1024
 
 #: The quantiser steps of IMA ADPCM.
 STEPS = np.array(
@@ -117,6 +120,36 @@ def resample(pcm: np.ndarray, rate: int = RATE, to: int = OUT_RATE) -> np.ndarra
     return ((wide[left] * (to - part) + wide[right] * part) // to).astype(np.int16)
 
 
+def stretches(file: tuple[str, bytes]) -> Iterator[np.ndarray]:
+    """The PCM samples of a large file, piece by piece."""
+    for start in range(0, len(file[1]), LARGE):
+        yield expand([(file[0], file[1][start : start + LARGE])])[0]
+
+
+def resampled(pieces: Iterator[np.ndarray], rate: int = RATE, to: int = OUT_RATE) -> Iterator[np.ndarray]:
+    """resample() of the pieces as one, piece by piece: a sample waits until the one to its right is known."""
+    seen, done, held = 0, 0, np.empty(0, np.int16)
+    for piece in pieces:
+        held = np.concatenate((held, piece))
+        seen += len(piece)
+        # results whose left sample isn't the last one so far, and no more than so many samples give
+        ready = max(done, min(-(-(seen - 1) * to // rate), seen * to // rate)) if seen else done
+        yield from stretch(held, seen - len(held), done, ready, rate, to)
+        done = ready
+        first = done * rate // to
+        held = held[max(0, first - (seen - len(held))) :]
+    yield from stretch(held, seen - len(held), done, seen * to // rate, rate, to)
+
+
+def stretch(held: np.ndarray, offset: int, start: int, end: int, rate: int, to: int) -> Iterator[np.ndarray]:
+    """Results start to end; held: the samples from number `offset` on."""
+    if end > start:
+        left, part = np.divmod(np.arange(start, end, dtype=np.int64) * rate, to)
+        left -= offset
+        wide = held.astype(np.int64)
+        yield ((wide[left] * (to - part) + wide[np.minimum(left + 1, len(held) - 1)] * part) // to).astype(np.int16)
+
+
 def expand(files: list[tuple[str, bytes] | None]) -> list[np.ndarray | None]:
     """PCM samples of each file.  The ADPCM blocks of all files are decoded together."""
     whole = [np.frombuffer(f[1][: len(f[1]) // BLOCK * BLOCK], dtype=np.uint8).reshape(-1, BLOCK) for f in files if f and f[0] == "adpcm"]
@@ -147,14 +180,14 @@ def pack_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("long"), "text").mapInArrow(pack, "doc_id long, n_bytes long, media binary")
 
 
-def unpack_audio(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", to_rate: int = OUT_RATE, slice_bytes: int = 4 << 20) -> DataFrame:
+def unpack_audio(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", to_rate: int = OUT_RATE, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(id, codec, n_samples, pcm): the samples of each WAV file, little-endian 16 bit at `to_rate`.  Null if it isn't one.  No shuffle."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, blobs in media_slices(batch, slice_bytes):
                 files = [read_wav(b) for b in blobs]
-                pcm = [None if p is None else resample(p, RATE, to_rate) for p in expand(files)]
+                pcm = [None if p is None else np.concatenate([np.empty(0, np.int16), *p]) for p in samples_of(files, to_rate)]
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array([f and f[0] for f in files], pa.string()), pa.array([None if p is None else len(p) for p in pcm], pa.int64()), pa.array([None if p is None else p.astype("<i2").tobytes() for p in pcm], pa.binary())],
                     names=["id", "codec", "n_samples", "pcm"],
@@ -173,13 +206,31 @@ def media_slices(batch: pa.RecordBatch, limit: int) -> Iterator[tuple[pa.Array,
             start, held, blobs = i + 1, 0, []
 
 
-def features(codec: str, pcm: np.ndarray) -> str:
+def features(codec: str, pieces: Iterator[np.ndarray]) -> str:
     """Samples, peak, mean square, zero crossings and checksum of resampled PCM, with its codec."""
-    if not len(pcm):
-        return f"{codec}:0:0:0:0:00000000"
-    wide = pcm.astype(np.int64)
-    crossings = int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))
-    return f"{codec}:{len(pcm)}:{int(np.abs(wide).max())}:{int(wide @ wide) // len(pcm)}:{crossings}:{zlib.crc32(pcm.astype('<i2').tobytes()):08x}"
+    n = peak = squares = crossings = crc = 0
+    last = None
+    for pcm in pieces:
+        if not len(pcm):
+            continue
+        wide = pcm.astype(np.int64)
+        below = pcm < 0
+        crossings += int(np.count_nonzero(below[1:] != below[:-1])) + int(last is not None and last != below[0])
+        n, peak, squares, last = n + len(pcm), max(peak, int(np.abs(wide).max())), squares + int(wide @ wide), below[-1]
+        crc = zlib.crc32(pcm.astype("<i2").tobytes(), crc)
+    return f"{codec}:{n}:{peak}:{squares // n if n else 0}:{crossings}:{crc:08x}"
+
+
+def samples_of(files: list[tuple[str, bytes] | None], to_rate: int = OUT_RATE) -> Iterator[Iterator[np.ndarray] | None]:
+    """The resampled PCM of each file, in pieces.  Files of usual size are decoded together."""
+    small = iter(expand([f for f in files if f and len(f[1]) <= LARGE]))
+    for f in files:
+        if f is None:
+            yield None
+        elif len(f[1]) <= LARGE:
+            yield iter((resample(next(small), RATE, to_rate),))
+        else:
+            yield resampled(stretches(f), RATE, to_rate)
 
 
 def telephony_digest(media: DataFrame) -> DataFrame:
@@ -189,14 +240,16 @@ def telephony_digest(media: DataFrame) -> DataFrame:
         for batch in batches:
             sizes = batch.column("n_bytes")
             done = 0
-            for ids, blobs in media_slices(batch, 4 << 20):
+            for ids, blobs in media_slices(batch, SLICE_BYTES):
                 files = [read_wav(b) for b in blobs]
-                found = [features(f[0], resample(p)) for f, p in zip(files, expand(files), strict=True)]
-                codes = [f[1] for f in files]
+                found = [p and features(f[0], p) for f, p in zip(files, samples_of(files), strict=True)]
+                codes = [f and f[1] for f in files]
+                of = lambda items, what, kind: pa.array([None if x is None else what(x) for x in items], kind)
+                digest_of = lambda x: hashlib.sha256(x).hexdigest()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids, sizes.slice(done, len(blobs)), pa.array(map(len, codes), pa.int64()), pa.array([hashlib.sha256(c).hexdigest() for c in codes]), pa.array([zlib.crc32(c[-32:]) for c in codes], pa.int64()),
-                        pa.array(map(len, blobs), pa.int64()), pa.array([hashlib.sha256(b).hexdigest() for b in blobs]), pa.array(found),
+                        ids, sizes.slice(done, len(blobs)), of(codes, len, pa.int64()), of(codes, digest_of, pa.string()), of(codes, lambda x: zlib.crc32(x[-32:]), pa.int64()),
+                        of(blobs, len, pa.int64()), of(blobs, digest_of, pa.string()), pa.array(found, pa.string()),
                     ],
                     names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
                 )
