@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelforge.llm import language_id, line_dedup, mixture, ngram_join, piece_encoding
-from parcelforge.llm.common import written
+from parcelforge.llm.common import removed, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Documents go whose best language has a smaller share of their words: neither one language nor two are recognised.
-LEAST_SCORE = 0.4
+#: Documents go whose words are labelled with a smaller probability on average, whatever language each of them is in.
+LEAST_SURE = 0.4
 
 
 def row_key() -> Column:
@@ -27,10 +27,8 @@ def row_key() -> Column:
 
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: those without letters, and those in which no language is recognised, go."""
-    keyed = docs.withColumn("key", row_key())
-    found = language_id.languages(keyed, language_id.train(docs), id_col="key").where((F.col("lang_pred") == language_id.UNDETERMINED) | (F.col("score") < LEAST_SCORE))
-    return keyed.join(found.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti").select(*COLUMNS)
+    """Documents in a language, or in several: those without letters, and those in which no language is recognised, go."""
+    return language_id.recognised(docs.select(*COLUMNS), language_id.train(docs), LEAST_SURE)
 
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,8 +70,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
+    before = None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            removed(before)
+        before = docs
     return docs
 
 
