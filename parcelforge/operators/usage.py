@@ -100,3 +100,8 @@ def report_view(reports: DataFrame, clients: DataFrame, properties: DataFrame, p
 def sort_names_tr(df: DataFrame, col: str) -> DataFrame:
     """In Turkish order of letters."""
     return df.orderBy(F.collate(c(col), "tr"), c(col))
+
+
+def positions_tr(df: DataFrame, col: str, by: str) -> DataFrame:
+    """Adds position: the row's place in Turkish order among those of its `by` (a list of names is one of a place), from 1."""
+    return df.withColumn("position", F.row_number().over(Window.partitionBy(by).orderBy(F.collate(c(col), "tr"), c(col))))

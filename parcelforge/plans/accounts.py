@@ -94,9 +94,17 @@ def j10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.report_view(rows, people, homes, priced).select("report_id", "client", "property", "price")
 
 
-@registered("t9_sort_names_tr", "SELECT DISTINCT c_name AS name FROM customer")
+#: First names in the order of the Turkish alphabet.
+NAMES_TR = ("Cevat", "Çınar", "Irmak", "İpek", "Ozan", "Öykü", "Sami", "Şule", "Umut", "Ümit")
+
+
+@registered("t9_sort_names_tr", f"""WITH v AS (SELECT c_custkey, c_nationkey, [{", ".join(f"'{n}'" for n in NAMES_TR)}][(c_custkey * 7 % 10 + 1)::INT] AS first, c_custkey * 7 % 10 AS place FROM customer)
+SELECT first || ' ' || lpad(c_custkey::VARCHAR, 9, '0') AS name, row_number() OVER (PARTITION BY c_nationkey ORDER BY place, c_custkey)::INT AS position FROM v""")
 def t9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usage.sort_names_tr(fixture(spark, sf_dir, "customer").select(c("c_name").alias("name")).distinct(), "name")
+    """Names with Turkish letters and their positions in the sorted list."""
+    first = F.element_at(F.array(*map(F.lit, NAMES_TR)), (c("c_custkey") * 7 % 10 + 1).cast("int"))
+    rows = fixture(spark, sf_dir, "customer").select("c_nationkey", F.concat_ws(" ", first, F.lpad(c("c_custkey").cast("string"), 9, "0")).alias("name"))
+    return usage.positions_tr(rows, "name", "c_nationkey").select("name", "position")
 
 
 @registered("p12_resolve_location", "SELECT report_id, CASE WHEN report_id % 3 = 0 THEN n_name ELSE 'Rapor ' || user_id END AS city FROM fx_report JOIN customer ON c_custkey = user_id JOIN nation ON n_nationkey = c_nationkey")

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelforge.operators import openstats
 from parcelforge.plans.fixtures import fixture
 from parcelforge.plans.registry import registered
 from parcelforge.plans.valuation import REASON, as_of, raw_feed
@@ -62,15 +63,40 @@ def s4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract_listing_cards(html, as_of()).select("source_url", "price", "gross_area", "room_text")
 
 
-@registered("s5_population_pages", """WITH n AS (SELECT c_nationkey, c_custkey % 8 AS q, count(*) * 1000 AS pop FROM customer GROUP BY 1, 2), d AS (SELECT c_nationkey, sum(pop) AS pop FROM n GROUP BY 1)
-SELECT n_name AS district, 'Mah ' || q AS neighborhood, 2023 AS year, pop::DOUBLE AS population_total FROM n JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT n_name, NULL, 2023, pop::DOUBLE FROM d JOIN nation ON n_nationkey = c_nationkey""")
-def s5(spark: SparkSession, sf_dir: str) -> DataFrame:
+def population_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each nation: rows with labelled cells, with and without a link, or with bare cells in a table with an id."""
     tr = lambda x: F.regexp_replace(F.format_number(x, 0), ",", ".")
     n = fixture(spark, sf_dir, "customer").groupBy("c_nationkey", (c("c_custkey") % 8).alias("q")).agg((F.count(s(1)) * 1000).alias("pop"))
-    row = F.concat(s("<tr><td data-label='MAHALLE ADI'><a href='/1-x'>Mah "), c("q").cast("string"), s("</a></td><td data-label='TOPLAM NÜFUS'>"), tr("pop"), s("</td><td data-label='ERKEK NÜFUS'>1</td></tr>"))
+    name = F.concat(s("Mah "), c("q").cast("string"))
+    linked = F.when(c("q") % 2 == 0, F.concat(s("<a href='/"), (c("c_nationkey") * 10 + c("q")).cast("string"), s("-x'>"), name, s("</a>"))).otherwise(name)
+    labelled = F.concat(s("<tr><td data-label='MAHALLE ADI'>"), linked, s("</td><td data-label='TOPLAM NÜFUS'>"), tr("pop"), s("</td><td data-label='ERKEK NÜFUS'>1</td></tr>"))
+    bare = F.concat(s("<tr><td>"), linked, s("</td><td>"), tr("pop"), s("</td><td>1</td><td>2</td></tr>"))
+    row = F.when(c("c_nationkey") % 3 == 0, bare).otherwise(labelled)
     d = n.groupBy("c_nationkey").agg(F.array_join(F.collect_list(row), "\n").alias("rows"), F.sum("pop").alias("total")).join(fixture(spark, sf_dir, "nation"), c("c_nationkey") == c("n_nationkey"))
-    html = F.concat(s("<p>2023 ilçe toplam nüfusu, 2025 tahmini</p><ul class='boxDetaylar'><li><span class='dtColOne'>Toplam Nüfus</span><span class='dtColTwo'>"), tr("total"), s("</span></li></ul><table>"), c("rows"), s("<tr><td data-label='MAHALLE ADI'>Boş</td></tr></table>"))
-    return pages.parse_population_pages(d.select(s("x").alias("city"), c("n_name").alias("district"), html.alias("html"))).select("district", "neighborhood", "year", "population_total")
+    table = F.when(c("c_nationkey") % 3 == 0, "<table id='ust_tablo'><tr><th>Ad</th></tr>").otherwise("<table>")
+    html = F.concat(s("<p>2023 ilçe toplam nüfusu, 2025 tahmini</p><ul class='boxDetaylar'><li><span class='dtColOne'>Toplam Nüfus</span><span class='dtColTwo'>"), tr("total"), s("</span></li><li><span class='dtColOne'>Mahalle Sayısı</span><span class='dtColTwo'>8</span></li></ul>"), table, c("rows"), s("<tr><td data-label='MAHALLE ADI'>Boş</td></tr></table>"))
+    return d.select(s("İzmir").alias("city"), c("n_name").alias("district"), html.alias("html"), F.concat(s("https://x.example/"), c("c_nationkey").cast("string")).alias("url"))
+
+
+POPULATION_SQL = """n AS (SELECT c_nationkey AS k, c_custkey % 8 AS q, count(*) * 1000 AS pop FROM customer GROUP BY 1, 2), recs AS (
+  SELECT n_name AS district, 'Mah ' || q AS neighborhood, 'NEIGHBORHOOD' AS location_level, pop::DOUBLE AS population_total, NULL::DOUBLE AS neighborhood_count, CASE WHEN k % 3 = 0 THEN 2.0 END::DOUBLE AS population_female,
+    'nufusune:' || CASE WHEN q % 2 = 0 THEN (k * 10 + q)::VARCHAR ELSE 'izmir:' || replace(lower(n_name), '_', '-') || ':' || q END AS source_key, CASE WHEN q % 2 = 0 THEN 'https://www.nufusune.com/' || (k * 10 + q) || '-x' ELSE 'https://x.example/' || k END AS source_url FROM n JOIN nation ON n_nationkey = k
+  UNION ALL SELECT n_name, NULL, 'DISTRICT', sum(pop)::DOUBLE, 8.0, NULL, 'nufusune:izmir:' || replace(lower(n_name), '_', '-'), 'https://x.example/' || k FROM n JOIN nation ON n_nationkey = k GROUP BY n_name, k)"""
+
+
+@registered("s5_population_pages", f"WITH {POPULATION_SQL} SELECT district, neighborhood, location_level, 2023 AS year, population_total, neighborhood_count, population_female, source_key, source_url FROM recs")
+def s5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.parse_population_pages(population_pages(spark, sf_dir)).select("district", "neighborhood", "location_level", "year", "population_total", "neighborhood_count", "population_female", "source_key", "source_url")
+
+
+@registered("s5_f22_s8_import", f"""WITH {POPULATION_SQL}, m AS (SELECT source_key, 'population_total' AS metric_key, population_total AS metric_value FROM recs UNION ALL SELECT source_key, 'neighborhood_count', neighborhood_count FROM recs UNION ALL SELECT source_key, 'population_female', population_female FROM recs
+  UNION ALL SELECT source_key, 'population_male', 1.0 FROM recs WHERE location_level = 'NEIGHBORHOOD')
+SELECT source_key, metric_key, CASE WHEN metric_key = 'population_total' AND source_key LIKE 'nufusune:izmir:nation-1%' THEN -1.0 ELSE metric_value END AS metric_value FROM m WHERE metric_value IS NOT NULL""")
+def s5_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages to metric rows, inserted beside rows that are there already."""
+    rows = openstats.unpivot_metrics(pages.parse_population_pages(population_pages(spark, sf_dir)))
+    there = rows.where("metric_key = 'population_total' and source_key like 'nufusune:izmir:nation-1%'").withColumn("metric_value", s(-1.0))
+    return openstats.upsert_metrics(there, rows).select("source_key", "metric_key", "metric_value")
 
 
 @registered("s6_location_links", r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<a\s[^>]*href=["''][^"'']+["''][^>]*>.*?</a>')) AS link, generate_subscripts(regexp_extract_all(html, '(?s)<a\s[^>]*href=["''][^"'']+["''][^>]*>.*?</a>'), 1) AS pos FROM pages),
@@ -130,9 +156,27 @@ def t8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.top_samples(scored(spark, sf_dir)).select("listing_uid", "readiness")
 
 
-@registered("p18_crawl_frontier", "SELECT subject_id, count(*)::BIGINT AS urls FROM fx_subject CROSS JOIN range(12) GROUP BY 1")
+@registered("p18_crawl_frontier", """WITH v AS (SELECT subject_id, CASE WHEN subject_id % 5 = 0 THEN NULL ELSE regexp_replace(neighborhood, '^Mah ', '') END AS n, replace(lower(district), '_', '-') AS d, replace(lower(city), ' ', '-') AS t, CASE category WHEN 'land' THEN 'arsa' WHEN 'commercial' THEN 'isyeri' ELSE CASE WHEN subject_id % 3 = 0 THEN 'mustakil-ev' ELSE 'daire' END END AS k,
+  CASE WHEN subject_id % 2 = 0 THEN 'kiralik' ELSE 'satilik' END AS a FROM fx_subject),
+p AS (SELECT subject_id, unnest(list_filter([n, d || '-' || n, d, t], lambda x: x IS NOT NULL)) AS place, a, k FROM v)
+SELECT subject_id, 'https://www.hepsiemlak.com/' || place || u.part || '?sortField=PRICE&sortDirection=ASC' AS url FROM p, (SELECT unnest([0, 1, 2]) AS i) x, LATERAL (SELECT CASE i WHEN 0 THEN '-' || a || '/' || k WHEN 1 THEN '-' || a ELSE '/' || k END AS part) u WHERE NOT (i = 2 AND k = 'mustakil-ev')""")
 def p18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.crawl_frontier(fixture(spark, sf_dir, "fx_subject")).groupBy("subject_id").agg(F.count(s(1)).alias("urls"))
+    """Detached homes have no path of their own among the useful ones."""
+    rows = fixture(spark, sf_dir, "fx_subject").withColumns({"neighborhood": F.when(c("subject_id") % 5 > 0, c("neighborhood")), "valuation_type": F.when(c("subject_id") % 2 == 0, "Kiralık").otherwise("SALE"), "property_type": F.when(c("subject_id") % 3 == 0, "Müstakil Ev").otherwise("Daire")})
+    return pages.crawl_frontier(rows, sort=("PRICE", "ASC")).select("subject_id", "url")
+
+
+@registered("f24_image_candidates", """WITH v AS (SELECT listing_uid, replace(listing_uid, '-', '') AS k, provider_rank FROM fx_listing), u AS (
+  SELECT listing_uid, 'https://img.example/photos/' || k || '.jpg?x=1' AS url, 60 AS priority, 1 AS o FROM v UNION ALL SELECT listing_uid, 'https://x.example/a/resize/100/200/' || k || '.png', 60, 2 FROM v UNION ALL SELECT listing_uid, 'https://imaj.emlakjet.com/' || k || '.webp', 100, 3 FROM v WHERE provider_rank = 1)
+SELECT listing_uid, url, priority, row_number() OVER (PARTITION BY listing_uid ORDER BY priority DESC, o)::INT AS rank FROM u""")
+def f24_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.replace("listing_uid", s("-"), s(""))
+    html = F.concat(
+        s('<img src="https://img.example/photos/'), k, s('.jpg?x=1"><img data-src="/a/resize/100/200/'), k, s('.png"><img srcset="https://img.example/photos/'), k, s('.jpg 1x, /a/resize/300/400/'), k, s('.png 2x, /img/logo.png 3x">'),
+        F.when(c("provider_rank") == 1, F.concat(s('<script>{"u": "https:\\/\\/imaj.emlakjet.com\\/'), k, s('.webp"}</script>'))).otherwise(""),
+    )
+    rows = listings(spark, sf_dir).select(c("listing_uid").alias("page_id"), s("https://x.example/list/1").alias("base_url"), html.alias("html"))
+    return pages.extract_image_candidates(rows).select("listing_uid", "url", "priority", "rank")
 
 
 @registered("r1_stream_ingest", f"""WITH one AS (SELECT source_url, price, created_at, listing_uid, 'listing:' || substr(sha1(source_url), 1, 16) AS external_id FROM fx_listing WHERE image_url IS NOT NULL AND ({REASON.replace("provider_rank = 2 AND NOT", "provider_rank = -1 AND NOT")}) IS NULL AND property_type IS NOT NULL)

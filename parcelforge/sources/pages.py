@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from parcelforge.functions import text as T
+from parcelforge.operators.media import unique_images
+from parcelforge.operators.openstats import PLACE_WORDS
 from parcelforge.operators.pool import unique_first
 
 c = F.col
@@ -44,15 +46,40 @@ def extract_listing_cards(pages: DataFrame, as_of: Column, base: str = "https://
     return unique_first(rows, ["source_url"], [c("page_id"), c("pos")])
 
 
-def parse_population_pages(pages: DataFrame) -> DataFrame:
-    """Records of district pages (city, district, html): one for the district's summary, one for each row of its table."""
+#: What records of population pages say of their source.
+POPULATION = {"source": "NUFUSUNE", "source_dataset": "population", "source_reliability": "secondary_tuik_declared_unverified", "declared_source": "TUIK online population database, declared by nufusune.com"}
+
+
+def parse_population_pages(pages: DataFrame, base: str = "https://www.nufusune.com") -> DataFrame:
+    """Records of district pages (city, district, html[, url]): one for the district's summary, one for each row of its table.
+
+    Cells are found by their label, else by their place.  Records have their source, a stable source_key (the row's number, else
+    the names' slugs) and source_url, so that they can be unpivoted and upserted.
+    """
     year = T.infer_year(stripped(c("html")), r"(20\d{2}) ilçe toplam nüfusu")
-    base = pages.select("city", "district", "html", year.alias("year"))
+    url = c("url") if "url" in pages.columns else F.lit(None).cast("string")
+    said = [F.lit(v).alias(k) for k, v in POPULATION.items()]
+    slug = lambda x: T.slugify_tr(c(x), PLACE_WORDS)
+    base_rows = pages.select("city", "district", "html", year.alias("year"), url.alias("source_url"))
     summary = lambda name: T.digits_number(found("html", rf"(?s){name}\s*</[^>]+>\s*<[^>]*dtColTwo[^>]*>([^<]*)<"))
-    district = base.select("city", "district", F.lit(None).cast("string").alias("neighborhood"), "year", F.lit("DISTRICT").alias("location_level"), summary("Toplam Nüfus").alias("population_total"), summary("Toplam Erkek Nüfusu").alias("population_male"), summary("Toplam Kadın Nüfusu").alias("population_female"))
-    lines = base.select("city", "district", "year", F.explode(F.regexp_extract_all("html", F.lit(r"(?s)(<tr>\s*<td[^>]*MAHALLE ADI.*?</tr>)"), 1)).alias("row"))
-    cell = lambda name: stripped(found("row", rf"(?s)<td[^>]*data-label='{name}'[^>]*>(.*?)</td>"))
-    places = lines.select("city", "district", F.nullif(cell("MAHALLE ADI"), F.lit("")).alias("neighborhood"), "year", F.lit("NEIGHBORHOOD").alias("location_level"), T.digits_number(cell("TOPLAM NÜFUS")).alias("population_total"), T.digits_number(cell("ERKEK NÜFUS")).alias("population_male"), T.digits_number(cell("KADIN NÜFUS")).alias("population_female"))
+    district = base_rows.select(
+        "city", "district", F.lit(None).cast("string").alias("neighborhood"), "year", F.lit("DISTRICT").alias("location_level"), summary("Toplam Nüfus").alias("population_total"), summary("Toplam Erkek Nüfusu").alias("population_male"), summary("Toplam Kadın Nüfusu").alias("population_female"),
+        summary("Mahalle Sayısı").alias("neighborhood_count"), F.coalesce(summary("Bağlı Köy Sayısı"), summary("Köye Bağlı[^<]*")).alias("village_count"), F.concat(F.lit("nufusune:"), slug("city"), F.lit(":"), slug("district")).alias("source_key"), "source_url", *said,
+    )
+    table = found("html", r"(?s)<table[^>]*id=[\"']?ust_tablo[\"']?[^>]*>(.*?)</table>")
+    rows = F.when(table.isNotNull(), F.regexp_extract_all(table, F.lit(r"(?s)(<tr\b.*?</tr>)"), 1)).otherwise(F.regexp_extract_all("html", F.lit(r"(?s)(<tr>\s*<td[^>]*MAHALLE ADI.*?</tr>)"), 1))
+    lines = base_rows.select("city", "district", "year", "source_url", F.explode(rows).alias("row")).withColumn("cells", F.regexp_extract_all("row", F.lit(r"(?s)<td[^>]*>(.*?)</td>"), 1))
+    cell = lambda name, k: stripped(F.coalesce(found("row", rf"(?s)<td[^>]*data-label=[\"']{name}[\"'][^>]*>(.*?)</td>"), F.get("cells", F.lit(k))))
+    href = found("row", r"(?s)<a[^>]*href=[\"']([^\"']+)[\"']")
+    places = lines.select(
+        "city", "district", F.nullif(cell("MAHALLE ADI", 0), F.lit("")).alias("neighborhood"), "year", F.lit("NEIGHBORHOOD").alias("location_level"), T.digits_number(cell("TOPLAM NÜFUS", 1)).alias("population_total"), T.digits_number(cell("ERKEK NÜFUS", 2)).alias("population_male"), T.digits_number(cell("KADIN NÜFUS", 3)).alias("population_female"),
+        href.alias("href"), "source_url",
+    )
+    record = found("href", r"^/?(\d+)-")
+    place_key = F.coalesce(record, F.concat_ws(":", slug("city"), slug("district"), slug("neighborhood")))
+    row_url = F.when(c("href").startswith("http"), c("href")).when(c("href").isNotNull(), F.concat(F.lit(base + "/"), F.regexp_replace("href", "^/", "")))
+    none = [F.lit(None).cast("double").alias(x) for x in ("neighborhood_count", "village_count")]
+    places = places.withColumns({"source_key": F.concat(F.lit("nufusune:"), place_key), "source_url": F.coalesce(row_url, c("source_url"))}).select(*[x for x in district.columns if x not in ("neighborhood_count", "village_count", *POPULATION)], *none, *said)
     return district.where("population_total is not null").unionByName(places.where("neighborhood is not null and population_total is not null"))
 
 
@@ -77,52 +104,97 @@ def json_ld(scripts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             elif isinstance(x, list):
                 stack += reversed(x)
 
-    def first(value: object) -> str | None:
+    def image_of(value: object) -> str | None:
         if isinstance(value, list):
-            return next((y for y in map(first, value) if y), None)
-        return value if isinstance(value, str) else value.get("url") or value.get("contentUrl") if isinstance(value, dict) else None
+            return next((y for y in map(image_of, value) if y), None)
+        if isinstance(value, dict):
+            return next((v for k in ("url", "contentUrl", "thumbnailUrl") if isinstance(v := value.get(k), str) and v), None)
+        return value if isinstance(value, str) else None
+
+    def number(value: object) -> float | None:
+        """As written with Turkish separators: dots are thousands, a comma is the decimal one."""
+        if isinstance(value, float) and value.is_integer():
+            value = int(value)
+        text = "".join(str(value).split()).replace(".", "").replace(",", ".", 1)
+        try:
+            return float(text)
+        except ValueError:
+            return None
 
     def facts(text: str | None) -> tuple:
         image = area = rooms = None
         for part in (text or "").split("\f"):
+            if not part.strip():
+                continue
             try:
                 data = json.loads(part)
             except ValueError:
                 continue
             for node in walk(data):
-                image = image or first(node.get("image") or node.get("photo"))
+                image = image or image_of(node.get("image") or node.get("photo") or node.get("primaryImageOfPage"))
                 size = node.get("floorSize")
+                size = size[0] if isinstance(size, list) and size else size
                 size = size.get("value") if isinstance(size, dict) else size
-                area = area or pd.to_numeric(size, errors="coerce") if isinstance(size, (int, float, str)) else area
-                rooms = rooms or (str(node["numberOfRooms"]) if node.get("numberOfRooms") else None)
-        return image, None if area is None or area != area else float(area), rooms
+                area = area or (number(size) if isinstance(size, (int, float, str)) else None)
+                rooms = rooms or next((str(n) for n in (node.get("numberOfRooms"), node.get("numberOfBedrooms")) if n), None)
+        return image, area, rooms
 
     for batch in scripts:
         yield pd.DataFrame([facts(x) for x in batch], columns=["image", "area", "rooms"])
 
 
 def extract_page_facts(pages: DataFrame) -> DataFrame:
-    """(page_id, image_url, area, room_text) of listing pages: meta tags and text first by pattern, JSON-LD where it is there."""
-    text = stripped(c("html"))
-    unit = r"\s*(?:m²|m2|metrekare)"
-    areas = [T.to_number_tr(found(text, rf"(?i)(?:{k})\s*:?\s*([1-9][\d.,]{{1,7}}){unit}")) for k in ("net|kullanım", "brüt|brut")] + [T.to_number_tr(found(text, rf"(?i)\b([1-9][\d.,]{{1,7}}){unit}"))]
-    area = F.coalesce(*[F.when(a.between(10, 100000), T.js_round(a)) for a in areas])
-    room = F.regexp_replace(found(text, r"(?i)\b([1-9]\d?\s*\+\s*[0-9]|stüdyo|studio)\b"), r"\s+", "")
+    """(page_id, image_url, area, room_text) of listing pages: meta tags and text first by pattern, JSON-LD where it is there.
+
+    The text of a page is stripped once, below the helper that walks its JSON; the patterns above it read the column.
+    """
     meta = F.coalesce(found("html", r"(?i)<meta\b[^>]*(?:property|name)=[\"']og:image[\"'][^>]*content=[\"']([^\"']+)[\"']"), found("html", r"(?i)<meta\b[^>]*content=[\"']([^\"']+)[\"'][^>]*(?:property|name)=[\"']og:image[\"']"))
     scripts = F.array_join(F.regexp_extract_all("html", F.lit(r"(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script>"), 1), "\f")
-    rows = pages.select("page_id", meta.alias("meta"), area.alias("text_area"), room.alias("text_room"), scripts.alias("scripts")).withColumn("ld", json_ld(c("scripts")))
-    return rows.select("page_id", F.coalesce("meta", "ld.image").alias("image_url"), F.coalesce(T.js_round(c("ld.area")), c("text_area")).alias("area"), F.coalesce("text_room", "ld.rooms").alias("room_text"))
+    rows = pages.select("page_id", meta.alias("meta"), stripped(c("html")).alias("text"), scripts.alias("scripts")).withColumn("ld", json_ld(c("scripts")))
+    unit = r"\s*(?:m²|m2|metrekare)"
+    areas = [T.to_number_tr(found("text", rf"(?i)(?:{k})\s*:?\s*([1-9][\d.,]{{1,7}}){unit}")) for k in ("net|kullanım", "brüt|brut")] + [T.to_number_tr(found("text", rf"(?i)\b([1-9][\d.,]{{1,7}}){unit}"))]
+    area = F.coalesce(*[F.when(a.between(10, 100000), T.js_round(a)) for a in areas])
+    room = F.regexp_replace(found("text", r"(?i)\b([1-9]\d?\s*\+\s*[0-9]|stüdyo|studio)\b"), r"\s+", "")
+    return rows.select("page_id", F.coalesce("meta", "ld.image").alias("image_url"), F.coalesce(T.js_round(c("ld.area")), area).alias("area"), F.coalesce(room, c("ld.rooms")).alias("room_text"))
+
+
+#: What makes a URL one of a photo, and what makes it none.
+PHOTO, PHOTO_PATH, NO_PHOTO = r"(?i)image|photo|listing|resize|cdn", r"(?i)\.(jpe?g|png|webp)(?:[?#].*)?$", r"(?i)logo|favicon|sprite|icon|avatar|agent|profile|placeholder|loading|blank|captcha|challenge"
+
+
+def extract_image_candidates(pages: DataFrame) -> DataFrame:
+    """(listing_uid, url, ord, image_key, priority, rank): photos that pages (page_id, base_url, html) name, in attributes, source
+    sets or anywhere as URLs, each key once, the likeliest ones first."""
+    everywhere = lambda pattern: F.regexp_extract_all("html", F.lit(pattern), F.lit(1))
+    first_of = lambda x: F.regexp_replace(F.trim(x), r"\s.*$", "")
+    sets = F.flatten(F.transform(everywhere(r"(?i)\bsrcset=[\"']([^\"']+)[\"']"), lambda x: F.transform(F.split(x, ","), first_of)))
+    attrs = everywhere(r"(?i)\b(?:src|data-src|data-original|data-lazy|content)=[\"']([^\"']+\.(?:jpe?g|png|webp)(?:\?[^\"']*)?)[\"']")
+    urls = everywhere(r"(?i)(https?:\\?/\\?/[^\"'()<>\s]+\.(?:jpe?g|png|webp)(?:\?[^\"'()<>\s\\]*)?)")
+    rows = pages.select(c("page_id").alias("listing_uid"), "base_url", F.posexplode(F.concat(attrs, sets, urls)).alias("ord", "raw"))
+    clean = F.replace(F.replace(F.replace(c("raw"), F.lit("&amp;"), F.lit("&")), F.lit("\\u002F"), F.lit("/")), F.lit("\\/"), F.lit("/"))
+    clean = first_of(F.regexp_replace(clean, ",.*$", ""))
+    origin = F.regexp_extract("base_url", r"^(https?://[^/?#]+)", 1)
+    url = F.when(clean.rlike("(?i)^https?://"), clean).when(clean.startswith("//"), F.concat(F.regexp_extract("base_url", "^(https?:)", 1), clean)).when(clean.startswith("/"), F.concat(origin, clean)).when(clean.rlike("^[a-z]+:"), None).otherwise(F.concat(F.regexp_replace("base_url", r"[^/]*$", ""), clean))
+    rows = rows.withColumn("url", url).where("url <> ''").where((F.regexp_replace("url", r"[?#].*$", "").rlike(PHOTO_PATH) | c("url").rlike(PHOTO)) & ~c("url").rlike(NO_PHOTO))
+    return unique_images(rows.select("listing_uid", "url", "ord"))
+
+
+#: Path parts of residential types, by words in the folded type.
+PATH_TYPES = (("villa", "villa"), ("residence", "residence"), ("mustakil", "mustakil-ev"), ("dublex|dubleks", "dublex"), ("triplex|tripleks", "tripleks"))
 
 
-def crawl_frontier(criteria: DataFrame, base: str = "https://www.hepsiemlak.com") -> DataFrame:
-    """(subject_id, ord, url): candidate pages of a search, from the neighbourhood out to the city, each once, useful ones only."""
+def crawl_frontier(criteria: DataFrame, base: str = "https://www.hepsiemlak.com", sort: tuple[str, str] | None = None) -> DataFrame:
+    """(subject_id, ord, url): candidate pages of a search, from the neighbourhood out to the city, each once, useful ones only.
+    `sort`: field and direction that the pages are asked to be sorted by."""
     slug = lambda x: F.nullif(T.slugify_tr(c(x)), F.lit(""))
     deal = F.when(T.valuation_type(c("valuation_type")) == "rental", "kiralik").otherwise("satilik")
-    kind = F.when(c("category") == "land", "arsa").when(c("category") == "commercial", "isyeri").otherwise("daire")
+    home = T.first_match(T.normalize_text(c("property_type")), PATH_TYPES, "daire") if "property_type" in criteria.columns else F.lit("daire")
+    kind = F.when(c("category") == "land", "arsa").when(c("category") == "commercial", "isyeri").otherwise(home)
     n, d, town = slug("neighborhood"), slug("district"), slug("city")
     paths = []
     for place in (n, F.concat(d, F.lit("-"), n), d, town):
         paths += [F.concat(F.lit("/"), place, F.lit("-"), deal, F.lit("/"), kind), F.concat(F.lit("/"), place, F.lit("-"), deal), F.concat(F.lit("/"), place, F.lit("/"), kind)]
-    rows = criteria.select("subject_id", F.posexplode(F.array_distinct(F.array_compact(F.array(*paths)))).alias("ord", "path")).withColumn("url", F.concat(F.lit(base), c("path")))
+    query = f"?sortField={sort[0]}&sortDirection={sort[1]}" if sort else ""
+    rows = criteria.select("subject_id", F.posexplode(F.array_distinct(F.array_compact(F.array(*paths)))).alias("ord", "path")).withColumn("url", F.concat(F.lit(base), c("path"), F.lit(query)))
     useful = c("url").rlike("satilik|kiralik|/daire|/arsa|/isyeri|/villa|/residence") & ~c("url").rlike("/emlak-ofisi|/projeler|/emlak-yasam|/hakkimizda|/kullanim-kosullari|/gizlilik")
     return rows.where(useful).select("subject_id", "ord", "url")
