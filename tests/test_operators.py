@@ -269,3 +269,17 @@ def test_stream_validates_and_counts_rejects(spark, tmp_path):
     ingest.start_ingest(spark.readStream.schema(raw.schema).parquet(str(tmp_path / "feed")), str(tmp_path / "pool"), str(tmp_path / "state"), prepare=ingest.normalized).awaitTermination()
     assert [(r.source_url, r.price) for r in ingest.current_pool(spark, str(tmp_path / "pool")).collect()] == [("https://x/a", 1234567.0)]
     assert {r.reason: r.n for r in ingest.rejects(spark, str(tmp_path / "pool")).collect()} == {"saved": 1, "missing_real_image": 1, "missing_property_type": 1}
+
+
+def test_image_candidates(spark):
+    html = '<img src="a/b.JPG?w=1&amp;h=2"><img data-src="//cdn.example/x/resize/10/20/p.png"><img srcset="/resize/1/2/q.webp 1x, /img/logo.png 2x"><meta content="data:image/png"><script>"https:\\/\\/imaj.emlakjet.com\\/z.jpg"</script>'
+    rows = spark.createDataFrame([(1, "https://x.example/list/7", html), (2, "https://x.example/", None), (3, "https://x.example/", "")], "page_id int, base_url string, html string")
+    got = [(r.listing_uid, r.rank, r.url, r.priority) for r in pages.extract_image_candidates(rows).orderBy("listing_uid", "rank").collect()]
+    assert got == [(1, 1, "https://imaj.emlakjet.com/z.jpg", 100), (1, 2, "https://cdn.example/x/resize/10/20/p.png", 60), (1, 3, "https://x.example/resize/1/2/q.webp", 60), (1, 4, "https://x.example/list/a/b.JPG?w=1&h=2", 10)]
+
+
+def test_json_of_pages(spark):
+    cases = ['{"primaryImageOfPage": {"thumbnailUrl": "t.jpg"}, "floorSize": [{"value": "1.250,4"}], "numberOfBedrooms": 3}', '{"image": ["", {"contentUrl": "c.jpg"}], "floorSize": 95}', '{"floorSize": {"value": 120.0}}', "not json", '[{"numberOfRooms": "4+1"}]']
+    html = [(k, f'<script type="application/ld+json">{x}</script>') for k, x in enumerate(cases)]
+    got = [(r.image_url, r.area, r.room_text) for r in pages.extract_page_facts(spark.createDataFrame(html, "page_id int, html string")).orderBy("page_id").collect()]
+    assert got == [("t.jpg", 1250.0, "3"), ("c.jpg", 95.0, None), (None, 120.0, None), (None, None, None), (None, None, "4+1")]
