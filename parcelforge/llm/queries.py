@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelforge.llm import chat, exact_dedup, language_id, line_dedup, mixture, ngram_join, piece_encoding, secrets, telephony, token_counts
+from parcelforge.llm import chat, exact_dedup, language_id, line_dedup, mixture, ngram_join, packing, piece_encoding, secrets, telephony, token_counts
 from parcelforge.llm.common import written
 
 
@@ -60,8 +60,12 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(documents(spark, sf_dir))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_sentencepiece, op4_mixture, op5_secrets, op6_chat, op7_telephony, op8_exact_dedup, op9_line_dedup, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_sentencepiece, op4_mixture, op5_secrets, op6_chat, op7_telephony, op8_exact_dedup, op9_line_dedup, op10_ngram_join, op13_packing)}
 
 
 OP6_SQL = r"""
