@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelforge.llm import chat, exact_dedup, language_id, line_dedup, mixture, ngram_join, packing, piece_encoding, secrets, telephony, token_counts
+from parcelforge.llm import chat, exact_dedup, language_id, line_dedup, mixture, ngram_join, packing, phrases, piece_encoding, prefix_trie, secrets, telephony, token_counts
 from parcelforge.llm.common import written
 
 
@@ -60,12 +60,20 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(documents(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.shared_prefixes(spark.read.parquet(f"{sf_dir}/conversations.parquet"), rebuild=True)
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_sentencepiece, op4_mixture, op5_secrets, op6_chat, op7_telephony, op8_exact_dedup, op9_line_dedup, op10_ngram_join, op13_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_sentencepiece, op4_mixture, op5_secrets, op6_chat, op7_telephony, op8_exact_dedup, op9_line_dedup, op10_ngram_join, op11_prefix_trie, op12_phrases, op13_packing)}
 
 
 OP6_SQL = r"""
@@ -132,5 +140,48 @@ SELECT n.doc_id, n.n::BIGINT AS n_shingles, least(n.doc_id, coalesce(min(reach.b
 """
 
 
+OP11_SQL = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps
+), heads AS (
+  SELECT c, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda v, b: xor(v >> 8, steps[(xor(v, b) & 255) + 1]))) % 9 AS h
+  FROM (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL), crc
+), said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (
+  SELECT conv_id, digest, nb, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS pos FROM (SELECT conv_id, turn, md5(length(role) || ':' || role || text) AS digest, strlen(text) AS nb FROM said)
+), rebuilt AS (
+  SELECT c, 0 AS part, pos, digest, nb FROM heads JOIN turns ON conv_id = c - c % 5 AND pos <= h UNION ALL SELECT c, 1, pos, digest, nb FROM heads JOIN turns ON conv_id = c AND pos > h
+), steps AS (
+  SELECT c, nb, row_number() OVER w AS d, md5(string_agg(digest, '') OVER w) AS key FROM rebuilt WINDOW w AS (PARTITION BY c ORDER BY part, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), paths AS (SELECT c, d, key, nb FROM steps UNION ALL SELECT c, 0, 'root', 0 FROM heads),
+linked AS (SELECT *, lag(key) OVER (PARTITION BY c ORDER BY d) AS up, max(d) OVER (PARTITION BY c) AS n FROM paths),
+nodes AS (SELECT key, any_value(up) AS up, any_value(d) AS d, any_value(nb) AS nb, min(c) AS c, count(*) AS n_convs, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = n), '')) AS ends FROM linked GROUP BY key),
+children AS (SELECT up AS key, count(*) AS n FROM nodes WHERE up IS NOT NULL GROUP BY up),
+below AS (
+  SELECT p.key, sum((x.n_convs - 1) * x.nb) AS saved, count(*) FILTER (ch.n IS NULL) AS leaves FROM nodes x LEFT JOIN children ch ON ch.key = x.key JOIN paths p ON p.c = x.c AND p.d <= x.d GROUP BY p.key
+)
+SELECT x.c AS conv_id, x.d::BIGINT AS depth, u.c AS parent_conv_id, x.n_convs, coalesce(ch.n, 0)::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, x.ends AS ends_sha256
+FROM nodes x JOIN below b ON b.key = x.key LEFT JOIN children ch ON ch.key = x.key LEFT JOIN nodes u ON u.key = x.up
+"""
+
+OP12_SQL = r"""
+WITH texts AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM texts), words AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM pieces),
+totals AS (SELECT lang, sum(len(ws)) AS n FROM words GROUP BY lang),
+begun AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM words), grams AS (SELECT lang, ws, i, unnest(range(1, 6)) AS m FROM begun),
+f AS (SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, m, count(*) AS f FROM grams WHERE i + m - 1 <= len(ws) GROUP BY ALL HAVING count(*) >= 100),
+inner_ones AS (
+  SELECT lang, array_to_string(ws[s:s + k - 1], ' ') AS phrase, max(f) AS longer FROM (SELECT *, unnest(range(1, m - k + 2)) AS s FROM (SELECT lang, string_split(phrase, ' ') AS ws, m, f, unnest(range(2, m)) AS k FROM f WHERE m > 2)) GROUP BY ALL
+), alone AS (SELECT f.* FROM f LEFT JOIN inner_ones USING (lang, phrase) WHERE m > 1 AND (longer IS NULL OR 100 * longer < 100 * f)),
+cuts AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS ws, m, unnest(range(1, m)) AS k FROM alone), scores AS (
+  SELECT c.lang, c.phrase, c.a, k, x.f AS l, y.f AS r, n, (1000::HUGEINT * c.a * n) // (x.f::HUGEINT * y.f) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(ws[k + 1:m], ' ') JOIN totals t ON t.lang = c.lang
+), weakest AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM weakest
+QUALIFY rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixture": OP4_SQL, "op6_chat": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op10_ngram_join": OP10_SQL}
+    return {"op11_prefix_trie": OP11_SQL, "op12_phrases": OP12_SQL, "op4_mixture": OP4_SQL, "op6_chat": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op10_ngram_join": OP10_SQL}
