@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters that fold to ASCII before lower-casing (Java's lower() is not Turkish-aware), and other accents.
-FOLD_FROM = "İIığĞüÜşŞöÖçÇâÂîÎûÛáàäãåéèêëíìïóòôõúùñÁÀÄÃÅÉÈÊËÍÌÏÓÒÔÕÚÙÑ"
-FOLD_TO = "iiigguussooccaaiiuuaaaaaeeeeiiioooouunaaaaaeeeeiiioooouun"
+#: Turkish letters that fold to ASCII before lower-casing (Java's lower() is not Turkish-aware).
+TURKISH_FROM = "İIığĞüÜşŞöÖçÇ"
+TURKISH_TO = "iiigguussoocc"
+
+
+def fold_table() -> tuple[str, str]:
+    """For translate(): the Turkish letters, every other character whose canonical decomposition is an ASCII letter with
+    combining marks, and the marks themselves, which have no counterpart and so vanish."""
+    marks = "".join(map(chr, range(0x300, 0x370)))
+    plain = {c: d[0] for c in map(chr, range(0xC0, 0x2200)) if c not in TURKISH_FROM and (d := unicodedata.normalize("NFD", c)) != c and d[0].isascii() and d[0].isalpha() and all(m in marks for m in d[1:])}
+    return TURKISH_FROM + "".join(plain) + marks, TURKISH_TO + "".join(plain.values())
+
+
+FOLD_FROM, FOLD_TO = fold_table()
 #: Words that callers of normalize_location() take off.
 QUARTER_WORDS = ("mahallesi", "mahalle", "mah", "mh")
 
@@ -40,7 +52,7 @@ def to_number_tr(col: Column) -> Column:
 
 
 def normalize_text(col: Column) -> Column:
-    """Lower-case ASCII words with single spaces; `&` is the word `ve`, apostrophes vanish."""
+    """Lower-case ASCII words with single spaces; accents, written in one character or as marks, and apostrophes vanish; `&` is the word `ve`."""
     s = F.lower(F.translate(F.coalesce(col, F.lit("")), FOLD_FROM, FOLD_TO))
     s = F.replace(F.replace(s, F.lit("'"), F.lit("")), F.lit("&"), F.lit(" ve "))
     return F.trim(F.regexp_replace(s, r"[^a-z0-9]+", " "))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -273,9 +275,13 @@ def f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("l_orderkey", "l_linenumber").agg(F.max(T.to_number_tr(c("a"))).alias("decimal_form"), F.max(T.to_number_tr(c("b"))).cast("long").alias("thousands_form"))
 
 
-@registered("f2_f3_f4_folded_text", "SELECT p_partkey, replace(p_name, ' ', ' cigdem ') AS folded, replace(p_name, ' ', ' cigdem ') AS place, replace(replace(p_name, ' ', ' cigdem '), ' ', '') AS compact, replace(replace(p_name, ' ', ' cigdem '), ' ', '-') AS slug FROM part")
+@registered("f2_f3_f4_folded_text", """WITH n AS (SELECT p_partkey, replace(p_name, ' ', CASE p_partkey % 4 WHEN 0 THEN ' cigdem ' WHEN 1 THEN ' sisli ' WHEN 2 THEN ' od z aeo angstrom ' ELSE ' koy ve yol lhasa ' END) AS folded FROM part)
+SELECT p_partkey, folded, folded AS place, replace(folded, ' ', '') AS compact, replace(folded, ' ', '-') AS slug FROM n""")
 def f2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.regexp_replace(F.upper("p_name"), " ", "  ÇİĞDEM ")
+    """Turkish letters, the same ones decomposed, rare accents and letters that fold to nothing, signs."""
+    k = c("p_partkey") % 4
+    word = F.when(k == 0, "  ÇİĞDEM ").when(k == 1, f" {unicodedata.normalize('NFD', 'ŞİŞLİ')} ").when(k == 2, " ódłz āēō \u212bngstro\u0308m ").otherwise(" K'öy&yol ḹh̤aśa- ")
+    name = F.concat(F.element_at(F.split(F.upper("p_name"), " "), 1), word, F.element_at(F.split(F.upper("p_name"), " "), 2))
     place = F.concat(name, F.lit(" Mahallesi"))
     return fixture(spark, sf_dir, "part").select("p_partkey", T.normalize_text(name).alias("folded"), T.normalize_location(place).alias("place"), T.normalize_location(place, compact=True).alias("compact"), T.slugify_tr(place).alias("slug"))
 

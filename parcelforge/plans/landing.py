@@ -52,19 +52,29 @@ def s3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.normalize_crawl_feed(rows, as_of()).select("source_url", "title", "price", "net_area", "gross_area", "building_age", "price_per_sqm")
 
 
-@registered("s4_listing_cards", "SELECT 'https://www.hepsiemlak.com/x/' || l_orderkey || '-' || l_linenumber AS source_url, max(floor(l_extendedprice)) AS price, (max(l_quantity) + 20)::DOUBLE AS gross_area, '2+1' AS room_text FROM lineitem GROUP BY l_orderkey, l_linenumber")
+@registered("s4_listing_cards", """WITH one AS (SELECT l_orderkey AS o, l_linenumber AS n, max(floor(l_extendedprice)) AS price, (max(l_quantity) + 20)::DOUBLE AS gross_area FROM lineitem WHERE l_orderkey % 11 <> 0 GROUP BY 1, 2)
+SELECT 'https://www.hepsiemlak.com/x/' || o || '-' || n AS source_url, 'x/' || o || '-' || n AS source_listing_id, price, gross_area, CASE (o + n) % 4 WHEN 3 THEN '3+1' ELSE '2+1' END AS room_text, CASE (o + n) % 4 WHEN 2 THEN 'Deniz manzaralı güzel daire' ELSE 'Ev & Bahçe' END AS title,
+  'https://hecdn.example/a.jpg' AS image_url, CASE WHEN o % 2 = 0 THEN 1234.0 ELSE count(*) OVER (PARTITION BY o) END::DOUBLE AS record_count FROM one""")
 def s4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards of four shapes: links by class or the first one, attributes in any order, inner lists, photos among logos and foreign ones; cards without a photo of the site."""
     one = fixture(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max(F.floor("l_extendedprice")).alias("p"), (F.max("l_quantity") + 20).cast("int").alias("a"))
+    key, shape = F.concat(s("/x/"), c("l_orderkey").cast("string"), s("-"), c("l_linenumber").cast("string")), (c("l_orderkey") + c("l_linenumber")) % 4
+    inner = F.concat(s("<a title='Ev &amp; Bahçe' href='"), key, s("' class='k listingView__card-link'></a>\n<ul class='tags'><li>Foto</li>\n<li>Video</li></ul>"))
+    plain = F.concat(s('<a href="'), key, s('"><b>git</b></a>\nDeniz manzaralı güzel daire'))
+    link = F.when(shape == 1, inner).when(shape == 2, plain).otherwise(F.concat(s('<a class="listingView__card-link" href="'), key, s('" title="Ev &amp; Bahçe"></a>')))
+    photo = F.when(shape == 1, "<img src='https://img.example/no.jpg'><img src='https://hecdn.example/a.jpg'>").when(shape == 2, '<img srcset="https://hecdn.example/a.jpg 1x, b.jpg 2x">').when(shape == 3, '<img src="https://hecdn.example/a.jpg" data-src="https://hecdn.example/logo/x.png">').otherwise('<img data-src="https://hecdn.example/a.jpg"/>')
+    photo = F.when(c("l_orderkey") % 11 == 0, '<img src="https://img.example/a.jpg">').otherwise(photo)
     card = F.concat(
-        s('<li class="listing-item"><a class="listingView__card-link" href="/x/'), c("l_orderkey").cast("string"), s("-"), c("l_linenumber").cast("string"), s('" title="Ev"></a><span class="list-view-price">'), F.regexp_replace(F.format_number("p", 0), ",", "."),
-        s(' TL</span><span>Oda Sayısı</span><span>2 + 1</span><span>Brüt m²</span> <span>'), c("a").cast("string"), s('</span><span>Bina Yaşı</span><span>5</span><img data-src="https://hecdn.example/a.jpg"/><b>05.03.2024</b></li>'),
+        s("<li data-x='>' class=\"box listing-item\">"), link, s('\n<span class="list-view-price">'), F.regexp_replace(F.format_number("p", 0), ",", "."), s(" TL</span><!-- <li> -->\n<span>Oda Sayısı</span>\n<span>"), F.when(shape == 3, "3 +\n1").otherwise("2 + 1"),
+        s("</span>\n<span>Brüt m²</span>\n<span>"), c("a").cast("string"), s("</span>\n<span>Bina Yaşı</span>\n<span>5</span>\n"), photo, s("\n<b>05.03.2024</b></li>"),
     )
-    html = one.groupBy(c("l_orderkey").alias("page_id")).agg(F.concat(s("<ul>"), F.array_join(F.collect_list(card), "\n"), s("</ul>")).alias("html"))
-    return pages.extract_listing_cards(html, as_of()).select("source_url", "price", "gross_area", "room_text")
+    said = F.when(c("page_id") % 2 == 0, "<p>Konak için 1.234 ilan bulundu</p>").otherwise("")
+    html = one.groupBy(c("l_orderkey").alias("page_id")).agg(F.array_join(F.collect_list(card), "\n").alias("cards")).select("page_id", F.concat(s("<body>"), said, s("<ul>"), c("cards"), s("</ul></body>")).alias("html"))
+    return pages.extract_listing_cards(html, as_of()).select("source_url", "source_listing_id", "price", "gross_area", "room_text", "title", "image_url", "record_count")
 
 
 def population_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page for each nation: rows with labelled cells, with and without a link, or with bare cells in a table with an id."""
+    """A page for each nation: rows with labelled cells, with and without a link, or with bare cells in a table with an id; half of them name their city in their breadcrumbs alone."""
     tr = lambda x: F.regexp_replace(F.format_number(x, 0), ",", ".")
     n = fixture(spark, sf_dir, "customer").groupBy("c_nationkey", (c("c_custkey") % 8).alias("q")).agg((F.count(s(1)) * 1000).alias("pop"))
     name = F.concat(s("Mah "), c("q").cast("string"))
@@ -74,13 +84,16 @@ def population_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = F.when(c("c_nationkey") % 3 == 0, bare).otherwise(labelled)
     d = n.groupBy("c_nationkey").agg(F.array_join(F.collect_list(row), "\n").alias("rows"), F.sum("pop").alias("total")).join(fixture(spark, sf_dir, "nation"), c("c_nationkey") == c("n_nationkey"))
     table = F.when(c("c_nationkey") % 3 == 0, "<table id='ust_tablo'><tr><th>Ad</th></tr>").otherwise("<table>")
-    html = F.concat(s("<p>2023 ilçe toplam nüfusu, 2025 tahmini</p><ul class='boxDetaylar'><li><span class='dtColOne'>Toplam Nüfus</span><span class='dtColTwo'>"), tr("total"), s("</span></li><li><span class='dtColOne'>Mahalle Sayısı</span><span class='dtColTwo'>8</span></li></ul>"), table, c("rows"), s("<tr><td data-label='MAHALLE ADI'>Boş</td></tr></table>"))
-    return d.select(s("İzmir").alias("city"), c("n_name").alias("district"), html.alias("html"), F.concat(s("https://x.example/"), c("c_nationkey").cast("string")).alias("url"))
+    crumbs = "<ul class='x breadcrumb'><li><a>Türkiye</a><li><a>İzmir Nüfusu</a></ul>"
+    item = lambda label, value: F.concat(s(f"<li><span class='dtColOne'>{label}</span><span data-x='1' class='w dtColTwo'>"), value, s("</span>"))
+    summary = F.concat(s("<div class='boxDetaylar'><ul>"), item("Belde Toplam Nüfus", s("1")), item("Toplam N&uuml;fus", tr("total")), item("Mahalle Sayısı", s("8")), s("</ul></div>"))
+    html = F.concat(s(crumbs), s("<p>Konak ilçesinin 2023 ilçe toplam nüfusu, 2025 tahmini</p>"), summary, table, c("rows"), s("<tr><td data-label='MAHALLE ADI'>Boş</td></tr></table>"))
+    return d.select(F.when(c("c_nationkey") % 2 == 0, "İzmir").alias("city"), c("n_name").alias("district"), html.alias("html"), F.concat(s("https://x.example/"), c("c_nationkey").cast("string")).alias("url"))
 
 
 POPULATION_SQL = """n AS (SELECT c_nationkey AS k, c_custkey % 8 AS q, count(*) * 1000 AS pop FROM customer GROUP BY 1, 2), recs AS (
   SELECT n_name AS district, 'Mah ' || q AS neighborhood, 'NEIGHBORHOOD' AS location_level, pop::DOUBLE AS population_total, NULL::DOUBLE AS neighborhood_count, CASE WHEN k % 3 = 0 THEN 2.0 END::DOUBLE AS population_female,
-    'nufusune:' || CASE WHEN q % 2 = 0 THEN (k * 10 + q)::VARCHAR ELSE 'izmir:' || replace(lower(n_name), '_', '-') || ':' || q END AS source_key, CASE WHEN q % 2 = 0 THEN 'https://www.nufusune.com/' || (k * 10 + q) || '-x' ELSE 'https://x.example/' || k END AS source_url FROM n JOIN nation ON n_nationkey = k
+    'nufusune:' || CASE WHEN q % 2 = 0 AND k % 3 <> 0 THEN (k * 10 + q)::VARCHAR ELSE 'izmir:' || replace(lower(n_name), '_', '-') || ':mah-' || q END AS source_key, CASE WHEN q % 2 = 0 AND k % 3 <> 0 THEN 'https://www.nufusune.com/' || (k * 10 + q) || '-x' ELSE 'https://x.example/' || k END AS source_url FROM n JOIN nation ON n_nationkey = k
   UNION ALL SELECT n_name, NULL, 'DISTRICT', sum(pop)::DOUBLE, 8.0, NULL, 'nufusune:izmir:' || replace(lower(n_name), '_', '-'), 'https://x.example/' || k FROM n JOIN nation ON n_nationkey = k GROUP BY n_name, k)"""
 
 
@@ -106,12 +119,20 @@ def s6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract_location_links(fixture(spark, sf_dir, "pages").select("page_id", "html"))
 
 
-@registered("f24_page_facts", """SELECT listing_uid AS page_id, image_url, CASE WHEN provider_rank = 0 THEN gross_area ELSE floor(coalesce(net_area, gross_area) + 0.5) END AS area, coalesce(room_text, '4') AS room_text FROM fx_listing""")
+@registered("f24_page_facts", """SELECT listing_uid AS page_id, image_url || '?a=1&b=2' AS image_url, CASE WHEN image_url IS NOT NULL THEN CASE provider_rank WHEN 2 THEN 'json-ld' ELSE 'og:image' END END AS image_source,
+  CASE WHEN provider_rank = 0 THEN gross_area ELSE floor(coalesce(net_area, gross_area) + 0.5) END AS area, coalesce(room_text, '4') AS room_text FROM fx_listing""")
 def f24(spark: SparkSession, sf_dir: str) -> DataFrame:
-    meta = F.when(c("image_url").isNotNull(), F.concat(s('<meta property="og:image" content="'), c("image_url"), s('">')))
-    ld = F.when(c("provider_rank") == 0, F.concat(s('<script type="application/ld+json">{"@graph": [{"numberOfRooms": 4, "floorSize": {"value": '), c("gross_area").cast("string"), s("}}]}</script>"))).otherwise(s('<script type="application/ld+json">{"numberOfRooms": "4"}</script>'))
-    body = F.concat_ws(" ", F.concat(s("<p>Net "), c("net_area").cast("int").cast("string"), s(" m²</p>")), F.concat(s("<p>Brüt "), c("gross_area").cast("int").cast("string"), s(" m²</p>")), F.concat(s("<b>"), F.regexp_replace("room_text", r"\+", " + "), s("</b>")))
-    return pages.extract_page_facts(listings(spark, sf_dir).select(c("listing_uid").alias("page_id"), F.concat_ws("", meta, ld, body).alias("html")))
+    """Images in meta tags, attributes in either order, or in JSON; JSON plain or escaped; areas in JSON alone, or in words of three forms behind larger ones."""
+    rank, url = c("provider_rank"), F.concat(c("image_url"), s("?a=1&amp;b=2"))
+    meta = F.when(rank == 0, F.concat(s('<meta property="og:image" content="'), url, s('">'))).when(rank == 1, F.concat(s("<META content='"), url, s("' name='twitter:card'/><meta content='"), url, s("' data-x='>' property='og:image'/>")))
+    escaped = F.replace(F.concat(s('{"@graph": [{"numberOfRooms": 4, "floorSize": {"value": '), c("gross_area").cast("string"), s("}}]}")), s('"'), s("&quot;"))
+    image = F.when(c("image_url").isNotNull(), F.concat(s(', "image": ["", {"contentUrl": "'), url, s('"}]')))
+    plain = F.concat(s('{"numberOfRooms": "4", "floorSize": 7'), F.when(rank == 2, F.coalesce(image, s(""))).otherwise(""), s("}"))
+    ld = F.concat(s("<script data-x type='application/ld+json'>"), F.when(rank == 0, escaped).otherwise(plain), s("</script><script>var x = '900 m² <b>';</script><!-- net 901 m² -->"))
+    whole = lambda x: c(x).cast("int").cast("string")
+    net = F.concat(s("<p>Net&nbsp;"), F.when(rank == 1, "Alanı: ").otherwise(""), whole("net_area"), s("<i> m²</i>.</p>"))
+    body = F.when(rank > 0, F.concat_ws(" ", F.concat(s("<p>Brüt alanı "), whole("gross_area"), s(" metrekare, 5 m2x</p>")), net))
+    return pages.extract_page_facts(listings(spark, sf_dir).select(c("listing_uid").alias("page_id"), F.concat_ws("", meta, ld, body, F.concat(s("<b>"), F.regexp_replace("room_text", r"\+", " + "), s("</b>"))).alias("html")))
 
 
 def stop_responses(rows: DataFrame) -> DataFrame:

@@ -1,19 +1,23 @@
-"""Records from HTML pages by patterns on their markup; a small vectorized helper where JSON-LD must be walked."""
+"""Records from HTML pages.  Cards, population pages and page facts are read through one tokenizer of markup, in Arrow helpers
+that give what is written there; it is turned into numbers, dates and keys by column functions."""
 
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
+from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, StringType, StructField, StructType
 
 from parcelforge.functions import text as T
 from parcelforge.operators.media import unique_images
-from parcelforge.operators.openstats import PLACE_WORDS
 from parcelforge.operators.pool import unique_first
+from parcelforge.sources.markup import Page, clean
 
 c = F.col
 
@@ -31,18 +35,89 @@ def found(col: Column | str, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(col, pattern, group), F.lit(""))
 
 
-def extract_listing_cards(pages: DataFrame, as_of: Column, base: str = "https://www.hepsiemlak.com") -> DataFrame:
-    """Listings of result pages (page_id, html): each `li.listing-item` is a card with link, price, labels and image."""
-    cards = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?s)(<li[^>]*listing-item.*?</li>)"), 1)).alias("pos", "card"))
-    label = lambda name: stripped(found("card", rf"(?s){name}\s*</span>\s*<span[^>]*>(.*?)</span>"))
-    link = found("card", r'<a[^>]*listingView__card-link[^>]*href="([^"]+)"')
-    image = F.coalesce(found("card", r'<img[^>]*data-src="([^"]+)"'), found("card", r'<img[^>]*[^-]src="([^"]+)"'))
-    rows = cards.select(
-        "page_id", "pos", F.when(link.startswith("/"), F.concat(F.lit(base), link)).otherwise(link).alias("source_url"), T.js_round(T.to_number_tr(stripped(found("card", r"(?s)<[^>]*list-view-price[^>]*>(.*?)</")))).alias("price"),
-        found("card", r'<a[^>]*listingView__card-link[^>]*title="([^"]+)"').alias("title"), F.nullif(T.room_key(label("Oda Sayısı")), F.lit("")).alias("room_text"), T.to_number_tr(label("Brüt m²")).alias("gross_area"),
-        T.building_age(F.lit(None).cast("double"), label("Bina Yaşı")).alias("building_age"), T.floor_value(label("Kat")).alias("floor"), image.alias("image_url"), T.parse_date_tr(found("card", r"(\d{1,2}[./-]\d{1,2}[./-]\d{4})"), as_of).alias("created_at"),
+def spark_type(kind: pa.DataType) -> DataType:
+    """Spark's name for a type that a helper gives; no session is needed."""
+    if pa.types.is_struct(kind):
+        return StructType([StructField(x.name, spark_type(x.type)) for x in kind])
+    if pa.types.is_list(kind):
+        return ArrayType(spark_type(kind.value_type))
+    return DoubleType() if pa.types.is_floating(kind) else StringType()
+
+
+def absolute(value: str | None, base: str) -> str | None:
+    text = clean(value)
+    try:
+        return urljoin(base, text) if text else None
+    except ValueError:
+        return None
+
+
+def lower_tr(text: str) -> str:
+    return text.replace("I", "ı").replace("İ", "i").lower()
+
+
+#: Texts of a card that are no title, cities whose names make a text an address, hosts of photos.
+NO_TITLE, CITIES = re.compile("telefonu göster|whatsapp|paylaş", re.I), re.compile("İstanbul|Ankara|İzmir|Bursa|Antalya|Kocaeli|Sakarya", re.I)
+PHOTO_HOST, LOGO = re.compile("hecdn|hemlak", re.I), re.compile("logo/", re.I)
+CARD = ("link", "title", "price", "room", "area", "age", "floor", "image", "images", "address", "date")
+
+
+def card_facts(page: Page, card: int, base: str) -> dict:
+    """What a card says, as written.  A label's value is the line after it."""
+    links = list(page.having("a", "listingView__card-link", card))
+    first = next(page.having("a", None, card), None)
+    href = (page.attr(links[0], "href") if links else None) or (page.attr(first, "href") if first is not None else None)
+    lines = [x for x in map(clean, page.text(card).split("\n")) if x]
+
+    def said(label: str) -> str | None:
+        at = next((k for k, x in enumerate(lines) if lower_tr(x) == lower_tr(label)), None)
+        if at is None or at + 1 >= len(lines):
+            return None
+        more = lines[at + 2] if at + 2 < len(lines) else ""
+        return f"{lines[at + 1]} {more}" if lines[at + 1].endswith("+") and re.fullmatch("[0-9]+", more) else lines[at + 1]
+
+    sources = [x for k in page.having("img", None, card) for x in (page.attr(k, "data-src"), page.attr(k, "src"), ((page.attr(k, "srcset") or "").split() or [None])[0])]
+    images = (absolute(x, base) for x in sources)
+    count = next(page.having(None, "photo-count", card), None)
+    return {
+        "link": absolute(href, base), "title": (clean(page.attr(links[0], "title")) if links else "") or next((x for x in lines if len(x) > 18 and not NO_TITLE.search(x)), None),
+        "price": clean("".join(page.text(k) for k in page.having(None, "list-view-price", card))), "room": said("Oda Sayısı"), "area": said("Brüt m²"), "age": said("Bina Yaşı"), "floor": said("Kat"),
+        "image": next((x for x in images if x and not x.startswith("data:") and PHOTO_HOST.search(x) and not LOGO.search(x)), None), "images": clean(page.text(count)) if count is not None else None,
+        "address": next((x for x in lines if re.search("/.+/", x) and CITIES.search(x)), None), "date": next((x for x in lines if re.fullmatch(r"\d{1,2}[./-]\d{1,2}[./-]\d{4}", x)), None),
+    }
+
+
+PAGE_OF_CARDS = pa.struct([("cards", pa.list_(pa.struct([(x, pa.string()) for x in CARD]))), ("found", pa.string())])
+
+
+def extract_listing_cards(pages: DataFrame, as_of: Column, base: str = "https://www.hepsiemlak.com", most: int | None = 30) -> DataFrame:
+    """Listings of result pages (page_id, html): each `li.listing-item` is a card with link, price, labels and image.
+
+    Cards without link, price, area or a photo of the site's own hosts go; of the others, a page gives the first `most` (None: all).
+    `record_count` is the number of results that the page says it found, else that of its cards.
+    """
+
+    @F.arrow_udf(spark_type(PAGE_OF_CARDS))
+    def read(html: pa.Array) -> pa.Array:
+        out = []
+        for source in html.to_pylist():
+            page = Page(source or "")
+            count = re.search(r"için\s+([0-9.]+)\s+ilan\s+bulundu", clean(page.text()), re.I)
+            out.append({"cards": [card_facts(page, k, base) for k in page.having("li", "listing-item")], "found": count[1].replace(".", "") if count else None})
+        return pa.array(out, PAGE_OF_CARDS)
+
+    price = lambda x: T.js_round(T.to_number_tr(x["price"]))
+    whole = lambda x: (x["link"] != "") & price(x).isNotNull() & (T.to_number_tr(x["area"]) > 0) & (x["image"] != "")
+    kept = F.filter("page.cards", lambda x: F.coalesce(whole(x), F.lit(False)))
+    kept = F.slice(kept, 1, most) if most else kept
+    rows = pages.select("page_id", read("html").alias("page")).select("page_id", c("page.found").try_cast("double").alias("said"), kept.alias("kept"))
+    x = c("card")
+    number = F.nullif(F.regexp_extract(T.clean_text(x["link"]), r"/([^/]+/[^/]+)$", 1), F.lit(""))
+    rows = rows.select("page_id", F.coalesce("said", F.size("kept").cast("double")).alias("record_count"), F.posexplode("kept").alias("pos", "card")).select(
+        "page_id", "pos", x["link"].alias("source_url"), price(x).alias("price"), x["title"].alias("title"), F.nullif(T.room_key(x["room"]), F.lit("")).alias("room_text"), T.to_number_tr(x["area"]).alias("gross_area"),
+        T.building_age(F.lit(None).cast("double"), x["age"]).alias("building_age"), T.floor_value(x["floor"]).alias("floor"), x["image"].alias("image_url"), T.parse_date_tr(x["date"], as_of).alias("created_at"),
+        x["address"].alias("address"), number.alias("source_listing_id"), F.concat(F.lit("hepsiemlak:"), number).alias("external_id"), T.to_number_tr(x["images"]).alias("image_count"), "record_count",
     )
-    rows = rows.where("source_url is not null and price is not null and gross_area > 0 and image_url is not null")
     return unique_first(rows, ["source_url"], [c("page_id"), c("pos")])
 
 
@@ -50,34 +125,77 @@ def extract_listing_cards(pages: DataFrame, as_of: Column, base: str = "https://
 POPULATION = {"source": "NUFUSUNE", "source_dataset": "population", "source_reliability": "secondary_tuik_declared_unverified", "declared_source": "TUIK online population database, declared by nufusune.com"}
 
 
-def parse_population_pages(pages: DataFrame, base: str = "https://www.nufusune.com") -> DataFrame:
+ROW = ("name", "href", "total", "male", "female")
+POPULATION_PAGE = pa.struct([("city", pa.string()), ("district", pa.string()), ("text", pa.string()), ("summary", pa.list_(pa.struct([("label", pa.string()), ("value", pa.string())]))), ("rows", pa.list_(pa.struct([(x, pa.string()) for x in ROW])))])
+SUFFIX = re.compile(r"\s*N[UÜ]FUSU\s*", re.I)
+
+
+def population_facts(page: Page) -> dict:
+    """Names, labelled numbers and table rows of a district's page, as written."""
+
+    def joined(found: Iterator[int]) -> str:
+        return "".join(map(page.text, found))
+
+    crumbs = [a for u in page.having("ul", "breadcrumb") for a in page.having("a", None, u)]
+    titles = [k for k in page.having("h1") if page.attrs[k].get("id") == "ust_baslik"]
+    items = dict.fromkeys(li for box in page.having(None, "boxDetaylar") for li in page.having("li", None, box))
+    tables = [k for k in page.within() if page.attrs[k].get("id") == "ust_tablo"][:1]
+    rows = [tr for t in tables for tr in page.having("tr", None, t)]
+    if not rows:  # of the rows that hold a labelled name, the innermost
+        holders = {}
+        for tr in page.having("tr"):
+            holders |= {td: tr for td in page.having("td", None, tr) if page.attr(td, "data-label") == "MAHALLE ADI"}
+        rows = list(dict.fromkeys(holders.values()))
+
+    def row(tr: int) -> dict:
+        cells = list(page.having("td", None, tr))
+        labelled = lambda name: (k for k in cells if page.attr(k, "data-label") == name)
+        at = lambda k: page.text(cells[k]) if k < len(cells) else ""
+        link = next((a for td in labelled("MAHALLE ADI") for a in page.having("a", None, td)), None)
+        name = (page.text(link) if link is not None else "") or at(0)
+        return {"name": clean(name), "href": page.attr(link, "href") if link is not None else None, **{x: joined(labelled(label)) or at(k) for k, (x, label) in enumerate((("total", "TOPLAM NÜFUS"), ("male", "ERKEK NÜFUS"), ("female", "KADIN NÜFUS")), 1)}}
+
+    return {
+        "city": clean(SUFFIX.sub("", page.text(crumbs[1]), count=1)) if len(crumbs) > 1 else None, "district": clean(SUFFIX.sub("", joined(iter(titles)).split(",")[0], count=1)) or None,
+        "text": page.text(), "summary": [{"label": joined(page.having(None, "dtColOne", li)), "value": joined(page.having(None, "dtColTwo", li))} for li in items], "rows": [row(tr) for tr in rows],
+    }
+
+
+@F.arrow_udf(spark_type(POPULATION_PAGE))
+def read_population(html: pa.Array) -> pa.Array:
+    return pa.array([population_facts(Page(x or "")) for x in html.to_pylist()], POPULATION_PAGE)
+
+
+def parse_population_pages(pages: DataFrame, base: str = "https://www.nufusune.com/") -> DataFrame:
     """Records of district pages (city, district, html[, url]): one for the district's summary, one for each row of its table.
 
-    Cells are found by their label, else by their place.  Records have their source, a stable source_key (the row's number, else
-    the names' slugs) and source_url, so that they can be unpivoted and upserted.
+    City and district are those given, else those of the page's breadcrumbs and heading.  Cells are found by their label, else
+    by their place.  The year is that of the sentence on the district's total, else the latest on the page.  Records have
+    their source, a stable source_key (the row's number, else the names' slugs) and source_url, so that they can be unpivoted and upserted.
     """
-    year = T.infer_year(stripped(c("html")), r"(20\d{2}) ilçe toplam nüfusu")
     url = c("url") if "url" in pages.columns else F.lit(None).cast("string")
     said = [F.lit(v).alias(k) for k, v in POPULATION.items()]
-    slug = lambda x: T.slugify_tr(c(x), PLACE_WORDS)
-    base_rows = pages.select("city", "district", "html", year.alias("year"), url.alias("source_url"))
-    summary = lambda name: T.digits_number(found("html", rf"(?s){name}\s*</[^>]+>\s*<[^>]*dtColTwo[^>]*>([^<]*)<"))
-    district = base_rows.select(
-        "city", "district", F.lit(None).cast("string").alias("neighborhood"), "year", F.lit("DISTRICT").alias("location_level"), summary("Toplam Nüfus").alias("population_total"), summary("Toplam Erkek Nüfusu").alias("population_male"), summary("Toplam Kadın Nüfusu").alias("population_female"),
-        summary("Mahalle Sayısı").alias("neighborhood_count"), F.coalesce(summary("Bağlı Köy Sayısı"), summary("Köye Bağlı[^<]*")).alias("village_count"), F.concat(F.lit("nufusune:"), slug("city"), F.lit(":"), slug("district")).alias("source_key"), "source_url", *said,
+    slug = lambda x: T.slugify_tr(c(x), ())
+    given = lambda x: F.coalesce(F.nullif(T.clean_text(c(x)), F.lit("")), c(f"page.{x}"))
+    text = T.normalize_text(c("page.text"))
+    years = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"\b(20\d{2})\b"), 1), lambda y: y.cast("int")), lambda y: (y >= 2007) & (y <= 2100))
+    year = F.coalesce(F.regexp_extract(text, r"\bilcesinin\s+(20\d{2})\s+ilce toplam nufusu\b", 1).try_cast("int"), F.array_max(years), F.lit(0))
+    facts = F.transform("page.summary", lambda x: F.struct(T.normalize_text(x["label"]).alias("label"), T.digits_number(x["value"]).alias("value")))
+    read = pages.select("city", "district", url.alias("source_url"), read_population("html").alias("page"))
+    read = read.select(given("city").alias("city"), given("district").alias("district"), "source_url", year.alias("year"), facts.alias("facts"), c("page.rows").alias("lines"))
+    last = lambda *words: F.try_element_at(F.filter("facts", lambda x: x["label"].rlike("|".join(words))), F.lit(-1))["value"]
+    total = F.try_element_at(F.filter("facts", lambda x: x["label"].contains("toplam nufus") & ~x["label"].contains("belde")), F.lit(1))["value"]
+    district = read.select(
+        "city", "district", F.lit(None).cast("string").alias("neighborhood"), "year", F.lit("DISTRICT").alias("location_level"), total.alias("population_total"), last("toplam erkek nufusu").alias("population_male"), last("toplam kadin nufusu").alias("population_female"),
+        last("mahalle sayisi").alias("neighborhood_count"), last("koye bagli", "bagli koy sayisi").alias("village_count"), F.concat(F.lit("nufusune:"), slug("city"), F.lit(":"), slug("district")).alias("source_key"), "source_url", *said,
     )
-    table = found("html", r"(?s)<table[^>]*id=[\"']?ust_tablo[\"']?[^>]*>(.*?)</table>")
-    rows = F.when(table.isNotNull(), F.regexp_extract_all(table, F.lit(r"(?s)(<tr\b.*?</tr>)"), 1)).otherwise(F.regexp_extract_all("html", F.lit(r"(?s)(<tr>\s*<td[^>]*MAHALLE ADI.*?</tr>)"), 1))
-    lines = base_rows.select("city", "district", "year", "source_url", F.explode(rows).alias("row")).withColumn("cells", F.regexp_extract_all("row", F.lit(r"(?s)<td[^>]*>(.*?)</td>"), 1))
-    cell = lambda name, k: stripped(F.coalesce(found("row", rf"(?s)<td[^>]*data-label=[\"']{name}[\"'][^>]*>(.*?)</td>"), F.get("cells", F.lit(k))))
-    href = found("row", r"(?s)<a[^>]*href=[\"']([^\"']+)[\"']")
+    lines = read.select("city", "district", "year", "source_url", F.explode("lines").alias("line"))
     places = lines.select(
-        "city", "district", F.nullif(cell("MAHALLE ADI", 0), F.lit("")).alias("neighborhood"), "year", F.lit("NEIGHBORHOOD").alias("location_level"), T.digits_number(cell("TOPLAM NÜFUS", 1)).alias("population_total"), T.digits_number(cell("ERKEK NÜFUS", 2)).alias("population_male"), T.digits_number(cell("KADIN NÜFUS", 3)).alias("population_female"),
-        href.alias("href"), "source_url",
+        "city", "district", F.nullif(c("line.name"), F.lit("")).alias("neighborhood"), "year", F.lit("NEIGHBORHOOD").alias("location_level"), *[T.digits_number(c(f"line.{x}")).alias(f"population_{x}") for x in ("total", "male", "female")], c("line.href").alias("href"), "source_url",
     )
     record = found("href", r"^/?(\d+)-")
     place_key = F.coalesce(record, F.concat_ws(":", slug("city"), slug("district"), slug("neighborhood")))
-    row_url = F.when(c("href").startswith("http"), c("href")).when(c("href").isNotNull(), F.concat(F.lit(base + "/"), F.regexp_replace("href", "^/", "")))
+    row_url = F.when(c("href").startswith("http"), c("href")).when(c("href") != "", F.concat(F.lit(base), F.regexp_replace("href", "^/", "")))
     none = [F.lit(None).cast("double").alias(x) for x in ("neighborhood_count", "village_count")]
     places = places.withColumns({"source_key": F.concat(F.lit("nufusune:"), place_key), "source_url": F.coalesce(row_url, c("source_url"))}).select(*[x for x in district.columns if x not in ("neighborhood_count", "village_count", *POPULATION)], *none, *said)
     return district.where("population_total is not null").unionByName(places.where("neighborhood is not null and population_total is not null"))
@@ -90,9 +208,58 @@ def extract_location_links(pages: DataFrame) -> DataFrame:
     return unique_first(rows, ["url"], [c("page_id"), c("pos")]).select("url", "text")
 
 
-@F.pandas_udf(StructType([StructField("image", StringType()), StructField("area", DoubleType()), StructField("rooms", StringType())]))
-def json_ld(scripts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """The first image, floor size and number of rooms anywhere in the JSON of a page's scripts (one text, scripts apart by form feeds)."""
+def decoded(text: str) -> str:
+    """The six entities of page facts, ampersands first, so that what was escaped twice is plain."""
+    for entity, char in (("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " ")):
+        text = text.replace(entity, char)
+    return text
+
+
+#: How pages write areas, the likeliest first, and numbers of rooms.
+AREAS = tuple(
+    re.compile(before + r"([1-9][0-9.,]{1,7})\s*(?:m²|m2|metrekare)(?=\s|$|[.,;:)])", re.I)
+    for before in (r"(?:net|kullanım|kullanim)\s*(?:alanı|alani)?\s*:?\s*", r"(?:brüt|brut)\s*(?:alanı|alani)?\s*:?\s*", r"(?<![A-Za-z0-9_])")
+)
+ROOMS = re.compile(r"(?<![A-Za-z0-9_])(?:[1-9][0-9]?\s*\+\s*[0-9]|stüdyo|studio)(?![A-Za-z0-9_])", re.I)
+META_IMAGES, META_TEXTS = ("og:image:secure_url", "og:image", "twitter:image"), ("description", "og:description")
+
+
+def number_tr(value: object) -> float | None:
+    """As written with Turkish separators: dots are thousands, a comma is the decimal one."""
+    if isinstance(value, float) and value.is_integer():
+        value = int(value)
+    text = "".join(str(value).split()).replace(".", "").replace(",", ".", 1)
+    return float(text) if re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", text) else None
+
+
+def rounded(x: float) -> float:
+    return float(math.floor(x + 0.5))
+
+
+def area_of(text: str) -> float | None:
+    for pattern in AREAS:
+        m = pattern.search(text)
+        area = number_tr(m[1]) if m else None
+        if area and 10 <= area <= 100_000:
+            return rounded(area)
+    return None
+
+
+def meta_of(page: Page, keys: tuple[str, ...]) -> str | None:
+    """The content of the first meta tag of the first of some names that has one."""
+    metas = [page.attrs[k] for k in page.having("meta")]
+    for key in keys:
+        for x in metas:
+            content = re.match("[^\"']+", x.get("content", ""))
+            if content and key in (x.get("property", "").lower(), x.get("name", "").lower()):
+                if text := decoded(content[0]).strip():
+                    return text
+                break
+    return None
+
+
+def json_facts(page: Page) -> tuple[str | None, float | None, str | None]:
+    """The first image, floor size and number of rooms anywhere in the JSON-LD of a page."""
 
     def walk(node: object) -> Iterator[dict]:
         stack = [node]
@@ -111,51 +278,49 @@ def json_ld(scripts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             return next((v for k in ("url", "contentUrl", "thumbnailUrl") if isinstance(v := value.get(k), str) and v), None)
         return value if isinstance(value, str) else None
 
-    def number(value: object) -> float | None:
-        """As written with Turkish separators: dots are thousands, a comma is the decimal one."""
-        if isinstance(value, float) and value.is_integer():
-            value = int(value)
-        text = "".join(str(value).split()).replace(".", "").replace(",", ".", 1)
+    image = area = rooms = None
+    for k in page.having("script"):
+        if page.attrs[k].get("type", "").lower() != "application/ld+json":
+            continue
         try:
-            return float(text)
-        except ValueError:
-            return None
-
-    def facts(text: str | None) -> tuple:
-        image = area = rooms = None
-        for part in (text or "").split("\f"):
-            if not part.strip():
-                continue
-            try:
-                data = json.loads(part)
-            except ValueError:
-                continue
-            for node in walk(data):
-                image = image or image_of(node.get("image") or node.get("photo") or node.get("primaryImageOfPage"))
-                size = node.get("floorSize")
-                size = size[0] if isinstance(size, list) and size else size
-                size = size.get("value") if isinstance(size, dict) else size
-                area = area or (number(size) if isinstance(size, (int, float, str)) else None)
-                rooms = rooms or next((str(n) for n in (node.get("numberOfRooms"), node.get("numberOfBedrooms")) if n), None)
-        return image, area, rooms
-
-    for batch in scripts:
-        yield pd.DataFrame([facts(x) for x in batch], columns=["image", "area", "rooms"])
+            data = json.loads(decoded(page.text(k)).strip())
+        except (ValueError, RecursionError):
+            continue
+        for node in walk(data):
+            image = image or image_of(node.get("image") or node.get("photo") or node.get("primaryImageOfPage"))
+            size = node.get("floorSize")
+            size = size[0] if isinstance(size, list) and size else size
+            size = size.get("value") if isinstance(size, dict) else size
+            area = area or (number_tr(size) if isinstance(size, (int, float, str)) and not isinstance(size, bool) else None)
+            n = node.get("numberOfRooms") or node.get("numberOfBedrooms")
+            rooms = rooms or (str(int(n) if isinstance(n, float) and n.is_integer() else n) if isinstance(n, (int, float, str)) else None)
+    return image, rounded(area) if area else None, rooms
+
+
+PAGE_FACTS = pa.struct([("image_url", pa.string()), ("image_source", pa.string()), ("area", pa.float64()), ("room_text", pa.string())])
+
+
+@F.arrow_udf(spark_type(PAGE_FACTS))
+def read_facts(html: pa.Array, known: pa.Array) -> pa.Array:
+    out = []
+    for source, snippet in zip(html.to_pylist(), known.to_pylist(), strict=True):
+        page = Page(source or "")
+        image, area, rooms = json_facts(page)
+        meta = meta_of(page, META_IMAGES)
+        text = " ".join(x for x in (snippet, meta_of(page, META_TEXTS), decoded(page.visible()).strip()) if x)
+        room = ROOMS.search(text)
+        out.append({"image_url": meta or image, "image_source": "og:image" if meta else "json-ld" if image else None, "area": area_of(text) or area, "room_text": "".join(room[0].split()) if room else rooms})
+    return pa.array(out, PAGE_FACTS)
 
 
 def extract_page_facts(pages: DataFrame) -> DataFrame:
-    """(page_id, image_url, area, room_text) of listing pages: meta tags and text first by pattern, JSON-LD where it is there.
+    """(page_id, image_url, image_source, area, room_text) of listing pages (page_id, html[, title, snippet, description]).
 
-    The text of a page is stripped once, below the helper that walks its JSON; the patterns above it read the column.
+    Images are those of meta tags, else of JSON-LD; area and rooms are those of texts (the columns, the page's description, its
+    visible text), else of JSON-LD.
     """
-    meta = F.coalesce(found("html", r"(?i)<meta\b[^>]*(?:property|name)=[\"']og:image[\"'][^>]*content=[\"']([^\"']+)[\"']"), found("html", r"(?i)<meta\b[^>]*content=[\"']([^\"']+)[\"'][^>]*(?:property|name)=[\"']og:image[\"']"))
-    scripts = F.array_join(F.regexp_extract_all("html", F.lit(r"(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script>"), 1), "\f")
-    rows = pages.select("page_id", meta.alias("meta"), stripped(c("html")).alias("text"), scripts.alias("scripts")).withColumn("ld", json_ld(c("scripts")))
-    unit = r"\s*(?:m²|m2|metrekare)"
-    areas = [T.to_number_tr(found("text", rf"(?i)(?:{k})\s*:?\s*([1-9][\d.,]{{1,7}}){unit}")) for k in ("net|kullanım", "brüt|brut")] + [T.to_number_tr(found("text", rf"(?i)\b([1-9][\d.,]{{1,7}}){unit}"))]
-    area = F.coalesce(*[F.when(a.between(10, 100000), T.js_round(a)) for a in areas])
-    room = F.regexp_replace(found("text", r"(?i)\b([1-9]\d?\s*\+\s*[0-9]|stüdyo|studio)\b"), r"\s+", "")
-    return rows.select("page_id", F.coalesce("meta", "ld.image").alias("image_url"), F.coalesce(T.js_round(c("ld.area")), area).alias("area"), F.coalesce(room, c("ld.rooms")).alias("room_text"))
+    known = F.concat_ws(" ", *[F.nullif(F.trim(c(x)), F.lit("")) for x in ("title", "snippet", "description") if x in pages.columns])
+    return pages.select("page_id", read_facts(c("html"), known).alias("facts")).select("page_id", "facts.*")
 
 
 #: What makes a URL one of a photo, and what makes it none.

@@ -105,9 +105,10 @@ def test_stream_equals_batches(spark, tmp_path):
 
 
 def test_page_facts(spark):
+    """What a page says in words goes before its JSON."""
     html = '<meta property="og:image" content="http://i.example/a.jpg"><script type="application/ld+json">{"floorSize": {"value": 95}}</script><p>Net 90 m² 3 + 1</p>'
     row = pages.extract_page_facts(spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id int, html string")).orderBy("page_id").collect()
-    assert (row[0].image_url, row[0].area, row[0].room_text) == ("http://i.example/a.jpg", 95.0, "3+1") and row[1].image_url is None and row[2].area is None
+    assert (row[0].image_url, row[0].area, row[0].room_text) == ("http://i.example/a.jpg", 90.0, "3+1") and row[1].image_url is None and row[2].area is None
 
 
 def test_plan_of_the_valuation_set(spark):

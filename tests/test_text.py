@@ -64,3 +64,19 @@ def test_years(spark):
     assert one(spark, T.infer_year(F.lit("yok"))) == 0
     assert one(spark, T.infer_year(F.lit("2006 2001"))) == 0
     assert one(spark, T.infer_year(F.lit("2023 yılı, 2025 tahmini"))) == 2023
+
+
+def test_folding_equals_decomposition(spark):
+    """Every character below U+2200, alone and between letters, folds as what its canonical decomposition leaves."""
+    import re
+    import unicodedata
+
+    def plain(text):
+        for a, b in zip(T.TURKISH_FROM, T.TURKISH_TO, strict=True):
+            text = text.replace(a, b)
+        text = re.sub("[̀-ͯ]", "", unicodedata.normalize("NFD", text.lower()))
+        return " ".join(re.sub("[^a-z0-9]+", " ", text.replace("'", "").replace("&", " ve ")).split())
+
+    texts = [f"a{chr(k)}b {chr(k)}" for k in range(1, 0x2200)] + [unicodedata.normalize("NFD", "Şişli İğdır Çankaya"), "Łódź āēō", "ẹ́ q̇́"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.normalize_text(F.col("t")).alias("x")).collect()
+    assert [(r.t, r.x) for r in rows if r.x != plain(r.t)] == []
