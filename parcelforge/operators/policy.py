@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelforge.functions.text import js_round, normalize_text
+from parcelforge.functions.text import TURKISH_FROM, TURKISH_TO, js_round, normalize_text
 
 c = F.col
 
@@ -133,6 +135,15 @@ def banded(x: Column, bands: list[tuple[Column, float]]) -> Column:
     return F.when(x.isNotNull(), found).otherwise(1.0)
 
 
+#: What types, ages, floors, sizes, views and conditions multiply a price per m² with, and its bounds and range.
+KINDS = (("villa", 1.25), ("rezidans", 1.12), ("mustakil", 1.1))
+YOUNG, OLD = ((1, 1.12), (5, 1.08), (10, 1.03)), ((31, 0.84), (21, 0.9), (11, 0.95))
+LOW_FLOOR, TOP_FLOOR, HIGH_FROM, HIGH_FLOOR = 0.93, 0.97, 3, 1.02
+SMALL, LARGE = (75, 1.04), (220, 0.94)
+PARKING = (("closed_parking", 1.05), ("open_parking", 1.02))
+VIEWS = (("deniz|bogaz", 1.14), ("gol", 1.08), ("doga|bahce", 1.04))
+CONDITIONS = (("yeni|sifir", 1.06), ("eski|tadilat", 0.94))
+LEAST_SQM, MOST_SQM, AROUND = 18000.0, 250000.0, (0.84, 1.16)
 #: What a building's features multiply a price per m² with.
 FEATURES = (("is_site", 1.06), ("has_elevator", 1.04), ("security", 1.04), ("pool", 1.05), ("has_generator", 1.02), ("has_hydrophore", 1.01), ("has_water_tank", 1.01), ("sports", 1.02), ("has_thermal_insulation", 1.02), ("has_ac", 1.02))
 
@@ -145,35 +156,102 @@ def fallback_estimate(df: DataFrame) -> DataFrame:
     age, floor, floors, area = c("subject_building_age"), c("floor_no"), c("building_floors"), c("subject_area")
     text = lambda k: normalize_text(c(k)) if k in df.columns else F.lit("")
     kind, view, condition = text("property_type"), text("view_tags"), text("condition")
-    factor = banded(kind, [(kind.contains("villa"), 1.25)]) * banded(kind, [(kind.contains("rezidans"), 1.12)]) * banded(kind, [(kind.contains("mustakil"), 1.1)])
-    factor = factor * banded(age, [(age <= 1, 1.12), (age <= 5, 1.08), (age <= 10, 1.03), (age >= 31, 0.84), (age >= 21, 0.9), (age >= 11, 0.95)])
-    factor = factor * banded(floor, [(floor <= 0, 0.93), (floor == floors, 0.97), (floor >= 3, 1.02)]) * banded(area, [(area < 75, 1.04), (area > 220, 0.94)])
+    factor = F.lit(1.0)
+    for word, n in KINDS:
+        factor = factor * banded(kind, [(kind.contains(word), n)])
+    factor = factor * banded(age, [*[(age <= years, n) for years, n in YOUNG], *[(age >= years, n) for years, n in OLD]])
+    factor = factor * banded(floor, [(floor <= 0, LOW_FLOOR), (floor == floors, TOP_FLOOR), (floor >= HIGH_FROM, HIGH_FLOOR)]) * banded(area, [(area < SMALL[0], SMALL[1]), (area > LARGE[0], LARGE[1])])
     for k, n in FEATURES:
         factor = factor * F.when(flag(df, k), n).otherwise(1.0)
-    factor = factor * F.when(flag(df, "closed_parking"), 1.05).when(flag(df, "open_parking"), 1.02).otherwise(1.0)
-    factor = factor * banded(view, [(view.rlike("deniz|bogaz"), 1.14), (view.contains("gol"), 1.08), (view.rlike("doga|bahce"), 1.04)])
-    factor = factor * F.when(condition.rlike("yeni|sifir"), 1.06).otherwise(1.0) * F.when(condition.rlike("eski|tadilat"), 0.94).otherwise(1.0)
-    rows = df.withColumn("est_sqm", F.when(area > 0, js_round(F.least(F.greatest(c("base") * factor, F.lit(18000.0)), F.lit(250000.0)))))
-    rows = rows.withColumns({"est_min_sqm": js_round(c("est_sqm") * 0.84), "est_max_sqm": js_round(c("est_sqm") * 1.16)})
+    factor = factor * F.when(flag(df, PARKING[0][0]), PARKING[0][1]).when(flag(df, PARKING[1][0]), PARKING[1][1]).otherwise(1.0)
+    factor = factor * banded(view, [(view.rlike(words), n) for words, n in VIEWS])
+    for words, n in CONDITIONS:
+        factor = factor * F.when(condition.rlike(words), n).otherwise(1.0)
+    rows = df.withColumn("est_sqm", F.when(area > 0, js_round(F.least(F.greatest(c("base") * factor, F.lit(LEAST_SQM)), F.lit(MOST_SQM)))))
+    rows = rows.withColumns({"est_min_sqm": js_round(c("est_sqm") * AROUND[0]), "est_max_sqm": js_round(c("est_sqm") * AROUND[1])})
     return rows.withColumns({"est_min": thousands(c("est_min_sqm") * area), "est_expected": thousands(c("est_sqm") * area), "est_max": thousands(c("est_max_sqm") * area)})
 
 
+#: What is said of an estimate, and the confidence that it doesn't exceed.
+ESTIMATE_RATIONALE = "Bu çalışma kullanıcı emsali olmadan, konum ve taşınmaz özelliklerine göre düşük güvenli ön tahmindir."
+ESTIMATE_ASSUMPTION = ("Manuel emsal girilmediği için fiyat aralığı ", " için düşük güvenli ön tahmin olarak hesaplanmıştır.")
+ESTIMATE_MISSING, ESTIMATE_CONFIDENCE = "Manuel emsal verisi", 0.35
+#: Default sections of a report without them.
+PROJECTION_SUMMARY = (" ve taşınmaz özelliklerine göre pazar projeksiyonu niteliksel olarak hazırlanmıştır. ", " büyüklüğü, ", " tipi ve kullanıcı tarafından girilen emsal sayısı dikkate alınmıştır; kesin piyasa istatistiği olarak yorumlanmamalıdır.")
+PROJECTION_NOTE = " için pazar yorumu konum, taşınmaz özellikleri ve kullanıcı girdileri üzerinden niteliksel olarak hazırlanmıştır."
+REGION_DEMAND = " çevresinde konut talebi; ulaşım, günlük ihtiyaç erişimi ve mahalle dokusu gibi faktörlerle birlikte değerlendirilmelidir."
+REGION_SALE = ("Satılık konut yorumu kullanıcı tarafından girilen ", " emsal üzerinden desteklenmiştir.")
+REGION_SALE_NONE = "Satılık konut yorumu manuel emsal olmadan, konum ve taşınmaz özelliklerine göre ön değerlendirme niteliğindedir."
+REGION_RENT = "Kiralık piyasa yorumu için kira emsalleri girilmediğinden net kira çarpanı hesaplanmamıştır; amortisman resmi veri yerine ihtiyatlı yorumlanmalıdır."
+REGION_PLACES = "Yakın çevre yorumu adres bilgisinden hareketle hazırlanmıştır; okul, ulaşım, sağlık ve ticari aks görselleri kullanıcı tarafından eklenirse rapor daha güçlü olur."
+REGION_RISKS = "Bölgesel riskler için deprem, imar, zemin ve resmi kurum kayıtları ayrıca kontrol edilmelidir."
+ANSWER_PRICES = {"min_price": "est_min", "avg_price": "est_expected", "max_price": "est_max", "min_sqm": "est_min_sqm", "avg_sqm": "est_sqm", "max_sqm": "est_max_sqm"}
+
+
+def with_item(items: Column, text: Column) -> Column:
+    """The list, with the text in front unless one of its items holds it, whatever its case and Turkish letters."""
+    plain = lambda x: F.lower(F.translate(x, TURKISH_FROM, TURKISH_TO))
+    held = F.coalesce(items, F.array().cast("array<string>"))
+    return F.when(F.exists(held, lambda x: plain(x).contains(plain(text))), held).otherwise(F.concat(F.array(text), held))
+
+
+def apply_fallback(answers: DataFrame) -> DataFrame:
+    """Answers (normalize_price_index()) with what they lack taken from the estimate (fallback_estimate()); adds `estimated`.
+
+    If one of the six prices is missing and there is an estimate, the missing ones are its, the answer says so in its
+    rationale, assumptions and missing data, and its confidence is held down.  Given prices stay.
+    """
+    lacking = ~reduce(lambda a, b: a & b, [c(k).isNotNull() for k in ANSWER_PRICES]) & c("est_sqm").isNotNull()
+    rows = answers.withColumn("estimated", lacking)
+    on = c("estimated")
+    said = F.concat(F.lit(ESTIMATE_ASSUMPTION[0]), c("base_label"), F.lit(ESTIMATE_ASSUMPTION[1]))
+    filled = {k: F.when(on, F.coalesce(k, est)).otherwise(c(k)) for k, est in ANSWER_PRICES.items()}
+    return rows.withColumns(filled | {
+        "rationale": F.when(on, F.coalesce(F.nullif("rationale", F.lit("")), F.lit(ESTIMATE_RATIONALE))).otherwise(c("rationale")),
+        "assumptions": F.when(on, with_item(c("assumptions"), said)).otherwise(c("assumptions")), "missing_data": F.when(on, with_item(c("missing_data"), F.lit(ESTIMATE_MISSING))).otherwise(c("missing_data")),
+        "confidence": F.when(on, F.least(F.coalesce(F.nullif("confidence", F.lit(0.0)), F.lit(ESTIMATE_CONFIDENCE)), F.lit(ESTIMATE_CONFIDENCE))).otherwise(c("confidence")),
+    })
+
+
+def with_projections(answers: DataFrame) -> DataFrame:
+    """Answers with a market projection and regional statistics: their own, else defaults by place, type, area and n_comparables."""
+    n = F.coalesce(c("n_comparables"), F.lit(0)) if "n_comparables" in answers.columns else F.lit(0)
+    kind = F.coalesce(F.nullif("property_type", F.lit("")), F.lit("konut")) if "property_type" in answers.columns else F.lit("konut")
+    area = c("subject_area")
+    size = F.when(area != 0, F.concat(F.when(area == F.floor(area), area.cast("long").cast("string")).otherwise(area.cast("string")), F.lit(" m²"))).otherwise("Alan")
+    summary = F.concat(c("base_label"), F.lit(PROJECTION_SUMMARY[0]), F.coalesce(size, F.lit("Alan")), F.lit(PROJECTION_SUMMARY[1]), kind, F.lit(PROJECTION_SUMMARY[2]))
+    none = F.lit(None).cast("double")
+    market = {
+        "averageMarketingDays": F.coalesce(c("expected_sale_days"), F.when(n >= 3, 75.0).otherwise(95.0)), "competitionStatus": F.when(n >= 4, "Yoğun rekabet").when(n >= 2, "Orta rekabet").otherwise("Emsal verisi sınırlı"),
+        "activeComparableCount": F.when(n > 0, n.cast("double")), "waitingComparableCount": none, "annualChangePct": none, "totalReturnPct": none, "amortizationYears": none, "summary": summary,
+    }
+    region = {
+        "demographicsSummary": F.concat(c("base_label"), F.lit(REGION_DEMAND)), "saleMarketSummary": F.when(n > 0, F.concat(F.lit(REGION_SALE[0]), n.cast("string"), F.lit(REGION_SALE[1]))).otherwise(REGION_SALE_NONE),
+        "rentalMarketSummary": F.lit(REGION_RENT), "nearbyPlacesSummary": F.lit(REGION_PLACES), "riskSummary": F.lit(REGION_RISKS),
+    }
+    own = c("market_projection").withField("summary", F.coalesce("market_projection.summary", F.concat(c("base_label"), F.lit(PROJECTION_NOTE))))
+    built = lambda fields, names: F.struct(*[fields[k].alias(k) for k, _ in names])
+    return answers.withColumns({
+        "market_projection": F.when(c("market_projection").isNotNull(), own).otherwise(built(market, MARKET_FIELDS)),
+        "regional_stats": F.when(c("regional_stats").isNotNull(), c("regional_stats")).otherwise(built(region, REGION_FIELDS)),
+    })
+
+
 def json_in_text(text: Column) -> Column:
     """From the first { to the last }."""
     return F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
 
 
-def json_number(node: Column, path: str) -> Column:
-    """A number of a parsed JSON value: as it is, or, where it is a text, without thousands dots and with a decimal comma;
-    a text without digits is 0, as it says something that is no number; null for other kinds."""
-    kind, text = F.schema_of_variant(F.try_variant_get(node, path, "variant")), F.try_variant_get(node, path, "string")
+def said_number(number: Column, text: Column) -> Column:
+    """A number of JSON: as it is, or, where it is a text, without thousands dots and with a decimal comma; a text without
+    digits is 0, as it says something that is no number.  Null for lists and objects."""
     digits = F.regexp_replace(F.regexp_replace(F.replace(text, F.lit("."), F.lit("")), r"^([^,]*),", "$1."), r"[^0-9.]", "")
-    said = F.when(F.trim(text) == "", None).when(digits == "", 0.0).otherwise(digits.try_cast("double"))
-    return F.when(kind == "STRING", said).when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(node, path, "double"))
+    said = F.when((F.trim(text) == "") | text.rlike(r"^\s*[\[{]"), None).when(digits == "", 0.0).otherwise(digits.try_cast("double"))
+    return F.coalesce(number, said)
 
 
-def json_text(node: Column, path: str, most: int) -> Column:
-    return F.nullif(F.substring(F.trim(F.try_variant_get(node, path, "string")), 1, most), F.lit(""))
+def said_text(text: Column, most: int) -> Column:
+    return F.nullif(F.substring(F.trim(text), 1, most), F.lit(""))
 
 
 def share(x: Column) -> Column:
@@ -192,22 +270,49 @@ REGION_FIELDS = (("demographicsSummary", 900), ("saleMarketSummary", 900), ("ren
 MOST_COMPS, MOST_NOTES = 12, 20
 
 
-def json_fields(node: Column, path: str, fields: tuple) -> Column:
-    return F.struct(*[(json_number(node, f"{path}.{k}") if n is None else json_text(node, f"{path}.{k}", n)).alias(k) for k, n in fields])
+#: Numbers of an answer, and the fields of its lists and sections.
+ANSWER_NUMBERS = ("minPrice", "avgPrice", "maxPrice", "minPricePerSqm", "avgPricePerSqm", "maxPricePerSqm", "expectedSaleDays", "discountToSellFastPct", "priceSensitivity", "confidence")
+SECTIONS = {"marketProjection": MARKET_FIELDS, "regionalStats": REGION_FIELDS}
+
+
+def fields_as(fields: tuple, kind: str) -> str:
+    return ", ".join(f"{k} {kind}" for k, n in fields if kind == "string" or n is None)
+
 
+def answer_schemas() -> tuple[str, str]:
+    """Two readings of an answer: as texts, and of its numbers as numbers, which are null where texts stand.  Comparables stay
+    JSON, each for itself, so that an odd one spoils no other."""
+    texts = [f"{k} string" for k in (*ANSWER_NUMBERS, "rationale")] + [f"{k} array<string>" for k in ("assumptions", "missingData", "comps")]
+    numbers = [f"{k} double" for k in ANSWER_NUMBERS]
+    for name, fields in SECTIONS.items():
+        texts.append(f"{name} struct<{fields_as(fields, 'string')}>")
+        if fields_as(fields, "double"):
+            numbers.append(f"{name} struct<{fields_as(fields, 'double')}>")
+    return ", ".join(texts), ", ".join(numbers)
 
-def json_notes(node: Column, path: str) -> Column:
+
+def section(text: Column, number: Column | None, fields: tuple) -> Column:
+    return F.struct(*[(said_number(number[k], text[k]) if n is None else said_text(text[k], n)).alias(k) for k, n in fields])
+
+
+def said_notes(items: Column) -> Column:
     """Texts of a list, without empty ones."""
-    texts = F.transform(F.try_variant_get(node, path, "array<variant>"), lambda x: F.trim(F.try_variant_get(x, "$", "string")))
-    return F.slice(F.filter(F.coalesce(texts, F.array().cast("array<string>")), lambda x: x != ""), 1, MOST_NOTES)
+    texts = F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda x: F.trim(x))
+    return F.slice(F.filter(texts, lambda x: x != ""), 1, MOST_NOTES)
 
 
 def normalize_price_index(df: DataFrame, text_col: str, area_col: str) -> DataFrame:
     """Adds what JSON within a text says: min, avg, max price and per m², gaps filled from each other and the area, order
-    repaired, rounded; sale days, discount, shares within 0 and 1; comparables, notes and summaries of bounded length."""
-    area, node = F.when(c(area_col) > 0, c(area_col)), c("answer_")
-    num = lambda k: json_number(node, f"$.{k}")
-    rows = df.withColumn("answer_", F.try_parse_json(json_in_text(c(text_col))))
+    repaired, rounded; sale days, discount, shares within 0 and 1; comparables, notes and summaries of bounded length.
+
+    The JSON is read twice, to declared schemas: as texts and as numbers, which tells 1.5 from "1.5".
+    """
+    area = F.when(c(area_col) > 0, c(area_col))
+    said, numbers = answer_schemas()
+    num = lambda k: said_number(c(f"numbers_.{k}"), c(f"said_.{k}"))
+    json = json_in_text(c(text_col))
+    rows = df.withColumns({"said_": F.from_json(json, said), "numbers_": F.from_json(json, numbers)})
+    read = F.transform(F.coalesce(F.slice("said_.comps", 1, MOST_COMPS), F.array().cast("array<string>")), lambda x: F.struct(F.from_json(x, fields_as(COMP_FIELDS, "string")).alias("said"), F.from_json(x, fields_as(COMP_FIELDS, "double")).alias("numbers")))
     rows = rows.withColumns({f"{k}_p": num(f"{k}Price") for k in ("min", "avg", "max")} | {f"{k}_s": num(f"{k}PricePerSqm") for k in ("min", "avg", "max")})
     for k in ("min", "avg", "max"):
         rows = rows.withColumn(f"{k}_p", F.coalesce(f"{k}_p", c(f"{k}_s") * area))
@@ -222,14 +327,14 @@ def normalize_price_index(df: DataFrame, text_col: str, area_col: str) -> DataFr
         rows = rows.withColumns({f"min_{s}": rounded(F.when(lo > hi, hi).otherwise(lo)), f"avg_{s}": rounded(mid), f"max_{s}": rounded(F.when(lo > hi, lo).otherwise(hi))})
     rows = rows.withColumns({
         "expected_sale_days": bounded(num("expectedSaleDays"), 7.0, 365.0), "discount_to_sell_fast_pct": bounded(num("discountToSellFastPct"), 0.0, 25.0), "price_sensitivity": share(num("priceSensitivity")), "confidence": share(num("confidence")),
-        "comps": F.transform(F.slice(F.coalesce(F.try_variant_get(node, "$.comps", "array<variant>"), F.array().cast("array<variant>")), 1, MOST_COMPS), lambda x: json_fields(x, "$", COMP_FIELDS)),
-        "rationale": json_text(node, "$.rationale", 1200), "assumptions": json_notes(node, "$.assumptions"), "missing_data": json_notes(node, "$.missingData"),
-        "market_projection": json_fields(node, "$.marketProjection", MARKET_FIELDS), "regional_stats": json_fields(node, "$.regionalStats", REGION_FIELDS),
+        "comps": F.transform(read, lambda x: section(x["said"], x["numbers"], COMP_FIELDS)),
+        "rationale": said_text(c("said_.rationale"), 1200), "assumptions": said_notes(c("said_.assumptions")), "missing_data": said_notes(c("said_.missingData")),
+        "market_projection": section(c("said_.marketProjection"), c("numbers_.marketProjection"), MARKET_FIELDS), "regional_stats": section(c("said_.regionalStats"), None, REGION_FIELDS),
     })
     filled = lambda x, fields: F.when(F.coalesce(*[c(f"{x}.{k}").cast("string") for k, _ in fields]).isNotNull(), c(x))
     rows = rows.withColumns({"market_projection": filled("market_projection", MARKET_FIELDS), "regional_stats": filled("regional_stats", REGION_FIELDS)})
     names = {"min_p": "min_price", "avg_p": "avg_price", "max_p": "max_price", "min_s": "min_sqm", "avg_s": "avg_sqm", "max_s": "max_sqm"}
-    return rows.drop("answer_").withColumnsRenamed(names)
+    return rows.drop("said_", "numbers_").withColumnsRenamed(names)
 
 
 def answer_note(rationale: Column, assumptions: Column, missing: Column) -> Column:

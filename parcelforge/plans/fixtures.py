@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -111,10 +112,23 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     rows = query(spark, sf_dir, ADAPTERS[name])
-    cores = spark.sparkContext.defaultParallelism
-    if name in LARGE and fixture(spark, sf_dir, LARGE[name]).rdd.getNumPartitions() < cores:
-        rows = rows.repartition(cores)
-    return rows
+    return dealt_out(rows, fixture(spark, sf_dir, LARGE[name])) if name in LARGE else rows
+
+
+def dealt_out(rows: DataFrame, read: DataFrame | None = None) -> DataFrame:
+    """The rows, over all cores if they (or the table that they are read from) are in fewer tasks."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if (rows if read is None else read).rdd.getNumPartitions() < cores else rows
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors share: below spark.checkpoint.dir, or, on one machine, below the warehouse."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def query(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelforge.operators import openstats
-from parcelforge.plans.fixtures import fixture
+from parcelforge.plans.fixtures import fixture, work_folder
 from parcelforge.plans.registry import registered
 from parcelforge.plans.valuation import REASON, as_of, raw_feed
 from parcelforge.sources import feeds, pages
@@ -204,12 +202,7 @@ def f24_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT source_url, price, true AS is_active FROM one QUALIFY row_number() OVER (PARTITION BY source_url ORDER BY created_at DESC, price DESC) = 1""")
 def r1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw feed of all listings as a file stream, normalised, validated and upserted into a pool in the shared folder."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        top = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    folder = f"{top.rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    folder = work_folder(spark, "ingest")
     raw = raw_feed(listings(spark, sf_dir))
     raw.write.parquet(f"{folder}/feed")
     stream = spark.readStream.schema(raw.schema).parquet(f"{folder}/feed")

@@ -135,14 +135,15 @@ def j4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered("j6_resolve_names", """WITH d AS (SELECT DISTINCT r_name AS parent, n_name, n_nationkey FROM nation JOIN region ON r_regionkey = n_regionkey)
-SELECT c_custkey AS target_id, d2.n_nationkey AS candidate_id, CASE c_custkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 4 END AS tier FROM customer JOIN d d2 ON d2.n_nationkey = c_nationkey""")
+SELECT c_custkey AS target_id, d2.n_nationkey AS candidate_id, CASE c_custkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 4 END AS tier FROM customer JOIN d d2 ON d2.n_nationkey = c_nationkey""")
 def j6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parcelforge.plans.fixtures import query
 
     names = query(spark, sf_dir, "select r_name as parent, n_name as name, n_nationkey from nation join region on r_regionkey = n_regionkey")
     candidates = names.select(c("n_nationkey").cast("int").alias("candidate_id"), "parent", F.concat(c("name"), F.lit(" Yakası")).alias("name"), c("n_nationkey").alias("ord"))
     people = fixture(spark, sf_dir, "customer").join(names, c("c_nationkey") == c("n_nationkey"))
-    spelled = F.when(c("c_custkey") % 3 == 0, F.concat("name", F.lit(" YAKASI Mah."))).when(c("c_custkey") % 3 == 1, F.concat("name", F.lit("yakası"))).otherwise(F.concat("name", F.lit(" Yakası Parkı")))
+    k = c("c_custkey") % 4
+    spelled = F.when(k == 0, F.concat("name", F.lit(" YAKASI Mah."))).when(k == 1, F.concat("name", F.lit("yakası"))).when(k == 2, F.concat("name", F.lit(" Yak"))).otherwise(F.concat("name", F.lit(" Yakası Parkı")))
     return openstats.resolve_names(people.select(c("c_custkey").alias("target_id"), "parent", spelled.alias("name")), candidates).select("target_id", "candidate_id", "tier")
 
 
@@ -183,3 +184,23 @@ def w8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("w8_yearly_changes", INDEX + " SELECT series, idx, round((value - b12) / b12 * 100, 2) AS change_pct FROM v WHERE b12 IS NOT NULL AND b12 <> 0")
 def w8_yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return openstats.yearly_changes(series(spark, sf_dir))
+
+
+GAPS = "g AS (SELECT series, month_idx AS idx, value_cents / 100 AS value FROM fx_series WHERE (month_idx * 7 + length(series)) % 5 > 0)"
+
+
+@registered("w8_calendar_changes", f"""WITH {GAPS}, l AS (SELECT series, max(idx) AS idx, min(idx) AS f, min(value) AS low, max(value) AS high FROM g GROUP BY 1)
+SELECT l.series, v.value AS latest, round((v.value - a.value) / a.value * 100, 6) AS monthly, round((v.value - b.value) / b.value * 100, 6) AS annual, round((v.value - d.value) / d.value * 100, 6) AS three_year, round((v.value - e.value) / e.value * 100, 6) AS period, low, high
+FROM l JOIN g v ON v.series = l.series AND v.idx = l.idx LEFT JOIN g a ON a.series = l.series AND a.idx = l.idx - 1 LEFT JOIN g b ON b.series = l.series AND b.idx = l.idx - 12 LEFT JOIN g d ON d.series = l.series AND d.idx = l.idx - 36 JOIN g e ON e.series = l.series AND e.idx = l.f""")
+def w8_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series with a fifth of their months missing, compared by the calendar."""
+    rows = series(spark, sf_dir).where((c("idx") * 7 + F.length("series")) % 5 > 0)
+    return openstats.index_changes(rows, by_calendar=True).withColumns({k: F.round(k, 6) for k in ("monthly", "annual", "three_year", "period")})
+
+
+@registered("w8_filled_months", f"""WITH {GAPS}, s AS (SELECT series, unnest(range(min(idx), max(idx) + 1)) AS idx FROM g GROUP BY series)
+SELECT s.series, s.idx::INT AS idx, g.value, round((g.value - b.value) / b.value * 100, 2) AS change_pct FROM s LEFT JOIN g ON g.series = s.series AND g.idx = s.idx LEFT JOIN g b ON b.series = s.series AND b.idx = s.idx - 12""")
+def w8_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every month of the series with gaps, and its change in a year where both months are there."""
+    rows = series(spark, sf_dir).where((c("idx") * 7 + F.length("series")) % 5 > 0)
+    return openstats.monthly(rows).join(openstats.yearly_changes(rows, by_calendar=True), ["series", "idx"], "left")

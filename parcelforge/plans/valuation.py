@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from parcelforge.functions import listing as L
 from parcelforge.functions import text as T
-from parcelforge.operators import band, policy, pool, selection, signals
-from parcelforge.plans.fixtures import fixture
+from parcelforge.operators import band, policy, pool, quantiles, selection, signals
+from parcelforge.plans.fixtures import fixture, work_folder
 from parcelforge.plans.registry import registered
 
 c = F.col
@@ -168,9 +168,15 @@ def w1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.trim_unit_price(prepared(spark, sf_dir)).select("subject_id", "listing_uid")
 
 
-@registered("w2_trim_price", chain(PAIRS, sql_fence("t", "uniq", "price", 3, NOT_TEST)) + " SELECT subject_id, listing_uid FROM t")
+#: Prices with some far above and far below the others, tests among the titles, and prices that are none.
+ODD_PRICES = "odd AS (SELECT * REPLACE (CASE hash_ % 11 WHEN 0 THEN price * 40 WHEN 1 THEN price / 1000 WHEN 2 THEN 0 ELSE price END AS price, CASE hash_ % 7 WHEN 3 THEN title || ' TEST ilan' ELSE title END AS title) FROM (SELECT *, length(title) + floor(area) + coalesce(building_age, 5) AS hash_ FROM uniq))"
+
+
+@registered("w2_trim_price", chain(PAIRS, ODD_PRICES, sql_fence("t", "odd", "price", 3, "NOT contains(lower(title), 'test') AND price > 0")) + " SELECT subject_id, listing_uid, price FROM t")
 def w2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.trim_price(prepared(spark, sf_dir)).select("subject_id", "listing_uid")
+    k = F.length("title") + F.floor("area") + F.coalesce("building_age", F.lit(5))
+    odd = {"price": F.when(k % 11 == 0, c("price") * 40).when(k % 11 == 1, c("price") / 1000).when(k % 11 == 2, 0.0).otherwise(c("price")), "title": F.when(k % 7 == 3, F.concat("title", F.lit(" TEST ilan"))).otherwise(c("title"))}
+    return selection.trim_price(prepared(spark, sf_dir).withColumns(odd)).select("subject_id", "listing_uid", "price")
 
 
 @registered("p9_room_cascade", chain(PAIRS, VALUATION.replace("FROM t WINDOW", "FROM uniq WINDOW")) + " SELECT subject_id, listing_uid FROM rooms")
@@ -219,8 +225,10 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("a1_quantiles", "SELECT city, category, count(*) AS n, round(quantile_cont(price, 0.25), 4) AS q25, round(quantile_cont(price, 0.5), 4) AS q50, round(quantile_cont(price, 0.8), 4) AS q80 FROM fx_listing GROUP BY city, category")
 def a1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = [F.round(band.quantile("price", x), 4).alias(n) for n, x in (("q25", 0.25), ("q50", 0.5), ("q80", 0.8))]
-    return listings(spark, sf_dir).groupBy("city", "category").agg(F.count(F.lit(1)).alias("n"), *q)
+    """Of whole cities and categories, however many listings one has."""
+    names = {"q25": 0.25, "q50": 0.5, "q80": 0.8}
+    found = quantiles.exact_quantiles(listings(spark, sf_dir).select("city", "category", "price"), ["city", "category"], "price", names.items(), work_folder(spark, "quantiles"))
+    return found.withColumns({k: F.round(k, 4) for k in names})
 
 
 DAYS = "greatest(0, floor((epoch(TIMESTAMP '2001-12-01') - epoch(created_at::TIMESTAMP)) / 86400))::BIGINT"
@@ -491,9 +499,13 @@ PENALTY = """pen AS (SELECT subject_id, subject_area, least(38, CASE WHEN subjec
     CASE WHEN NOT has_elevator AND floor_no >= 3 THEN 'asansörsüz yüksek kat' END, CASE WHEN building_floors >= 3 AND floor_no >= building_floors - 1 THEN 'en üst/çatı kat etkisi' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM fx_subject)"""
 
 
-@registered("f14_subject_penalty", chain(PENALTY) + " SELECT subject_id, penalty_pct, reasons FROM pen")
+@registered("f14_subject_penalty", chain(PENALTY) + """, more AS (SELECT p.subject_id, penalty_pct, reasons, p.subject_id % 4 < 2 AS poor, p.subject_id % 7 = 3 AND NOT coalesce(building_floors >= 3 AND floor_no >= building_floors - 1, false) AS roof FROM pen p JOIN fx_subject s ON s.subject_id = p.subject_id)
+SELECT subject_id, least(38, penalty_pct + CASE WHEN poor THEN 7 ELSE 0 END + CASE WHEN roof THEN 6 ELSE 0 END)::INT AS penalty_pct, concat_ws('; ', nullif(reasons, ''), CASE WHEN roof THEN 'en üst/çatı kat etkisi' END, CASE WHEN poor THEN 'tadilat/bakımsızlık riski' END) AS reasons FROM more""")
 def f14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals.subject_penalty(subjects(spark, sf_dir)).select("subject_id", "penalty_pct", F.array_join("reasons", "; ").alias("reasons"))
+    """Buildings in need of repair, worn ones, sound ones and ones of which nothing is said; floors that are called the last one."""
+    k = c("subject_id")
+    rows = subjects(spark, sf_dir).withColumns({"condition": F.when(k % 4 == 0, "Tadilat ister").when(k % 4 == 1, "BAKIMSIZ").when(k % 4 == 2, "İyi"), "floor_text": F.when(k % 7 == 3, "Çatı Katı").otherwise("Ara kat")})
+    return signals.subject_penalty(rows).select("subject_id", "penalty_pct", F.array_join("reasons", "; ").alias("reasons"))
 
 
 @registered("a6_signal_guidance", chain(PAIRS) + FIT + ", " + PENALTY + """, an AS (
@@ -552,13 +564,48 @@ def f28(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.normalize_settings(rows)
 
 
-@registered("j9_f16_fallback_estimate", """WITH a AS (SELECT *, CASE WHEN subject_id % 4 = 0 THEN 'Kadıköy / İstanbul' WHEN subject_id % 4 = 1 THEN 'İstanbul' WHEN subject_id % 4 = 2 THEN 'Çankaya Ankara' ELSE city END AS address,
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjects whose place stands in the address, in the title or in the city."""
+    k = c("subject_id") % 4
+    return subjects(spark, sf_dir).withColumns({"address": F.when(k == 0, "Kadıköy / İstanbul"), "title": F.when(k == 1, "İSTANBUL'da daire"), "city": F.when(k == 2, "Çankaya Ankara").otherwise(c("city"))})
+
+
+ESTIMATE = """WITH a AS (SELECT *, CASE WHEN subject_id % 4 = 0 THEN 'Kadıköy / İstanbul' WHEN subject_id % 4 = 1 THEN 'İstanbul' WHEN subject_id % 4 = 2 THEN 'Çankaya Ankara' ELSE city END AS address,
   CASE subject_id % 4 WHEN 0 THEN 125000.0 WHEN 1 THEN 65000.0 WHEN 2 THEN 38000.0 ELSE 32000.0 END AS base FROM fx_subject),
 b AS (SELECT *, floor(least(greatest(base * 1.0::DOUBLE * CASE WHEN subject_building_age IS NULL THEN 1.0::DOUBLE WHEN subject_building_age <= 1 THEN 1.12 WHEN subject_building_age <= 5 THEN 1.08 WHEN subject_building_age <= 10 THEN 1.03 WHEN subject_building_age >= 31 THEN 0.84 WHEN subject_building_age >= 21 THEN 0.9 WHEN subject_building_age >= 11 THEN 0.95 ELSE 1.0 END
-  * CASE WHEN floor_no <= 0 THEN 0.93::DOUBLE WHEN floor_no = building_floors THEN 0.97 WHEN floor_no >= 3 THEN 1.02 ELSE 1.0 END * CASE WHEN subject_area < 75 THEN 1.04::DOUBLE WHEN subject_area > 220 THEN 0.94 ELSE 1.0 END * CASE WHEN has_elevator THEN 1.04::DOUBLE ELSE 1.0 END, 18000), 250000) + 0.5 + 1e-7) AS est_sqm FROM a)
+  * CASE WHEN floor_no <= 0 THEN 0.93::DOUBLE WHEN floor_no = building_floors THEN 0.97 WHEN floor_no >= 3 THEN 1.02 ELSE 1.0 END * CASE WHEN subject_area < 75 THEN 1.04::DOUBLE WHEN subject_area > 220 THEN 0.94 ELSE 1.0 END * CASE WHEN has_elevator THEN 1.04::DOUBLE ELSE 1.0 END, 18000), 250000) + 0.5 + 1e-7) AS est_sqm FROM a)"""
+
+
+@registered("j9_f16_fallback_estimate", ESTIMATE + """
 SELECT subject_id, base, CASE subject_id % 4 WHEN 0 THEN 'İstanbul yüksek talep bölgesi' WHEN 1 THEN 'İstanbul geneli' WHEN 2 THEN 'Ankara geneli' ELSE 'Türkiye geneli varsayılan konut lokasyonu' END AS base_label, est_sqm, floor(est_sqm * subject_area / 1000 + 0.5) * 1000 AS est_expected FROM b""")
 def j9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The place stands in the address, in the title or in the city."""
-    k = c("subject_id") % 4
-    rows = subjects(spark, sf_dir).withColumns({"address": F.when(k == 0, "Kadıköy / İstanbul"), "title": F.when(k == 1, "İSTANBUL'da daire"), "city": F.when(k == 2, "Çankaya Ankara").otherwise(c("city"))})
-    return policy.fallback_estimate(policy.location_hint(rows)).select("subject_id", "base", "base_label", "est_sqm", "est_expected")
+    return policy.fallback_estimate(policy.location_hint(placed(spark, sf_dir))).select("subject_id", "base", "base_label", "est_sqm", "est_expected")
+
+
+EST = """e AS (SELECT *, floor(est_sqm * 0.84::DOUBLE + 0.5) AS lo_sqm, floor(est_sqm * 1.16::DOUBLE + 0.5) AS hi_sqm, CASE subject_id % 4 WHEN 0 THEN 'İstanbul yüksek talep bölgesi' WHEN 1 THEN 'İstanbul geneli' WHEN 2 THEN 'Ankara geneli' ELSE 'Türkiye geneli varsayılan konut lokasyonu' END AS label,
+  subject_id % 3 AS k, subject_id % 5 AS n, (1000 * subject_id)::DOUBLE AS g FROM b)"""
+
+@registered("f16_fallback_answers", ESTIMATE + ", " + EST + """
+SELECT subject_id, k > 0 AS estimated, CASE k WHEN 0 THEN g ELSE floor(lo_sqm * subject_area / 1000 + 0.5) * 1000 END AS min_price, CASE WHEN k < 2 THEN g + 1 ELSE floor(est_sqm * subject_area / 1000 + 0.5) * 1000 END AS avg_price, CASE k WHEN 0 THEN g + 2 ELSE floor(hi_sqm * subject_area / 1000 + 0.5) * 1000 END AS max_price,
+  CASE k WHEN 0 THEN 7.0 ELSE lo_sqm END AS min_sqm, CASE k WHEN 0 THEN 8.0 ELSE est_sqm END AS avg_sqm, CASE k WHEN 0 THEN 9.0 ELSE hi_sqm END AS max_sqm, CASE k WHEN 0 THEN 0.8 WHEN 1 THEN 0.2 ELSE 0.35 END::DOUBLE AS confidence,
+  CASE k WHEN 2 THEN 'Bu çalışma kullanıcı emsali olmadan, konum ve taşınmaz özelliklerine göre düşük güvenli ön tahmindir.' ELSE 'gerekçe' END AS rationale, CASE k WHEN 0 THEN 'x' ELSE 'Manuel emsal girilmediği için fiyat aralığı ' || label || ' için düşük güvenli ön tahmin olarak hesaplanmıştır.' || CASE k WHEN 1 THEN '|x' ELSE '' END END AS assumptions,
+  CASE k WHEN 0 THEN '' WHEN 1 THEN 'MANUEL EMSAL VERİSİ yok' ELSE 'Manuel emsal verisi' END AS missing_data, CASE WHEN k = 0 THEN 12.0 WHEN k = 1 THEN 30.0 WHEN n >= 3 THEN 75.0 ELSE 95.0 END AS marketing_days, CASE WHEN k = 0 THEN NULL WHEN n >= 4 THEN 'Yoğun rekabet' WHEN n >= 2 THEN 'Orta rekabet' ELSE 'Emsal verisi sınırlı' END AS competition,
+  CASE k WHEN 0 THEN label || ' için pazar yorumu konum, taşınmaz özellikleri ve kullanıcı girdileri üzerinden niteliksel olarak hazırlanmıştır.' ELSE label || ' ve taşınmaz özelliklerine göre pazar projeksiyonu niteliksel olarak hazırlanmıştır. ' || subject_area::BIGINT || ' m² büyüklüğü, konut tipi ve kullanıcı tarafından girilen emsal sayısı dikkate alınmıştır; kesin piyasa istatistiği olarak yorumlanmamalıdır.' END AS market_summary,
+  CASE WHEN k = 1 THEN 'bölge' WHEN n > 0 THEN 'Satılık konut yorumu kullanıcı tarafından girilen ' || n || ' emsal üzerinden desteklenmiştir.' ELSE 'Satılık konut yorumu manuel emsal olmadan, konum ve taşınmaz özelliklerine göre ön değerlendirme niteliğindedir.' END AS sale_summary FROM e""")
+def f16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that have all, some and none of the fields, held against the estimate."""
+    k = c("subject_id") % 3
+    given = lambda *x: F.when(k == 0, F.lit(x[0])).when(k == 1, F.lit(x[1])).otherwise(F.lit(x[2]))
+    answer = F.concat(
+        F.lit("{"), F.when(k == 0, F.concat(F.lit('"minPrice": '), (c("subject_id") * 1000).cast("string"), F.lit(', "maxPrice": '), (c("subject_id") * 1000 + 2).cast("string"), F.lit(', "minPricePerSqm": 7, "avgPricePerSqm": 8, "maxPricePerSqm": 9,'))).otherwise(""),
+        F.when(k < 2, F.concat(F.lit('"avgPrice": '), (c("subject_id") * 1000 + 1).cast("string"), F.lit(', "rationale": "gerekçe", "assumptions": ["x"],'))).otherwise(""),
+        given('"confidence": 80, "marketProjection": {"averageMarketingDays": 12},', '"confidence": "0,2", "expectedSaleDays": 30, "missingData": ["MANUEL EMSAL VERİSİ yok"], "regionalStats": {"saleMarketSummary": "bölge"},', '"confidence": null,'), F.lit('"comps": []}'),
+    )
+    rows = placed(spark, sf_dir).withColumns({"answer": answer, "n_comparables": (c("subject_id") % 5).cast("int"), "no_area": F.lit(None).cast("double")})
+    # without an area, so that prices aren't derived from each other nor rounded before they are looked at
+    said = policy.normalize_price_index(rows, "answer", "no_area").withColumns({"min_price": F.when(k == 0, c("subject_id") * 1000.0), "avg_price": F.when(k < 2, c("subject_id") * 1000.0 + 1), "max_price": F.when(k == 0, c("subject_id") * 1000.0 + 2)})
+    found = policy.with_projections(policy.apply_fallback(policy.fallback_estimate(policy.location_hint(said))))
+    return found.select(
+        "subject_id", "estimated", "min_price", "avg_price", "max_price", "min_sqm", "avg_sqm", "max_sqm", "confidence", "rationale", F.array_join("assumptions", "|").alias("assumptions"), F.array_join("missing_data", "|").alias("missing_data"),
+        c("market_projection.averageMarketingDays").alias("marketing_days"), c("market_projection.competitionStatus").alias("competition"), c("market_projection.summary").alias("market_summary"), c("regional_stats.saleMarketSummary").alias("sale_summary"),
+    )
