@@ -176,7 +176,7 @@ inner_ones AS (
 ), alone AS (SELECT f.* FROM f LEFT JOIN inner_ones USING (lang, phrase) WHERE m > 1 AND (longer IS NULL OR 100 * longer < 100 * f)),
 cuts AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS ws, m, unnest(range(1, m)) AS k FROM alone), scores AS (
   SELECT c.lang, c.phrase, c.a, k, x.f AS l, y.f AS r, n, (1000::HUGEINT * c.a * n) // (x.f::HUGEINT * y.f) AS score
-  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(ws[k + 1:m], ' ') JOIN totals t ON t.lang = c.lang
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(ws[k + 1:c.m], ' ') JOIN totals t ON t.lang = c.lang
 ), weakest AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM weakest
 QUALIFY rank <= 2000
