@@ -169,12 +169,12 @@ def w1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Prices with some far above and far below the others, tests among the titles, and prices that are none.
-ODD_PRICES = "odd AS (SELECT * REPLACE (CASE hash_ % 11 WHEN 0 THEN price * 40 WHEN 1 THEN price / 1000 WHEN 2 THEN 0 ELSE price END AS price, CASE hash_ % 7 WHEN 3 THEN title || ' TEST ilan' ELSE title END AS title) FROM (SELECT *, length(title) + floor(area) + coalesce(building_age, 5) AS hash_ FROM uniq))"
+ODD_PRICES = "odd AS (SELECT * EXCLUDE (hash_) REPLACE (CASE hash_ % 11 WHEN 0 THEN price * 40 WHEN 1 THEN price / 1000 WHEN 2 THEN 0 ELSE price END AS price, CASE hash_ % 7 WHEN 3 THEN title || ' TEST ilan' ELSE title END AS title) FROM (SELECT *, length(title) + floor(gross_area) + coalesce(building_age, 5) AS hash_ FROM uniq))"
 
 
 @registered("w2_trim_price", chain(PAIRS, ODD_PRICES, sql_fence("t", "odd", "price", 3, "NOT contains(lower(title), 'test') AND price > 0")) + " SELECT subject_id, listing_uid, price FROM t")
 def w2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.length("title") + F.floor("area") + F.coalesce("building_age", F.lit(5))
+    k = F.length("title") + F.floor("gross_area") + F.coalesce("building_age", F.lit(5))
     odd = {"price": F.when(k % 11 == 0, c("price") * 40).when(k % 11 == 1, c("price") / 1000).when(k % 11 == 2, 0.0).otherwise(c("price")), "title": F.when(k % 7 == 3, F.concat("title", F.lit(" TEST ilan"))).otherwise(c("title"))}
     return selection.trim_price(prepared(spark, sf_dir).withColumns(odd)).select("subject_id", "listing_uid", "price")
 
@@ -589,7 +589,7 @@ EST = """e AS (SELECT *, floor(est_sqm * 0.84::DOUBLE + 0.5) AS lo_sqm, floor(es
 SELECT subject_id, k > 0 AS estimated, CASE k WHEN 0 THEN g ELSE floor(lo_sqm * subject_area / 1000 + 0.5) * 1000 END AS min_price, CASE WHEN k < 2 THEN g + 1 ELSE floor(est_sqm * subject_area / 1000 + 0.5) * 1000 END AS avg_price, CASE k WHEN 0 THEN g + 2 ELSE floor(hi_sqm * subject_area / 1000 + 0.5) * 1000 END AS max_price,
   CASE k WHEN 0 THEN 7.0 ELSE lo_sqm END AS min_sqm, CASE k WHEN 0 THEN 8.0 ELSE est_sqm END AS avg_sqm, CASE k WHEN 0 THEN 9.0 ELSE hi_sqm END AS max_sqm, CASE k WHEN 0 THEN 0.8 WHEN 1 THEN 0.2 ELSE 0.35 END::DOUBLE AS confidence,
   CASE k WHEN 2 THEN 'Bu çalışma kullanıcı emsali olmadan, konum ve taşınmaz özelliklerine göre düşük güvenli ön tahmindir.' ELSE 'gerekçe' END AS rationale, CASE k WHEN 0 THEN 'x' ELSE 'Manuel emsal girilmediği için fiyat aralığı ' || label || ' için düşük güvenli ön tahmin olarak hesaplanmıştır.' || CASE k WHEN 1 THEN '|x' ELSE '' END END AS assumptions,
-  CASE k WHEN 0 THEN '' WHEN 1 THEN 'MANUEL EMSAL VERİSİ yok' ELSE 'Manuel emsal verisi' END AS missing_data, CASE WHEN k = 0 THEN 12.0 WHEN k = 1 THEN 30.0 WHEN n >= 3 THEN 75.0 ELSE 95.0 END AS marketing_days, CASE WHEN k = 0 THEN NULL WHEN n >= 4 THEN 'Yoğun rekabet' WHEN n >= 2 THEN 'Orta rekabet' ELSE 'Emsal verisi sınırlı' END AS competition,
+  CASE k WHEN 0 THEN '' WHEN 1 THEN 'MANUEL EMSAL VERİSİ yok' ELSE 'Manuel emsal verisi' END AS missing_data, CASE WHEN k = 0 THEN 12.0 WHEN k = 1 THEN 30.0 WHEN n >= 3 THEN 75.0 ELSE 95.0 END::DOUBLE AS marketing_days, CASE WHEN k = 0 THEN NULL WHEN n >= 4 THEN 'Yoğun rekabet' WHEN n >= 2 THEN 'Orta rekabet' ELSE 'Emsal verisi sınırlı' END AS competition,
   CASE k WHEN 0 THEN label || ' için pazar yorumu konum, taşınmaz özellikleri ve kullanıcı girdileri üzerinden niteliksel olarak hazırlanmıştır.' ELSE label || ' ve taşınmaz özelliklerine göre pazar projeksiyonu niteliksel olarak hazırlanmıştır. ' || subject_area::BIGINT || ' m² büyüklüğü, konut tipi ve kullanıcı tarafından girilen emsal sayısı dikkate alınmıştır; kesin piyasa istatistiği olarak yorumlanmamalıdır.' END AS market_summary,
   CASE WHEN k = 1 THEN 'bölge' WHEN n > 0 THEN 'Satılık konut yorumu kullanıcı tarafından girilen ' || n || ' emsal üzerinden desteklenmiştir.' ELSE 'Satılık konut yorumu manuel emsal olmadan, konum ve taşınmaz özelliklerine göre ön değerlendirme niteliğindedir.' END AS sale_summary FROM e""")
 def f16(spark: SparkSession, sf_dir: str) -> DataFrame:
