@@ -1,11 +1,12 @@
 """Phrase collocations of each language, counted exactly in HAT-tries.
 
 Words are 64-bit ids (two of them, so that no two words of a task are taken for one), made of the bytes of whole slices of text at
-once.  A task counts phrases of n words in a HAT-trie: a shallow trie over the bytes of the phrases' word ids, one byte for
-each word, whose leaves are hash containers, arrays of phrases in the order of their hashes.  A container that grows
-beyond `BURST` phrases bursts into containers by the id of the next word.  A trie that holds more than `trie_phrases`
-spills whole subtrees, the largest first, as runs in the order of the trie.  The runs are rows of Spark: they are dealt out by
-language and prefix (the first two words) and merged there, so nothing of a task has to outlive it.
+once.  A task counts phrases of n words in a HAT-trie: a shallow trie over bytes of the phrases' word ids, three of the first
+word and one of the second, whose leaves are hash containers, arrays of phrases in the order of their hashes.  A container that grows
+beyond `BURST` phrases bursts into containers by the next byte.  A trie that holds more than `trie_phrases`
+spills whole subtrees, the largest first, as runs in the order of the trie: a row for each first word, with the rests of its
+phrases and their counts.  The rows are dealt out by language and prefix (the first word, of hot words a byte of the second
+one's id too) and merged there, so nothing of a task has to outlive it, and no word's phrases meet in one task.
 
 Phrases are counted word by word in length: one of n words is entered only where both phrases of n - 1 words in it occur
 often enough.  Which ones do is told by a filter of at most 16 MB that goes to every task.  It may let more through, which
@@ -38,13 +39,15 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 BURST, TRIE_PHRASES = 1 << 15, 2_000_000
 #: Bytes of a trie's phrases, besides those of phrases that it has had before, from which on these are cleared away.
 SLACK_BYTES = 32 << 20
-#: Rows of a run's batches.
-ROWS = 100_000
+#: Phrases of a run's batches, and of a row at most.
+ROWS, PACKED = 100_000, 5_000
+#: A first word of this share of all words or more is hot: its phrases are dealt out by their second words too.
+HOT = 1_000
 #: What each byte adds to the two ids of a word.
 LANES = np.random.default_rng(2).integers((1 << 64) - 1, size=(2, 256), dtype=np.uint64, endpoint=True)
 #: A-Z in lower case, tabs as spaces, ends of pieces as newlines.
 PLAIN = bytes(range(256)).lower().translate(bytes.maketrans(b"\t.,;:!?\x0b\x0c\r", b" \n\n\n\n\n\n\n\n\n"))
-SCHEMA = "lang string, phrase string, f long"
+SCHEMA = "lang string, head string, shard int, tails string, counts array<long>"
 
 
 class Words:
@@ -98,10 +101,10 @@ def taken(codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Entries:
-    """Phrases in the order of the trie: key (a byte of each of the first four word ids, then 32 bits of the phrase's hash), check
-    (a second hash), count, number of the language, and where in the trie's texts the text is."""
+    """Phrases in the order of the trie: key (three bytes of the first word's id, one of the second's, then 32 bits of the phrase's hash), check
+    (a second hash), head (the first word's id), count, number of the language, and where in the trie's texts the text is."""
 
-    FIELDS = ("key", "check", "count", "lang", "start", "size")
+    FIELDS = ("key", "check", "head", "count", "lang", "start", "size")
     __slots__ = FIELDS
 
     def __init__(self, *columns: np.ndarray):
@@ -132,25 +135,29 @@ class HatTrie:
 
     LEVELS = 4
 
-    def __init__(self, limit: int = TRIE_PHRASES, burst: int = BURST):
-        self.limit, self.burst = limit, burst
+    def __init__(self, words: int, limit: int = TRIE_PHRASES, burst: int = BURST, hot: np.ndarray | None = None):
+        """words: of a phrase; hot: the first three bytes of the ids of hot first words."""
+        self.words, self.limit, self.burst, self.hot = words, limit, burst, np.zeros(0, U) if hot is None else hot
         self.inner: set[tuple[int, int]] = set()
         self.containers: dict[tuple[int, int], list[Entries]] = {}  # the first part is settled
         self.langs: dict[str, int] = {}
         self.stores: list[np.ndarray] = []  # parts of the texts, in order
         self.stored = self.held = 0
 
-    def count(self, words: Words, langs: list[str], n: int, at: np.ndarray) -> None:
-        """Enters the phrases of n words that begin at the words `at`."""
+    def count(self, words: Words, langs: list[str], at: np.ndarray) -> None:
+        """Enters the phrases that begin at the words `at`."""
         if not len(at):
             return
+        n = self.words
         one, two = (words.hashes(n, lane)[at] for lane in (0, 1))
         key = one >> U(32)
-        for j in range(min(n, self.LEVELS)):
-            key |= words.ids[0][at + j] >> U(56) << U(56 - 8 * j)
+        head = words.ids[0][at]
+        key |= head >> U(40) << U(40)
+        if n > 1:
+            key |= words.ids[0][at + 1] >> U(56) << U(32)
         numbers = np.array([self.langs.setdefault(x, len(self.langs)) for x in langs], np.int32)
         start = words.start[at]
-        found = settled([Entries(key, two, np.ones(len(at), np.int64), numbers[words.text[at]], start, (words.end[at + n - 1] - start).astype(np.int32))])
+        found = settled([Entries(key, two, head, np.ones(len(at), np.int64), numbers[words.text[at]], start, (words.end[at + n - 1] - start).astype(np.int32))])
         found.start = self.store(words.codes, found)
         self.put(0, 0, found)
         if self.stored > SLACK_BYTES + 64 * self.held:
@@ -233,37 +240,62 @@ class HatTrie:
             yield self.batch(waiting, names)
 
     def batch(self, parts: list[Entries], names: pa.Array) -> pa.RecordBatch:
-        start, size = np.concatenate([p.start for p in parts]), np.concatenate([p.size for p in parts])
-        text = taken(self.texts(), start, size)
-        offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-        phrases = pa.StringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(text))
-        return pa.RecordBatch.from_arrays([names.take(pa.array(np.concatenate([p.lang for p in parts]))), phrases, pa.array(np.concatenate([p.count for p in parts]))], names=["lang", "phrase", "f"])
+        """A row for each first word, or shard of a hot one, with the rests of its phrases; single words stand together by their ids."""
+        lang, start, size, key, count = (np.concatenate([getattr(p, f) for p in parts]) for f in ("lang", "start", "size", "key", "count"))
+        single = self.words == 1
+        group = key >> U(52) if single else np.concatenate([p.head for p in parts])
+        shard = (key >> U(52)).astype(np.int32) if single else np.where(np.isin(key >> U(40), self.hot), (key >> U(32)) & U(255), U(0)).astype(np.int32)
+        fresh = np.concatenate(([True], (group[1:] != group[:-1]) | (lang[1:] != lang[:-1]) | (shard[1:] != shard[:-1])))
+        since = np.arange(len(fresh)) - np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), 0))
+        first = np.flatnonzero(fresh | (since % PACKED == 0))
+        last = np.append(first[1:], len(fresh)) - 1
+        codes = np.append(self.texts(), np.uint8(10))
+        text = taken(codes, start, size + 1)  # with a byte behind each phrase, for the newline
+        ends = np.cumsum(size + 1)
+        begins = ends - size - 1
+        text[ends - 1] = 10
+        rest = np.zeros(len(size), np.int64)  # where the rest of a phrase begins
+        if not single:
+            gaps = np.flatnonzero(text == 32)
+            rest = gaps[np.searchsorted(gaps, begins)] - begins + 1
+        sizes = size + 1 - rest
+        sizes[last] -= 1  # no newline behind the last of a row
+        tails = packed_strings(taken(text, begins + rest, sizes), np.add.reduceat(sizes, first))
+        heads = packed_strings(taken(text, begins[first], np.maximum(rest[first] - 1, 0)), np.maximum(rest[first] - 1, 0))
+        counts = pa.ListArray.from_arrays(pa.array(np.append(first, len(fresh)).astype(np.int32)), pa.array(count))
+        return pa.RecordBatch.from_arrays([names.take(pa.array(lang[first])), heads, pa.array(shard[first]), tails, counts], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
     def rest(self) -> Iterator[pa.RecordBatch]:
         yield from self.run(list(self.containers))
 
 
-def counted(rows: DataFrame, n: int, often: np.ndarray | None, least: int, trie_phrases: int = TRIE_PHRASES) -> DataFrame:
+def packed_strings(codes: np.ndarray, sizes: np.ndarray) -> pa.StringArray:
+    return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.py_buffer(codes))
+
+
+def counted(rows: DataFrame, n: int, often: np.ndarray | None, hot: np.ndarray | None, least: int, trie_phrases: int = TRIE_PHRASES) -> DataFrame:
     """(lang, phrase, f) of the phrases of n words that occur `least` times or more.  rows: (doc_id: the language, text).
     For n = 1, the phrase '' has the number of all words of a language."""
-    shared = rows.sparkSession.sparkContext.broadcast(often)
+    shared = rows.sparkSession.sparkContext.broadcast((often, hot))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, totals = HatTrie(trie_phrases), {}
+        trie, totals = HatTrie(n, trie_phrases, hot=shared.value[1]), {}
         for langs, texts in text_slices(batches):
             words = Words(texts, langs)
-            trie.count(words, langs, n, words.phrases(n, shared.value))
+            trie.count(words, langs, words.phrases(n, shared.value[0]))
             yield from trie.spill()
             if n == 1:
                 for lang, k in zip(langs, np.bincount(words.text, minlength=len(langs)).tolist(), strict=True):
                     totals[lang] = totals.get(lang, 0) + k
         yield from trie.rest()
         if totals:
-            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array([""] * len(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], names=["lang", "phrase", "f"])
+            n_langs, none = len(totals), [""] * len(totals)
+            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array(none), pa.array([-1] * n_langs, pa.int32()), pa.array(none), pa.array([[x] for x in totals.values()], pa.list_(pa.int64()))], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    runs = rows.mapInArrow(count, SCHEMA).withColumn("prefix", F.substring_index("phrase", " ", 2))
-    merged = runs.repartition("lang", "prefix").groupBy("lang", "prefix", "phrase").agg(F.sum("f").alias("f"))
-    return merged.where((F.col("f") >= least) | (F.col("phrase") == "")).select("lang", "phrase", "f")
+    runs = rows.mapInArrow(count, SCHEMA).repartition("lang", "head", "shard")
+    single = runs.select("lang", "head", "shard", F.explode(F.arrays_zip(F.split("tails", "\n").alias("tail"), F.col("counts").alias("f"))).alias("x"))
+    merged = single.select("lang", "head", "shard", "x.tail", "x.f").groupBy("lang", "head", "shard", "tail").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("shard") < 0))
+    return merged.select("lang", F.when(F.col("head") == "", F.col("tail")).otherwise(F.concat("head", F.lit(" "), "tail")).alias("phrase"), "f")
 
 
 def phrase_hashes(phrases: DataFrame, n: int) -> DataFrame:
@@ -277,12 +309,21 @@ def phrase_hashes(phrases: DataFrame, n: int) -> DataFrame:
     return phrases.select(F.col("lang").alias("doc_id"), F.col("phrase").alias("text")).mapInArrow(hashes, "line long")
 
 
+def hot_words(words: DataFrame) -> np.ndarray:
+    """The first three bytes of the ids of words that are a thousandth of all words or more; so there are a thousand at most."""
+    total = words.where("phrase = ''").agg(F.sum("f")).first()[0] or 0
+    often = words.where((F.col("phrase") != "") & (F.col("f") * HOT >= total)).select("lang", "phrase").collect()
+    return np.unique(Words([r.phrase for r in often], [r.lang for r in often]).ids[0] >> U(40)) if often else np.zeros(0, U)
+
+
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, lang_col: str = "lang", text_col: str = "text", trie_phrases: int = TRIE_PHRASES) -> list[DataFrame]:
     """For each number of words from 1 on, (lang, phrase, f) of the phrases of so many words that occur `least` times or more."""
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found, often = [], None
+    found, often, hot = [], None, None
     for n in range(1, longest + 1):
-        found.append(written(counted(rows, n, often, least, trie_phrases), f"phrases-{n}"))
+        found.append(written(counted(rows, n, often, hot, least, trie_phrases), f"phrases-{n}"))
+        if n == 1:
+            hot = hot_words(found[0])
         if n < longest:
             often = bits_of(phrase_hashes(found[-1].where("phrase != ''"), n))
     return found

@@ -64,35 +64,62 @@ def test_scores_beyond_64_bits(spark):
     assert (first.a, first.l, first.r, first.n) == (f["en", ("x", "y", "x", "y", "x")] * 40, 160_000, f["en", ("y", "x", "y", "x")] * 40, n["en"] * 40) or first.score == 1000 * first.a * first.n // (first.l * first.r)
 
 
-@pytest.mark.parametrize(("limit", "burst"), [(10**6, 10**6), (10**6, 8), (100, 8), (0, 1)])
-def test_spilled_runs_hold_every_count(limit, burst, monkeypatch):
+def unpacked(batch):
+    for lang, head, tails, counts in zip(*(batch.column(x).to_pylist() for x in ("lang", "head", "tails", "counts")), strict=True):
+        split = tails.split("\n")
+        assert len(split) == len(counts)
+        for tail, n in zip(split, counts, strict=True):
+            yield lang, tuple(f"{head} {tail}".strip().split(" ")), n
+
+
+@pytest.mark.parametrize(("limit", "burst", "packed"), [(10**6, 10**6, 5000), (10**6, 8, 3), (100, 8, 1), (0, 1, 2)])
+def test_spilled_runs_hold_every_count(limit, burst, packed, monkeypatch):
     monkeypatch.setattr(phrases, "SLACK_BYTES", 200)
+    monkeypatch.setattr(phrases, "PACKED", packed)
     rows = corpus(2, 200)
+    hot = np.unique(phrases.Words(["the", "of", "日本"], ["en", "en", "fr"]).ids[0] >> phrases.U(40))
     for n in (1, 2, 4, 5):
-        trie, got, most = phrases.HatTrie(limit, burst), Counter(), 0
+        trie, got = phrases.HatTrie(n, limit, burst, hot), Counter()
         for k in range(0, len(rows), 7):
             langs, texts = [r[3] or "und" for r in rows[k : k + 7]], [r[1] for r in rows[k : k + 7]]
             words = phrases.Words(texts, langs)
-            before = trie.held
-            trie.count(words, langs, n, words.phrases(n, None))
+            trie.count(words, langs, words.phrases(n, None))
             for batch in trie.spill():
-                for lang, p, c in zip(*(batch.column(x).to_pylist() for x in ("lang", "phrase", "f")), strict=True):
-                    got[lang, tuple(p.split(" "))] += c
-            assert trie.held <= max(limit, before)
-            most = max(most, trie.held)
+                for lang, p, c in unpacked(batch):
+                    got[lang, p] += c
+            assert trie.held <= limit
         for batch in trie.rest():
-            for lang, p, c in zip(*(batch.column(x).to_pylist() for x in ("lang", "phrase", "f")), strict=True):
-                got[lang, tuple(p.split(" "))] += c
+            for lang, p, c in unpacked(batch):
+                got[lang, p] += c
         want = {k: c for k, c in plain_counts([(r[3], r[1]) for r in rows])[0].items() if len(k[1]) == n}
         assert got == want and not trie.containers and trie.held == 0
 
 
+def test_a_phrase_has_one_place(spark):
+    """Rows of a phrase go to one shard whatever task they come from; those of hot first words to several, others to one for each first word."""
+    hot = np.unique(phrases.Words(["the"], ["en"]).ids[0] >> phrases.U(40))
+    shards = {}
+    for seed in (1, 2):
+        rows = corpus(seed, 100)
+        trie, langs, texts = phrases.HatTrie(2, hot=hot), [r[3] or "und" for r in rows], [r[1] for r in rows]
+        words = phrases.Words(texts, langs)
+        trie.count(words, langs, words.phrases(2, None))
+        for batch in trie.rest():
+            for r in batch.to_pylist():
+                for tail in r["tails"].split("\n"):
+                    assert shards.setdefault((r["lang"], r["head"], tail), r["shard"]) == r["shard"]
+    heads = {}
+    for (lang, head, _), shard in shards.items():
+        heads.setdefault((lang, head), set()).add(shard)
+    assert len(heads["en", "the"]) > 3 and all(x == {0} for k, x in heads.items() if k != ("en", "the"))
+
+
 def test_runs_are_in_the_order_of_the_trie():
     rows = corpus(3, 80)
-    trie = phrases.HatTrie(10**6, 4)
+    trie = phrases.HatTrie(2, 10**6, 4)
     langs, texts = [r[3] or "und" for r in rows], [r[1] for r in rows]
     words = phrases.Words(texts, langs)
-    trie.count(words, langs, 2, words.phrases(2, None))
+    trie.count(words, langs, words.phrases(2, None))
     assert trie.inner and max(d for d, _ in trie.inner) >= 1
     keys = np.concatenate([trie.settle(node).key for node in sorted(trie.containers, key=lambda x: x[1] << 8 * (trie.LEVELS - x[0]))])
     assert (np.diff(keys.astype(object)) >= 0).all()
