@@ -43,13 +43,31 @@ def insert_only(existing: DataFrame, incoming: DataFrame, key: list[str]) -> Dat
     return existing.unionByName(incoming.join(existing.select(*key).distinct(), key, "left_anti"), allowMissingColumns=True)
 
 
+#: How long texts of stored listings may be.
+TEXT_LIMITS = {"source": 80, "listing_uid": 160, "title": 500, "description": 2000}
+
+
+def merge_listings(existing: DataFrame, incoming: DataFrame, as_of: Column, within: str, key: str = "source_url") -> DataFrame:
+    """What upsert_listings() gives, of rows that carry a column `within` (a bucket) that the key determines.
+
+    Both sides are dealt out by it once and merged there, so what comes out lies by bucket and is written as one file for
+    each.  Stored freshness begins anew with a sighting.
+    """
+    data = [x for x in incoming.columns if x not in (key, within)]
+    new = incoming.select(within, key, *[(F.substring(x, 1, TEXT_LIMITS[x]) if x in TEXT_LIMITS else c(x)).alias(x) for x in data], as_of.alias("last_seen_at"), F.lit(True).alias("is_active"), F.lit("FRESH").alias("freshness"), F.lit(True).alias("new_"))
+    rows = existing.withColumn("new_", F.lit(False)).unionByName(new, allowMissingColumns=True).repartition(within)
+    w = Window.partitionBy(within, key)
+    rows = rows.withColumns({"first_seen_at": F.coalesce(F.min("first_seen_at").over(w), as_of), "rank_": F.row_number().over(w.orderBy(F.desc("new_")))})
+    return rows.where("rank_ = 1").drop("rank_", "new_")
+
+
 def upsert_listings(existing: DataFrame, incoming: DataFrame, as_of: Column, key: str = "source_url") -> DataFrame:
     """Incoming rows replace those of their key, which keeps first_seen_at and is active again; long texts are cut.
 
     `incoming` holds one row of a key (unique_first).  Both have the listing's columns; existing ones also first_seen_at,
     last_seen_at, is_active.  Twice is as once.
     """
-    cut = {"source": 80, "listing_uid": 160, "title": 500, "description": 2000}
+    cut = TEXT_LIMITS
     data = [x for x in existing.columns if x not in (key, "first_seen_at", "last_seen_at", "is_active")]
     new = incoming.select(key, *[(F.substring(x, 1, cut[x]) if x in cut else c(x)).alias(x) for x in data], F.lit(True).alias("new_"))
     a, b = existing.alias("a"), new.alias("b")

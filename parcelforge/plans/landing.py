@@ -208,3 +208,21 @@ def r1(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(raw.schema).parquet(f"{folder}/feed")
     ingest.start_ingest(stream, f"{folder}/pool", f"{folder}/state", order=[F.desc("seen_at"), F.desc("price")], prepare=ingest.normalized).awaitTermination()
     return ingest.current_pool(spark, f"{folder}/pool").select("source_url", "price", "is_active")
+
+
+SIGHTINGS = ("2001-10-10 00:00:00", "2001-11-10 00:00:00", "2001-11-30 00:00:00")
+
+
+@registered("r2_sweep_pool", """WITH b AS (SELECT source_url, year(created_at) % 3 AS n FROM fx_listing), m AS (SELECT source_url, max(n) AS n FROM b GROUP BY 1)
+SELECT source_url, CASE n WHEN 0 THEN 'EXPIRED' WHEN 1 THEN 'STALE' ELSE 'FRESH' END AS freshness, n = 2 AS live, 0 AS rewritten FROM m""")
+def r2_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pool of three batches, swept twice at the same time: the second sweep rewrites nothing."""
+    folder, at = work_folder(spark, "sweep"), "2001-12-01 00:00:00"
+    rows = listings(spark, sf_dir).select("source_url", "listing_uid", "price", (F.year("created_at") % 3).alias("n"))
+    for k, seen in enumerate(SIGHTINGS):
+        ingest.merge_batch(rows.where(c("n") == k).drop("n").withColumn("seen_at", s(seen).cast("timestamp")), k, folder, [c("listing_uid")])
+        ingest.sweep(spark, folder, seen)
+    ingest.sweep(spark, folder, at)
+    again = ingest.sweep(spark, folder, at)
+    live = ingest.live_pool(spark, folder, at).select("source_url", s(True).alias("live"))
+    return ingest.current_pool(spark, folder).select("source_url", "freshness").join(live, "source_url", "left").select("source_url", "freshness", F.coalesce("live", s(False)).alias("live"), s(again).alias("rewritten"))

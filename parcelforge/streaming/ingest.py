@@ -4,6 +4,9 @@ The pool is Parquet in a fixed number of buckets, by a hash of the URL.  A batch
 its listings fall into; a version is a small manifest that names the folder of each bucket.  A manifest appears by one
 rename, so readers see the version before or the one after, whenever a writer dies; folders are deleted only once newer
 manifests no longer name them.
+
+A manifest also says of each bucket how long ago its fresh and its stale listings were seen, so that lookups and sweeps of
+freshness leave buckets unread in which nothing is fresh, or nothing changes.
 """
 
 from __future__ import annotations
@@ -11,12 +14,13 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from parcelforge.operators.pool import normalize_comparable, save_stats, unique_first, upsert_listings, validate_listing
+from parcelforge.operators.pool import EXPIRE_DAYS, STALE_DAYS, merge_listings, normalize_comparable, save_stats, unique_first, validate_listing, with_freshness
 
 c = F.col
 #: Buckets of a new pool, and versions that are kept for readers that have begun.
@@ -99,34 +103,91 @@ def current_pool(spark: SparkSession, pool_path: str) -> DataFrame | None:
     return read_buckets(spark, pool_path, manifest) if manifest else None
 
 
+def zones_of(rows: DataFrame) -> dict[str, list[str | None]]:
+    """Of each bucket: the earliest last_seen_at of fresh rows and of stale ones, and the latest of all.  A row for each bucket."""
+    seen = c("last_seen_at").cast("string")
+    low = lambda state: F.min(F.when(c("freshness") == state, seen))
+    return {str(r["bucket"]): [r["fresh"], r["stale"], r["latest"]] for r in rows.groupBy("bucket").agg(low("FRESH").alias("fresh"), low("STALE").alias("stale"), F.max(seen).alias("latest")).collect()}
+
+
+def write_version(files: PoolFiles, rows: DataFrame, before: dict | None, batch_id: int, buckets: int) -> dict:
+    """Writes rows that lie by bucket as one file for each, and the manifest of a version in which they take their buckets' places."""
+    spark, folder = rows.sparkSession, f"data/{uuid.uuid4().hex}"
+    rows.write.partitionBy("bucket").parquet(f"{files.top}/{folder}")
+    zones = zones_of(spark.read.schema(rows.select("last_seen_at", "freshness", "bucket").schema).parquet(f"{files.top}/{folder}"))
+    manifest = {
+        "batch": batch_id, "of": buckets, "schema": rows.drop("bucket").schema.jsonValue(),
+        "buckets": (before["buckets"] if before else {}) | {b: f"{folder}/bucket={b}" for b in zones}, "zones": (before.get("zones", {}) if before else {}) | zones,
+    }
+    versions = files.versions()
+    files.commit(versions[-1] + 1 if versions else 0, manifest)
+    files.clean()
+    return manifest
+
+
 def merge_batch(batch: DataFrame, batch_id: int, pool_path: str, order: list, buckets: int = BUCKETS) -> None:
     """One micro-batch of listings with seen_at: its first row of each URL replaces the pool's, which keeps first_seen_at.
 
-    Applying it twice is as once: a batch that the newest manifest has is left out, and as_of is the batch's own latest
-    `seen_at`, so that a replay gives the same rows.
+    The batch's rows are picked and dealt out once, in files of their own; the pool's buckets that they fall into are read,
+    merged with them and written, one file each.  Applying it twice is as once: a batch that the newest manifest has is left
+    out, and as_of is the batch's own latest `seen_at`, so that a replay gives the same rows.
     """
     spark = batch.sparkSession
     files = PoolFiles(spark, pool_path)
     before = files.latest()
     if before and before["batch"] >= batch_id:
         return
-    one = unique_first(batch.where(F.coalesce("source_url", F.lit("")) != ""), ["source_url"], order)
     buckets = before["of"] if before else buckets
-    touched = {r["b"]: r["seen"] for r in one.groupBy(bucket_of(buckets).alias("b")).agg(F.max("seen_at").alias("seen")).collect()}  # a row for each bucket at most
+    picked = unique_first(batch.where(F.coalesce("source_url", F.lit("")) != ""), ["source_url"], order).withColumn("bucket", bucket_of(buckets))
+    staged = f"{files.top}/_picked/batch={batch_id}"
+    picked.write.mode("overwrite").parquet(staged)
+    one = spark.read.schema(picked.schema).parquet(staged)
+    touched = {r["bucket"]: r["seen"] for r in one.groupBy("bucket").agg(F.max("seen_at").alias("seen")).collect()}  # a row for each bucket at most
+    if touched:
+        incoming = one.drop("seen_at")
+        if before:
+            old = read_buckets(spark, pool_path, before, set(touched)).withColumn("bucket", bucket_of(buckets))
+        else:
+            old = incoming.limit(0).withColumns({"first_seen_at": F.lit(None).cast("timestamp"), "last_seen_at": F.lit(None).cast("timestamp"), "is_active": F.lit(None).cast("boolean"), "freshness": F.lit(None).cast("string")})
+        new = merge_listings(old, incoming, F.lit(max(touched.values())).cast("timestamp"), "bucket")
+        write_version(files, new, before, batch_id, buckets)
+    files.fs.delete(files.path(f"_picked/batch={batch_id}"), True)
+
+
+def due(zone: list[str | None], as_of: str) -> bool:
+    """Whether a row of a bucket changes its freshness by then; as_of as Spark writes timestamps."""
+    at = datetime.fromisoformat(as_of)
+    fresh, stale = (datetime.fromisoformat(x) if x else None for x in zone[:2])
+    return bool((fresh and fresh + timedelta(days=STALE_DAYS) <= at) or (stale and stale + timedelta(days=EXPIRE_DAYS) <= at))
+
+
+def sweep(spark: SparkSession, pool_path: str, as_of: str) -> int:
+    """Writes the freshness that listings have at a time (`2024-01-31 00:00:00`, in the session's time zone) and gives the number of buckets rewritten.
+
+    Only buckets are read and written in which a row becomes stale or expires by then; which ones do is known from the
+    manifest.  So a second sweep at the same time touches no file.  as_of doesn't go back.
+    """
+    files = PoolFiles(spark, pool_path)
+    before = files.latest()
+    zones = (before or {}).get("zones", {})
+    touched = {int(b) for b in (before or {}).get("buckets", {}) if b not in zones or due(zones[b], as_of)}
     if not touched:
-        return
-    incoming = one.drop("seen_at")
-    if before:
-        old = read_buckets(spark, pool_path, before, set(touched))
-    else:
-        old = incoming.limit(0).withColumns({"first_seen_at": F.lit(None).cast("timestamp"), "last_seen_at": F.lit(None).cast("timestamp"), "is_active": F.lit(None).cast("boolean")})
-    new = upsert_listings(old, incoming, F.lit(max(touched.values())).cast("timestamp"))
-    folder = f"data/{uuid.uuid4().hex}"
-    new.withColumn("bucket", bucket_of(buckets)).write.partitionBy("bucket").parquet(f"{pool_path.rstrip('/')}/{folder}")
-    places = (before["buckets"] if before else {}) | {str(b): f"{folder}/bucket={b}" for b in touched}
-    versions = files.versions()
-    files.commit(versions[-1] + 1 if versions else 0, {"batch": batch_id, "of": buckets, "schema": new.schema.jsonValue(), "buckets": places})
-    files.clean()
+        return 0
+    rows = with_freshness(read_buckets(spark, pool_path, before, touched), F.lit(as_of).cast("timestamp"), "last_seen_at").drop("expires_at")
+    rows = rows.withColumn("bucket", bucket_of(before["of"])).repartition("bucket")
+    write_version(files, rows.select(*[f["name"] for f in before["schema"]["fields"]], "bucket"), before, before["batch"], before["of"])
+    return len(touched)
+
+
+def live_pool(spark: SparkSession, pool_path: str, as_of: str) -> DataFrame | None:
+    """The pool's rows that may be fresh at a time: buckets without a later sighting than STALE_DAYS before it aren't read."""
+    manifest = PoolFiles(spark, pool_path).latest()
+    if not manifest:
+        return None
+    edge = datetime.fromisoformat(as_of) - timedelta(days=STALE_DAYS)
+    zones = manifest.get("zones", {})
+    fresh = {int(b) for b in manifest["buckets"] if b not in zones or (zones[b][2] and datetime.fromisoformat(zones[b][2]) > edge)}
+    return read_buckets(spark, pool_path, manifest, fresh).where(c("last_seen_at") > F.lit(str(edge)).cast("timestamp"))
 
 
 def normalized(raw: DataFrame) -> DataFrame:
@@ -151,11 +212,11 @@ def start_ingest(stream: DataFrame, pool_path: str, checkpoint: str, order: list
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         if prepare:
-            # normalised once, for the counts and the upsert; a batch that is run again overwrites its own
-            staged = prepare(batch)
+            # normalised and validated once, for the counts and the upsert; a batch that is run again overwrites its own
+            staged = validate_listing(prepare(batch)).drop(*SCOPE)
             staged.write.mode("overwrite").parquet(f"{top}/_staged/batch={batch_id}")
-            rows = validate_listing(batch.sparkSession.read.schema(staged.schema).parquet(f"{top}/_staged/batch={batch_id}")).drop(*SCOPE)
-            save_stats(rows).write.mode("overwrite").parquet(f"{top}/_stats/batch={batch_id}")
+            rows = batch.sparkSession.read.schema(staged.schema).parquet(f"{top}/_staged/batch={batch_id}")
+            save_stats(rows).coalesce(1).write.mode("overwrite").parquet(f"{top}/_stats/batch={batch_id}")
             batch = rows.where("ok").drop("ok", "reason")
         merge_batch(batch, batch_id, pool_path, by, buckets)
         if prepare:
