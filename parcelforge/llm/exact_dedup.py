@@ -7,8 +7,9 @@ byte for byte; the node stores the owner (smallest or largest id) and the number
 more than `trie_bytes` spills its largest subtrees to files of the task and goes through them afterwards, one at a time.
 
 Defined results: null counts as empty, and empty texts are equal to each other; of repeated rows with the same id one
-group is made like of any others, and each row is given back; a null id owns a text only if no other does, and `kept` is
-null for its rows, as in SQL; an empty table gives no rows.  Only the id and text columns are read, so other columns
+group is made like of any others, and each row is given back; a null id owns a text only if no other does; `kept` is true
+for each row with the owner's id, so rows of one text that share that id, or are all without one, stay together; an empty
+table gives no rows.  Only the id and text columns are read, so other columns
 can't clash.
 """
 
@@ -251,4 +252,4 @@ def exact_groups(docs: DataFrame, keep: str = "smallest", trie_bytes: int = TRIE
 
     rows = id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("long"), "text").mapInArrow(digest, "doc_id long, text_sha256 string")
     owners = owned_texts(docs, keep, trie_bytes, id_col, text_col)
-    return rows.join(owners, "text_sha256").select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+    return rows.join(owners, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

@@ -122,7 +122,7 @@ SELECT doc_id, size, source_size, target, (passes * size + greatest(least(e, lea
 
 OP8_SQL = """
 WITH plain AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
-SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256 FROM plain WINDOW w AS (PARTITION BY text_sha256)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, text_sha256 FROM plain WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
