@@ -82,16 +82,17 @@ def formatted(messages: DataFrame, best: int | None = 1, unique: bool = False) -
     messages = messages.select(conv.alias("conv_id"), "message_id", "parent_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
     if not unique:
         messages = messages.groupBy("conv_id", "message_id").agg(F.min(F.struct("parent_id", "role", "text", "score")).alias("m")).select("conv_id", "message_id", "m.*")
-    on_path = paths(messages).join(messages.select("conv_id", "message_id", "role", "text", "score"), ["conv_id", "message_id"])
+    steps = paths(messages)
+    # branches are ranked by scores alone; texts are fetched for the chosen ones
+    scores = steps.join(messages.select("conv_id", "message_id", "score"), ["conv_id", "message_id"]).groupBy("conv_id", "leaf_id").agg(F.avg("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "leaf_id"))
+    chosen = scores.withColumn("branch_rank", rank)
+    chosen = chosen if best is None else chosen.where(F.col("branch_rank") <= best)
+    on_path = steps.join(chosen, ["conv_id", "leaf_id"]).join(messages.select("conv_id", "message_id", "role", "text"), ["conv_id", "message_id"])
     head = F.concat(F.lit("<turn "), escaped(F.col("role")), F.lit(">"))
     body = escaped(F.col("text"))
-    turns = on_path.select("conv_id", "leaf_id", "score", F.struct((-F.col("distance")).alias("at"), (F.col("role") == ASSISTANT).alias("loss"), head.alias("head"), body.alias("body")).alias("turn"))
-    branches = turns.groupBy("conv_id", "leaf_id").agg(F.avg("score").alias("score"), F.sort_array(F.collect_list("turn")).alias("turns"))
-    if best is not None:
-        rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "leaf_id"))
-        branches = branches.withColumn("branch_rank", rank).where(F.col("branch_rank") <= best)
-    else:
-        branches = branches.withColumn("branch_rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "leaf_id")))
+    turns = on_path.select("conv_id", "leaf_id", "score", "branch_rank", F.struct((-F.col("distance")).alias("at"), (F.col("role") == ASSISTANT).alias("loss"), head.alias("head"), body.alias("body")).alias("turn"))
+    branches = turns.groupBy("conv_id", "leaf_id", "score", "branch_rank").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
     # lengths run along the turns; each step costs one struct, whatever the texts
     widths = F.transform("turns", lambda t: F.struct(F.length(t["head"]).alias("head"), F.length(t["body"]).alias("body"), t["loss"].alias("loss")))
     empty = F.struct(F.lit(0).alias("end"), F.expr("cast(array() as array<struct<start: int, end: int>>)").alias("mask"))
