@@ -28,10 +28,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelforge.llm.common import id_and_text, text_slices
+from parcelforge.llm.common import SLICE_BYTES, id_and_text, text_slices
 
-#: Bounds of what is fitted on: rows of a language (about), characters of a row, characters of all rows.
+#: Bounds of what is fitted on: rows of a language (about), characters of a row (longer ones are cut for the fit), characters of all rows.
 PER_LANG, MOST_CHARS, TOTAL_CHARS = 300, 50_000, 64_000_000
+#: Languages that can be told apart at most: a model of so many takes some 300 MB.  More are refused.
+MOST_LANGS = 500
 #: Training sequences of so many words, and how many for each language; one word in SWITCH starts another language.
 SPAN, SPANS_PER_LANG, SWITCH = 32, 700, 12
 #: Words of the lexicon for each language, hashed feature weights, gradient steps.
@@ -270,30 +272,38 @@ def fold(id_col: Column) -> Column:
 
 
 def train(docs: DataFrame, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> CrfModel | None:
-    """Fits on about PER_LANG rows of each language that are not held out: those whose ids hash below their language's share.
-    With very many languages the share of all is less, so that the rows hold TOTAL_CHARS characters, about; every language is learned."""
+    """Fits on about PER_LANG rows of each language that are not held out: those whose ids hash below their language's share,
+    and the one that hashes lowest.  With very many languages the share of all is less, so that the rows hold TOTAL_CHARS
+    characters, about; every language of a row with letters is learned.  Above MOST_LANGS languages this is an error."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 0))
-    short = F.when(F.length("text") <= MOST_CHARS, F.length("text"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg(short).alias("chars")).collect()
+    at = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg(F.least(F.length("text"), F.lit(MOST_CHARS))).alias("chars"), F.min(at).alias("low")).limit(MOST_LANGS + 1).collect()
+    if len(counts) > MOST_LANGS:
+        raise ValueError(f"there are more than {MOST_LANGS} languages to tell apart")
     chars = sum(min(PER_LANG, r["n"]) * (r["chars"] or 0) for r in counts)
     per_lang = max(1.0, PER_LANG * min(1.0, TOTAL_CHARS / max(chars, 1)))
     share = F.lit(None).cast("double")
     if counts:
-        shares = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_lang / r["n"]))])
+        shares = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], max(min(1.0, per_lang / r["n"]), r["low"]))])
         share = F.element_at(shares, F.col("lang"))
-    at = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
-    some = rows.where((at < share) & (F.length("text") <= MOST_CHARS)).select("lang", "text").limit(int(2 * per_lang * max(1, len(counts)))).collect()
+    some = rows.where(at <= share).select("lang", F.substring("text", 1, MOST_CHARS).alias("text")).where("text is not null").limit(int(2 * (per_lang + 1) * max(1, len(counts)))).collect()
     return fit([(r["lang"], r["text"]) for r in some], seed)
 
 
+def slice_bytes(model: CrfModel | None) -> int:
+    """Bytes of texts that are labelled together: fewer with many languages, as each stretch of words has a matrix of languages by languages."""
+    return max(4096, SLICE_BYTES // max(1, len(model.langs if model else []) // 16) ** 2)
+
+
 def languages(docs: DataFrame, model: CrfModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of bounded size: SLOTS + LEXICON rows for each language
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_LANGS languages, and MOST_WEIGHTS of the lexicon
+    limit = slice_bytes(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordScores(shared.value) if shared.value else None
-        for ids, texts in text_slices(batches):
+        for ids, texts in text_slices(batches, limit):
             found = table.label(texts) if table else [(UNDETERMINED, 0.0)] * len(texts)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
@@ -309,14 +319,14 @@ def recognised(docs: DataFrame, model: CrfModel | None, least: float, text_col:
     """
     if model is None:
         return docs
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, limit = docs.sparkSession.sparkContext.broadcast(model), slice_bytes(model)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordScores(shared.value)
         for batch in batches:
             at = 0
             texts = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), pc.fill_null(batch.column(text_col), "")], names=["doc_id", "text"])
-            for _, some in text_slices(iter([texts])):
+            for _, some in text_slices(iter([texts]), limit):
                 sizes, means = table.means(some)
                 yield batch.slice(at, len(some)).filter(pa.array((sizes > 0) & (means[:, -1] >= least)))
                 at += len(some)
@@ -326,11 +336,11 @@ def recognised(docs: DataFrame, model: CrfModel | None, least: float, text_col:
 
 def word_languages(docs: DataFrame, model: CrfModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, position, word, lang) of every word with letters: the most probable language of each, for code-switched texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, limit = docs.sparkSession.sparkContext.broadcast(model), slice_bytes(model)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordScores(shared.value)
-        for ids, texts in text_slices(batches):
+        for ids, texts in text_slices(batches, limit):
             for i, text in zip(ids, texts, strict=True):
                 words = text.split()
                 table.learn(set(words))

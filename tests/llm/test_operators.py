@@ -274,7 +274,7 @@ def test_exact_dedup_null_ids(spark, trie_bytes):
     rows = [(None, "alone"), (None, "Alone"), (None, "same"), (5, "SAME"), (None, "same"), (7, "same"), (8, "other")]
     for keep, best in (("smallest", 5), ("largest", 7)):
         got = exact_dedup.exact_groups(docs(spark, rows), keep, trie_bytes).collect()
-        want = [(None, None, 2, None)] * 2 + [(None, best, 4, None)] * 2 + [(5, best, 4, best == 5), (7, best, 4, best == 7), (8, 8, 1, True)]
+        want = [(None, None, 2, True)] * 2 + [(None, best, 4, False)] * 2 + [(5, best, 4, best == 5), (7, best, 4, best == 7), (8, 8, 1, True)]
         assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got), key=repr) == sorted(want, key=repr)
 
 
@@ -418,6 +418,18 @@ def test_language_contract(spark, monkeypatch):
     assert len(language_id.train(docs(spark, many)).langs) >= 225
 
 
+def test_languages_of_long_texts_are_learned(spark, monkeypatch):
+    """Long texts are cut for the fit, not left out; a language of one row is learned; too many languages are refused."""
+    rows = [(k, "the house and the water of the town " * 3, "s", "en") for k in range(1, 60)] + [(k, "la maison et le chien de la rue " * 1800, "s", "fr") for k in range(100, 130)] + [(k, "das haus und der hund", "s", "de") for k in (200, 201, 202)]
+    model = language_id.train(docs(spark, rows))
+    assert model.langs == ["de", "en", "fr"]
+    got = {r.doc_id: r.lang_pred for r in language_id.languages(docs(spark, rows), model).collect()}
+    assert {i: lang for i, _, _, lang in rows} == got
+    monkeypatch.setattr(language_id, "MOST_LANGS", 2)
+    with pytest.raises(ValueError):
+        language_id.train(docs(spark, rows))
+
+
 def test_recognised(spark):
     draw = random.Random(5)
     stems = {"en": ["the", "and", "thing", "house"], "de": ["der", "und", "schaft", "haus"], "es": ["el", "ción", "casa", "los"]}
