@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelforge.functions.text import normalize_email, normalize_phone
@@ -72,16 +72,59 @@ def visible_reports(df: DataFrame, drafts: bool | None = None) -> DataFrame:
     return rows if drafts is None else rows.where((c("status") == "DRAFT") if drafts else (c("status") != "DRAFT"))
 
 
+#: Fields that a search looks into, and letters of the pieces that its index holds.
+FIELDS, PIECE = ("username", "full_name", "email", "phone"), 3
+
+
 def search_users(df: DataFrame, q: str, phone_verified: bool | None = None) -> DataFrame:
     """Users whose name, user name, e-mail or phone contains the text, in any case."""
     hit = F.lit(False)
-    for name in ("username", "full_name", "email", "phone"):
+    for name in FIELDS:
         if name in df.columns:
             hit = hit | F.coalesce(F.lower(name).contains(q.lower()), F.lit(False))
     rows = df.where(hit)
     return rows if phone_verified is None else rows.where(c("phone_verified") == phone_verified)
 
 
+def search_index(df: DataFrame) -> DataFrame:
+    """(piece, user_id): the pieces of PIECE letters that the fields of a user hold, each once.  To be written, by piece."""
+    texts = F.array_compact(F.array(*[F.lower(x) for x in FIELDS if x in df.columns]))
+    pieces = F.flatten(F.transform(texts, lambda t: F.when(F.length(t) >= PIECE, F.transform(F.sequence(F.lit(1), F.length(t) - PIECE + 1), lambda i: F.substring(t, i, PIECE))).otherwise(F.array().cast("array<string>"))))
+    return df.select("user_id", F.explode(F.array_distinct(pieces)).alias("piece")).select("piece", "user_id")
+
+
+def search_indexed(df: DataFrame, index: DataFrame, q: str, phone_verified: bool | None = None) -> DataFrame:
+    """What search_users() gives, by an index: users that have all pieces of the text are looked at, no others.  Texts that
+    are shorter than a piece are searched for in all users."""
+    text = q.lower()
+    if len(text) < PIECE:
+        return search_users(df, q, phone_verified)
+    pieces = sorted({text[i : i + PIECE] for i in range(len(text) - PIECE + 1)})
+    hit = index.where(c("piece").isin(pieces)).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_")).where(c("n_") == len(pieces)).select("user_id")
+    return search_users(df.join(hit, "user_id", "left_semi"), q, phone_verified)
+
+
+def write_pages(df: DataFrame, order: list[Column], folder: str) -> None:
+    """Writes rows by ranges of an order that tells all rows apart, for read_page(): each range is a folder, and a small table counts them."""
+    ranged = df.repartitionByRange(*order).withColumn("range_", F.spark_partition_id())
+    ranged.write.partitionBy("range_").parquet(f"{folder.rstrip('/')}/rows")
+    written = df.sparkSession.read.parquet(f"{folder.rstrip('/')}/rows")
+    written.groupBy("range_").agg(F.count(F.lit(1)).alias("n")).coalesce(1).write.parquet(f"{folder.rstrip('/')}/counts")
+
+
+def read_page(spark: SparkSession, folder: str, order: list[Column], take: int, skip: int = 0) -> DataFrame:
+    """A page of what write_pages() has written: only the ranges that hold its rows are read, however far it skips."""
+    before, held = 0, []
+    first = None
+    for r in spark.read.parquet(f"{folder.rstrip('/')}/counts").orderBy("range_").collect():  # a row for each range
+        if before + r["n"] > skip and before < skip + take:
+            held.append(r["range_"])
+            first = before if first is None else first
+        before += r["n"]
+    rows = spark.read.parquet(f"{folder.rstrip('/')}/rows").where(c("range_").isin(held)).drop("range_")
+    return page(rows, order, take, skip - (first or 0))
+
+
 def page(df: DataFrame, order: list[Column], take: int, skip: int = 0) -> DataFrame:
     """A page of rows in an order that tells all rows apart."""
     return df.orderBy(*order).offset(skip).limit(take)

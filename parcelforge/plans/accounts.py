@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from parcelforge.functions import text as T
 from parcelforge.operators import media, policy, reports, usage
-from parcelforge.plans.fixtures import dealt_out, fixture
+from parcelforge.plans.fixtures import dealt_out, fixture, stored, work_folder
 from parcelforge.plans.registry import registered
+from parcelforge.streaming import counters
 
 c = F.col
 AS_OF = "2001-07-15 00:00:00"
@@ -48,6 +49,19 @@ def a10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.quota_usage(users(spark, sf_dir), filed(spark, sf_dir), usage.plan_table(spark), as_of())
 
 
+@registered("a10_streamed_counters", """SELECT user_id, date_trunc('month', created_at)::DATE AS month, count(*) AS total, count(*) FILTER (NOT is_deleted) AS active, count(*) FILTER (is_deleted) AS deleted, count(*) FILTER (NOT is_deleted AND status <> 'DRAFT') AS used FROM fx_report GROUP BY 1, 2""")
+def a10_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each report comes as a draft, deleted or as it ends up, in three files that don't keep the versions' order."""
+    folder = work_folder(spark, "counters")
+    now = filed(spark, sf_dir).select("report_id", "user_id", "created_at", "status", "is_deleted")
+    drafts, gone = now.withColumns({"status": F.lit("DRAFT"), "is_deleted": F.lit(False)}), now.withColumn("is_deleted", F.lit(True))
+    for rows, version in ((now, 3), (drafts, 1), (gone, 2)):
+        rows.withColumn("version", F.lit(version)).repartition(4).write.mode("append").parquet(f"{folder}/events")
+    stream = spark.readStream.schema(now.withColumn("version", F.lit(1)).schema).option("maxFilesPerTrigger", 6).parquet(f"{folder}/events")
+    counters.start_counters(stream, f"{folder}/counts", f"{folder}/state").awaitTermination()
+    return counters.counters(spark, f"{folder}/counts")
+
+
 @registered("a11_client_counts", "WITH k AS (SELECT DISTINCT user_id * 10 + client_no AS client_id FROM fx_report), p AS (SELECT user_id * 10 + client_no AS client_id, count(*) AS n FROM fx_report WHERE report_id % 3 = 0 GROUP BY 1), r AS (SELECT user_id * 10 + client_no AS client_id, count(*) AS n FROM fx_report WHERE NOT is_deleted GROUP BY 1) SELECT k.client_id, coalesce(p.n, 0) AS properties, coalesce(r.n, 0) AS reports FROM k LEFT JOIN p ON k.client_id = p.client_id LEFT JOIN r ON k.client_id = r.client_id")
 def a11(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = filed(spark, sf_dir)
@@ -78,11 +92,26 @@ def p16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.search_users(users(spark, sf_dir), "#00000001").select("user_id")
 
 
+@registered("p16_search_index", "SELECT user_id FROM fx_user WHERE contains(lower(full_name), 'r#00000009')")
+def p16_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the pieces of the text, looked up in an index."""
+    rows = users(spark, sf_dir)
+    return usage.search_indexed(rows, stored(usage.search_index(rows), "pieces"), "R#00000009").select("user_id")
+
+
 @registered("t7_page", "SELECT report_id FROM fx_report WHERE NOT is_deleted ORDER BY created_at DESC, report_id DESC LIMIT 50 OFFSET 100")
 def t7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.page(usage.visible_reports(filed(spark, sf_dir)), [F.desc("created_at"), F.desc("report_id")], 50, 100).select("report_id")
 
 
+@registered("t7_page_by_ranges", "WITH v AS (SELECT report_id, row_number() OVER (ORDER BY created_at DESC, report_id DESC) AS r, count(*) OVER () AS n FROM fx_report WHERE NOT is_deleted) SELECT report_id FROM v WHERE r > n - 75 AND r <= n - 25")
+def t7_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page near the end, of which one range of rows is read."""
+    rows, order, folder = usage.visible_reports(filed(spark, sf_dir)), [F.desc("created_at"), F.desc("report_id")], work_folder(spark, "pages")
+    usage.write_pages(rows, order, folder)
+    return usage.read_page(spark, folder, order, 50, rows.count() - 75).select("report_id")
+
+
 @registered("t7_newest_per_client", "SELECT report_id, row_number() OVER (PARTITION BY user_id * 10 + client_no ORDER BY created_at DESC, report_id DESC) AS rank FROM fx_report QUALIFY rank <= 20")
 def t7_client(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.newest_per_client(filed(spark, sf_dir)).select("report_id", "rank")

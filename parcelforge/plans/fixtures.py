@@ -131,6 +131,13 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """The rows, written to a work folder and read again: for what several branches of a query start from."""
+    path = work_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def query(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """SQL over the given tables and the adapters; only those it names are read."""
     named = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}

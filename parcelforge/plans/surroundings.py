@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelforge.operators import geo, openstats
-from parcelforge.plans.fixtures import fixture
+from parcelforge.plans.fixtures import fixture, work_folder
 from parcelforge.plans.registry import registered
 
 c = F.col
@@ -77,6 +77,12 @@ def t4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo.nearest_k(near_places(spark, sf_dir)).select("subject_id", "category", "poi_id", "distance_m", "rank")
 
 
+@registered("t4_nearest_by_rings", NEAR + " SELECT subject_id, place AS category, poi_id, distance_m, row_number() OVER (PARTITION BY subject_id, place ORDER BY distance_m, poi_id) AS rank FROM near WHERE place IS NOT NULL AND distance_m <= 1500 QUALIFY rank <= 5")
+def t4_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As t4_nearest_k, from the inside out."""
+    return geo.nearest_by_rings(subjects(spark, sf_dir), places(spark, sf_dir), geo.POI_RADIUS, work_folder(spark, "rings"))
+
+
 @registered("t4_nearest_rail", NEAR + " SELECT subject_id, stop AS category, poi_id, distance_m FROM near WHERE stop IN ('metro', 'tram', 'rail') AND distance_m <= 3000 QUALIFY row_number() OVER (PARTITION BY subject_id ORDER BY distance_m, list_position(['metro', 'marmaray', 'tram', 'rail'], stop), poi_id) = 1")
 def t4_rail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo.nearest_rail(near_stops(spark, sf_dir))

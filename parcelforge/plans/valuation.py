@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parcelforge.functions import listing as L
 from parcelforge.functions import text as T
 from parcelforge.operators import band, policy, pool, quantiles, selection, signals
-from parcelforge.plans.fixtures import fixture, work_folder
+from parcelforge.plans.fixtures import fixture, stored, work_folder
 from parcelforge.plans.registry import registered
 
 c = F.col
@@ -332,7 +332,7 @@ COVERAGE = portfolio_sql() + ", " + VALUATION + """, cov AS (
 
 def coverage(rows: DataFrame) -> DataFrame:
     """provider_coverage() of comparables as they come (pairs)."""
-    unique = selection.prepared(rows)
+    unique = stored(selection.prepared(rows), "unique")
     mark = lambda df, name: df.select("subject_id", "listing_uid", F.lit(True).alias(name))
     marks = [mark(unique, "is_unique"), mark(selection.valuation_set(unique), "in_valuation"), mark(selection.portfolio(unique, as_of()), "in_portfolio")]
     rows = rows.select("subject_id", "listing_uid", (c("provider_rank") == 0).alias("from_cache"))
@@ -355,7 +355,7 @@ def free_sql() -> str:
 SELECT subject_id, listing_uid FROM cut UNION ALL SELECT subject_id, listing_uid FROM paid""")
 def u3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Providers 0 and 1 are free; the rows of 2 are paid for, where the free ones aren't enough for a report."""
-    rows = pairs(spark, sf_dir)
+    rows = stored(pairs(spark, sf_dir), "pairs")
     free = rows.where("provider_rank < 2")
     every = subjects(spark, sf_dir).select("subject_id").join(coverage(free).select("subject_id", "enough"), "subject_id", "left").fillna(False, ["enough"])
     return pool.add_paid_feed(free, rows.where("provider_rank = 2"), every).select("subject_id", "listing_uid")
