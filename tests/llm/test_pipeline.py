@@ -35,8 +35,9 @@ def test_stages(spark):
     assert abs(sum(len(r.text.split()) for r in now) - 1.5 * total) <= 0.01 * total
     was, now = seen["sentencepiece"]
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    want = sorted((r[0], len(ids := sp.encode(r[1], add_eos=True)), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()) for r in was)
-    assert sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in now) == want
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = sorted((r[0], len(ids := sp.encode(r[1], add_eos=True)), sha(" ".join(map(str, ids))), sha(sp.decode(ids))) for r in was)
+    assert sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in now) == want
 
 
 def test_odd_documents(spark):
