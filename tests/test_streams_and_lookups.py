@@ -1,6 +1,7 @@
 """Counters by a stream, pages by ranges, searches by an index, nearest places by rings."""
 
 import datetime
+import math
 import random
 
 import pytest
@@ -76,3 +77,29 @@ def test_rings_meet_few_in_a_dense_city(spark, tmp_path):
     assert first.count() * 10 < every.count()
     got = geo.nearest_by_rings(subjects, points, 1500.0, str(tmp_path))
     assert sorted(map(tuple, got.select("subject_id", "poi_id").collect())) == sorted(map(tuple, geo.nearest_k(every).select("subject_id", "poi_id").collect()))
+
+
+@pytest.mark.parametrize(("lat", "lon"), [(41.0, 29.0), (-89.99, 10.0), (10.0, 180.0), (0.0, 0.0), (60.0, -179.999)])
+@pytest.mark.parametrize("crowd", [1, 20, 100_000])
+def test_crowded_cells_lose_nothing(spark, lat, lon, crowd):
+    rng = random.Random(7)
+    near = lambda s: ((max(-90.0, min(90.0, lat + rng.gauss(0, s)))), (lon + rng.gauss(0, s) / max(0.02, abs(math.cos(math.radians(lat)))) + 180) % 360 - 180)
+    points = [(k, *near(0.0001)) for k in range(150)] + [(1000 + k, *near(0.03)) for k in range(150)] + [(2000 + k, lat, lon) for k in range(60)]
+    subjects = [(k, *near(0.02)) for k in range(25)]
+    a = spark.createDataFrame(subjects, "subject_id int, lat double, lon double")
+    b = spark.createDataFrame(points, "poi_id int, lat double, lon double")
+    got = geo.radius_join(a, b, 1500.0, crowd=crowd).select("subject_id", "poi_id", "distance_m")
+    want = a.crossJoin(b.withColumnsRenamed({"lat": "p_lat", "lon": "p_lon"})).withColumn("distance_m", F.floor(geo.haversine_m(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon")) + 0.5).cast("double")).where("distance_m <= 1500")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select("subject_id", "poi_id", "distance_m").collect()))
+
+
+def test_crowded_cells_are_dealt_out(spark):
+    """With half of all points in one cell and a quarter at one spot, no key has many more points than asked for."""
+    points = spark.range(8000).select(F.col("id").alias("poi_id"), (41 + F.when(F.col("id") % 4 == 0, 0.0).when(F.col("id") % 4 == 1, F.rand(1) * 0.01).otherwise(F.rand(2) * 0.5)).alias("p_lat"), (29 + F.when(F.col("id") % 4 == 0, 0.0).when(F.col("id") % 4 == 1, F.rand(3) * 0.01).otherwise(F.rand(4) * 0.5)).alias("p_lon"))
+    height = 0.0135
+    turn, cells = (lambda x: F.pmod(x + 180.0, F.lit(360.0)) / 360), (lambda y: F.lit(20_000).cast("long"))
+    at = points.withColumn("cy", F.floor(F.col("p_lat") / height)).withColumn("cx", F.floor(turn(F.col("p_lon")) * cells(None)))
+    looks = spark.createDataFrame([(1, 41.0, 29.0)], "subject_id int, lat double, lon double").withColumn("cy", F.floor(F.col("lat") / height)).withColumn("cx", F.floor(turn(F.col("lon")) * cells(None)))
+    cut, looked = geo.cut_cells(at, looks, 100, cells, turn, height)
+    most = cut.groupBy("cy", "cx", "sub_", "part_").count().agg(F.max("count")).first()[0]
+    assert cut.count() == 8000 and most <= 160 and looked.groupBy("sub_", "part_").count().where("count > 1").count() == 0
