@@ -39,10 +39,11 @@ def cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pool.looked_up(pool.scope_keys(subjects(spark, sf_dir)), pool_rows(spark, sf_dir).where("provider_rank = 0"), as_of())
 
 
-def fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the feeds (the other providers) give for each subject's scope: the best 240 rows of each."""
+def fetched(spark: SparkSession, sf_dir: str, most: int | None = pool.SCOPE_ROWS) -> DataFrame:
+    """What the feeds (the other providers) give for each subject's scope: the `most` best rows of each (None: all of them)."""
     best = [F.desc("pool_quality"), F.desc("last_seen_at"), c("listing_uid")]
-    rows = pool.cap_scope(pool_rows(spark, sf_dir).where("provider_rank > 0"), order=best, by=["provider_rank"])
+    rows = pool_rows(spark, sf_dir).where("provider_rank > 0")
+    rows = pool.cap_scope(rows, most, best, ["provider_rank"]) if most else rows
     return pool.match_pool(pool.scope_keys(subjects(spark, sf_dir)), rows)
 
 
