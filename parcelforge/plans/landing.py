@@ -220,7 +220,7 @@ def r2_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, at = work_folder(spark, "sweep"), "2001-12-01 00:00:00"
     rows = listings(spark, sf_dir).select("source_url", "listing_uid", "price", (F.year("created_at") % 3).alias("n"))
     for k, seen in enumerate(SIGHTINGS):
-        ingest.merge_batch(rows.where(c("n") == k).drop("n").withColumn("seen_at", s(seen).cast("timestamp")), k, folder, [c("listing_uid")])
+        ingest.merge_batch(rows.where(c("n") == k).drop("n").withColumn("seen_at", s(seen).cast("timestamp")), k, folder, [c("listing_uid")], buckets=16)
         ingest.sweep(spark, folder, seen)
     ingest.sweep(spark, folder, at)
     again = ingest.sweep(spark, folder, at)

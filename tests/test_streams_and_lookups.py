@@ -80,7 +80,7 @@ def test_rings_meet_few_in_a_dense_city(spark, tmp_path):
 
 
 @pytest.mark.parametrize(("lat", "lon"), [(41.0, 29.0), (-89.99, 10.0), (10.0, 180.0), (0.0, 0.0), (60.0, -179.999)])
-@pytest.mark.parametrize("crowd", [1, 20, 100_000])
+@pytest.mark.parametrize("crowd", [1, 25])
 def test_crowded_cells_lose_nothing(spark, lat, lon, crowd):
     rng = random.Random(7)
     near = lambda s: ((max(-90.0, min(90.0, lat + rng.gauss(0, s)))), (lon + rng.gauss(0, s) / max(0.02, abs(math.cos(math.radians(lat)))) + 180) % 360 - 180)
