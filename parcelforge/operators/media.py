@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelforge.functions.text import js_round
+from parcelforge.functions.text import contains_any, js_round
 from parcelforge.operators.pool import unique_first
 
 c = F.col
@@ -13,17 +13,22 @@ c = F.col
 
 def image_priority(url: Column) -> Column:
     u = F.lower(url)
-    return F.when(u.contains("imaj.emlakjet.com"), 100).when(u.contains("i.remax.com.tr/photos"), 95).when(u.contains("hepsiemlak") & u.rlike("image|photo|listing|cdn"), 90).when(u.rlike("listing|photos|photo|image|resize"), 60).otherwise(10)
+    return F.when(u.contains("imaj.emlakjet.com"), 100).when(u.contains("i.remax.com.tr/photos"), 95).when(u.contains("hepsiemlak") & contains_any(u, ("image", "photo", "listing", "cdn")), 90).when(contains_any(u, ("listing", "photo", "image", "resize")), 60).otherwise(10)
+
+
+def without_query(url: Column) -> Column:
+    return F.when(contains_any(url, "?#"), F.regexp_replace(url, r"[?#].*$", "")).otherwise(url)
 
 
 def image_key(url: Column) -> Column:
     """Without query, fragment and size."""
-    return F.regexp_replace(F.regexp_replace(F.coalesce(url, F.lit("")), r"[?#].*$", ""), r"(?i)/resize/\d+/\d+/", "/resize/")
+    path = without_query(F.coalesce(url, F.lit("")))
+    return F.when(F.lower(path).contains("/resize/"), F.regexp_replace(path, r"(?i)/resize/\d+/\d+/", "/resize/")).otherwise(path)
 
 
 def unique_images(df: DataFrame) -> DataFrame:
     """One image of each key of a listing, the one of highest priority, with rank.  df: (listing_uid, url, ord)."""
-    rows = df.withColumns({"image_key": image_key(c("url")), "priority": image_priority(c("url"))})
+    rows = df.repartition("listing_uid").withColumns({"image_key": image_key(c("url")), "priority": image_priority(c("url"))})
     one = unique_first(rows, ["listing_uid", "image_key"], [F.desc("priority"), c("ord"), c("url")])
     return one.withColumn("rank", F.row_number().over(Window.partitionBy("listing_uid").orderBy(F.desc("priority"), "ord", "url")))
 

@@ -7,6 +7,7 @@ import json
 import math
 import re
 from collections.abc import Iterator
+from string import ascii_lowercase, ascii_uppercase
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, StringType, StructField, StructType
 
 from parcelforge.functions import text as T
-from parcelforge.operators.media import unique_images
+from parcelforge.operators.media import unique_images, without_query
 from parcelforge.operators.pool import unique_first
 from parcelforge.sources.markup import Page, clean
 
@@ -324,7 +325,8 @@ def extract_page_facts(pages: DataFrame) -> DataFrame:
 
 
 #: What makes a URL one of a photo, and what makes it none.
-PHOTO, PHOTO_PATH, NO_PHOTO = r"(?i)image|photo|listing|resize|cdn", r"(?i)\.(jpe?g|png|webp)(?:[?#].*)?$", r"(?i)logo|favicon|sprite|icon|avatar|agent|profile|placeholder|loading|blank|captcha|challenge"
+PHOTO, PHOTO_PATH = ("image", "photo", "listing", "resize", "cdn"), r"(?i)\.(jpe?g|png|webp)(?:[?#].*)?$"
+NO_PHOTO = ("logo", "favicon", "sprite", "icon", "avatar", "agent", "profile", "placeholder", "loading", "blank", "captcha", "challenge")
 
 
 def extract_image_candidates(pages: DataFrame) -> DataFrame:
@@ -335,12 +337,17 @@ def extract_image_candidates(pages: DataFrame) -> DataFrame:
     sets = F.flatten(F.transform(everywhere(r"(?i)\bsrcset=[\"']([^\"']+)[\"']"), lambda x: F.transform(F.split(x, ","), first_of)))
     attrs = everywhere(r"(?i)\b(?:src|data-src|data-original|data-lazy|content)=[\"']([^\"']+\.(?:jpe?g|png|webp)(?:\?[^\"']*)?)[\"']")
     urls = everywhere(r"(?i)(https?:\\?/\\?/[^\"'()<>\s]+\.(?:jpe?g|png|webp)(?:\?[^\"'()<>\s\\]*)?)")
-    rows = pages.select(c("page_id").alias("listing_uid"), "base_url", F.posexplode(F.concat(attrs, sets, urls)).alias("ord", "raw"))
+    origin, scheme, folder = F.regexp_extract("base_url", r"^(https?://[^/?#]+)", 1), F.regexp_extract("base_url", "^(https?:)", 1), F.regexp_replace("base_url", r"[^/]*$", "")
+
+    raw = pages.select(c("page_id").alias("listing_uid"), origin.alias("origin"), scheme.alias("scheme"), folder.alias("folder"), F.posexplode(F.concat(attrs, sets, urls)).alias("ord", "raw"))
     clean = F.replace(F.replace(F.replace(c("raw"), F.lit("&amp;"), F.lit("&")), F.lit("\\u002F"), F.lit("/")), F.lit("\\/"), F.lit("/"))
-    clean = first_of(F.regexp_replace(clean, ",.*$", ""))
-    origin = F.regexp_extract("base_url", r"^(https?://[^/?#]+)", 1)
-    url = F.when(clean.rlike("(?i)^https?://"), clean).when(clean.startswith("//"), F.concat(F.regexp_extract("base_url", "^(https?:)", 1), clean)).when(clean.startswith("/"), F.concat(origin, clean)).when(clean.rlike("^[a-z]+:"), None).otherwise(F.concat(F.regexp_replace("base_url", r"[^/]*$", ""), clean))
-    rows = rows.withColumn("url", url).where("url <> ''").where((F.regexp_replace("url", r"[?#].*$", "").rlike(PHOTO_PATH) | c("url").rlike(PHOTO)) & ~c("url").rlike(NO_PHOTO))
+    x = c("tidy")
+    url = F.when(x.rlike("(?i)^https?://"), x).when(x.startswith("//"), F.concat("scheme", x)).when(x.startswith("/"), F.concat("origin", x)).when(x.rlike("^[a-z]+:"), None).otherwise(F.concat("folder", x))
+    # each step stands for itself: the filters on a URL would be filters on all that makes it
+    rows = T.held(raw, "listing_uid", "ord", "origin", "scheme", "folder", tidy=first_of(F.when(clean.contains(","), F.regexp_replace(clean, ",.*$", "")).otherwise(clean)))
+    rows = T.held(rows, "listing_uid", "ord", url=url).where("url <> ''")
+    rows = T.held(rows, "listing_uid", "ord", "url", low=F.translate("url", ascii_uppercase, ascii_lowercase), path=without_query(c("url")))
+    rows = rows.where((c("path").rlike(PHOTO_PATH) | T.contains_any(c("low"), PHOTO)) & ~T.contains_any(c("low"), NO_PHOTO))
     return unique_images(rows.select("listing_uid", "url", "ord"))
 
 
