@@ -23,7 +23,7 @@ CRAWL_SCHEMA = (
 
 def normalize_search_feed(raw: DataFrame, as_of: Column) -> DataFrame:
     """Search API rows (raw JSON in `value`): nested price, title by language, build year in attribute 140."""
-    rows = raw.select(F.from_json("value", SEARCH_SCHEMA).alias("r")).select("r.*")
+    rows = raw.select(F.inline(F.array(F.from_json("value", SEARCH_SCHEMA))))
     title = F.coalesce(F.filter("title", lambda t: t["languageId"] == 1)[0]["text"], F.get("title", 0)["text"])
     net = c("m2AreaAttributeName").rlike("(?i)net")
     year = F.element_at("attributes", "140").try_cast("int")
@@ -43,23 +43,22 @@ def normalize_search_feed(raw: DataFrame, as_of: Column) -> DataFrame:
 
 def normalize_crawl_feed(raw: DataFrame, as_of: Column) -> DataFrame:
     """Crawler rows (raw JSON in `value`): alternative names, a price that is a number or an object, a map of specifications."""
-    rows = raw.select(F.from_json("value", CRAWL_SCHEMA).alias("r"), "value").select("r.*", "value")
+    rows = raw.select("value", F.inline(F.array(F.from_json("value", CRAWL_SCHEMA))))
     spec = lambda *names: F.coalesce(*[F.element_at("specifications", n) for n in names])
     number = lambda x: F.coalesce(x.try_cast("double"), T.to_number_tr(x))
-    price = F.coalesce(F.get_json_object("value", "$.price.amount").try_cast("double"), number(c("price")), number(c("priceAmount")))
-    gross = F.coalesce(number(c("grossArea")), number(c("grossSize")), number(spec("Brüt Metrekare", "Brüt m²", "Brüt Alan")))
-    net = F.coalesce(number(c("netArea")), number(c("netSize")), number(spec("Net Metrekare", "Net m²")))
-    image = F.coalesce(F.get("imageUrls", 0), F.get("images", 0), c("imageUrl"))
-    rows = rows.withColumn("source_url", F.coalesce(F.nullif(T.clean_text(c("url")), F.lit("")), c("listingUrl")))
-    code = F.coalesce(F.nullif(T.clean_text(c("listingId")), F.lit("")), F.nullif(F.regexp_extract("source_url", r"(\d{6,})", 1), F.lit("")))
-    age_text = F.coalesce("buildingAge", spec("Binanın Yaşı"))
-    out = rows.select(
+    rows = T.held(
+        rows, "city", "district", "neighborhood", "listingDate", price=F.coalesce(F.get_json_object("value", "$.price.amount").try_cast("double"), number(c("price")), number(c("priceAmount"))),
+        gross_area=F.coalesce(number(c("grossArea")), number(c("grossSize")), number(spec("Brüt Metrekare", "Brüt m²", "Brüt Alan"))), net_area=F.coalesce(number(c("netArea")), number(c("netSize")), number(spec("Net Metrekare", "Net m²"))),
+        image_url=F.coalesce(F.get("imageUrls", 0), F.get("images", 0), c("imageUrl")), source_url=F.coalesce(F.nullif(T.clean_text(c("url")), F.lit("")), c("listingUrl")), name=T.clean_text(F.coalesce("title", "name")), listed=T.clean_text(c("listingId")),
+        currency=F.coalesce(F.get_json_object("value", "$.price.currency"), F.lit("TRY")), age_text=F.coalesce("buildingAge", spec("Binanın Yaşı")), floor_text=F.coalesce("floor", spec("Bulunduğu Kat")),
+    ).where("source_url is not null and price is not null and coalesce(net_area, gross_area) > 0 and image_url is not null")
+    code = F.coalesce(F.nullif(c("listed"), F.lit("")), F.nullif(F.regexp_extract("source_url", r"(\d{6,})", 1), F.lit("")))
+    return rows.select(
         F.coalesce(F.concat(F.lit("emlakjet:"), code), F.concat(F.lit("apify-emlakjet:"), F.substring(F.sha1("source_url"), 1, 16))).alias("external_id"), "source_url",
-        F.coalesce(F.nullif(T.clean_text(F.coalesce("title", "name")), F.lit("")), F.lit("Emlakjet emsal ilanı")).alias("title"), price.alias("price"), F.coalesce(F.get_json_object("value", "$.price.currency"), F.lit("TRY")).alias("currency"),
-        net.alias("net_area"), gross.alias("gross_area"), T.building_age(F.lit(None).cast("double"), age_text).alias("building_age"), T.floor_value(F.coalesce("floor", spec("Bulunduğu Kat"))).alias("floor"), image.alias("image_url"),
-        T.js_round(price / F.coalesce(gross, net)).alias("price_per_sqm"), "city", "district", "neighborhood", F.coalesce(F.try_to_timestamp(F.replace("listingDate", F.lit(" "), F.lit("T"))), as_of).alias("created_at"),
+        F.coalesce(F.nullif(c("name"), F.lit("")), F.lit("Emlakjet emsal ilanı")).alias("title"), "price", "currency", "net_area", "gross_area", T.building_age(F.lit(None).cast("double"), c("age_text")).alias("building_age"),
+        T.floor_value(c("floor_text")).alias("floor"), "image_url", T.js_round(c("price") / F.coalesce("gross_area", "net_area")).alias("price_per_sqm"), "city", "district", "neighborhood",
+        F.coalesce(F.try_to_timestamp(F.replace("listingDate", F.lit(" "), F.lit("T"))), as_of).alias("created_at"),
     )
-    return out.where("source_url is not null and price is not null and coalesce(net_area, gross_area) > 0 and image_url is not null")
 
 
 def parse_stops(raw: DataFrame) -> DataFrame:

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from parcelforge.sources import pages
+from pyspark.sql import functions as F
+
+from parcelforge.sources import feeds, pages
 
 
 def plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_a_crawl_row_is_parsed_once(spark):
+    raw = spark.range(3).select(F.format_string('{"url": "https://x.example/%d", "price": "1.250.000 TL", "grossSize": "90", "images": ["https://x.example/a.jpg"]}', "id").alias("value"))
+    rows = feeds.normalize_crawl_feed(raw, F.lit("2001-12-01").cast("timestamp"))
+    assert plan(rows).count("from_json(") == 1
+    assert [(r.price, r.gross_area, r.price_per_sqm) for r in rows.collect()] == [(1250000.0, 90.0, 13889.0)] * 3
+
+
 def test_each_step_of_an_image_url_is_worked_out_once(spark):
     html = '<img src="/PHOTOS/a.jpg?x=1"><img src="/Logo.png"><img data-src="/resize/1/2/b.png"><img srcset="/RESIZE/3/4/b.png 1x, c 2x">'
     rows = pages.extract_image_candidates(spark.createDataFrame([("1", "https://x.example/l/1", html)], "page_id string, base_url string, html string"))
