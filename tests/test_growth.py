@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from parcelforge.operators import geo
 from parcelforge.sources import feeds, pages
 
 
@@ -24,3 +25,18 @@ def test_each_step_of_an_image_url_is_worked_out_once(spark):
     text = plan(rows)
     assert text.count("RLIKE(") == 3 and text.count("replace(replace(replace(") <= 3
     assert [(r.url, r.rank) for r in rows.orderBy("rank").collect()] == [("https://x.example/PHOTOS/a.jpg?x=1", 1), ("https://x.example/resize/1/2/b.png", 2)]
+
+
+def test_spots_answer_for_all_who_are_there(spark):
+    """Many subjects and places on few spots: the results of all their pairs, of which none is made."""
+    at = lambda k: (41.0 + F.col("id") % k / 500, 29.0 + F.col("id") * 7 % k / 500)
+    subjects = spark.range(200).select(F.col("id").alias("subject_id"), at(5)[0].alias("lat"), at(5)[1].alias("lon"))
+    places = spark.range(3000).select(F.col("id").alias("poi_id"), at(11)[0].alias("lat"), at(11)[1].alias("lon"), F.element_at(F.array(*map(F.lit, ("metro", "tram", "rail"))), (F.col("id") % 3 + 1).cast("int")).alias("category"))
+    pairs = geo.radius_join(subjects, places, geo.TRANSPORT_RADIUS)
+    rows = lambda df, *names: sorted(map(tuple, df.select(*names).collect()), key=str)
+    near = ("subject_id", "category", "poi_id", "distance_m")
+    assert rows(geo.nearest_of_spots(subjects, places, geo.TRANSPORT_RADIUS, 5, geo.nearest_k), *near, "rank") == rows(geo.nearest_k(pairs), *near, "rank")
+    assert rows(geo.nearest_of_spots(subjects, places, geo.TRANSPORT_RADIUS, 1, geo.nearest_rail), *near) == rows(geo.nearest_rail(pairs), *near)
+    want = geo.counts_within(pairs, subjects, geo.TRANSPORT_CATEGORIES, (300, 800))
+    assert rows(geo.transit_counts(subjects, places), *want.columns) == rows(want, *want.columns)
+    assert geo.spots_of(subjects).count() == 5
