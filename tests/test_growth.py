@@ -40,3 +40,14 @@ def test_spots_answer_for_all_who_are_there(spark):
     want = geo.counts_within(pairs, subjects, geo.TRANSPORT_CATEGORIES, (300, 800))
     assert rows(geo.transit_counts(subjects, places), *want.columns) == rows(want, *want.columns)
     assert geo.spots_of(subjects).count() == 5
+
+
+def test_all_pairs_come_from_packs_of_spots_over_many_tasks(spark):
+    """The pairs of radius_join(), of few subjects in one task; with more ids at a spot than a pack holds."""
+    subjects = spark.range(40).select(F.col("id").alias("subject_id"), (41 + F.col("id") % 20 / 50).alias("lat"), (29 + F.col("id") % 20 / 50).alias("lon")).coalesce(1)
+    places = spark.range(3000).select(F.col("id").alias("poi_id"), (41 + F.col("id") % 2 / 50).alias("lat"), (29 + F.col("id") % 2 / 50).alias("lon")).unionByName(subjects.withColumnRenamed("subject_id", "poi_id"))
+    want = sorted(map(tuple, geo.radius_join(subjects, places, 3000.0).select("subject_id", "poi_id", "distance_m").collect()))
+    for crowd in (None, 1):
+        got = geo.all_pairs(subjects, places, 3000.0, crowd).withColumn("task", F.spark_partition_id()).collect()
+        assert sorted(r[:3] for r in map(tuple, got)) == want and len({r.task for r in got}) > 4
+    assert max(len(r.poi_id) for r in geo.packed(places, "poi_id").collect()) == geo.PACK
