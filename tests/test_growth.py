@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parcelforge.operators import geo
+from parcelforge.operators import geo, pool
 from parcelforge.sources import feeds, pages
 
 
@@ -51,3 +51,13 @@ def test_all_pairs_come_from_packs_of_spots_over_many_tasks(spark):
         got = geo.all_pairs(subjects, places, 3000.0, crowd).withColumn("task", F.spark_partition_id()).collect()
         assert sorted(r[:3] for r in map(tuple, got)) == want and len({r.task for r in got}) > 4
     assert max(len(r.poi_id) for r in geo.packed(places, "poi_id").collect()) == geo.PACK
+
+
+def test_pairs_of_the_fallback_are_not_dealt_out_again(spark):
+    """How a subject's listings are found is told of subjects: the join that makes pairs is the last one, and compares ready texts."""
+    subjects = spark.createDataFrame([(1, "A", "B", "Mah 1", "residential", "sale", 100.0, "2 + 1")], "subject_id long, city string, district string, neighborhood string, category string, valuation_type string, subject_area double, subject_room_text string")
+    items = spark.createDataFrame([("x", "A", "B", "Mah 1", "residential", "sale", 100.0, "2+1")], "listing_uid string, city string, district string, neighborhood string, category string, valuation_type string, net_area double, room_text string").withColumn("gross_area", F.lit(None).cast("double"))
+    found = pool.match_pool(pool.scope_keys(subjects), pool.scope_keys(items), room=True, fallback="district")
+    joins = [x for x in plan(found).splitlines() if "Join " in x]
+    assert "Join Inner" in joins[0] and "valuation_type" in joins[0] and "regexp_replace" not in joins[0] and "LeftOuter" in joins[1]
+    assert [(r.listing_uid, r.match_level) for r in found.collect()] == [("x", "neighborhood")]
