@@ -7,6 +7,7 @@ import json
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from string import ascii_lowercase, ascii_uppercase
 from urllib.parse import urljoin
 
@@ -45,14 +46,27 @@ def spark_type(kind: pa.DataType) -> DataType:
     return DoubleType() if pa.types.is_floating(kind) else StringType()
 
 
+#: URLs, and paths of a site, that a base leaves as they are.
+WHOLE_URL, SITE_PATH = re.compile(r"https?://[A-Za-z0-9.-]+(?:/[A-Za-z0-9._~%/-]*)?"), re.compile(r"(?:/[A-Za-z0-9_~%-][A-Za-z0-9._~%-]*)+/?")
+
+
 def absolute(value: str | None, base: str) -> str | None:
     text = clean(value)
+    if WHOLE_URL.fullmatch(text):
+        return text
     try:
+        if SITE_PATH.fullmatch(text):
+            return site_of(base) + text
         return urljoin(base, text) if text else None
     except ValueError:
         return None
 
 
+@lru_cache
+def site_of(base: str) -> str:
+    return urljoin(base, "/")[:-1]
+
+
 def lower_tr(text: str) -> str:
     return text.replace("I", "ı").replace("İ", "i").lower()
 
@@ -60,31 +74,48 @@ def lower_tr(text: str) -> str:
 #: Texts of a card that are no title, cities whose names make a text an address, hosts of photos.
 NO_TITLE, CITIES = re.compile("telefonu göster|whatsapp|paylaş", re.I), re.compile("İstanbul|Ankara|İzmir|Bursa|Antalya|Kocaeli|Sakarya", re.I)
 PHOTO_HOST, LOGO = re.compile("hecdn|hemlak", re.I), re.compile("logo/", re.I)
+DATE, FOUND = re.compile(r"\d{1,2}[./-]\d{1,2}[./-]\d{4}"), re.compile(r"için\s+([0-9.]+)\s+ilan\s+bulundu", re.I)
 CARD = ("link", "title", "price", "room", "area", "age", "floor", "image", "images", "address", "date")
 
 
 def card_facts(page: Page, card: int, base: str) -> dict:
-    """What a card says, as written.  A label's value is the line after it."""
-    links = list(page.having("a", "listingView__card-link", card))
-    first = next(page.having("a", None, card), None)
-    href = (page.attr(links[0], "href") if links else None) or (page.attr(first, "href") if first is not None else None)
+    """What a card says, as written.  A label's value is the line after it; labels are compared in lower case."""
+    link = first = count = None
+    photos, prices = [], []
+    for k in page.within(card):
+        name, cls = page.names[k], page.attrs[k].get("class")
+        if name == "a" and first is None:
+            first = k
+        elif name == "img":
+            photos.append(k)
+        if cls:
+            words = cls.split()
+            if name == "a" and link is None and "listingView__card-link" in words:
+                link = k
+            if "list-view-price" in words:
+                prices.append(k)
+            if count is None and "photo-count" in words:
+                count = k
+    href = (page.attr(link, "href") if link is not None else None) or (page.attr(first, "href") if first is not None else None)
     lines = [x for x in map(clean, page.text(card).split("\n")) if x]
+    at: dict[str, int] = {}
+    for k, x in enumerate(lines):
+        at.setdefault(lower_tr(x), k)
 
     def said(label: str) -> str | None:
-        at = next((k for k, x in enumerate(lines) if lower_tr(x) == lower_tr(label)), None)
-        if at is None or at + 1 >= len(lines):
+        k = at.get(label)
+        if k is None or k + 1 >= len(lines):
             return None
-        more = lines[at + 2] if at + 2 < len(lines) else ""
-        return f"{lines[at + 1]} {more}" if lines[at + 1].endswith("+") and re.fullmatch("[0-9]+", more) else lines[at + 1]
+        value, more = lines[k + 1], lines[k + 2] if k + 2 < len(lines) else ""
+        return f"{value} {more}" if value.endswith("+") and re.fullmatch("[0-9]+", more) else value
 
-    sources = [x for k in page.having("img", None, card) for x in (page.attr(k, "data-src"), page.attr(k, "src"), ((page.attr(k, "srcset") or "").split() or [None])[0])]
+    sources = (x for k in photos for x in (page.attr(k, "data-src"), page.attr(k, "src"), ((page.attr(k, "srcset") or "").split() or [None])[0]))
     images = (absolute(x, base) for x in sources)
-    count = next(page.having(None, "photo-count", card), None)
     return {
-        "link": absolute(href, base), "title": (clean(page.attr(links[0], "title")) if links else "") or next((x for x in lines if len(x) > 18 and not NO_TITLE.search(x)), None),
-        "price": clean("".join(page.text(k) for k in page.having(None, "list-view-price", card))), "room": said("Oda Sayısı"), "area": said("Brüt m²"), "age": said("Bina Yaşı"), "floor": said("Kat"),
+        "link": absolute(href, base), "title": (clean(page.attr(link, "title")) if link is not None else "") or next((x for x in lines if len(x) > 18 and not NO_TITLE.search(x)), None),
+        "price": clean("".join(page.text(k) for k in prices)), "room": said("oda sayısı"), "area": said("brüt m²"), "age": said("bina yaşı"), "floor": said("kat"),
         "image": next((x for x in images if x and not x.startswith("data:") and PHOTO_HOST.search(x) and not LOGO.search(x)), None), "images": clean(page.text(count)) if count is not None else None,
-        "address": next((x for x in lines if re.search("/.+/", x) and CITIES.search(x)), None), "date": next((x for x in lines if re.fullmatch(r"\d{1,2}[./-]\d{1,2}[./-]\d{4}", x)), None),
+        "address": next((x for x in lines if "/" in x and re.search("/.+/", x) and CITIES.search(x)), None), "date": next((x for x in lines if len(x) <= 10 and DATE.fullmatch(x)), None),
     }
 
 
@@ -100,12 +131,16 @@ def extract_listing_cards(pages: DataFrame, as_of: Column, base: str = "https://
 
     @F.arrow_udf(spark_type(PAGE_OF_CARDS))
     def read(html: pa.Array) -> pa.Array:
-        out = []
+        ends, cards, found = [0], [], []
         for source in html.to_pylist():
             page = Page(source or "")
-            count = re.search(r"için\s+([0-9.]+)\s+ilan\s+bulundu", clean(page.text()), re.I)
-            out.append({"cards": [card_facts(page, k, base) for k in page.having("li", "listing-item")], "found": count[1].replace(".", "") if count else None})
-        return pa.array(out, PAGE_OF_CARDS)
+            count = FOUND.search(page.text())
+            cards += [card_facts(page, k, base) for k in page.having("li", "listing-item")]
+            ends.append(len(cards))
+            found.append(count[1].replace(".", "") if count else None)
+        columns = [pa.array([x[name] for x in cards], pa.string()) for name in CARD]
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, CARD))
+        return pa.StructArray.from_arrays([lists, pa.array(found, pa.string())], ["cards", "found"])
 
     price = lambda x: T.js_round(T.to_number_tr(x["price"]))
     whole = lambda x: (x["link"] != "") & price(x).isNotNull() & (T.to_number_tr(x["area"]) > 0) & (x["image"] != "")
@@ -211,6 +246,8 @@ def extract_location_links(pages: DataFrame) -> DataFrame:
 
 def decoded(text: str) -> str:
     """The six entities of page facts, ampersands first, so that what was escaped twice is plain."""
+    if "&" not in text:
+        return text
     for entity, char in (("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " ")):
         text = text.replace(entity, char)
     return text
@@ -246,9 +283,8 @@ def area_of(text: str) -> float | None:
     return None
 
 
-def meta_of(page: Page, keys: tuple[str, ...]) -> str | None:
-    """The content of the first meta tag of the first of some names that has one."""
-    metas = [page.attrs[k] for k in page.having("meta")]
+def meta_of(metas: list[dict[str, str]], keys: tuple[str, ...]) -> str | None:
+    """The content of the first of some meta tags, given by their attributes, of the first of some names that has one."""
     for key in keys:
         for x in metas:
             content = re.match("[^\"']+", x.get("content", ""))
@@ -303,15 +339,19 @@ PAGE_FACTS = pa.struct([("image_url", pa.string()), ("image_source", pa.string()
 
 @F.arrow_udf(spark_type(PAGE_FACTS))
 def read_facts(html: pa.Array, known: pa.Array) -> pa.Array:
-    out = []
+    out: dict[str, list] = {x.name: [] for x in PAGE_FACTS}
     for source, snippet in zip(html.to_pylist(), known.to_pylist(), strict=True):
         page = Page(source or "")
         image, area, rooms = json_facts(page)
-        meta = meta_of(page, META_IMAGES)
-        text = " ".join(x for x in (snippet, meta_of(page, META_TEXTS), decoded(page.visible()).strip()) if x)
+        metas = [page.attrs[k] for k in page.having("meta")]
+        meta = meta_of(metas, META_IMAGES)
+        text = " ".join(x for x in (snippet, meta_of(metas, META_TEXTS), decoded(page.visible()).strip()) if x)
         room = ROOMS.search(text)
-        out.append({"image_url": meta or image, "image_source": "og:image" if meta else "json-ld" if image else None, "area": area_of(text) or area, "room_text": "".join(room[0].split()) if room else rooms})
-    return pa.array(out, PAGE_FACTS)
+        out["image_url"].append(meta or image)
+        out["image_source"].append("og:image" if meta else "json-ld" if image else None)
+        out["area"].append(area_of(text) or area)
+        out["room_text"].append("".join(room[0].split()) if room else rooms)
+    return pa.StructArray.from_arrays([pa.array(out[x.name], x.type) for x in PAGE_FACTS], [x.name for x in PAGE_FACTS])
 
 
 def extract_page_facts(pages: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Pages read through the tokenizer of markup."""
 
 import datetime
+import random
 import time
 
 import pytest
@@ -83,3 +84,16 @@ def test_elements():
     assert [page.names[k] for k in page.within()] == ["ul", "li", "ul", "li", "li", "br", "td", "td", "p", "div", "textarea"]
     assert [page.text(k) for k in page.having("li")] == ["oneintail", "in", "two<"] and [page.text(k) for k in page.having("td")] == ["c", "dxy<b>"[:1]]
     assert page.attrs[1] == {"class": "a b", "x": "1"} and [*page.having("li", "b")] == [1] and page.text(8) == "x"
+
+
+def test_plain_pages_are_read_by_pieces_as_by_the_state_machine(monkeypatch):
+    """The same elements and texts, of random pages; cards as they are found are plain."""
+    bits = ["<a href='x>y'>", '<a href="<b>">', "</a>", "<li>", "</li>", "<ul class=\"x y\">", "</ul>", "<p>", "<br/ >", "<img src=a>", "<SCRIPT type='t'>", "</script >", "</scriptx>", "<title>", "</title>", "<!-- ", "-->", "<!x>", "</", ">", " ", "&amp;", "<td>", "<tr>", "<é>", "<", "<a b", "<a B='2' b='3'>"]
+    rng, state = random.Random(3), lambda p: (p.names, p.attrs, p.begin, p.end, p.last, p.texts, p.kinds)
+    sources = ["".join(rng.choices(bits, k=rng.randint(0, 12))) for _ in range(3000)]
+    got = [state(Page(x)) for x in sources]
+    monkeypatch.setattr(Page, "read", None)
+    assert Page("<li data-x='>' class=\"box\">a<!-- <li> --><b>c</b></li>").texts == ["a", "c"]
+    monkeypatch.undo()
+    monkeypatch.setattr(Page, "read_plain", lambda self, s: False)
+    assert got == [state(Page(x)) for x in sources]
