@@ -18,10 +18,14 @@ def present(col: Column) -> Column:
 
 
 def resolve_location(reports: DataFrame, properties: DataFrame) -> DataFrame:
-    """Reports with city, district and neighbourhood: the property's, else the report's."""
+    """Reports with city, district and neighbourhood: the property's, else the report's.
+
+    Reports without a property stay where they are: as equals in their key a join would leave them all to one task.
+    """
     names = ("city", "district", "neighborhood")
     p = properties.select("property_id", *[c(n).alias(f"p_{n}") for n in names])
-    rows = reports.join(p, "property_id", "left")
+    rows = reports.where("property_id is not null").join(p, "property_id", "left")
+    rows = rows.unionByName(reports.where("property_id is null"), allowMissingColumns=True)
     return rows.withColumns({n: F.coalesce(present(c(f"p_{n}")), present(c(n))) for n in names}).drop(*[f"p_{n}" for n in names])
 
 
