@@ -244,7 +244,7 @@ def f17(spark: SparkSession, sf_dir: str) -> DataFrame:
         part("confidence", F.when(k % 3 == 0, "85").when(k % 3 == 1, "1.7").otherwise('"0,4"')), part("expectedSaleDays", F.when(k % 2 == 0, "900").otherwise('"2 gün"')), part("discountToSellFastPct", F.when(k % 2 == 0, "40").otherwise("3.5")),
         part("comps", F.concat(F.lit("["), F.array_join(F.array_repeat(comp, 15), ","), F.lit("]"))), F.lit(', "assumptions": [" a ", "", "b"]'), F.when(k % 5 == 0, F.lit(', "marketProjection": {"competitionStatus": " Yüksek "}')).otherwise(', "marketProjection": {}'), F.lit("} umarım yardımcı olur"),
     )
-    rows = dealt_out(fixture(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")).select("o_orderkey", text.alias("answer"), (k % 100 + 50).cast("double").alias("area"))
+    rows = dealt_out(fixture(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), times=16).select("o_orderkey", text.alias("answer"), (k % 100 + 50).cast("double").alias("area"))
     found = policy.normalize_price_index(rows, "answer", "area")
     return found.select(
         "o_orderkey", "min_price", "avg_price", "max_price", "avg_sqm", "confidence", "expected_sale_days", "discount_to_sell_fast_pct", F.size("comps").alias("n_comps"), F.element_at("comps", 1)["price"].alias("comp_price"),

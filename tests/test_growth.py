@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parcelforge.operators import geo, pool
+from parcelforge.operators import geo, pool, reports
+from parcelforge.plans.fixtures import dealt_out
 from parcelforge.sources import feeds, pages
+from parcelforge.streaming import ingest
 
 
 def plan(df) -> str:
@@ -61,3 +63,47 @@ def test_pairs_of_the_fallback_are_not_dealt_out_again(spark):
     joins = [x for x in plan(found).splitlines() if "Join " in x]
     assert "Join Inner" in joins[0] and "valuation_type" in joins[0] and "regexp_replace" not in joins[0] and "LeftOuter" in joins[1]
     assert [(r.listing_uid, r.match_level) for r in found.collect()] == [("x", "neighborhood")]
+
+
+def test_reports_without_a_property_are_dealt_out(spark):
+    """As equals in their key they were all left to one task."""
+    rows = spark.range(4000).select(F.col("id").alias("report_id"), F.when(F.col("id") % 100 == 0, F.col("id") % 7).alias("property_id"), F.lit(" A ").alias("city"), F.lit("").alias("district"), F.lit(None).cast("string").alias("neighborhood"))
+    homes = spark.range(5).select(F.col("id").alias("property_id"), F.lit("B").alias("city"), F.lit(" ").alias("district"), F.lit("x").alias("neighborhood"))
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set(keys[0], "-1")
+        spark.conf.set(keys[1], "false")
+        got = reports.resolve_location(rows, homes).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+    assert {(r.city, r.neighborhood) for r in got if r.property_id is None or r.property_id > 4} == {("A", None)} and {r.city for r in got if r.property_id is not None and r.property_id < 5} == {"B"}
+    assert len(got) == 4000 and max(sum(r.task == k for r in got) for k in range(4)) < 2000
+
+
+def test_large_buckets_are_merged_and_swept_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "PART_ROWS", 50)
+    rows = spark.range(300).select(F.concat(F.lit("u"), "id").alias("source_url"), F.col("id").cast("string").alias("listing_uid"), F.lit(1.0).alias("price"), F.lit("2001-10-10").cast("timestamp").alias("seen_at"))
+    files = ingest.PoolFiles(spark, str(tmp_path))
+    for batch in (0, 1):
+        ingest.merge_batch(rows.where(f"id % 3 >= {batch}" if "id" in rows.columns else f"cast(listing_uid as int) % 3 >= {batch}").withColumn("price", F.lit(float(batch))), batch, str(tmp_path), [F.col("listing_uid")], buckets=2)
+    now = lambda: sorted((r.source_url, r.price, r.freshness) for r in ingest.current_pool(spark, str(tmp_path)).collect())
+    want = sorted((f"u{k}", float(k % 3 >= 1), "FRESH") for k in range(300))
+    parts = lambda: {b: sum(n.endswith(".parquet") for n in files.names(path)) for b, path in files.latest()["buckets"].items()}
+    assert now() == want and min(parts().values()) > 1
+    assert ingest.sweep(spark, str(tmp_path), "2001-10-30 00:00:00") == 2 and ingest.sweep(spark, str(tmp_path), "2001-10-30 00:00:00") == 0
+    assert now() == [(u, p, "STALE") for u, p, _ in want] and min(parts().values()) > 1
+
+
+def test_few_files_are_dealt_out_in_small_tasks(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert dealt_out(spark.range(100).coalesce(1), times=16).rdd.getNumPartitions() == 16 * cores
+
+
+def test_texts_of_listings_that_fail_before_are_not_folded(spark):
+    names = ("neighborhood", "title", "address", "crit_city", "crit_district", "crit_neighborhood", "image_source", "category", "valuation_type", "property_type", "room_text")
+    rows = spark.createDataFrame([("https://x.example/1", "https://i.example/a.jpg", 5.0), ("https://x.example/1", "https://i.example/a.jpg", 100.0), ("https://x.example/1", None, 100.0)], "source_url string, image_url string, net_area double")
+    rows = rows.withColumns({k: F.lit("Mah 1" if k == "title" else "mah 1" if "neigh" in k else "sale") for k in names} | {"price": F.lit(5.0), "gross_area": F.lit(None).cast("double"), "subject_area": F.lit(100.0), "subject_room_text": F.lit("")})
+    judged = pool.validate_listing(rows)
+    assert [r.reason for r in judged.collect()] == ["missing_area", None, "missing_real_image"]
+    assert any("isnull(before_" in x and "hay_" in x for x in plan(judged).splitlines())
