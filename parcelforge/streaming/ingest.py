@@ -20,11 +20,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from parcelforge.operators.pool import EXPIRE_DAYS, STALE_DAYS, merge_listings, normalize_comparable, save_stats, unique_first, validate_listing, with_freshness
+from parcelforge.operators.pool import EXPIRE_DAYS, STALE_DAYS, by_part, merge_listings, normalize_comparable, save_stats, unique_first, validate_listing, with_freshness
 
 c = F.col
 #: Buckets of a new pool, and versions that are kept for readers that have begun.
 BUCKETS, KEEP = 64, 3
+#: Rows of a bucket that a task merges and writes as one file; larger buckets are several files.
+PART_ROWS = 250_000
 #: What validation reads beside the normalised listing.
 SCOPE = ("crit_city", "crit_district", "crit_neighborhood", "subject_area", "subject_room_text", "image_source", "property_type")
 
@@ -103,15 +105,22 @@ def current_pool(spark: SparkSession, pool_path: str) -> DataFrame | None:
     return read_buckets(spark, pool_path, manifest) if manifest else None
 
 
-def zones_of(rows: DataFrame) -> dict[str, list[str | None]]:
-    """Of each bucket: the earliest last_seen_at of fresh rows and of stale ones, and the latest of all.  A row for each bucket."""
+def zones_of(rows: DataFrame) -> dict[str, list]:
+    """Of each bucket: the earliest last_seen_at of fresh rows and of stale ones, the latest of all, and how many rows it has.  A row for each bucket."""
     seen = c("last_seen_at").cast("string")
     low = lambda state: F.min(F.when(c("freshness") == state, seen))
-    return {str(r["bucket"]): [r["fresh"], r["stale"], r["latest"]] for r in rows.groupBy("bucket").agg(low("FRESH").alias("fresh"), low("STALE").alias("stale"), F.max(seen).alias("latest")).collect()}
+    return {str(r["bucket"]): [r["fresh"], r["stale"], r["latest"], r["n"]] for r in rows.groupBy("bucket").agg(low("FRESH").alias("fresh"), low("STALE").alias("stale"), F.max(seen).alias("latest"), F.count(F.lit(1)).alias("n")).collect()}
+
+
+def parts_of(manifest: dict | None, rows: dict[int, int]) -> int:
+    """In how many parts buckets are merged that get some more rows each: as many as the largest of them needs."""
+    zones = (manifest or {}).get("zones", {})
+    held = {b: (zones[str(b)][3] if len(zones.get(str(b), ())) > 3 else 0) for b in rows}
+    return max([1, *(-(-(n + held[b]) // PART_ROWS) for b, n in rows.items())])
 
 
 def write_version(files: PoolFiles, rows: DataFrame, before: dict | None, batch_id: int, buckets: int) -> dict:
-    """Writes rows that lie by bucket as one file for each, and the manifest of a version in which they take their buckets' places."""
+    """Writes rows that lie by bucket, as one file for each part of it, and the manifest of a version in which they take their buckets' places."""
     spark, folder = rows.sparkSession, f"data/{uuid.uuid4().hex}"
     rows.write.partitionBy("bucket").parquet(f"{files.top}/{folder}")
     zones = zones_of(spark.read.schema(rows.select("last_seen_at", "freshness", "bucket").schema).parquet(f"{files.top}/{folder}"))
@@ -142,14 +151,15 @@ def merge_batch(batch: DataFrame, batch_id: int, pool_path: str, order: list, bu
     staged = f"{files.top}/_picked/batch={batch_id}"
     picked.write.mode("overwrite").parquet(staged)
     one = spark.read.schema(picked.schema).parquet(staged)
-    touched = {r["bucket"]: r["seen"] for r in one.groupBy("bucket").agg(F.max("seen_at").alias("seen")).collect()}  # a row for each bucket at most
+    counts = one.groupBy("bucket").agg(F.max("seen_at").alias("seen"), F.count(F.lit(1)).alias("n")).collect()  # a row for each bucket at most
+    touched = {r["bucket"]: r["seen"] for r in counts}
     if touched:
         incoming = one.drop("seen_at")
         if before:
             old = read_buckets(spark, pool_path, before, set(touched)).withColumn("bucket", bucket_of(buckets))
         else:
             old = incoming.limit(0).withColumns({"first_seen_at": F.lit(None).cast("timestamp"), "last_seen_at": F.lit(None).cast("timestamp"), "is_active": F.lit(None).cast("boolean"), "freshness": F.lit(None).cast("string")})
-        new = merge_listings(old, incoming, F.lit(max(touched.values())).cast("timestamp"), "bucket")
+        new = merge_listings(old, incoming, F.lit(max(touched.values())).cast("timestamp"), "bucket", parts=parts_of(before, {r["bucket"]: r["n"] for r in counts}), buckets=len(touched))
         write_version(files, new, before, batch_id, buckets)
     files.fs.delete(files.path(f"_picked/batch={batch_id}"), True)
 
@@ -174,7 +184,7 @@ def sweep(spark: SparkSession, pool_path: str, as_of: str) -> int:
     if not touched:
         return 0
     rows = with_freshness(read_buckets(spark, pool_path, before, touched), F.lit(as_of).cast("timestamp"), "last_seen_at").drop("expires_at")
-    rows = rows.withColumn("bucket", bucket_of(before["of"])).repartition("bucket")
+    rows = by_part(rows.withColumn("bucket", bucket_of(before["of"])), "bucket", "source_url", parts_of(before, dict.fromkeys(touched, 0)), len(touched)).drop("part_")
     write_version(files, rows.select(*[f["name"] for f in before["schema"]["fields"]], "bucket"), before, before["batch"], before["of"])
     return len(touched)
 
