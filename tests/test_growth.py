@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parcelforge.operators import geo, pool, reports
+from parcelforge.functions import listing as L
+from parcelforge.operators import geo, pool, reports, selection
 from parcelforge.plans.fixtures import dealt_out
 from parcelforge.sources import feeds, pages
 from parcelforge.streaming import ingest
@@ -107,3 +108,43 @@ def test_texts_of_listings_that_fail_before_are_not_folded(spark):
     judged = pool.validate_listing(rows)
     assert [r.reason for r in judged.collect()] == ["missing_area", None, "missing_real_image"]
     assert any("isnull(before_" in x and "hay_" in x for x in plan(judged).splitlines())
+
+
+def test_comparables_come_from_one_pass_over_the_listings(spark):
+    """The rows of looked_up() and of the feeds' capped rows; places are folded after the cap, other spellings among them."""
+    from parcelforge.plans import valuation as v
+
+    sf = "/root/testdata/sf0.001"
+    named = ("subject_id", "listing_uid", "neighborhood", "price")
+    spelled = lambda df: df.withColumn("neighborhood", F.when(F.col("price") % 2 == 0, F.col("neighborhood")).otherwise(F.concat(F.lit(" MAH. "), "neighborhood")))
+    rows, subjects = spelled(v.with_quality(v.listings(spark, sf), "pool_quality")), pool.scope_keys(v.subjects(spark, sf))
+    keyed, best = pool.scope_keys(rows), [F.desc("pool_quality"), F.desc("last_seen_at"), F.col("listing_uid")]
+    want = pool.looked_up(subjects, keyed.where("provider_rank = 0"), v.as_of(), scope_rows=3, subject_rows=2).unionByName(pool.match_pool(subjects, pool.cap_scope(keyed.where("provider_rank > 0"), 3, best, ["provider_rank"])))
+    got = pool.comparables(subjects, pool.offered(rows, v.as_of(), scope_rows=3), 2)
+    facts = lambda df: sorted((r.subject_id, r.listing_uid) for r in df.collect())
+    assert facts(got) == facts(want) and facts(got)
+    assert plan(v.pairs(spark, sf)).count("Relation [l_orderkey") == 1 and "Union" not in plan(v.pairs(spark, sf))
+    assert set(named) <= set(got.columns)
+
+
+def test_diagnostics_take_one_pass_and_few_sorts(spark):
+    from parcelforge.plans import valuation as v
+
+    made = v.a15(spark, "/root/testdata/sf0.001")
+    assert "Join LeftOuter" not in plan(made) and plan(made).count("Relation [l_orderkey") == 1
+    rows = spark.range(300).selectExpr("id % 3 as subject_id", "'residential' as category", "100d as subject_area", "'2+1' as subject_room_text", "5 as subject_building_age", "concat('u', id) as listing_uid", "concat('http://x.example/', id) as source_url", "'ev' as title", "'Hepsiemlak' as source", "1e6d + id * 37 % 101 as price", "100d as net_area", "100d as gross_area", "if(id % 2 = 0, '2+1', '3+1') as room_text", "5 as building_age", "if(id % 5 > 0, 'http://i.example/a.jpg', null) as image_url", "timestamp'2024-01-01' as created_at", "0 as provider_rank")
+    now = F.lit("2024-03-01").cast("timestamp")
+    ready = selection.prepared(rows)
+    by_steps = lambda df: sorted(map(tuple, df.select("subject_id", "listing_uid", "group").collect()))
+    flagged = selection.grouped(ready.withColumn("f", F.lit(True)), now, "f").where("group is not null")
+    assert by_steps(flagged) == by_steps(selection.portfolio(ready, now)) and len(by_steps(flagged)) == 90
+    with_facts = selection.with_facts(selection.with_facts(rows, selection.LISTING_FACTS), selection.SUBJECT_FACTS)
+    assert by_steps(selection.portfolio(selection.prepared(with_facts), now)) == by_steps(flagged)
+    physical = selection.portfolio(ready, now)._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("Sort [subject_id") <= 4 and physical.count("Exchange hashpartitioning(subject_id") == 1
+
+
+def test_made_pictures_are_told_without_squeezing_each_url(spark):
+    odd = ["https://x/a.jpg", " \t\nhttps://x/a.jpg", "https://x/comparables/MOCK-image", "https://maps  googleapis.com/maps/api/streetview?x", "https://maps.googleapis.com/maps/api/streetview", "http:// x", "ftp://x", "", None, "x https://x/a"]
+    rows = spark.createDataFrame([(u,) for u in odd], "u string").select(L.is_real_image(F.col("u"), F.lit("")).alias("ok"))
+    assert [r.ok for r in rows.collect()] == [True, True, False, False, False, False, False, False, False, False]
