@@ -148,3 +148,16 @@ def test_made_pictures_are_told_without_squeezing_each_url(spark):
     odd = ["https://x/a.jpg", " \t\nhttps://x/a.jpg", "https://x/comparables/MOCK-image", "https://maps  googleapis.com/maps/api/streetview?x", "https://maps.googleapis.com/maps/api/streetview", "http:// x", "ftp://x", "", None, "x https://x/a"]
     rows = spark.createDataFrame([(u,) for u in odd], "u string").select(L.is_real_image(F.col("u"), F.lit("")).alias("ok"))
     assert [r.ok for r in rows.collect()] == [True, True, False, False, False, False, False, False, False, False]
+
+
+def test_coverage_marks_rows_in_one_pass(spark):
+    from parcelforge.plans import valuation as v
+
+    sf = "/root/testdata/sf0.001"
+    made = v.a5(spark, sf)
+    assert plan(made).count("Join LeftOuter") == 0 and plan(made).count("Relation [l_orderkey") == 1
+    pairs, ready = v.pairs(spark, sf), v.prepared(spark, sf)
+    n = lambda df: {r[0]: r[1] for r in df.groupBy("subject_id").count().collect()}
+    records, raw, valuation, selected = n(pairs), n(ready), n(selection.valuation_set(ready)), n(selection.portfolio(ready, v.as_of()))
+    got = made.collect()
+    assert {r.subject_id: (r.records, r.raw, r.valuation, r.selected) for r in got} == {k: (records[k], raw[k], valuation.get(k, 0), selected.get(k, 0)) for k in records}
