@@ -161,3 +161,20 @@ def test_coverage_marks_rows_in_one_pass(spark):
     records, raw, valuation, selected = n(pairs), n(ready), n(selection.valuation_set(ready)), n(selection.portfolio(ready, v.as_of()))
     got = made.collect()
     assert {r.subject_id: (r.records, r.raw, r.valuation, r.selected) for r in got} == {k: (records[k], raw[k], valuation.get(k, 0), selected.get(k, 0)) for k in records}
+
+
+def test_paid_rows_are_met_by_subjects_that_lack(spark, monkeypatch):
+    """Pairs aren't stored, and a subject with enough meets no paid row."""
+    from parcelforge.plans import valuation as v
+
+    sf, kept, met = "/root/testdata/sf0.01", {}, []
+    store, meet = v.stored, pool.comparables
+    monkeypatch.setattr(v, "stored", lambda rows, name: kept.setdefault(name, store(rows, name)))
+    monkeypatch.setattr(pool, "comparables", lambda subjects, items: met.append((subjects, items)) or meet(subjects, items))
+    got = sorted(map(tuple, v.u3(spark, sf).collect()))
+    assert set(kept) == {"offered", "covered"}
+    enough = {r.subject_id for r in kept["covered"].where("enough").collect()}
+    everyone = {r.subject_id for r in v.subjects(spark, sf).collect()}
+    assert enough and {r.subject_id for r in met[-1][0].collect()} == everyone - enough
+    rows = v.pairs(spark, sf).select("subject_id", "listing_uid", "provider_rank").collect()
+    assert got == sorted((r.subject_id, r.listing_uid) for r in rows if r.provider_rank < 2 or r.subject_id not in enough)
