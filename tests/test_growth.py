@@ -178,3 +178,12 @@ def test_paid_rows_are_met_by_subjects_that_lack(spark, monkeypatch):
     assert enough and {r.subject_id for r in met[-1][0].collect()} == everyone - enough
     rows = v.pairs(spark, sf).select("subject_id", "listing_uid", "provider_rank").collect()
     assert got == sorted((r.subject_id, r.listing_uid) for r in rows if r.provider_rank < 2 or r.subject_id not in enough)
+
+
+def test_market_projection_counts_in_the_same_pass(spark):
+    from parcelforge.plans import valuation as v
+
+    made = v.a3(spark, "/root/testdata/sf0.001")
+    assert plan(made).count("Relation [l_orderkey") == 1 and "Join LeftOuter" not in plan(made)
+    raw = {r[0]: r[1] for r in v.prepared(spark, "/root/testdata/sf0.001").groupBy("subject_id").count().collect()}
+    assert made.count() > 0 and all(r.active == raw[r.subject_id] for r in made.collect())
