@@ -56,6 +56,19 @@ def test_all_pairs_come_from_packs_of_spots_over_many_tasks(spark):
     assert max(len(r.poi_id) for r in geo.packed(places, "poi_id").collect()) == geo.PACK
 
 
+def test_a_dense_cell_is_the_work_of_many_tasks(spark):
+    """40 subjects and 40,000 places within metres: a task holds the pairs of few subjects and few places at a time."""
+    subjects = spark.range(40).select(F.col("id").alias("subject_id"), F.lit(41.0).alias("lat"), F.lit(29.0).alias("lon"))
+    places = spark.range(40_000).select(F.col("id").alias("poi_id"), (41 + F.col("id") % 4 / 1e5).alias("lat"), F.lit(29.0).alias("lon"))
+    for crowd in (None, 500):
+        got = geo.all_pairs(subjects, places, 3000.0, crowd)
+        rows = got.groupBy(F.spark_partition_id().alias("task")).agg(F.count("distance_m").alias("n"), F.countDistinct("subject_id", "poi_id").alias("pairs")).collect()
+        assert sum(r.n for r in rows) == sum(r.pairs for r in rows) == 1_600_000 and max(r.n for r in rows) < 600_000
+        if crowd is None:
+            assert got._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin [cy") == 1
+    assert max(len(r.subject_id) for r in geo.packed(subjects, "subject_id", geo.SUBJECT_PACK).collect()) == geo.SUBJECT_PACK
+
+
 def test_pairs_of_the_fallback_are_not_dealt_out_again(spark):
     """How a subject's listings are found is told of subjects: the join that makes pairs is the last one, and compares ready texts."""
     subjects = spark.createDataFrame([(1, "A", "B", "Mah 1", "residential", "sale", 100.0, "2 + 1")], "subject_id long, city string, district string, neighborhood string, category string, valuation_type string, subject_area double, subject_room_text string")
