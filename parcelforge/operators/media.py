@@ -12,7 +12,11 @@ c = F.col
 
 
 def image_priority(url: Column) -> Column:
-    u = F.lower(url)
+    return priority_of(F.lower(url))
+
+
+def priority_of(u: Column) -> Column:
+    """image_priority() of a URL in lower case."""
     return F.when(u.contains("imaj.emlakjet.com"), 100).when(u.contains("i.remax.com.tr/photos"), 95).when(u.contains("hepsiemlak") & contains_any(u, ("image", "photo", "listing", "cdn")), 90).when(contains_any(u, ("listing", "photo", "image", "resize")), 60).otherwise(10)
 
 
@@ -22,13 +26,22 @@ def without_query(url: Column) -> Column:
 
 def image_key(url: Column) -> Column:
     """Without query, fragment and size."""
-    path = without_query(F.coalesce(url, F.lit("")))
+    return key_of(without_query(F.coalesce(url, F.lit(""))))
+
+
+def key_of(path: Column) -> Column:
+    """image_key() of a URL without query and fragment."""
     return F.when(F.lower(path).contains("/resize/"), F.regexp_replace(path, r"(?i)/resize/\d+/\d+/", "/resize/")).otherwise(path)
 
 
 def unique_images(df: DataFrame) -> DataFrame:
     """One image of each key of a listing, the one of highest priority, with rank.  df: (listing_uid, url, ord)."""
-    rows = df.repartition("listing_uid").withColumns({"image_key": image_key(c("url")), "priority": image_priority(c("url"))})
+    return best_images(df.withColumns({"image_key": image_key(c("url")), "priority": image_priority(c("url"))}))
+
+
+def best_images(df: DataFrame) -> DataFrame:
+    """unique_images() of rows that have image_key and priority."""
+    rows = df.repartition("listing_uid")
     one = unique_first(rows, ["listing_uid", "image_key"], [F.desc("priority"), c("ord"), c("url")])
     return one.withColumn("rank", F.row_number().over(Window.partitionBy("listing_uid").orderBy(F.desc("priority"), "ord", "url")))
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, StringType, StructField, StructType
 
 from parcelforge.functions import text as T
-from parcelforge.operators.media import unique_images, without_query
+from parcelforge.operators.media import best_images, key_of, priority_of, without_query
 from parcelforge.operators.pool import unique_first
 from parcelforge.sources.markup import Page, clean
 
@@ -369,26 +369,40 @@ PHOTO, PHOTO_PATH = ("image", "photo", "listing", "resize", "cdn"), r"(?i)\.(jpe
 NO_PHOTO = ("logo", "favicon", "sprite", "icon", "avatar", "agent", "profile", "placeholder", "loading", "blank", "captcha", "challenge")
 
 
+#: Of so many names on a page, each is worked out once, however often it stands there.
+FEW = 200
+
+
 def extract_image_candidates(pages: DataFrame) -> DataFrame:
     """(listing_uid, url, ord, image_key, priority, rank): photos that pages (page_id, base_url, html) name, in attributes, source
     sets or anywhere as URLs, each key once, the likeliest ones first."""
+    # where a word begins is asked behind its first letter, not at each place; a data-src has a src
     everywhere = lambda pattern: F.regexp_extract_all("html", F.lit(pattern), F.lit(1))
     first_of = lambda x: F.regexp_replace(F.trim(x), r"\s.*$", "")
-    sets = F.flatten(F.transform(everywhere(r"(?i)\bsrcset=[\"']([^\"']+)[\"']"), lambda x: F.transform(F.split(x, ","), first_of)))
-    attrs = everywhere(r"(?i)\b(?:src|data-src|data-original|data-lazy|content)=[\"']([^\"']+\.(?:jpe?g|png|webp)(?:\?[^\"']*)?)[\"']")
+    sets = F.flatten(F.transform(everywhere(r"(?i)s(?<=\b.)rcset=[\"']([^\"']+)[\"']"), lambda x: F.transform(F.split(x, ","), first_of)))
+    attrs = everywhere(r"(?i)(?:s(?<=\b.)rc|d(?<=\b.)ata-(?:original|lazy)|c(?<=\b.)ontent)=[\"']([^\"']+\.(?:jpe?g|png|webp)(?:\?[^\"']*)?)[\"']")
     urls = everywhere(r"(?i)(https?:\\?/\\?/[^\"'()<>\s]+\.(?:jpe?g|png|webp)(?:\?[^\"'()<>\s\\]*)?)")
     origin, scheme, folder = F.regexp_extract("base_url", r"^(https?://[^/?#]+)", 1), F.regexp_extract("base_url", "^(https?:)", 1), F.regexp_replace("base_url", r"[^/]*$", "")
 
-    raw = pages.select(c("page_id").alias("listing_uid"), origin.alias("origin"), scheme.alias("scheme"), folder.alias("folder"), F.posexplode(F.concat(attrs, sets, urls)).alias("ord", "raw"))
-    clean = F.replace(F.replace(F.replace(c("raw"), F.lit("&amp;"), F.lit("&")), F.lit("\\u002F"), F.lit("/")), F.lit("\\/"), F.lit("/"))
-    x = c("tidy")
-    url = F.when(x.rlike("(?i)^https?://"), x).when(x.startswith("//"), F.concat("scheme", x)).when(x.startswith("/"), F.concat("origin", x)).when(x.rlike("^[a-z]+:"), None).otherwise(F.concat("folder", x))
     # each step stands for itself: the filters on a URL would be filters on all that makes it
-    rows = T.held(raw, "listing_uid", "ord", "origin", "scheme", "folder", tidy=first_of(F.when(clean.contains(","), F.regexp_replace(clean, ",.*$", "")).otherwise(clean)))
+    named = T.held(pages.select(c("page_id").alias("listing_uid"), "base_url", "html"), "listing_uid", "base_url", names=F.concat(attrs, sets, urls))
+    once = F.transform(F.array_distinct("names"), lambda x: F.struct((F.array_position("names", x) - 1).cast("int").alias("ord"), x.alias("raw")))
+    each = F.transform("names", lambda x, k: F.struct(k.alias("ord"), x.alias("raw")))
+    raw = named.select("listing_uid", "base_url", F.inline(F.when(F.size("names") <= FEW, once).otherwise(each)))
+    rows = T.held(raw, "listing_uid", "ord", "base_url", clean=F.replace(F.replace(F.replace(c("raw"), F.lit("&amp;"), F.lit("&")), F.lit("\\u002F"), F.lit("/")), F.lit("\\/"), F.lit("/")))
+    rows = T.held(rows, "listing_uid", "ord", "base_url", cut=F.when(c("clean").contains(","), F.regexp_replace("clean", ",.*$", "")).otherwise(c("clean")))
+    rows = T.held(rows, "listing_uid", "ord", "base_url", tidy=F.when(T.contains_any(c("cut"), " \t\n\x0b\f\r"), first_of(c("cut"))).otherwise(c("cut")))
+    # patterns are tried where no plain comparison says it
+    x = c("tidy")
+    whole = x.startswith("https://") | x.startswith("http://") | x.rlike("(?i)^https?://")
+    url = F.when(whole, x).when(x.startswith("//"), F.concat(scheme, x)).when(x.startswith("/"), F.concat(origin, x)).when(x.rlike("^[a-z]+:"), None).otherwise(F.concat(folder, x))
     rows = T.held(rows, "listing_uid", "ord", url=url).where("url <> ''")
-    rows = T.held(rows, "listing_uid", "ord", "url", low=F.translate("url", ascii_uppercase, ascii_lowercase), path=without_query(c("url")))
-    rows = rows.where((c("path").rlike(PHOTO_PATH) | T.contains_any(c("low"), PHOTO)) & ~T.contains_any(c("low"), NO_PHOTO))
-    return unique_images(rows.select("listing_uid", "url", "ord"))
+    rows = T.held(rows, "listing_uid", "ord", "url", lower=F.lower("url"), path=without_query(c("url")))
+    low = F.when(F.octet_length("url") == F.length("url"), c("lower")).otherwise(F.translate("url", ascii_uppercase, ascii_lowercase))
+    rows = T.held(rows, "listing_uid", "ord", "url", "lower", "path", low=low)
+    photo = c("path").endswith(".jpg") | c("path").endswith(".png") | c("path").endswith(".webp") | c("path").rlike(PHOTO_PATH)
+    rows = rows.where((photo | T.contains_any(c("low"), PHOTO)) & ~T.contains_any(c("low"), NO_PHOTO))
+    return best_images(rows.select("listing_uid", "url", "ord", key_of(c("path")).alias("image_key"), priority_of(c("lower")).alias("priority")))
 
 
 #: Path parts of residential types, by words in the folded type.

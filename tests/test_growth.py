@@ -30,6 +30,18 @@ def test_each_step_of_an_image_url_is_worked_out_once(spark):
     assert [(r.url, r.rank) for r in rows.orderBy("rank").collect()] == [("https://x.example/PHOTOS/a.jpg?x=1", 1), ("https://x.example/resize/1/2/b.png", 2)]
 
 
+def test_a_name_of_an_image_is_worked_out_once_a_page(spark, monkeypatch):
+    """An attribute's URL stands there as a URL, too; where names begin is asked at a few letters, with the results of words."""
+    one = '<img src="https://x.example/photo/a.jpg"><img data-SRC=\'/b.png\'><img xsrc="/no.png" srcset="https://x.example/photo/a.jpg 1x,/b.png">'
+    many = one + "".join(f'<meta Content="/photo/{k}.jpg">' for k in range(pages.FEW)) + "<p>https://x.example/photo/a.jpg"
+    rows = spark.createDataFrame([("1", "https://x.example/l/1", one), ("2", "https://x.example/l/1", many), ("3", None, one)], "page_id string, base_url string, html string")
+    got = sorted((r.listing_uid, r.url, r.ord) for r in pages.extract_image_candidates(rows).collect())
+    a, b = ("https://x.example/photo/a.jpg", 0), ("https://x.example/b.png", 1)
+    assert got == sorted([("1", *a), ("1", *b), ("2", *a), ("2", *b), ("3", *a), *[("2", f"https://x.example/photo/{k}.jpg", k + 2) for k in range(pages.FEW)]])
+    monkeypatch.setattr(pages, "best_images", lambda rows: rows)
+    assert sorted((r.url, r.ord) for r in pages.extract_image_candidates(rows.where("page_id = '1'")).collect()) == [b, a]
+
+
 def test_spots_answer_for_all_who_are_there(spark):
     """Many subjects and places on few spots: the results of all their pairs, of which none is made."""
     at = lambda k: (41.0 + F.col("id") % k / 500, 29.0 + F.col("id") * 7 % k / 500)
